@@ -50,11 +50,12 @@ def sequence_number(df: DataFrame, group: list[str], order: list[str], out: str,
     Rows of a group are spread over ``spread`` sub-groups by a hash of ``order``;
     a small table of sub-group sizes gives each its first number, and a window
     numbers the rows inside.  Rows that are equal in all of ``order`` get
-    different numbers, in any order.
+    different numbers, in any order.  The table has at most groups x 4,096 rows,
+    so it is broadcast; callers have few groups (shards, length buckets).
     """
     from pyspark.sql import Window
 
-    spread = spread or max(8, 2 * partitions(df.sparkSession))
+    spread = spread or min(4096, max(8, 2 * partitions(df.sparkSession)))
     keyed = df.withColumn("_sub", F.pmod(F.xxhash64(*order, F.lit(7)), F.lit(spread)).cast("int"))
     sizes = keyed.groupBy(*group, "_sub").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*group).orderBy("_sub").rowsBetween(Window.unboundedPreceding, -1)

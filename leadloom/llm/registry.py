@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, packing, quality_rules, sentencepieces, sharding, token_counts
+from . import embedding_dedup, html_text, line_dedup, packing, quality_rules, sentencepieces, sharding, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
+    "op2_embedding_dedup": embedding_dedup.op2_embedding_dedup,
+    "op3_html_text": html_text.op3_html_text,
     "op4_sentencepieces": sentencepieces.op4_sentencepieces,
     "op6_packing": packing.op6_packing,
     "op7_token_counts": token_counts.op7_token_counts,
@@ -17,4 +19,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_rules": quality_rules.op9_quality_rules,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_line_dedup": line_dedup.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_line_dedup": line_dedup.ORACLE_SQL, "op2_embedding_dedup": embedding_dedup.ORACLE_SQL}
