@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embedding_dedup, html_text, line_dedup, near_dedup, packing, quality_rules, sentencepieces, sharding, token_counts
+from . import embedding_dedup, html_text, line_dedup, near_dedup, packing, quality_rules, sentencepieces, sharding, substring_dedup, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_html_text": html_text.op3_html_text,
     "op10_near_dedup": near_dedup.op10_near_dedup,
     "op4_sentencepieces": sentencepieces.op4_sentencepieces,
+    "op5_substring_dedup": substring_dedup.op5_substring_dedup,
     "op6_packing": packing.op6_packing,
     "op7_token_counts": token_counts.op7_token_counts,
     "op8_sharding": sharding.op8_sharding,
