@@ -7,6 +7,7 @@ from urllib.parse import parse_qs, quote, unquote, urljoin, urlsplit
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .text import END, START, blank, decode_url, or_null, strip, title_from_slug
 
@@ -48,7 +49,7 @@ def is_parsable(c: Column) -> Column:
 def normalize_platform_name(name: Column, url: Column) -> Column:
     """A booking platform's page title gives way to the business name in its address."""
     current = strip(name)
-    slug = F.element_at(F.filter(F.split(F.regexp_extract(blank(url), r"^https?:[/\\]*[^/?#\\]*([^?#]*)", 1), "/"), lambda p: p != ""), -1)
+    slug = F.try_element_at(F.filter(F.split(F.regexp_extract(blank(url), r"^https?:[/\\]*[^/?#\\]*([^?#]*)", 1), "/"), lambda p: p != ""), F.lit(-1))
     candidate = title_from_slug(slug)
     # fixed values
     platform = f"(?i)^(?:agendoor|booksy|fresha|noona){END}"
@@ -96,7 +97,7 @@ def _clean(text: str | None, depth: int = 5) -> str:
     return out
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def clean_url(urls: pd.Series) -> pd.Series:
     """Canonical address of a search result; empty for the engines' own pages."""
     return urls.map(_clean)

@@ -264,7 +264,7 @@ def q_type_match(spark, sf):
 
 
 def q_geography_match(spark, sf):
-    return raw_leads(spark, sf).select("row_no", P.matches_geography(F.lit("France")).alias("france"), P.matches_geography(F.lit("Açores")).alias("acores"), P.matches_geography(F.lit("Portugal")).alias("anywhere"), P.is_country_wide(F.col("locality")).alias("wide"), P.requested_country(F.col("locality")).alias("country"))
+    return raw_leads(spark, sf).select("row_no", P.matches_geography(F.lit("Europe")).alias("europe"), P.matches_geography(F.lit("Açores")).alias("acores"), P.matches_geography(F.lit("Portugal")).alias("anywhere"), P.is_country_wide(F.col("locality")).alias("wide"), P.requested_country(F.col("locality")).alias("country"))
 
 
 def q_portal_flags(spark, sf):
@@ -290,7 +290,7 @@ def q_merge_keys(spark, sf):
 
 
 def q_skip_reasons(spark, sf):
-    return C.candidates(raw_leads(spark, sf), LEAD_TYPE, "France").select("row_no", "skip_reason", "cache_key")
+    return C.candidates(raw_leads(spark, sf), LEAD_TYPE, "Europe").select("row_no", "skip_reason", "cache_key")
 
 
 def q_verdict_per_key(spark, sf):
@@ -307,7 +307,7 @@ def q_merge_leads_row_scope(spark, sf):
 
 
 def q_consolidate_limit(spark, sf):
-    return C.consolidate(raw_leads(spark, sf), "leads", "France", limit=20).select(*OUT, "n")
+    return C.consolidate(raw_leads(spark, sf), "leads", "Europe", limit=20).select(*OUT, "n")
 
 
 def q_funnel_stats(spark, sf):
@@ -399,17 +399,17 @@ ORACLE_SQL: dict[str, str] = {
     "public_email_flags": f"WITH {RAW} SELECT row_no, {d_email_ok('email')} AS public_email FROM raw_leads",
     "phone_flags": rf"WITH {RAW}, d AS (SELECT row_no, {d_digits('phone')} AS digits FROM raw_leads) SELECT row_no, digits, length(digits) BETWEEN 9 AND 15 AS plausible, CASE WHEN starts_with(digits, '351') THEN length(digits) = 12 AND regexp_matches(digits, '^351[23569]') ELSE length(digits) = 9 AND regexp_matches(digits, '^[23569]') END AS portuguese, CASE WHEN starts_with(digits, '55') THEN length(digits) BETWEEN 12 AND 13 ELSE length(digits) BETWEEN 10 AND 11 END AS brazilian FROM d",
     "type_match": f"WITH {RAW}, h AS (SELECT row_no, {d_norm(d_hay('name', 'website', 'socials', 'notes'))} AS a, {d_norm(d_hay('name', 'website', 'socials', 'notes', 'sources'))} AS b FROM raw_leads) SELECT row_no, {d_words('a', P.BARBER_WORDS)} AND NOT {d_words('a', P.HAIR_WORDS)} AS barber, {d_words('b', P.MEAT_WORDS)} AS meat, true AS any_type FROM h",
-    "geography_match": f"WITH {RAW}, h AS (SELECT row_no, locality, {d_fold(d_hay('locality', 'district', 'name', 'website', 'socials'))} AS a FROM raw_leads) SELECT row_no, contains(a, 'france') AS france, contains(a, 'acores') AS acores, true AS anywhere, lower(locality) IN ('portugal', 'portugal continental', 'pt', 'pt-pt') AS wide, CASE WHEN {d_words(d_fold('locality'), ['brasil', 'brazil', 'sp', 'sao paulo', 'braganca paulista'])} THEN 'BR' ELSE 'PT' END AS country FROM h",
+    "geography_match": f"WITH {RAW}, h AS (SELECT row_no, locality, {d_fold(d_hay('locality', 'district', 'name', 'website', 'socials'))} AS a FROM raw_leads) SELECT row_no, contains(a, 'europe') AS europe, contains(a, 'acores') AS acores, true AS anywhere, lower(locality) IN ('portugal', 'portugal continental', 'pt', 'pt-pt') AS wide, CASE WHEN {d_words(d_fold('locality'), ['brasil', 'brazil', 'sp', 'sao paulo', 'braganca paulista'])} THEN 'BR' ELSE 'PT' END AS country FROM h",
     "portal_flags": rf"WITH {RAW} SELECT row_no, {d_portal()} AS portal, regexp_matches({d_fold('name')}, '^barbearias?\s+em\b|onde cortar') AS category_page FROM raw_leads",
     "platform_names": f"WITH {RAW} SELECT row_no, {_title('''('barbearia-' || ''' + _SLUG.format(x='locality') + ')')} AS name FROM raw_leads",
     "sanitize_socials": f"WITH {RAW} SELECT row_no, {d_social('socials')} AS socials FROM raw_leads",
     "conform_leads": f"WITH {d_conformed()} SELECT seq % 1000000000000 AS row_no, cleared, {', '.join(C.FIELDS)} FROM conformed",
     "merge_keys": f"WITH {d_conformed()} SELECT seq % 1000000000000 AS row_no, {d_key()} AS master_key, {d_key(False)} AS source_key, CASE WHEN {d_norm('email')} <> '' THEN 'email:' || {d_norm('email')} WHEN {d_digits('phone')} <> '' THEN 'phone:' || {d_digits('phone')} WHEN website <> '' THEN 'website:' || {d_norm('website')} || '|' || {d_norm('name')} ELSE concat_ws('|', nullif({d_norm('name')}, ''), nullif({d_norm('locality')}, '')) END AS directory_key FROM conformed",
-    "skip_reasons": f"WITH {d_candidates(place='France')} SELECT g.seq % 1000000000000 AS row_no, g.skip_reason, c.cache_key FROM gated g LEFT JOIN cand c ON g.seq = c.seq",
+    "skip_reasons": f"WITH {d_candidates(place='Europe')} SELECT g.seq % 1000000000000 AS row_no, g.skip_reason, c.cache_key FROM gated g LEFT JOIN cand c ON g.seq = c.seq",
     "verdict_per_key": f"WITH {d_judged()} SELECT cache_key, {', '.join(C.FIELDS)}, n::BIGINT AS n FROM winners",
     "consolidate_leads": f"WITH {d_merged()} SELECT {D_OUT}, n FROM merged",
     "merge_leads_row_scope": f"WITH {d_merged('row')} SELECT {D_OUT}, n FROM merged",
-    "consolidate_limit": f"WITH {d_merged(lead_type='leads', place='France')} SELECT {D_OUT}, n FROM merged ORDER BY s LIMIT 20",
+    "consolidate_limit": f"WITH {d_merged(lead_type='leads', place='Europe')} SELECT {D_OUT}, n FROM merged ORDER BY s LIMIT 20",
     "funnel_stats": f"""WITH {d_judged()}, g AS (SELECT merge_key, sum(n) AS n FROM judged GROUP BY merge_key)
 SELECT (SELECT count(*) FROM conformed WHERE cleared) AS "clearedGenericWebsite", (SELECT count(*) FROM gated WHERE skip_reason = 'no_contact') AS "skippedNoContact",
   (SELECT count(*) FROM gated WHERE skip_reason = 'no_name') AS "skippedNoName", (SELECT count(*) FROM gated WHERE skip_reason = 'wrong_type') AS "skippedWrongType",
