@@ -1,9 +1,9 @@
 """Quality rules: features of whole texts and decision lists learned from labels.
 
 Learning is sequential covering.  A rule is grown on one part of the labelled
-rows by adding the threshold condition with the highest information gain,
-pruned on the other part, accepted if it is precise enough there, and the rows
-it covers are set aside before the next rule is grown.  The list becomes one
+rows by adding the threshold condition with the highest information gain, pruned on
+the other part, accepted if it is precise enough on both, and the rows it covers
+are set aside before the next rule is grown.  The list becomes one
 ordered Spark conditional expression.
 """
 
@@ -156,7 +156,7 @@ class Condition:
 
 @dataclass(frozen=True)
 class Rule:
-    """A conjunction that rejects; precision and cover as measured on the pruning part."""
+    """A conjunction that rejects; precision and cover as measured on all labelled rows left to it."""
 
     conditions: tuple[Condition, ...]
     precision: float
@@ -208,15 +208,17 @@ def learn(x: np.ndarray, bad: np.ndarray, names: list[str], precision: float = 0
     gx, gb, px, pb = x[side], bad[side], x[~side], bad[~side]
     rules: list[Rule] = []
     while len(rules) < most and gb.any() and pb.any():
-        rule = _grow(gx, gb, names, longest)
-        while len(rule) > 1 and _score(rule[:-1], px, pb, names)[0] >= _score(rule, px, pb, names)[0]:
-            rule = rule[:-1]
-        if not rule:
+        grown = _grow(gx, gb, names, longest)
+        fit = []  # shortened rules that are precise on both parts: score on the pruning part, length, rule
+        for size in range(1, len(grown) + 1):
+            rule = grown[:size]
+            score, exact, cover = _score(rule, px, pb, names)
+            both = _score(rule, np.concatenate([gx, px]), np.concatenate([gb, pb]), names)
+            if min(exact, both[1]) >= precision and cover >= least:
+                fit.append((score, -size, Rule(tuple(rule), both[1], both[2])))
+        if not fit:
             break
-        _, exact, cover = _score(rule, px, pb, names)
-        if exact < precision or cover < least:
-            break
-        rules.append(Rule(tuple(rule), exact, cover))
+        rules.append(max(fit, key=lambda f: f[:2])[2])
         gone, gone_p = rules[-1].holds(gx, names), rules[-1].holds(px, names)
         gx, gb, px, pb = gx[~gone], gb[~gone], px[~gone_p], pb[~gone_p]
     return rules
