@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leadloom.functions.text import blank, or_null, strip
 from leadloom.operators.consolidate import FIELDS, HEADER, coalesce_aliases
 
-BOM = "﻿"
+BOM = "\uFEFF"
 DEFAULT_COLUMNS = ";".join(HEADER.values())
 REPORT = "status string, profile string, writtenRows long, foundRows long, blockers array<string>, notes array<string>, csvPath string, error string, totalResults long, updatedAt timestamp"
 REQUEST = "run_id string, objective string, leadType string, geography string, sources string, contactRule string, outputName string, columns string, extraInstructions string"
@@ -36,32 +36,29 @@ def read_leads_csv(spark: SparkSession, paths: str | Sequence[str], profile_rank
     return coalesce_aliases(rows).withColumn("seq", F.struct("profile_rank", F.col("_row").alias("row_no"))).select(*FIELDS, "seq", "_file")
 
 
-def _cell(name: str):
-    text = blank(F.col(f"`{name}`"))
+def _cell(value: Column) -> Column:
+    text = blank(value)
     quoted = F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))
     return F.when(text.rlike('[;\n\r"]'), quoted).otherwise(text)
 
 
 def write_leads_csv(df: DataFrame, path: str, columns: str = DEFAULT_COLUMNS, order: Sequence[str] = ("seq",), single_file: bool = False, bom: bool = True) -> None:
-    """Header and rows with CRLF, quotes only where needed.
+    """Header and rows with CRLF, quotes only where needed; a column that ``df`` lacks is empty.
 
     Many files by default, each with a header; ``single_file`` gives one sorted
     file, which passes through one task: for exports of a bounded size.
     """
-    names = {v: k for k, v in HEADER.items()}
+    fields = {v: k for k, v in HEADER.items()}
+    present = {c.lower(): c for c in df.columns}
     wanted = [c.strip() for c in columns.split(";") if c.strip()]
-    renamed = df.select(*df.columns, *[F.col(names[c]).alias(c) for c in wanted if c not in df.columns and names.get(c) in df.columns])
-    cells = [_cell(c) if c in renamed.columns else F.lit("") for c in wanted]
-    head = ";".join(wanted)
-    writer_options = {"lineSep": "\r\n"}
-    if single_file:
-        sorted_rows = renamed.orderBy(*order) if order else renamed
-        lines = sorted_rows.select(F.concat_ws(";", *cells).alias("value"))
-        top = df.sparkSession.createDataFrame([((BOM if bom else "") + head,)], "value string").withColumn("_o", F.lit(0))
-        both = top.unionByName(lines.withColumn("_o", F.lit(1))).coalesce(1).select("value")
-        both.write.mode("overwrite").options(**writer_options).text(path)
+    values = {c: F.col(f"`{present[n]}`") if (n := fields.get(c, c).lower()) in present or (n := c.lower()) in present else F.lit("") for c in wanted}
+    if not single_file:
+        df.select(*[v.alias(c) for c, v in values.items()]).write.mode("overwrite").options(sep=";", escape='"', header="true", lineSep="\r\n", emptyValue="", nullValue="").csv(path)
         return
-    renamed.select(*[(F.col(f"`{c}`") if c in renamed.columns else F.lit("")).alias(c) for c in wanted]).write.mode("overwrite").options(sep=";", escape='"', header="true", lineSep="\r\n", emptyValue="", nullValue="").csv(path)
+    rows = df.orderBy(*order) if order else df
+    lines = rows.select(F.concat_ws(";", *[_cell(v) for v in values.values()]).alias("value"))
+    head = df.sparkSession.createDataFrame([((BOM if bom else "") + ";".join(wanted),)], "value string")
+    head.coalesce(1).union(lines.coalesce(1)).coalesce(1).write.mode("overwrite").option("lineSep", "\r\n").text(path)
 
 
 def write_by_source(df: DataFrame, path: str) -> None:
