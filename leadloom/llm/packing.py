@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import encode_words, ranges, read_table, sequence_number, slices, split_words, starts_of
+from .common import encode_words, materialize, ranges, read_table, sequence_number, slices, split_words, starts_of
 
 #: Distinct words whose ids a worker keeps.
 KEEP = 600_000
@@ -113,6 +113,7 @@ def number_sequences(cut_pieces: DataFrame, capacity: int = 2048, id_column: str
 
     Sequences of one length form a bucket; ``sequence_id`` is the gapless number
     in the bucket times the number of buckets, plus the bucket (log2 of length).
+    The input is read twice, so give it a stored table.
     """
     buckets = capacity.bit_length()
     numbered = sequence_number(cut_pieces, ["length"], [id_column, "start"], "_n")
@@ -122,13 +123,13 @@ def number_sequences(cut_pieces: DataFrame, capacity: int = 2048, id_column: str
 
 def pack(docs: DataFrame, path: str | None = None, end_id: int = 1, capacity: int = 2048) -> DataFrame:
     """Packed sequences with their ids: ``pieces`` and ``number_sequences`` in turn."""
-    return number_sequences(pieces(docs, path, end_id, capacity), capacity)
+    return number_sequences(materialize(pieces(docs, path, end_id, capacity), "pieces"), capacity)
 
 
 def digests(docs: DataFrame) -> DataFrame:
     """The packing of ``docs`` with a checksum in place of the ids, which then don't cross a shuffle."""
     cut_pieces = pieces(docs).withColumn("ids", F.crc32("ids")).withColumnRenamed("ids", "ids_crc32")
-    return number_sequences(cut_pieces).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+    return number_sequences(materialize(cut_pieces, "piece-digests")).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
