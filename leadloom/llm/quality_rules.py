@@ -201,13 +201,15 @@ def _score(rule: list[Condition], x: np.ndarray, bad: np.ndarray, names: list[st
     return (p - n) / max(1, p + n), p / max(1, p + n), p
 
 
-def learn(x: np.ndarray, bad: np.ndarray, names: list[str], precision: float = 0.95, least: int = 5, longest: int = 3, most: int = 12, seed: int = 1) -> list[Rule]:
+def learn(x: np.ndarray, bad: np.ndarray, names: list[str], precision: float = 0.95, least: int = 5, longest: int = 4, most: int = 12, seed: int = 1) -> list[Rule]:
     """The ordered rejecting rules for the rows marked ``bad``; none if there is nothing to learn."""
     rng = np.random.default_rng(seed)
     side = rng.random(len(x)) < 2 / 3
     gx, gb, px, pb = x[side], bad[side], x[~side], bad[~side]
     rules: list[Rule] = []
-    while len(rules) < most and gb.any() and pb.any():
+    for _ in range(2 * most):
+        if len(rules) == most or not gb.any() or not pb.any():
+            break
         grown = _grow(gx, gb, names, longest)
         fit = []  # shortened rules that are precise on both parts: score on the pruning part, length, rule
         for size in range(1, len(grown) + 1):
@@ -216,8 +218,12 @@ def learn(x: np.ndarray, bad: np.ndarray, names: list[str], precision: float = 0
             both = _score(rule, np.concatenate([gx, px]), np.concatenate([gb, pb]), names)
             if min(exact, both[1]) >= precision and cover >= least:
                 fit.append((score, -size, Rule(tuple(rule), both[1], both[2])))
-        if not fit:
-            break
+        if not fit:  # what it covers may not lead the next rule astray
+            gone = Rule(tuple(grown), 0, 0).holds(gx, names)
+            if not grown or not gone.any():
+                break
+            gx, gb = gx[~gone], gb[~gone]
+            continue
         rules.append(max(fit, key=lambda f: f[:2])[2])
         gone, gone_p = rules[-1].holds(gx, names), rules[-1].holds(px, names)
         gx, gb, px, pb = gx[~gone], gb[~gone], px[~gone_p], pb[~gone_p]
