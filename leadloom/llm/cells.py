@@ -22,19 +22,21 @@ BLOCK = 512
 
 
 def deal(rows: DataFrame, keys: list[str], member: str, block: int = BLOCK) -> DataFrame:
-    """``rows`` with ``cell`` (number within the bucket of ``keys``) and ``side`` (block of the member).
+    """``rows`` with ``cell`` (number within the bucket of ``keys``) and ``side``.
 
-    In a cell of one block all pairs count, in a cell of two those across.
+    In a cell of one block all pairs count and ``side`` is -1; in a cell of two
+    blocks it is the member's block, and the pairs across count.
     """
     large = materialize(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > block).select(*keys, F.ceil(F.col("_n") / block).cast("int").alias("_blocks")), "large-buckets")
     if large.isEmpty():
-        return rows.withColumns({"cell": F.lit(0).cast("long"), "side": F.lit(0)})
+        return rows.withColumns({"cell": F.lit(0).cast("long"), "side": F.lit(-1)})
     joined = rows.join(large, keys, "left").withColumn("_blocks", F.coalesce("_blocks", F.lit(1)))
     sided = joined.withColumn("side", F.pmod(F.xxhash64(member, F.lit(11)), F.col("_blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_other")
     pairs = sided.select("*", other)
     low, high = F.least("side", "_other"), F.greatest("side", "_other")
-    return pairs.withColumn("cell", (low.cast("long") * F.col("_blocks") + high).cast("long")).drop("_blocks", "_other")
+    celled = pairs.withColumn("cell", (low.cast("long") * F.col("_blocks") + high).cast("long"))
+    return celled.withColumn("side", F.when(F.col("side") == F.col("_other"), -1).otherwise(F.col("side"))).drop("_blocks", "_other")
 
 
 def gather(cells: DataFrame, keys: list[str]) -> DataFrame:
