@@ -23,6 +23,8 @@ from leadloom.functions.predicates import (
 from leadloom.functions.text import blank, clean_spaces, fold_text, join_full, normalize_phone, normalize_text, or_null, split_tokens, strip
 from leadloom.functions.urls import normalize_domain
 
+from .barrier import computed_once
+
 FIELDS = ["name", "website", "socials", "email", "phone", "locality", "district", "sources", "notes"]
 #: Header of the exchanged files, and the headers read as each field, first choice first.
 HEADER = {
@@ -135,7 +137,7 @@ def gate(df: DataFrame, lead_type: Column | str, geography: Column | str) -> Dat
 def candidates(leads: DataFrame, lead_type: Column | str, geography: Column | str) -> DataFrame:
     """Conformed rows with ``skip_reason`` and, for those that pass, ``cache_key``."""
     lead_type, geography = as_column(lead_type), as_column(geography)
-    gated = gate(conform(leads), lead_type, geography)
+    gated = computed_once(gate(computed_once(conform(leads)), lead_type, geography))
     key = F.concat_ws("|", merge_key(), normalize_text(lead_type), fold_text(geography))
     return gated.withColumn("cache_key", F.when(F.col("skip_reason").isNull(), key))
 
@@ -219,9 +221,9 @@ def merge_leads(df: DataFrame, by: Sequence[str] = (), key: str = "merge_key", s
 
 def approved_rows(found: DataFrame, verdicts: DataFrame | None = None, pending: bool = False) -> DataFrame:
     """Validated rows with verdicts, the reason in the notes of the approved, and ``merge_key``."""
-    judged = apply_verdicts(validate(found), verdicts, pending)
+    judged = apply_verdicts(computed_once(validate(found)), verdicts, pending)
     noted = judged.withColumn("notes", F.when(F.col("approved"), join_full(" | ", F.col("notes"), F.col("reason"))).otherwise(F.col("notes")))
-    return noted.withColumn("merge_key", F.when(F.col("approved") & ~F.col("pending"), merge_key()))
+    return computed_once(noted.withColumn("merge_key", F.when(F.col("approved") & ~F.col("pending"), merge_key())))
 
 
 def judged_rows(leads: DataFrame, lead_type: Column | str, geography: Column | str, by: Sequence[str] = (), verdicts: DataFrame | None = None, verdict_scope: str = "key", pending: bool = False) -> DataFrame:

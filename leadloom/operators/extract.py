@@ -9,6 +9,8 @@ from leadloom.functions.predicates import source_note
 from leadloom.functions.text import WS, blank, clean_spaces, decode_url, html_decode, join_full, or_null, strip, strip_tags
 from leadloom.functions.urls import is_google_maps, is_parsable, join_url, normalize_platform_name, url_host, url_path
 
+from .barrier import computed_once
+
 #: The patterns by which values are found.
 EMAIL = r"(?i)[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}"
 MAILTO = r"(?i)mailto:([^\"'>\s]+)"
@@ -99,10 +101,13 @@ def extract_leads(pages: DataFrame, geography: Column | str, source_type: Column
         *[c for c in taken.columns if c != "_ld"],
         *[variant_text(ld, path).alias(f"_ld_{name}") for name, path in (("name", "$.name"), ("url", "$.url"), ("phone", "$.telephone"), ("locality", "$.address.addressLocality"), ("region", "$.address.addressRegion"))],
     )
-    site = strip(F.coalesce(or_null(F.col("_ld_url")), or_null(F.col("_canonical")), F.col("url")))
+    # one step per value that is used more than once, so that it is computed once
+    known = known.withColumns({"_site": strip(F.coalesce(or_null(F.col("_ld_url")), or_null(F.col("_canonical")), F.col("url"))), "_name": clean_spaces(F.coalesce(or_null(F.col("_ld_name")), or_null(F.col("_og_title")), F.col("_title")))})
+    site = F.col("_site")
     known = known.withColumn("_site", F.when(is_parsable(site) & ~is_google_maps(site), site).otherwise(""))
-    first_name = clean_spaces(F.coalesce(or_null(F.col("_ld_name")), or_null(F.col("_og_title")), F.col("_title")))
-    named = normalize_platform_name(first_name, F.coalesce(or_null(F.col("_site")), F.col("url")))
+    known = known.withColumn("_link", F.coalesce(or_null(F.col("_site")), F.col("url")))
+    known = known.withColumn("_named", normalize_platform_name(F.col("_name"), F.col("_link")))
+    named = F.col("_named")
     listed = F.array_distinct(F.filter(F.array(F.col("url"), F.col("_canonical"), F.substring("_description", 1, 120)), lambda x: x != ""))
     wide = F.lower("_place").contains("portugal")
     return known.select(
@@ -142,7 +147,7 @@ def extract_listing_cards(pages: DataFrame, geography: Column | str, source_type
         strip(html_decode(_first(block, r"(?i)<strong>\s*Morada:\s*</strong>\s*([^<]+)"))).alias("_address"),
     )
     empty = F.lit("")
-    return parts.where("_href <> '' and name <> '' and phone <> ''").select(
+    return computed_once(parts).where("_href <> '' and name <> '' and phone <> ''").select(
         *rest, "card", "name", join_url(F.col("url"), F.col("_href")).alias("website"), empty.alias("socials"), empty.alias("email"), "phone",
         F.col("_place").alias("locality"), F.col("_place").alias("district"), F.col("url").alias("sources"),
         join_full(" | ", F.col("_note"), F.lit(CARD_NOTE), F.concat(F.lit("Morada: "), or_null(F.col("_address")))).alias("notes"),
@@ -154,7 +159,7 @@ def extract_rows(pages: DataFrame, geography: Column | str, source_type: Column
     cards = extract_listing_cards(pages, geography, source_type)
     others = pages.join(cards.select(key).distinct(), key, "left_anti") if key in pages.columns else pages
     generic = extract_leads(others, geography, source_type).withColumn("card", F.lit(0))
-    return cards.unionByName(generic).where("name <> ''")
+    return cards.unionByName(computed_once(generic).where("name <> ''"))
 
 
 def visible_words(html: Column) -> Column:
