@@ -16,6 +16,9 @@ NOISE = [
 ]
 NOISE_STARTS = [("Reading prompt from stdin", "A receber o briefing"), ("SUCCESS: The process", "Processo anterior encerrado")]
 APPROVED, REJECTED = "Aprovada pela IA.", "Rejeitada pela IA."
+PROMPT_HEAD = "Check whether this business contact fits the request. Answer with JSON only:"
+PROMPT_SHAPE = '{"approved":true|false,"reason":"","issues":[""],"normalized":{}}'
+PROMPT_RULE = "Approve a real business of that type and place with a public phone or e-mail; reject portals, categories and platforms. Don't invent data."
 INCONCLUSIVE = "Validador AI inconclusivo; validação local aplicada."
 
 
@@ -107,15 +110,14 @@ def to_verdict(payload: Column) -> Column:
 
 def review_prompt(lead_type: Column, geography: Column, source: Column, row: Column) -> Column:
     """A prompt for offline review of one row: what is asked for, the form of the answer and the row as JSON."""
-    shape = '{"approved":true|false,"reason":"","issues":[""],"normalized":{}}'
     return F.concat_ws(
         "\n",
-        F.lit("Check whether this business contact fits the request. Answer with JSON only:"),
-        F.lit(shape),
+        F.lit(PROMPT_HEAD),
+        F.lit(PROMPT_SHAPE),
         F.concat(F.lit("Requested business type: "), blank(lead_type)),
         F.concat(F.lit("Requested geography: "), blank(geography)),
         F.concat(F.lit("Source context: "), F.coalesce(or_null(blank(source)), F.lit("unknown"))),
-        F.lit("Approve a real business of that type and place with a public phone or e-mail; reject portals, categories and platforms. Don't invent data."),
+        F.lit(PROMPT_RULE),
         F.lit("Lead JSON:"),
         F.to_json(row, {"pretty": "true"}),
     )

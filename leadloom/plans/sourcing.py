@@ -424,6 +424,7 @@ SELECT run_id, key, name, website, socials, email, phone, locality, district, 'h
     "parse_reviews": f"""SELECT c_custkey AS id, c_custkey % 6 <> 5 AS approved, CASE c_custkey % 6 WHEN 0 THEN 'ok ' || c_custkey WHEN 2 THEN '{R.APPROVED}' WHEN 5 THEN '{R.REJECTED}' ELSE '{R.INCONCLUSIVE}' END AS reason,
   '' AS issues, CASE WHEN c_custkey % 6 = 2 THEN 'N' || c_custkey ELSE '' END AS name FROM customer""",
     "log_messages": "SELECT event_id, CASE event_id % 7 WHEN 0 THEN 'Codex a pensar' WHEN 1 THEN 'Pesquisa concluída: q' || user_id WHEN 3 THEN 'A receber o briefing' WHEN 4 THEN 'falhou' WHEN 5 THEN 'olá mundo ' || user_id WHEN 6 THEN '{broken ' || user_id END AS message FROM events",
+    "review_prompts": f"""WITH {RAW} SELECT row_no, concat_ws(chr(10), '{R.PROMPT_HEAD}', '{R.PROMPT_SHAPE}', 'Requested business type: barbearia', 'Requested geography: ' || district, 'Source context: ' || profile, '{R.PROMPT_RULE.replace("'", "''")}', 'Lead JSON:', '{{', '  "name" : "' || name || '"', '}}') AS prompt FROM raw_leads""",
     "error_classes": "SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'motor bloqueou temporariamente (429)' WHEN 1 THEN 'motor sem acesso publico (403)' ELSE 'HTTP 500' END AS message, event_id % 3 = 0 AS temporary FROM events",
     "last_events": "SELECT user_id AS run_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC)::INT AS rank FROM events QUALIFY rank <= 30",
     "progress_changes": "SELECT user_id AS run_id, event_id AS tick, event_type FROM events QUALIFY lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) IS DISTINCT FROM event_type",
