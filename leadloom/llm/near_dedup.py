@@ -7,9 +7,11 @@ Bands of register values make buckets; members of a bucket are compared by the
 joint likelihood of their registers given both set sizes; what that leaves is
 verified on the full sets.
 
-Verification goes in two rounds, so that a large group of near copies doesn't
-turn into all its pairs: first each document with its most similar partners,
-then, after the components of those links, every pair that is still apart.
+Verification is by region.  The pairs that the registers leave are reduced to a
+spanning part in each bucket, whose components are regions; the documents of a
+region meet, block by block, with their full sets, and a pair is verified unless
+verified links already connect it.  So a large group of near copies gives about
+as many rows as it has documents, and no pair is lost.
 """
 
 from __future__ import annotations
@@ -26,6 +28,7 @@ from pyspark.sql import functions as F
 from .cells import deal, gather, groups
 from .common import encode_words, materialize, mix64, read_table, slices, split_words, starts_of
 from .components import components
+from .embedding_dedup import union_roots
 
 #: Base of the registers' spacing; truncation at 65,534.
 BASE, TOP = 1.02, 65534
@@ -33,8 +36,8 @@ BASE, TOP = 1.02, 65534
 BANDS, ROWS = 32, 4
 #: Standard errors of the estimate by which a pair may lie below the threshold and still be verified.
 MARGIN = 3.5
-#: Partners that a document is verified with in the first round.
-PARTNERS = 4
+#: Documents of a region that meet in one block.
+REGION_BLOCK = 256
 
 
 def shingles(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -123,60 +126,83 @@ def likelihood_similarity(higher: np.ndarray, lower: np.ndarray, m: int, n_a: np
     return (lo + hi) / 2
 
 
-def candidates(group: pa.RecordBatch, threshold: float, m: int, rows: int) -> tuple[np.ndarray, ...]:
-    """Pairs (positions) of a cell whose estimate reaches the threshold less the margin, and the estimates.
+def equal_registers(regs: np.ndarray, part: slice) -> np.ndarray:
+    """Number of equal registers of the rows of ``part`` with all rows."""
+    if len(regs) <= 48:
+        return (regs[part, None, :] == regs[None, :, :]).sum(2)
+    out = np.zeros((len(range(*part.indices(len(regs)))), len(regs)), np.int16)
+    for r in np.ascontiguousarray(regs.T):
+        out += r[part, None] == r[None, :]
+    return out
 
-    A pair counts in its first band only; with components given, only across them.
-    """
-    n = group.num_rows
-    regs = np.frombuffer(b"".join(group.column("regs").to_pylist()), "<u2").reshape(n, m)
-    size = group.column("n").to_numpy(zero_copy_only=False).astype(np.float64)
-    side = group.column("side").to_numpy(zero_copy_only=False)
-    band = group.column("band")[0].as_py()
-    apart = group.column("component").to_numpy(zero_copy_only=False) if "component" in group.schema.names else None
-    least = threshold - MARGIN * np.sqrt(threshold * (1 - threshold) / m)
-    two = len(np.unique(side)) > 1
-    columns = np.ascontiguousarray(regs.T)
-    out_a, out_b, out_e = [], [], []
-    for at in range(0, n, 128):
-        part = slice(at, min(n, at + 128))
-        equal = np.zeros((part.stop - part.start, n), np.int16)
-        for r in columns:
-            equal += r[part, None] == r[None, :]
-        near = (equal >= 0.9 * least * m) & (np.arange(n)[None, :] > np.arange(part.start, part.stop)[:, None])
-        near &= np.minimum(size[part, None], size[None, :]) >= threshold * np.maximum(size[part, None], size[None, :])
-        if two:
-            near &= side[part, None] != side[None, :]
-        if apart is not None:
-            near &= apart[part, None] != apart[None, :]
-        a, b = np.nonzero(near)
-        a += at
-        for k in range(0, len(a), 20_000):
-            x, y = a[k : k + 20_000], b[k : k + 20_000]
-            if band:
-                new = ~(regs[x, : band * rows] == regs[y, : band * rows]).reshape(len(x), band, rows).all(2).any(1)
-                x, y = x[new], y[new]
-            higher, lower = (regs[x] > regs[y]).sum(1), (regs[x] < regs[y]).sum(1)
-            e = likelihood_similarity(higher, lower, m, size[x], size[y])
-            good = e >= least
-            out_a.append(x[good])
-            out_b.append(y[good])
-            out_e.append(e[good])
-    if not out_a:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-    return np.concatenate(out_a), np.concatenate(out_b), np.concatenate(out_e)
-
-
-def best_partners(a: np.ndarray, b: np.ndarray, e: np.ndarray, most: int) -> np.ndarray:
-    """Which pairs are among the ``most`` likeliest of one of their two."""
-    node = np.concatenate([a, b])
-    pair = np.tile(np.arange(len(a)), 2)
-    order = np.lexsort((pair, -np.tile(e, 2), node))
-    node = node[order]
-    first = np.searchsorted(node, node)
-    keep = np.zeros(len(a), bool)
-    keep[pair[order[np.arange(len(node)) - first < most]]] = True
-    return keep
+
+class Sketched:
+    """Members of a cell with their registers and set sizes."""
+
+    def __init__(self, group: pa.RecordBatch, m: int, threshold: float):
+        self.ids = group.column("rep").to_numpy(zero_copy_only=False)
+        self.regs = np.frombuffer(b"".join(group.column("regs").to_pylist()), "<u2").reshape(len(self.ids), m)
+        self.size = group.column("n").to_numpy(zero_copy_only=False).astype(np.float64)
+        self.side = group.column("side").to_numpy(zero_copy_only=False)
+        self.m, self.threshold = m, threshold
+        self.two = bool(self.side[0] >= 0)
+        self.least = threshold - MARGIN * np.sqrt(threshold * (1 - threshold) / m)
+
+    def near(self, label: np.ndarray, step: int = 128) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Pairs with different labels whose estimate reaches the threshold less the margin, likeliest first, by blocks.
+
+        Labels may change between blocks.
+        """
+        n = len(self.ids)
+        for at in range(0, n, step):
+            part = slice(at, min(n, at + step))
+            near = equal_registers(self.regs, part) >= 0.9 * self.least * self.m
+            near &= np.arange(n)[None, :] > np.arange(part.start, part.stop)[:, None]
+            near &= np.minimum(self.size[part, None], self.size[None, :]) >= self.threshold * np.maximum(self.size[part, None], self.size[None, :])
+            near &= label[part, None] != label[None, :]
+            if self.two:
+                near &= self.side[part, None] != self.side[None, :]
+            a, b = np.nonzero(near)
+            if not len(a):
+                continue
+            a += at
+            e = np.concatenate([self.estimate(a[k : k + 20_000], b[k : k + 20_000]) for k in range(0, len(a), 20_000)])
+            order = np.argsort(-e, kind="stable")
+            order = order[e[order] >= self.least]
+            if len(order):
+                yield a[order], b[order], e[order]
+
+    def estimate(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        x, y = self.regs[a], self.regs[b]
+        return likelihood_similarity((x > y).sum(1), (x < y).sum(1), self.m, self.size[a], self.size[b])
+
+    def spanning(self) -> np.ndarray:
+        """The smallest position that each member reaches by pairs the registers leave."""
+        label = np.arange(len(self.ids))
+        for a, b, _ in self.near(label):
+            label[:] = union_roots(len(label), np.concatenate([np.arange(len(label)), a]), np.concatenate([label, b]))
+        return label
+
+    def verified(self, keys: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+        """Links that full sets confirm, but for pairs that such links connect already."""
+        label = np.arange(len(self.ids))
+        out_a, out_b = [], []
+        for a, b, _ in self.near(label):
+            for i, j in zip(a.tolist(), b.tolist(), strict=True):
+                if label[i] != label[j] and similar(keys[i], keys[j], percent):
+                    low, high = sorted((label[i], label[j]))
+                    label[label == high] = low
+                    out_a.append(i)
+                    out_b.append(j)
+        return np.array(out_a, np.int64), np.array(out_b, np.int64)
+
+
+def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether sorted sets have a Jaccard similarity of ``percent`` ten-thousandths or more."""
+    if len(x) > len(y):
+        x, y = y, x
+    common = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+    return 10_000 * common >= percent * (len(x) + len(y) - common)
 
 
 _EXPLODED = ["band", "bucket"]
@@ -215,28 +241,6 @@ def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(work, "id long, keys binary")
 
 
-def verify(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
-    percent = round(threshold * 10_000)
-    left = sets.select(F.col("id").alias("a"), F.col("keys").alias("ka"))
-    right = sets.select(F.col("id").alias("b"), F.col("keys").alias("kb"))
-    both = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "ka", "kb")
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = np.zeros(batch.num_rows, bool)
-            for i, (x, y) in enumerate(zip(batch.column("ka"), batch.column("kb"), strict=True)):
-                x, y = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
-                if len(x) > len(y):
-                    x, y = y, x
-                common = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
-                good[i] = 10_000 * common >= percent * (len(x) + len(y) - common)
-            mask = pa.array(good)
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], ["a", "b"])
-
-    return both.mapInArrow(work, "a long, b long")
-
-
 def near_documents(docs: DataFrame, width: int = 5, threshold: float = 0.8, bands: int = BANDS, rows: int = ROWS, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row per input row: the id, ``n_shingles``, ``component_id`` and ``kept``.
 
@@ -256,42 +260,33 @@ def near_documents(docs: DataFrame, width: int = 5, threshold: float = 0.8, band
     banded = nodes.select("rep", "regs", band).select("rep", "band", F.xxhash64(F.expr(f"substring(regs, band * {2 * rows} + 1, {2 * rows})")).alias("bucket"))
     shared = banded.groupBy(*_EXPLODED).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(*_EXPLODED)
     suspects = banded.join(shared, _EXPLODED, "left_semi").join(nodes, "rep")
-    keys = [*_EXPLODED, "cell"]
 
-    def first_round(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in groups(batches, keys):
-            a, b, e = candidates(group, threshold, m, rows)
-            if not len(a):
-                continue
-            ids = group.column("rep").to_numpy(zero_copy_only=False)
-            best = best_partners(a, b, e, PARTNERS)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[a[best]]), pa.array(ids[b[best]]), pa.array(e[best])], ["a", "b", "e"])
+    def plausible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in groups(batches, [*_EXPLODED, "cell"]):
+            cell = Sketched(group, m, threshold)
+            label = cell.spanning()
+            has = np.flatnonzero(label != np.arange(len(label)))
+            if len(has):
+                yield pa.RecordBatch.from_arrays([pa.array(cell.ids[has]), pa.array(cell.ids[label[has]])], ["a", "b"])
 
     cells = gather(deal(suspects, _EXPLODED, "rep"), _EXPLODED)
-    found = materialize(cells.mapInArrow(first_round, "a long, b long, e double"), "near-pairs")
-    ends = found.select(F.col("a").alias("id")).union(found.select(F.col("b").alias("id"))).distinct()
-    ends = materialize(ends, "near-ids")
-    texts = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text")).join(ends, "id", "left_semi")
+    regions = components(materialize(cells.mapInArrow(plausible, "a long, b long"), "near-pairs"))
+    regions = regions.select(F.col("node").alias("id"), F.col("component").alias("region"))
+    texts = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text")).join(regions.select("id"), "id", "left_semi")
     sets = materialize(shingle_sets(texts, width).groupBy("id").agg(F.first("keys").alias("keys")), "shingle-sets")
-    links = materialize(verify(found.select("a", "b").distinct(), sets, threshold), "near-links")
-    grouped = components(links)
-
-    # second round: what is near and still apart
-    labelled = suspects.join(ends.withColumnRenamed("id", "rep"), "rep", "left_semi").join(grouped.withColumnRenamed("node", "rep"), "rep", "left")
-    labelled = labelled.withColumn("component", F.coalesce("component", "rep"))
-    tested = found.select(F.col("a"), F.col("b")).distinct()
+    members = regions.join(sets, "id").select(F.col("id").alias("rep"), "region", "keys").join(nodes, "rep")
+    percent = round(threshold * 10_000)
 
-    def second_round(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in groups(batches, keys):
-            a, b, _ = candidates(group, threshold, m, rows)
+    def confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in groups(batches, ["region", "cell"]):
+            cell = Sketched(group, m, threshold)
+            a, b = cell.verified([np.frombuffer(k.as_buffer(), "<u8") for k in group.column("keys")], percent)
             if len(a):
-                ids = group.column("rep").to_numpy(zero_copy_only=False)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b])], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(cell.ids[a]), pa.array(cell.ids[b])], ["a", "b"])
 
-    rest = gather(deal(labelled, _EXPLODED, "rep"), _EXPLODED).mapInArrow(second_round, "a long, b long")
-    rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).join(tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    more = materialize(verify(rest, sets, threshold), "near-links")
-    roots = components(links.unionByName(more)).withColumnRenamed("node", "rep")
+    dealt = gather(deal(members, ["region"], "rep", REGION_BLOCK), ["region"])
+    links = materialize(dealt.mapInArrow(confirmed, "a long, b long"), "near-links")
+    roots = components(links).withColumnRenamed("node", "rep")
 
     told = materialize(classes.select("n", "d1", "d2", "rep").join(roots, "rep", "left").select("n", "d1", "d2", F.coalesce("component", "rep").alias("component")), "near-told")
     out = sketched.select("id", "n", "d1", "d2").join(told, ["n", "d1", "d2"], "left")
