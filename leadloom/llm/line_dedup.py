@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import materialize, read_table
 
 #: log2 of the sketch's buckets; the relative standard error is about 1.04 / sqrt(2 ** K).
 K = 10
@@ -33,12 +33,14 @@ def boilerplate(lines: DataFrame, min_sites: int, sites_column: str = "site") ->
     """Keys (``h``, ``g``) of the lines on at least ``min_sites`` distinct sites; ``lines`` has h, g and the site."""
     site = F.col(sites_column)
     sketched = lines.groupBy("h", "g").agg(F.hll_sketch_agg(site, K).alias("s"), F.count(site).alias("n"))
-    estimated = sketched.where(F.col("n") >= min_sites).select("h", "g", F.hll_sketch_estimate("s").alias("sites"))
     low, high = min_sites * (1 - BAND), min_sites * (1 + BAND)
+    estimated = sketched.where(F.col("n") >= min_sites).select("h", "g", F.hll_sketch_estimate("s").alias("sites"))
+    # few lines reach the threshold: as a table of known size they are broadcast if small, and a hot line's join can be split if not
+    estimated = materialize(estimated.where(F.col("sites") >= low), "line-estimates")
     sure = estimated.where(F.col("sites") > high).select("h", "g")
     near = estimated.where((F.col("sites") >= low) & (F.col("sites") <= high)).select("h", "g")
     exact = lines.join(near, ["h", "g"], "left_semi").distinct().groupBy("h", "g").agg(F.count(site).alias("sites"))
-    return sure.unionByName(exact.where(F.col("sites") >= min_sites).select("h", "g"))
+    return materialize(sure.unionByName(exact.where(F.col("sites") >= min_sites).select("h", "g")), "boilerplate")
 
 
 def dedup_lines(docs: DataFrame, min_sites: int = 10, id_column: str = "doc_id", text_column: str = "text", site_column: str = "source") -> DataFrame:
