@@ -62,21 +62,25 @@ def compare(group: pa.RecordBatch, threshold: float, bits: int, tables: int) ->
     ids, side, copies = ids[order], side[order], copies[order]
     x = np.frombuffer(b"".join(group.column("vector").take(pa.array(order)).to_pylist()), "<f8").reshape(len(ids), -1)
     x = x / np.linalg.norm(x / np.abs(x).max(1, keepdims=True), axis=1, keepdims=True) / np.abs(x).max(1, keepdims=True)
-    near = np.triu(x @ x.T >= threshold, 1)
-    if side[0] >= 0:
-        near &= side[:, None] != side[None, :]
-    a, b = np.nonzero(near)
-    if len(a) and table:
-        buckets = signatures(x, bits, tables)[:, :table]
-        new = np.ones(len(a), bool)
-        for at in range(0, len(a), 100_000):
-            part = slice(at, at + 100_000)
-            new[part] = ~(buckets[a[part]] == buckets[b[part]]).any(1)
-        a, b = a[new], b[new]
-    links = np.bincount(a, copies[b], len(ids)) + np.bincount(b, copies[a], len(ids))
-    roots = union_roots(len(ids), a, b)
+    buckets = signatures(x, bits, tables)[:, :table]
+    links, roots = np.zeros(len(ids), np.int64), np.arange(len(ids))
+    for at in range(0, len(ids), 64):
+        near = x[at : at + 64] @ x.T >= threshold
+        near &= np.arange(len(ids))[None, :] > np.arange(at, at + len(near))[:, None]
+        if side[0] >= 0:
+            near &= side[at : at + 64, None] != side[None, :]
+        rows, others = np.nonzero(near)
+        for k in range(0, len(rows), 20_000):
+            a, b = rows[k : k + 20_000] + at, others[k : k + 20_000]
+            if table:
+                new = ~(buckets[a] == buckets[b]).any(1)
+                a, b = a[new], b[new]
+            np.add.at(links, a, copies[b])
+            np.add.at(links, b, copies[a])
+            if (roots[a] != roots[b]).any():
+                roots = union_roots(len(ids), np.concatenate([np.arange(len(ids)), a]), np.concatenate([roots, b]))
     has = np.flatnonzero(links)
-    return ids[has], links[has].astype(np.int64), ids[roots[has]]
+    return ids[has], links[has], ids[roots[has]]
 
 
 def near_vectors(vectors: DataFrame, threshold: float = 0.95, bits: int = BITS, tables: int = TABLES, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
