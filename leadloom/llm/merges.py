@@ -13,7 +13,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 #: Compiled pair checks that a worker keeps.
-KEEP = 400_000
+KEEP = 200_000
 
 
 class PairTransducer:

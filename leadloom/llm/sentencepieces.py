@@ -32,7 +32,7 @@ SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, BYTE, UNUSED = 1, 2, 3, 4, 6, 5
 UNIGRAM, MERGES = 1, 2
 #: Distinct words whose ids a worker keeps.
-KEEP = 600_000
+KEEP = 300_000
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:

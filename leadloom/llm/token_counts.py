@@ -28,7 +28,7 @@ from .merges import PairTransducer
 #: Characters that one chunk map sums up.
 CHUNK = 64
 #: Distinct pre-tokens whose counts a worker keeps.
-KEEP = 600_000
+KEEP = 400_000
 
 # Classes of characters.
 END, SPACE, WHITE, QUOTE, SINGLE, R, V, L, E, LETTER, NUMBER, OTHER = range(12)
