@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one Python worker turns into arrays at a time.
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 2_500_000
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
