@@ -162,7 +162,7 @@ def q_seed_urls(spark, sf):
 
 
 def q_provider_urls(spark, sf):
-    queries = N.build_queries(requests_table(spark, sf)).where("query_ord <= 2")
+    queries = N.build_queries(requests_table(spark, sf))
     return N.provider_search_urls(queries).select("run_id", "profile", "query_ord", "provider_ord", "provider", "search_url")
 
 
@@ -406,7 +406,7 @@ UNION ALL SELECT page_id + 1000000000, 0, coalesce(ld->>'$.name', title), coales
   CASE WHEN NOT regexp_matches(lower(lead_type), 'talh|carn') THEN [] ELSE ['{_PAI}talhos{_IN}' || {_ENC.format(x="coalesce(nullif(geography, ''), 'Portugal')")}, '{_PAI}talho{_IN}' || {_ENC.format(x="coalesce(nullif(geography, ''), 'Portugal')")}] END,
   CASE WHEN regexp_matches(lower(lead_type), 'talh|carn') AND geography = 'Portugal' THEN list_transform({_list(N.DISTRICTS)}, lambda d: '{_PAI}talhos{_IN}' || {_ENC.format(x='d')}) ELSE [] END) AS l FROM requests)
 SELECT run_id, unnest(l) AS url, (generate_subscripts(l, 1) - 1)::INT AS position FROM s""",
-    "provider_urls": f"WITH {_QUERIES}, l AS (SELECT *, {_PROVIDER_LIST} AS ps FROM queries WHERE query_ord <= 2), u AS (SELECT run_id, profile, query, query_ord, unnest(ps) AS provider, (generate_subscripts(ps, 1) - 1)::INT AS provider_ord FROM l) SELECT run_id, profile, query_ord, provider_ord, provider, {_PROVIDER_URL} AS search_url FROM u",
+    "provider_urls": f"WITH {_QUERIES}, l AS (SELECT *, {_PROVIDER_LIST} AS ps FROM queries), u AS (SELECT run_id, profile, query, query_ord, unnest(ps) AS provider, (generate_subscripts(ps, 1) - 1)::INT AS provider_ord FROM l) SELECT run_id, profile, query_ord, provider_ord, provider, {_PROVIDER_URL} AS search_url FROM u",
     "serp_urls": f"WITH {_LINKS} SELECT run_id, query, provider_ord, place::INT AS place, url FROM links",
     "frontier_topk": f"WITH {_LINKS} SELECT run_id, query, rank::INT AS rank, url FROM top",
     "frontier_first_seen": f"WITH {_LINKS} SELECT run_id, url, (s // 1000)::INT AS query_ord, (s % 1000)::INT AS rank FROM seen",
