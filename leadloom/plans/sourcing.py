@@ -172,11 +172,11 @@ def q_serp_urls(spark, sf):
 
 
 def q_frontier_topk(spark, sf):
-    return N.frontier_topk(N.result_urls(results_table(spark, sf)), 3).select("run_id", "query", "rank", "url")
+    return N.frontier_topk(N.result_urls(results_table(spark, sf))).select("run_id", "query", "rank", "url")
 
 
 def q_frontier_first_seen(spark, sf):
-    return N.frontier_first_seen(N.frontier_topk(N.result_urls(results_table(spark, sf)), 3)).select("run_id", "url", "query_ord", "rank")
+    return N.frontier_first_seen(N.frontier_topk(N.result_urls(results_table(spark, sf)))).select("run_id", "url", "query_ord", "rank")
 
 
 def q_queries_without_results(spark, sf):
@@ -186,13 +186,13 @@ def q_queries_without_results(spark, sf):
 
 
 def q_unvisited_urls(spark, sf):
-    top = N.frontier_first_seen(N.frontier_topk(N.result_urls(results_table(spark, sf)), 3))
+    top = N.frontier_first_seen(N.frontier_topk(N.result_urls(results_table(spark, sf))))
     return N.unvisited(top, top.where("query_ord = 0")).select("run_id", "url")
 
 
 def q_fetch_blockers(spark, sf):
     pages = html_pages(spark, sf).select(F.regexp_replace(F.regexp_replace("url", "www[.]", ""), "/$", "/a").alias("url"), "html")
-    _, missing = N.fetch(N.frontier_first_seen(N.frontier_topk(N.result_urls(results_table(spark, sf)), 3)), pages)
+    _, missing = N.fetch(N.frontier_first_seen(N.frontier_topk(N.result_urls(results_table(spark, sf)))), pages)
     return missing.select("run_id", "blocker")
 
 
@@ -344,7 +344,7 @@ _LINKS = f"""{_RES}, raw AS (
     ELSE list_filter(regexp_extract_all(html, '(?i)<a[^>]+href="(https?://[^"]+)"', 1), lambda x: NOT contains(x, 'mojeek')) END AS l)) u
 ), links AS (SELECT run_id, query, query_ord, provider_ord, place, raw AS url FROM raw WHERE NOT contains(raw, 'bing.com/search')),
 once AS (SELECT run_id, query, query_ord, lower(url) AS low, min(provider_ord * 1000 + place) AS pos, arg_min(url, provider_ord * 1000 + place) AS url FROM links GROUP BY ALL),
-top AS (SELECT *, row_number() OVER (PARTITION BY run_id, query ORDER BY pos) AS rank FROM once QUALIFY rank <= 3),
+top AS (SELECT *, row_number() OVER (PARTITION BY run_id, query ORDER BY pos) AS rank FROM once QUALIFY rank <= 18),
 seen AS (SELECT run_id, url, min(query_ord * 1000 + rank) AS s FROM top GROUP BY ALL)"""
 _LINKS = _LINKS.replace("query_ord, lower(url) AS low, min(provider_ord * 1000 + place) AS pos, arg_min(url, provider_ord * 1000 + place) AS url FROM links GROUP BY ALL", "query_ord, lower(url) AS low, min(provider_ord * 1000 + place) AS pos, arg_min(url, provider_ord * 1000 + place) AS url FROM links GROUP BY run_id, query, query_ord, lower(url)")
 _REQ = f"requests AS ({REQUESTS})"

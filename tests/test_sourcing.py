@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 import __spark_entry__
+from leadloom.operators import frontier as N
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -15,3 +16,23 @@ def test_addresses_of_every_query(spark):
     counts = {"directories": (3 * 3 * 22 + 3 * 6, 7), "web": (3 * 3 * 6, 7), "maps": (3 * 3 * 7 + 3 * 2, 6), "social": (3 * 3 * 5 + 3 * 2, 6), "free": (3 * 3 * 22 + 3 * 3, 7)}
     assert {p: found["run0", p] for p in counts} == {p: (n * providers, n) for p, (n, providers) in counts.items()}
     assert {(r.run_id, r.profile, r.query_ord) for r in urls.select("run_id", "profile", "query_ord").distinct().collect()} == {(r.run_id, r.profile, r.query_ord) for r in queries["build_queries"](spark, SF_DIR).collect()}
+
+
+def test_links_past_the_third(spark, tmp_path):
+    # one query, q0 of run4: 25 pages of google with a link of their own each, and the shops' page that all share
+    spark.range(0, 25).selectExpr("id * 15 AS s_suppkey", "4L AS s_nationkey").write.parquet(f"{tmp_path}/supplier.parquet")
+    queries = __spark_entry__.queries()
+    shops = [f"https://loja{n}.example.pt/a" for n in (0, 15, 30, 5, 20, 35, 10, 25)]
+    others = [f"https://b{n}.example.pt/p" for n in (0, 1, 2, 3, 4, 5, 6)]
+    links = []
+    for i in range(8):
+        links += [shops[i], *([others[i]] if i < 7 else [])]
+    top = {r.rank: r.url for r in queries["frontier_topk"](spark, str(tmp_path)).collect()}
+    assert top == dict(enumerate(links, 1))
+    assert {r.url for r in queries["frontier_first_seen"](spark, str(tmp_path)).collect()} == set(links)
+
+
+def test_smaller_and_default_top(spark):
+    urls = spark.createDataFrame([("r", "web", "q", 0, (0, i), f"https://x{i}.pt/") for i in range(25)], "run_id string, profile string, query string, query_ord int, position struct<provider_ord: int, place: int>, url string")
+    assert sorted(r["rank"] for r in N.frontier_topk(urls).collect()) == list(range(1, 19))
+    assert sorted((r["rank"], r.url) for r in N.frontier_topk(urls, 3).collect()) == [(i + 1, f"https://x{i}.pt/") for i in range(3)]
