@@ -33,11 +33,12 @@ def derived(sql: str, *names: str) -> Callable[[SparkSession, str], DataFrame]:
 
 # --- input tables derived from the star schema, in SQL for both engines ------
 
+#: One request per supplier; a quarter asks for the whole country, a quarter for one place.
 REQUESTS = """
-SELECT concat('run', n_nationkey) AS run_id,
-  CASE n_nationkey % 6 WHEN 0 THEN 'Barbearias' WHEN 1 THEN 'talhos' WHEN 2 THEN 'HACCP' WHEN 3 THEN 'cozinha regional' WHEN 4 THEN n_name ELSE '' END AS lead_type,
-  CASE n_nationkey % 4 WHEN 0 THEN 'Portugal' WHEN 1 THEN 'Bragança' WHEN 2 THEN '' ELSE n_name END AS geography
-FROM nation
+SELECT concat('run', s_suppkey) AS run_id,
+  CASE s_suppkey % 6 WHEN 0 THEN 'Barbearias' WHEN 1 THEN 'talhos' WHEN 2 THEN 'HACCP' WHEN 3 THEN 'cozinha regional' WHEN 4 THEN n_name ELSE '' END AS lead_type,
+  CASE s_suppkey % 4 WHEN 0 THEN 'Portugal' WHEN 1 THEN 'Bragança' WHEN 2 THEN '' ELSE n_name END AS geography
+FROM supplier JOIN nation ON s_nationkey = n_nationkey
 """
 #: One result page per supplier: a redirect, a repeat in other case, an engine's own page and plain links.
 RESULTS = """
@@ -59,25 +60,28 @@ SELECT s_suppkey AS page_id, concat('https://ondecortar.pt/cidades/', lower(repl
     '<article class="card"><h3><a href="/salao/x">Sem telefone</a></h3></article><article class="card"><h3>Sem ligação</h3><a href="tel:1">t</a></article>') AS html
 FROM supplier JOIN nation ON s_nationkey = n_nationkey
 """
-#: Directory result pages of each nation: three pages, the last without a next link; every fourth search is empty on page 2.
-DIRECTORY = """
-SELECT concat('run', n_nationkey) AS run_id, CAST(p.page AS INT) AS page, concat('https://www.pai.pt/searches?n=', n_nationkey, '&page=', p.page) AS search_url,
-  concat('<div class="results-title"><b>Encontrámos 1', n_nationkey, ' resultados</b></div>',
-    CASE WHEN n_nationkey % 4 = 1 AND p.page = 2 THEN '' ELSE concat(
+#: A directory search per supplier; every fifth is for the same place and finds the same business.
+SEARCHES = "SELECT s_suppkey AS s, CASE WHEN s_suppkey % 5 = 0 THEN 0 ELSE s_suppkey END AS n, CASE WHEN s_suppkey % 5 = 0 THEN 'LISBOA' ELSE n_name END AS n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey"
+#: Result pages of each search: three pages, the last without a next link; every fourth search is empty on page 2.
+DIRECTORY = f"""
+SELECT concat('run', s) AS run_id, CAST(p.page AS INT) AS page, concat('https://www.pai.pt/searches?n=', s, '&page=', p.page) AS search_url,
+  concat('<div class="results-title"><b>Encontrámos 1', s, ' resultados</b></div>',
+    CASE WHEN s % 4 = 1 AND p.page = 2 THEN '' ELSE concat(
       '<div class="card card--result"><div class="card-metadata">Talho</div>sem ligação</div>',
-      '<div class="card card--result x"><h6 class="card-title"><a href="/ms/', n_nationkey, '-', p.page, '">Talho <b>', n_name, '</b> ', p.page % 2, '</a></h6><div class="card-metadata">Talhos e carnes</div><p class="card-description">Carne  fresca</p><div class="card-address">Rua A, ', n_name, '</div><button title="Copiar número: 21', n_nationkey, '000">c</button></div>') END,
+      '<div class="card card--result x"><h6 class="card-title"><a href="/ms/', n, '-', p.page, '">Talho <b>', n_name, '</b> ', p.page % 2, '</a></h6><div class="card-metadata">Talhos e carnes</div><p class="card-description">Carne  fresca</p><div class="card-address">Rua A, ', n_name, '</div><button title="Copiar número: 21', n, '000">c</button></div>') END,
     CASE WHEN p.page < 3 THEN '<a rel="next" href="/n">next</a>' ELSE '' END) AS html
-FROM nation CROSS JOIN (SELECT 1 AS page UNION ALL SELECT 2 UNION ALL SELECT 3) p
+FROM ({SEARCHES}) CROSS JOIN (SELECT 1 AS page UNION ALL SELECT 2 UNION ALL SELECT 3) p
 """
-DETAILS = """
-SELECT concat('https://www.pai.pt/ms/', n_nationkey, '-', p.page) AS detail_url,
+#: Detail pages of each search; the shared business comes once for each search that found it.
+DETAILS = f"""
+SELECT concat('https://www.pai.pt/ms/', n, '-', p.page) AS detail_url,
   concat('<html><head><title>t</title><meta name="description" content="Talho em ', n_name, '">',
-    CASE WHEN n_nationkey % 3 = 0 THEN concat('<script type="application/ld+json">{"@type":"LocalBusiness","telephone":"21000', lpad(CAST(n_nationkey AS STRING), 4, '0'), '","address":{"streetAddress":"Rua A","addressLocality":"L', n_nationkey, '"}}</script>') ELSE '' END,
-    '</head><body><h1>Talho ', n_name, ' ', p.page % 2, '</h1><a href="https://www.facebook.com/sharer/x">s</a><a href="https://www.facebook.com/t', n_nationkey, '">f</a><a href="https://instagram.com/a">i</a>',
-    '<a href="https://t', n_nationkey, '.example.pt">Visitar <i>website</i></a>',
-    CASE WHEN n_nationkey % 2 = 0 THEN concat('<a href="mailto:t', n_nationkey, '@example.pt">m</a>') ELSE '' END,
+    CASE WHEN n % 3 = 0 THEN concat('<script type="application/ld+json">{{"@type":"LocalBusiness","telephone":"21000', lpad(CAST(n AS STRING), 4, '0'), '","address":{{"streetAddress":"Rua A","addressLocality":"L', n, '"}}}}</script>') ELSE '' END,
+    '</head><body><h1>Talho ', n_name, ' ', p.page % 2, '</h1><a href="https://www.facebook.com/sharer/x">s</a><a href="https://www.facebook.com/t', n, '">f</a><a href="https://instagram.com/a">i</a>',
+    '<a href="https://t', n, '.example.pt">Visitar <i>website</i></a>',
+    CASE WHEN n % 2 = 0 THEN concat('<a href="mailto:t', n, '@example.pt">m</a>') ELSE '' END,
     '<div class="info-directions">Rua A, ', n_name, ' , Portugal</div></body></html>') AS html
-FROM nation CROSS JOIN (SELECT 1 AS page UNION ALL SELECT 3) p
+FROM ({SEARCHES}) CROSS JOIN (SELECT 1 AS page UNION ALL SELECT 3) p
 """
 ANSWERS = """
 SELECT c_custkey AS id, CASE c_custkey % 6
@@ -95,11 +99,11 @@ SELECT event_id, CASE event_id % 7
 FROM events
 """
 
-requests_table = derived(REQUESTS, "nation")
+requests_table = derived(REQUESTS, "supplier", "nation")
 results_table = derived(RESULTS, "supplier")
 listings_table = derived(LISTINGS, "supplier", "nation")
-directory_table = derived(DIRECTORY, "nation")
-details_table = derived(DETAILS, "nation")
+directory_table = derived(DIRECTORY, "supplier", "nation")
+details_table = derived(DETAILS, "supplier", "nation")
 answers_table = derived(ANSWERS, "customer")
 logs_table = derived(LOGS, "events")
 
@@ -377,10 +381,10 @@ _IN = "&search%5Blocation%5D="
 _PROVIDER_LIST = f"CASE source_type WHEN 'maps' THEN {_list(N.PROVIDERS['maps'])} WHEN 'social' THEN {_list(N.PROVIDERS['social'])} WHEN 'directories' THEN {_list(N.PROVIDERS['directories'])} ELSE {_list(N.BROAD_PROVIDERS)} END"
 _PROVIDER_URL = "CASE provider " + " ".join(f"WHEN '{k}' THEN '{t.split('{}')[0]}' || {_ENC.format(x='query')} || '{t.split('{}')[1]}'" for k, t in N.PROVIDER_URLS.items()) + " END"
 _FORM_SQL = " || '&' || ".join("replace(url_encode('{k}'), '%20', '+') || '=' || ".format(k=k) + (f"replace(url_encode({v}), '%20', '+')" if v in ("query", "place") else f"replace(url_encode('{v}'), '%20', '+')") for k, v in D.SEARCH_PARAMETERS)
-# pages of a nation: 1..3, those of n % 4 = 1 end with their empty page 2
-_CARDS = "SELECT n_nationkey AS n, n_name, p.page FROM nation CROSS JOIN (SELECT unnest([1, 2, 3]) AS page) p WHERE NOT (n_nationkey % 4 = 1 AND page >= 2)"
+# pages of a search: 1..3, those of s % 4 = 1 end with their empty page 2
+_CARDS = f"SELECT s, n, n_name, p.page FROM ({SEARCHES}) CROSS JOIN (SELECT unnest([1, 2, 3]) AS page) p WHERE NOT (s % 4 = 1 AND page >= 2)"
 _FOUND = f"SELECT * FROM ({_CARDS}) WHERE page <> 2"
-_DETAIL = """SELECT 'https://www.pai.pt/ms/' || n || '-' || page AS detail_url, 'run' || n AS run_id, n, page, 'Talho ' || n_name || ' ' || page % 2 AS name, 'https://t' || n || '.example.pt' AS website,
+_DETAIL = """SELECT 'https://www.pai.pt/ms/' || n || '-' || page AS detail_url, n, page, 'Talho ' || n_name || ' ' || page % 2 AS name, 'https://t' || n || '.example.pt' AS website,
   'https://instagram.com/a | https://www.facebook.com/t' || n AS socials, CASE WHEN n % 2 = 0 THEN 't' || n || '@example.pt' ELSE '' END AS email, CASE WHEN n % 3 = 0 THEN '21000' || lpad(n::VARCHAR, 4, '0') ELSE '' END AS phone,
   CASE WHEN n % 3 = 0 THEN 'L' || n ELSE n_name END AS locality, CASE WHEN n % 3 = 0 THEN 'Rua A L' || n ELSE n_name END AS district, 'Meta descrição confirmada. | Deteção via Páginas Amarelas.' AS notes"""
 _ANSWERED = f"answers AS ({ANSWERS.replace(chr(92) * 2, chr(92)).replace(chr(92) + 'n', chr(10))})"
@@ -414,13 +418,13 @@ SELECT run_id, unnest(l) AS url, (generate_subscripts(l, 1) - 1)::INT AS positio
     "unvisited_urls": f"WITH {_LINKS} SELECT run_id, url FROM seen WHERE s // 1000 <> 0",
     "fetch_blockers": f"WITH {_LINKS}, have AS (SELECT 'https://loja' || s_suppkey || '.example.pt/a' AS url FROM supplier) SELECT run_id, url || ' -> Failed to fetch' AS blocker FROM seen ANTI JOIN have USING (url)",
     "directory_urls": f"WITH {_REQ}, a AS (SELECT run_id, lead_type AS query, geography AS place, unnest([1, 2, 3, 4, 5])::INT AS page FROM requests) SELECT run_id, page, 'https://www.pai.pt/searches?' || {_FORM_SQL} || CASE WHEN page <> 1 THEN '&page=' || page ELSE '' END AS search_url FROM a",
-    "page_stop": "SELECT 'run' || n_nationkey AS run_id, page::INT AS page, page < 3 AS has_next, CASE WHEN n_nationkey % 4 = 1 AND page = 2 THEN 0 ELSE 1 END::BIGINT AS n_cards, ('1' || n_nationkey)::BIGINT AS total_results FROM nation CROSS JOIN (SELECT unnest([1, 2, 3]) AS page) p WHERE NOT (n_nationkey % 4 = 1 AND page = 3)",
-    "first_total": "SELECT 'run' || n_nationkey AS run_id, ('1' || n_nationkey)::BIGINT AS total_results, CASE WHEN n_nationkey % 4 = 1 THEN 1 ELSE 3 END::BIGINT AS n_cards FROM nation",
-    "directory_cards": f"SELECT 'run' || n AS run_id, 'https://www.pai.pt/searches?n=' || n || '&page=' || page AS search_url, page::INT AS search_page, 2::INT AS search_rank, 'Talho ' || n_name || ' ' || page % 2 AS search_title, 'Talhos e carnes' AS search_category, 'Carne fresca' AS search_description, 'Rua A, ' || n_name AS search_address, '21' || n || '000' AS search_phone, 'https://www.pai.pt/ms/' || n || '-' || page AS detail_url FROM ({_CARDS})",
-    "directory_details": f"SELECT detail_url, name, website, socials, email, phone, locality, district, notes FROM ({_DETAIL} FROM (SELECT n_nationkey AS n, n_name, unnest([1, 3]) AS page FROM nation))",
-    "directory_leads": f"""WITH d AS ({_DETAIL} FROM ({_FOUND})), k AS (SELECT *, CASE WHEN email <> '' THEN 'email:' || email WHEN phone <> '' THEN 'phone:' || phone ELSE 'website:' || website || '|' || lower(name) END AS key FROM d)
-SELECT run_id, key, name, website, socials, email, phone, locality, district, 'https://www.pai.pt/searches?n=' || n || '&page=' || page || ' | ' || detail_url AS sources, notes FROM k QUALIFY row_number() OVER (PARTITION BY run_id, key ORDER BY page) = 1""",
-    "directory_blockers": f"SELECT 'run' || n AS run_id, 'https://www.pai.pt/ms/' || n || '-' || page || ' -> missing' AS blocker FROM ({_CARDS}) WHERE page = 2",
+    "page_stop": "SELECT 'run' || s_suppkey AS run_id, page::INT AS page, page < 3 AS has_next, CASE WHEN s_suppkey % 4 = 1 AND page = 2 THEN 0 ELSE 1 END::BIGINT AS n_cards, ('1' || s_suppkey)::BIGINT AS total_results FROM supplier CROSS JOIN (SELECT unnest([1, 2, 3]) AS page) p WHERE NOT (s_suppkey % 4 = 1 AND page = 3)",
+    "first_total": "SELECT 'run' || s_suppkey AS run_id, ('1' || s_suppkey)::BIGINT AS total_results, CASE WHEN s_suppkey % 4 = 1 THEN 1 ELSE 3 END::BIGINT AS n_cards FROM supplier",
+    "directory_cards": f"SELECT 'run' || s AS run_id, 'https://www.pai.pt/searches?n=' || s || '&page=' || page AS search_url, page::INT AS search_page, 2::INT AS search_rank, 'Talho ' || n_name || ' ' || page % 2 AS search_title, 'Talhos e carnes' AS search_category, 'Carne fresca' AS search_description, 'Rua A, ' || n_name AS search_address, '21' || n || '000' AS search_phone, 'https://www.pai.pt/ms/' || n || '-' || page AS detail_url FROM ({_CARDS})",
+    "directory_details": f"SELECT detail_url, name, website, socials, email, phone, locality, district, notes FROM ({_DETAIL} FROM (SELECT DISTINCT n, n_name, unnest([1, 3]) AS page FROM ({SEARCHES})))",
+    "directory_leads": f"""WITH d AS ({_DETAIL}, 'run' || s AS run_id, s FROM ({_FOUND})), k AS (SELECT *, CASE WHEN email <> '' THEN 'email:' || email WHEN phone <> '' THEN 'phone:' || phone ELSE 'website:' || website || '|' || lower(name) END AS key FROM d)
+SELECT run_id, key, name, website, socials, email, phone, locality, district, 'https://www.pai.pt/searches?n=' || s || '&page=' || page || ' | ' || detail_url AS sources, notes FROM k QUALIFY row_number() OVER (PARTITION BY run_id, key ORDER BY page) = 1""",
+    "directory_blockers": f"SELECT 'run' || s AS run_id, 'https://www.pai.pt/ms/' || n || '-' || page || ' -> missing' AS blocker FROM ({_CARDS}) WHERE page = 2",
     "parse_reviews": f"""SELECT c_custkey AS id, c_custkey % 6 <> 5 AS approved, CASE c_custkey % 6 WHEN 0 THEN 'ok ' || c_custkey WHEN 2 THEN '{R.APPROVED}' WHEN 5 THEN '{R.REJECTED}' ELSE '{R.INCONCLUSIVE}' END AS reason,
   '' AS issues, CASE WHEN c_custkey % 6 = 2 THEN 'N' || c_custkey ELSE '' END AS name FROM customer""",
     "log_messages": "SELECT event_id, CASE event_id % 7 WHEN 0 THEN 'Codex a pensar' WHEN 1 THEN 'Pesquisa concluída: q' || user_id WHEN 3 THEN 'A receber o briefing' WHEN 4 THEN 'falhou' WHEN 5 THEN 'olá mundo ' || user_id WHEN 6 THEN '{broken ' || user_id END AS message FROM events",

@@ -36,3 +36,15 @@ def test_smaller_and_default_top(spark):
     urls = spark.createDataFrame([("r", "web", "q", 0, (0, i), f"https://x{i}.pt/") for i in range(25)], "run_id string, profile string, query string, query_ord int, position struct<provider_ord: int, place: int>, url string")
     assert sorted(r["rank"] for r in N.frontier_topk(urls).collect()) == list(range(1, 19))
     assert sorted((r["rank"], r.url) for r in N.frontier_topk(urls, 3).collect()) == [(i + 1, f"https://x{i}.pt/") for i in range(3)]
+
+
+def test_requests_and_searches_follow_the_tables(spark, tmp_path):
+    spark.range(0, 60).selectExpr("id AS s_suppkey", "7L AS s_nationkey").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.sql("SELECT 7L AS n_nationkey, 'GERMANY' AS n_name, 0L AS n_regionkey").write.parquet(f"{tmp_path}/nation.parquet")
+    found = {name: __spark_entry__.queries()[name](spark, str(tmp_path)) for name in ("build_queries", "directory_urls", "page_stop", "directory_cards", "directory_details", "directory_leads")}
+    runs = {name: df.select("run_id").distinct().count() for name, df in found.items() if "run_id" in df.columns}
+    assert runs == dict.fromkeys(runs, 60)
+    # one business is found by every fifth search; its two pages come once
+    assert found["directory_cards"].where("detail_url = 'https://www.pai.pt/ms/0-1'").count() == 12
+    assert found["directory_details"].count() == 2 * (1 + 48)
+    assert found["directory_leads"].where("email = 't0@example.pt'").count() == 12
