@@ -12,17 +12,19 @@ NOTHING_KEPT = "Os CSVs gerados não continham leads com contacto público váli
 
 
 def source_counters(found: DataFrame) -> DataFrame:
-    """Found and written rows, blockers and notes of each source.
+    """Found and written rows of each source, numbers of its notes and blockers, and the first blocker.
 
     ``found`` has run_id, profile, ``written`` (boolean) and the texts
-    ``blocker`` and ``note`` (null: none), in the order ``seq``.
+    ``blocker`` and ``note`` (null: none), in the order ``seq``.  All of it
+    combines before the shuffle, so a large source is one row per task.
     """
+    first = F.min_by("blocker", F.when(F.col("blocker").isNotNull(), F.col("seq")))
+    return found.groupBy("run_id", "profile").agg(F.count(F.lit(1)).alias("foundRows"), F.count_if("written").alias("writtenRows"), F.count("note").alias("n_notes"), F.count("blocker").alias("n_blockers"), first.alias("first_blocker"))
 
-    def texts(c: str) -> Column:
-        inside = F.array_sort(F.collect_list(F.when(F.col(c).isNotNull(), F.struct(F.col("seq"), F.col(c)))))
-        return F.transform(inside, lambda x: x[c]).alias(f"{c}s")
 
-    return found.groupBy("run_id", "profile").agg(F.count(F.lit(1)).alias("foundRows"), F.count_if("written").alias("writtenRows"), texts("blocker"), texts("note"))
+def source_texts(found: DataFrame, kind: str) -> DataFrame:
+    """The notes (``note``) or blockers (``blocker``) of each source, a row each: run_id, profile, seq and text."""
+    return found.where(F.col(kind).isNotNull()).select("run_id", "profile", "seq", F.col(kind).alias("text"))
 
 
 def source_status(exit_code: Column, has_output: Column) -> Column:

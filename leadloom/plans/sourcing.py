@@ -275,8 +275,7 @@ def counted(spark, sf):
 
 
 def q_source_counters(spark, sf):
-    found = O.source_counters(counted(spark, sf))
-    return found.select("run_id", "profile", "foundRows", "writtenRows", F.size("notes").cast("long").alias("n_notes"), F.get("blockers", F.lit(0)).alias("first_blocker"))
+    return O.source_counters(counted(spark, sf)).drop("n_blockers")
 
 
 def q_run_status(spark, sf):

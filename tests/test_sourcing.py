@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from leadloom.operators import frontier as N
+from leadloom.operators import report as O
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -48,3 +49,12 @@ def test_requests_and_searches_follow_the_tables(spark, tmp_path):
     assert found["directory_cards"].where("detail_url = 'https://www.pai.pt/ms/0-1'").count() == 12
     assert found["directory_details"].count() == 2 * (1 + 48)
     assert found["directory_leads"].where("email = 't0@example.pt'").count() == 12
+
+
+def test_counters_hold_no_lists(spark):
+    found = spark.createDataFrame([("r", "web", i, i % 3 == 0, f"b{i}" if i % 4 == 3 else None, f"n{i}" if i % 3 else None) for i in range(12)] + [("r", "maps", 1, True, None, None)], "run_id string, profile string, seq int, written boolean, blocker string, note string")
+    counters = O.source_counters(found)
+    assert not [c for c, kind in counters.dtypes if kind.startswith("array")]
+    assert {tuple(r) for r in counters.select("profile", "foundRows", "writtenRows", "n_notes", "n_blockers", "first_blocker").collect()} == {("web", 12, 4, 8, 3, "b3"), ("maps", 1, 1, 0, 0, None)}
+    assert sorted((r.profile, r.seq, r.text) for r in O.source_texts(found, "blocker").collect()) == [("web", 3, "b3"), ("web", 7, "b7"), ("web", 11, "b11")]
+    assert O.source_texts(found, "note").count() == 8
