@@ -16,7 +16,7 @@ from leadloom.operators import directory as D
 from leadloom.operators import extract as X
 from leadloom.operators import frontier as N
 from leadloom.operators import report as O
-from leadloom.streaming.consolidate import merged_stream
+from leadloom.streaming.consolidate import merged_rows, merged_stream
 
 from .consolidation import HTML, LEAD_TYPE, RAW, d_digits, html_pages, raw_leads, read, tables
 
@@ -291,19 +291,20 @@ def q_first_per_key(spark, sf):
 
 
 def q_stream_consolidate(spark, sf):
-    """The stream's result after all files: raw leads as part files, one per trigger."""
+    """The stream's result after all files: raw leads dealt evenly to part files, half of them per trigger."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
         shared = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", shared)
     base = f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
     leads = raw_leads(spark, sf).drop("seq")
-    leads.repartition(4, "profile").write.parquet(f"{base}/in")
-    stream = spark.readStream.schema(leads.schema).option("maxFilesPerTrigger", 2).parquet(f"{base}/in")
-    merged = merged_stream(stream.withColumn("seq", F.struct("profile_rank", "row_no")), LEAD_TYPE, "Portugal").select("merge_key", *C.FIELDS, "n")
+    files = max(4, read(spark, sf, "customer").rdd.getNumPartitions())
+    leads.repartition(files).write.parquet(f"{base}/in")
+    stream = spark.readStream.schema(leads.schema).option("maxFilesPerTrigger", files // 2).parquet(f"{base}/in")
+    merged = merged_stream(stream.withColumn("seq", F.struct("profile_rank", "row_no")), LEAD_TYPE, "Portugal")
 
     def save(df: DataFrame, batch: int) -> None:
-        df.write.mode("overwrite").parquet(f"{base}/out")
+        merged_rows(df).select("merge_key", *C.FIELDS, "n").write.mode("overwrite").parquet(f"{base}/out")
 
     query = merged.writeStream.outputMode("complete").option("checkpointLocation", f"{base}/checkpoint").foreachBatch(save).trigger(availableNow=True).start()
     query.awaitTermination()

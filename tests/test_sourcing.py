@@ -1,10 +1,14 @@
 """Queries of requests and search results over all of their rows, against counts made by hand."""
 
+import glob
+
 from pyspark.sql import functions as F
 
 import __spark_entry__
+from leadloom.operators import consolidate as C
 from leadloom.operators import frontier as N
 from leadloom.operators import report as O
+from leadloom.streaming.consolidate import merged_rows, merged_stream
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -58,3 +62,24 @@ def test_counters_hold_no_lists(spark):
     assert {tuple(r) for r in counters.select("profile", "foundRows", "writtenRows", "n_notes", "n_blockers", "first_blocker").collect()} == {("web", 12, 4, 8, 3, "b3"), ("maps", 1, 1, 0, 0, None)}
     assert sorted((r.profile, r.seq, r.text) for r in O.source_texts(found, "blocker").collect()) == [("web", 3, "b3"), ("web", 7, "b7"), ("web", 11, "b11")]
     assert O.source_texts(found, "note").count() == 8
+
+
+def test_stream_state_holds_distinct_parts_of_a_hot_key(spark):
+    lead = {"name": "Barbearia A", "website": "https://a.example.pt", "email": "a@a.example.pt", "phone": "912345678", "locality": "Lisboa", "district": "Lisboa", "notes": "Fonte web"}
+    rows = [({**lead, "sources": f"https://s{i % 3}.pt | https://s{i % 2}.pt"}, i) for i in range(300)]
+    schema = ",".join(f"{f} string" for f in C.FIELDS) + ", row_no long"
+    leads = spark.createDataFrame([(*[r.get(f, "") for f in C.FIELDS], i) for r, i in rows], schema).withColumn("seq", F.struct(F.lit(0).alias("profile_rank"), "row_no"))
+    state = merged_stream(leads, "barbearia", "Portugal")
+    assert not [c for c, kind in state.dtypes if kind.startswith("array")]
+    assert state.where("_field = 'sources'").count() == 3 and state.count() < 10
+    wanted = C.merge_leads(C.judged_rows(leads, "barbearia", "Portugal", verdict_scope="row").where("merge_key is not null"))
+    got = [tuple(r) for r in merged_rows(state).select("merge_key", *C.FIELDS, "seq", "n").collect()]
+    assert got == [tuple(r) for r in wanted.select("merge_key", *C.FIELDS, "seq", "n").collect()] and got[0][-1] == 300
+
+
+def test_part_files_are_even(spark):
+    __spark_entry__.queries()["stream_consolidate"](spark, SF_DIR)
+    shared = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    for path in glob.glob(f"{shared}/stream-*/in"):
+        counts = [r["count"] for r in spark.read.parquet(path).groupBy(F.input_file_name()).count().collect()]
+        assert len(counts) >= 4 and max(counts) <= min(counts) + 4
