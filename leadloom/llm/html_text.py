@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import html
 import re
+import sys
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -43,8 +45,8 @@ _IMPLIED = {
     "optgroup": (frozenset(["option", "optgroup"]), frozenset(["select", "datalist"])),
 }
 _P_BOUND = frozenset(["table", "td", "th", "caption", "button", "object", "template", "html"])
-#: Elements beyond this depth become siblings.
-DEEPEST = 200
+#: Frames that an element takes at most when it is laid out (a cell of a table's group).
+_FRAMES = 6
 
 _TOKEN = re.compile(r"""<!--(?:>|->|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^\s/>]*)((?>[^>"']+|"[^"]*"|'[^']*'|["'])*+)>|<[!?/][^>]*>?|[^<]+|<""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
@@ -69,20 +71,27 @@ def _attributes(text: str) -> dict[str, str]:
     return out
 
 
-def build(markup: str) -> Element:
-    """The element tree; every markup has one."""
+def build(markup: str) -> tuple[Element, int]:
+    """The element tree, of any depth, and its depth; every markup has one."""
     root = Element("html", {})
     stack = [root]
-    at, size = 0, len(markup)
+    known: Counter[str] = Counter()  # open elements by tag, so that deep stacks are searched for what is there only
+    at, size, deepest = 0, len(markup), 1
+
+    def cut(i: int) -> None:
+        known.subtract([e.tag for e in stack[i:]])
+        del stack[i:]
 
     def close(kinds: frozenset[str], bound: frozenset[str]) -> None:
+        if not any(known[k] for k in kinds):
+            return
         for i in range(len(stack) - 1, 0, -1):
             tag = stack[i].tag
             if tag in kinds:
                 # the outermost of the kinds inside the bound goes
                 while i > 1 and stack[i - 1].tag in kinds:
                     i -= 1
-                del stack[i:]
+                cut(i)
                 return
             if tag in bound:
                 return
@@ -95,20 +104,20 @@ def build(markup: str) -> Element:
             text = m[0]
             if text[0] != "<" or text == "<":
                 if stack[-1].tag == "head" and not text.isspace():
-                    stack.pop()
+                    cut(len(stack) - 1)
                 stack[-1].children.append(html.unescape(text) if "&" in text else text)
             continue
         tag = tag.lower()
         if m[1]:
-            if tag == "p" and not any(e.tag == "p" for e in stack):
+            if tag == "p" and not known["p"]:
                 stack[-1].children.append(Element("p", {}))
             elif tag == "br":
                 stack[-1].children.append(Element("br", {}))
-            elif tag not in ("html", "body"):
+            elif tag not in ("html", "body") and known[tag]:
                 bound = () if tag in _BLOCK else _CELLS
                 for i in range(len(stack) - 1, 0, -1):
                     if stack[i].tag == tag:
-                        del stack[i:]
+                        cut(i)
                         break
                     if stack[i].tag in bound or (stack[i].tag == "table" and tag != "table" and tag not in _GROUPS):
                         break
@@ -119,9 +128,9 @@ def build(markup: str) -> Element:
                 root.attributes.setdefault(k, v)
             continue
         if stack[-1].tag == "head" and tag not in ("meta", "link", "title", "script", "style", "base", "template", "noscript"):
-            stack.pop()
+            cut(len(stack) - 1)
         if tag == "body":
-            if any(e.tag == "body" for e in stack):
+            if known["body"]:
                 continue
         elif tag in _IMPLIED:
             close(*_IMPLIED[tag])
@@ -134,9 +143,11 @@ def build(markup: str) -> Element:
             text = markup[at : end.start() if end else size]
             element.children.append(html.unescape(text) if tag in ("textarea", "title") else text)
             at = end.end() if end else size
-        elif tag not in _VOID and not (m[3].endswith("/") and tag in ("svg", "path", "circle", "rect", "use")) and len(stack) < DEEPEST:
+        elif tag not in _VOID and not (m[3].endswith("/") and tag in ("svg", "path", "circle", "rect", "use")):
             stack.append(element)
-    return root
+            known[tag] += 1
+            deepest = max(deepest, len(stack))
+    return root, deepest
 
 
 def visible(e: Element) -> bool:
@@ -387,7 +398,13 @@ def visible_text(markup: str | None) -> str | None:
     if markup is None:
         return None
     flow = Flow()
-    render(build(markup), flow)
+    root, depth = build(markup)
+    limit = sys.getrecursionlimit()
+    sys.setrecursionlimit(max(limit, 1000 + _FRAMES * depth))  # calls between Python functions take no room on the C stack
+    try:
+        render(root, flow)
+    finally:
+        sys.setrecursionlimit(limit)
     return "\n".join(flow.done())
 
 
@@ -395,8 +412,7 @@ def extract(pages: DataFrame, html_column: str = "html", out: str = "text") -> D
     """``pages`` without the markup, with the visible text of each whole page as ``out``.
 
     A null page has a null text, an empty one or one without visible text an
-    empty one.  Broken markup still gives its text; elements deeper than 200
-    count as siblings.  Repeated rows stay, an input column named as ``out`` is
+    empty one.  Broken markup still gives its text, at any depth.  Repeated rows stay, an input column named as ``out`` is
     replaced, all others pass through; an empty table gives an empty one.
     """
     kept = pages.drop(*[c for c in (out,) if c != html_column and c in pages.columns])
