@@ -4,8 +4,9 @@ Two transducers make the count.  The first reads character classes and marks
 where a pre-token starts; it is small, so a chunk of text is summed up by its
 map from entry state to exit state, and the maps of all chunks compose by a
 parallel prefix scan before one vectorized pass emits the marks.  The second
-reads the bytes of a pre-token and annotates its transitions with the tokens
-emitted (``merges.PairTransducer``); each distinct pre-token is walked once.
+(``merges.PairTransducer``) finds the pieces of a pre-token; its transitions hold
+no counts and the scan doesn't reach it: a token count is the length of the path
+found, and each distinct pre-token is walked once.
 """
 
 from __future__ import annotations
