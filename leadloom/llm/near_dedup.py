@@ -11,7 +11,8 @@ Verification is by region.  The pairs that the registers leave are reduced to a
 spanning part in each bucket, whose components are regions; the documents of a
 region meet, block by block, with their full sets, and a pair is verified unless
 verified links already connect it.  So a large group of near copies gives about
-as many rows as it has documents, and no pair is lost.
+as many rows as it has documents.  Bands and likelihood cut together lose a pair at
+similarity 0.8 with probability 4e-7 at most (by the normal tail), if no other links connect it.
 """
 
 from __future__ import annotations
@@ -34,8 +35,8 @@ from .embedding_dedup import union_roots
 BASE, TOP = 1.02, 65534
 #: Bands of registers: at similarity 0.8 a pair shares one of 32 bands of 4 with probability 1 - 5e-8.
 BANDS, ROWS = 32, 4
-#: Standard errors of the estimate by which a pair may lie below the threshold and still be verified.
-MARGIN = 3.5
+#: Standard errors of the estimate by which a pair may lie below the threshold and still be verified: by the normal tail a pair at the threshold falls lower with probability 3e-7.
+MARGIN = 5.0
 #: Documents of a region that meet in one block.
 REGION_BLOCK = 256
 
