@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -127,6 +127,54 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total) + np.repeat(starts - (ends - lengths), lengths)
 
 
+class Generation:
+    """Integer sequences of strings, one after the other in one array."""
+
+    def __init__(self, dtype: type):
+        self.at: dict[str, int] = {}
+        self.flat, self.starts = np.zeros(0, dtype), np.zeros(1, np.int64)
+
+    def add(self, keys: list[str], flat: np.ndarray, lengths: np.ndarray) -> None:
+        self.at.update(zip(keys, range(len(self.at), len(self.at) + len(keys)), strict=True))
+        self.flat = np.concatenate([self.flat, flat])
+        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(lengths)])
+
+    def take(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The sequences at ``at``, flat, and their lengths."""
+        lengths = self.starts[at + 1] - self.starts[at]
+        return self.flat[ranges(self.starts[at], lengths)], lengths
+
+
+class Remembered:
+    """Integer sequences of strings, computed by ``compute`` when first met.
+
+    Two generations bound the memory: what is met goes to the young one; when
+    that holds ``keep`` strings it becomes the old one, whose strings move back
+    if they are met again and go if not.  So the many strings that are met once
+    don't push out the common ones.
+    """
+
+    def __init__(self, keep: int, dtype: type, compute: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]):
+        self.keep, self.dtype, self.compute = keep, dtype, compute
+        self.clear()
+
+    def clear(self) -> None:
+        self.young, self.old = Generation(self.dtype), Generation(self.dtype)
+
+    def take(self, keys: list[str], of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The sequences of ``keys[i]`` for the i of ``of``, flat, and their lengths; ``keys`` are distinct."""
+        if len(self.young.at) >= self.keep:
+            self.young, self.old = Generation(self.dtype), self.young
+        at = self.young.at
+        if lacking := [k for k in keys if k not in at]:
+            old = self.old.at
+            if again := [k for k in lacking if k in old]:
+                self.young.add(again, *self.old.take(np.fromiter((old[k] for k in again), np.int64, len(again))))
+            if new := [k for k in lacking if k not in old]:
+                self.young.add(new, *self.compute(new))
+        return self.young.take(np.fromiter((at[k] for k in keys), np.int64, len(keys))[of])
+
+
 def and_all(conditions: Iterable[Column]) -> Column:
     out = F.lit(True)
     for c in conditions:

@@ -11,6 +11,7 @@ from __future__ import annotations
 import os
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -19,57 +20,36 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import encode_words, materialize, ranges, read_table, sequence_number, slices, split_words, starts_of
+from .common import Remembered, encode_words, materialize, ranges, read_table, sequence_number, slices, split_words, starts_of
 
-#: Distinct words whose ids a worker keeps while it works on a partition.
+#: Words of a generation whose ids a worker keeps.
 KEEP = 250_000
-#: New words in a line, and lines that are encoded in one call.
-LINE, LINES = 64, 64
+#: Words that are encoded in one call.
+BATCH = 4096
 
 
 class WordIds:
-    """Token ids of words, for tokenizers that drop white space: each distinct word is encoded once."""
+    """Token ids of words, for tokenizers that drop white space: words are encoded apart and remembered."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks share the cores
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.clear()
-
-    def clear(self) -> None:
-        self.known: dict[str, int] = {}
-        self.ids, self.starts = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        self.words = Remembered(KEEP, np.uint32, self._fresh)
 
     def _fresh(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of new words and their numbers; words go in lines of many, and places in the line tell whose a token is."""
-        lines = [words[i : i + LINE] for i in range(0, len(words), LINE)]
-        ids, lengths = [], []
-        for at in range(0, len(lines), LINES):
-            part = lines[at : at + LINES]
-            for line, found in zip(part, self.tokenizer.encode_batch([" ".join(line) for line in part], add_special_tokens=False), strict=True):
-                ids.append(np.array(found.ids, np.uint32))
-                begins = np.cumsum([0, *[len(w) + 1 for w in line]])
-                lengths.append(np.diff(np.searchsorted(np.array([o[0] for o in found.offsets], np.int64), begins)))
-        return np.concatenate(ids), np.concatenate(lengths)
+        """Ids of words, flat, and the number of each word's."""
+        found = [e.ids for at in range(0, len(words), BATCH) for e in self.tokenizer.encode_batch_fast(words[at : at + BATCH], add_special_tokens=False)]
+        lengths = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum())), lengths
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, flat, and the number of each text's."""
         flat, words = split_words(texts)
         codes, distinct = encode_words(flat)
-        if len(self.known) > KEEP:
-            self.clear()
-        distinct = distinct.to_pylist()
-        if new := [w for w in distinct if w not in self.known]:
-            ids, lengths = self._fresh(new)
-            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
-            self.ids = np.concatenate([self.ids, ids])
-            self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(lengths)])
-        at = np.array([self.known[w] for w in distinct], np.int64)[codes] if distinct else codes
-        lengths = self.starts[at + 1] - self.starts[at]
-        total = starts_of(lengths)
-        ends = starts_of(words)
-        return self.ids[ranges(self.starts[at], lengths)], np.diff(total[ends])
+        ids, lengths = self.words.take(distinct.to_pylist(), codes)
+        return ids, np.diff(starts_of(lengths)[starts_of(words)])
 
 
 @lru_cache(2)
@@ -117,7 +97,7 @@ def pieces(docs: DataFrame, path: str | None = None, end_id: int = 1, capacity:
                 offsets = (starts_of(length) * 4).astype(np.int32)
                 blob = pa.BinaryArray.from_buffers(pa.binary(), len(doc), [None, pa.py_buffer(offsets), pa.py_buffer(ids)])
                 yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array(doc)), pa.array(start), pa.array(length), pa.array(counts[doc]), blob], ["id", "start", "length", "doc_tokens", "ids"])
-        word_ids(path).clear()  # the worker lives on with other work
+        word_ids(path).words.clear()  # the worker lives on with other work
 
     kind = dict(narrow.dtypes)["id"]
     return narrow.mapInArrow(work, f"id {kind}, start long, length long, doc_tokens long, ids binary").withColumnRenamed("id", id_column)
