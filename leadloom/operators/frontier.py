@@ -11,8 +11,8 @@ from leadloom.functions.predicates import is_country_wide
 from leadloom.functions.text import blank, decode_url, encode_uri_component, html_decode, or_null, slugify, split_words, strip
 from leadloom.functions.urls import clean_url, is_blocked_url, url_host
 
-#: Source profiles in their order, with source type and label.
-PROFILES = [("directories", "directories", "Diretórios locais"), ("web", "search", "Pesquisa web"), ("maps", "maps", "Google Maps"), ("social", "social", "Redes sociais"), ("free", "free", "Pesquisa livre")]
+#: Source profiles in their order, with source type.
+PROFILES = [("directories", "directories"), ("web", "search"), ("maps", "maps"), ("social", "social"), ("free", "free")]
 DISTRICTS = ["Lisboa", "Porto", "Braga", "Aveiro", "Coimbra", "Faro", "Setúbal", "Viseu", "Leiria", "Bragança", "Vila Real", "Guarda", "Castelo Branco", "Évora", "Portalegre", "Santarém", "Beja", "Viana do Castelo", "Madeira", "Açores"]
 MAP_PLACES = ["Lisboa", "Porto", "Braga", "Coimbra", "Faro", "Setúbal"]
 SOCIAL_PLACES = ["Lisboa", "Porto", "Braga", "Coimbra"]
@@ -76,7 +76,7 @@ def build_queries(requests: DataFrame) -> DataFrame:
     ``requests`` has run_id, lead_type and geography; blank types count as
     ``leads``, blank places as Portugal.  Equal queries of a source are one.
     """
-    profiles = requests.sparkSession.createDataFrame([(r, *p[:2]) for r, p in enumerate(PROFILES)], "profile_rank int, profile string, source_type string")  # five rows
+    profiles = requests.sparkSession.createDataFrame([(r, *p) for r, p in enumerate(PROFILES)], "profile_rank int, profile string, source_type string")  # five rows
     place = F.coalesce(or_null(strip(F.col("geography"))), F.lit("Portugal"))
     kind = F.coalesce(or_null(blank(F.col("lead_type"))), F.lit("leads"))
     wide = requests.select("run_id", kind.alias("kind"), place.alias("place")).crossJoin(F.broadcast(profiles))

@@ -363,7 +363,7 @@ _VARIANTS = "CASE " + " ".join(f"WHEN regexp_matches(lower(kind), '{p}') THEN {_
 _WIDE = "lower(place) IN ('portugal', 'portugal continental', 'pt', 'pt-pt')"
 _TERMS = f"CASE WHEN NOT {_WIDE} THEN [place] WHEN st IN ('directories', 'free') THEN list_concat([place], {_list(N.DISTRICTS)}) WHEN st = 'maps' THEN list_concat([place], {_list(N.MAP_PLACES)}) WHEN st = 'social' THEN list_concat([place], {_list(N.SOCIAL_PLACES)}) ELSE list_concat([place], {_list(N.OTHER_PLACES)}) END"
 _ENDINGS = "['', ' telefone email', ' website']"
-_QUERIES = f"""{_REQ}, profiles AS (SELECT * FROM (VALUES {", ".join(f"('{p}', '{s}')" for p, s, _ in N.PROFILES)}) t(profile, st)),
+_QUERIES = f"""{_REQ}, profiles AS (SELECT * FROM (VALUES {", ".join(f"('{p}', '{s}')" for p, s in N.PROFILES)}) t(profile, st)),
 asked AS (SELECT run_id, profile, st, CASE WHEN lead_type = '' THEN 'leads' ELSE lead_type END AS kind, CASE WHEN geography = '' THEN 'Portugal' ELSE geography END AS place FROM requests CROSS JOIN profiles),
 lists AS (SELECT *, {_VARIANTS} AS vs, {_TERMS} AS ts FROM asked),
 named AS (
