@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize
@@ -39,6 +39,33 @@ def deal(rows: DataFrame, keys: list[str], member: str, block: int = BLOCK) -> D
     return celled.withColumn("side", F.when(F.col("side") == F.col("_other"), -1).otherwise(F.col("side"))).drop("_blocks", "_other")
 
 
+def deal_apart(rows: DataFrame, key: str, part: str, member: str, block: int = BLOCK) -> DataFrame:
+    """``deal`` where members of one part (a long, -1: none) need not meet one another.
+
+    A part of more than a block has blocks of its own, which form no cells among
+    themselves; all others share blocks.  So a bucket that is one large part and
+    few others gives about as many rows as it has members.
+    """
+    sizes = materialize(rows.groupBy(key, part).agg(F.count(F.lit(1)).alias("_n")), "part-sizes")
+    large = sizes.where((F.col("_n") > block) & (F.col(part) >= 0)).select(key, part, F.col(part).alias("_kind"), "_n")
+    others = sizes.join(large.select(key, part), [key, part], "left_anti").groupBy(key).agg(F.sum("_n").alias("_n")).select(key, F.lit(-1).cast("long").alias("_kind"), "_n")
+    blocks = large.select(key, "_kind", "_n").unionByName(others).withColumn("_blocks", F.ceil(F.col("_n") / block).cast("int"))
+    of_bucket = Window.partitionBy(key)
+    before = of_bucket.orderBy("_kind").rowsBetween(Window.unboundedPreceding, -1)
+    placed = blocks.select(key, "_kind", "_blocks", F.coalesce(F.sum("_blocks").over(before), F.lit(0)).cast("int").alias("_first"), F.sum("_blocks").over(of_bucket).cast("int").alias("_all"))
+    placed = materialize(placed.where("_all > 1"), "part-blocks")
+    if placed.isEmpty():
+        return rows.withColumns({"cell": F.lit(0).cast("long"), "side": F.lit(-1)})
+    kinds = placed.where("_kind >= 0").select(key, F.col("_kind").alias(part), "_kind")
+    joined = rows.join(kinds, [key, part], "left").withColumn("_kind", F.coalesce("_kind", F.lit(-1).cast("long"))).join(placed, [key, "_kind"], "left")
+    own = F.coalesce(F.col("_first") + F.pmod(F.xxhash64(member, F.lit(11)), F.col("_blocks")).cast("int"), F.lit(0))
+    met = F.filter(F.sequence(F.lit(0), F.coalesce("_all", F.lit(1)) - 1), lambda x: F.col("_first").isNull() | (F.col("_kind") < 0) | (x < F.col("_first")) | (x >= F.col("_first") + F.col("_blocks")))
+    pairs = joined.withColumn("side", own).select("*", F.explode(met).alias("_other"))
+    cell = F.least("side", "_other").cast("long") * F.coalesce("_all", F.lit(1)) + F.greatest("side", "_other")
+    sided = F.when(F.col("side") == F.col("_other"), -1).otherwise(F.col("side"))
+    return pairs.withColumns({"cell": cell.cast("long"), "side": sided}).select(*rows.columns, "cell", "side")
+
+
 def gather(cells: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of a cell side by side in one partition."""
     return cells.repartition(*keys, "cell").sortWithinPartitions(*keys, "cell")

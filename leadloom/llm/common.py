@@ -127,6 +127,19 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total) + np.repeat(starts - (ends - lengths), lengths)
 
 
+def byte_letters() -> list[str]:
+    """The printable letter that stands for each byte in byte-level vocabularies."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    out, extra = [""] * 256, 256
+    for b in range(256):
+        if b in plain:
+            out[b] = chr(b)
+        else:
+            out[b] = chr(extra)
+            extra += 1
+    return out
+
+
 class Generation:
     """Integer sequences of strings, one after the other in one array."""
 

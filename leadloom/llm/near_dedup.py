@@ -7,17 +7,20 @@ Bands of register values make buckets; members of a bucket are compared by the
 joint likelihood of their registers given both set sizes; what that leaves is
 verified on the full sets.
 
-Verification is by region.  The pairs that the registers leave are reduced to a
-spanning part in each bucket, whose components are regions; the documents of a
-region meet, block by block, with their full sets, and a pair is verified unless
-verified links already connect it.  So a large group of near copies gives about
-as many rows as it has documents.  Bands and likelihood cut together lose a pair at
-similarity 0.8 with probability 4e-7 at most (by the normal tail), if no other links connect it.
+Documents with equal sets are one node, a class.  The pairs that the registers
+leave are reduced to a spanning part in each bucket, whose components are
+regions.  In a large region the pairs of a spanning forest are verified first,
+one pair for each node; what they link is a fragment.  Then the documents of a
+region meet, block by block, with their full sets, but for those of one
+fragment, and a pair is verified unless verified links already connect it.  So a
+large group of near copies gives about as many rows as it has documents.  Bands
+and likelihood cut together lose a pair at similarity 0.8 with probability 5e-5,
+if no other links connect it; at 0.85 with 7e-7.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -26,15 +29,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .cells import deal, gather, groups
+from .cells import deal, deal_apart, gather, groups
 from .common import encode_words, materialize, mix64, read_table, slices, split_words, starts_of
-from .components import components
+from .components import components, spanning
 from .embedding_dedup import union_roots
 
 #: Base of the registers' spacing; truncation at 65,534.
 BASE, TOP = 1.02, 65534
-#: Bands of registers: at similarity 0.8 a pair shares one of 32 bands of 4 with probability 1 - 5e-8.
-BANDS, ROWS = 32, 4
+#: Bands of registers: at similarity 0.8 a pair shares one of 25 bands of 5 with probability 1 - 5e-5, at 0.3 with 0.06.
+BANDS, ROWS = 25, 5
 #: Standard errors of the estimate by which a pair may lie below the threshold and still be verified: by the normal tail a pair at the threshold falls lower with probability 3e-7.
 MARGIN = 5.0
 #: Documents of a region that meet in one block.
@@ -141,10 +144,11 @@ class Sketched:
     """Members of a cell with their registers and set sizes."""
 
     def __init__(self, group: pa.RecordBatch, m: int, threshold: float):
-        self.ids = group.column("rep").to_numpy(zero_copy_only=False)
+        self.ids = group.column("node").to_numpy(zero_copy_only=False)
         self.regs = np.frombuffer(b"".join(group.column("regs").to_pylist()), "<u2").reshape(len(self.ids), m)
         self.size = group.column("n").to_numpy(zero_copy_only=False).astype(np.float64)
         self.side = group.column("side").to_numpy(zero_copy_only=False)
+        self.part = group.column("part").to_numpy(zero_copy_only=False) if "part" in group.schema.names else np.full(len(self.ids), -1)
         self.m, self.threshold = m, threshold
         self.two = bool(self.side[0] >= 0)
         self.least = threshold - MARGIN * np.sqrt(threshold * (1 - threshold) / m)
@@ -177,16 +181,27 @@ class Sketched:
         x, y = self.regs[a], self.regs[b]
         return likelihood_similarity((x > y).sum(1), (x < y).sum(1), self.m, self.size[a], self.size[b])
 
-    def spanning(self) -> np.ndarray:
-        """The smallest position that each member reaches by pairs the registers leave."""
+    def forest(self) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs that the registers leave, as few as connect what all of them connect, likely ones first."""
         label = np.arange(len(self.ids))
+        out_a, out_b = [label[:0]], [label[:0]]
         for a, b, _ in self.near(label):
-            label[:] = union_roots(len(label), np.concatenate([np.arange(len(label)), a]), np.concatenate([label, b]))
-        return label
+            while len(a):
+                first = np.full(len(label), len(a))  # of each tree, the likeliest pair that leads out of it
+                place = np.arange(len(a))
+                np.minimum.at(first, label[a], place)
+                np.minimum.at(first, label[b], place)
+                pick = np.unique(first[first < len(a)])
+                out_a.append(a[pick])
+                out_b.append(b[pick])
+                label[:] = union_roots(len(label), label[a[pick]], label[b[pick]])[label]
+                apart = label[a] != label[b]
+                a, b = a[apart], b[apart]
+        return np.concatenate(out_a), np.concatenate(out_b)
 
     def verified(self, keys: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
         """Links that full sets confirm, but for pairs that such links connect already."""
-        label = np.arange(len(self.ids))
+        label = self.fragments()
         out_a, out_b = [], []
         for a, b, _ in self.near(label):
             for i, j in zip(a.tolist(), b.tolist(), strict=True):
@@ -198,6 +213,17 @@ class Sketched:
         return np.array(out_a, np.int64), np.array(out_b, np.int64)
 
 
+    def fragments(self) -> np.ndarray:
+        """The first position of each member's fragment (-1: of none)."""
+        part = self.part
+        label = np.arange(len(part))
+        has = np.flatnonzero(part >= 0)
+        if len(has):
+            _, first, which = np.unique(part[has], return_index=True, return_inverse=True)
+            label[has] = has[first][which]
+        return label
+
+
 def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     """Whether sorted sets have a Jaccard similarity of ``percent`` ten-thousandths or more."""
     if len(x) > len(y):
@@ -209,6 +235,15 @@ def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
 _EXPLODED = ["band", "bucket"]
 
 
+def _digests(keys: np.ndarray, counts: np.ndarray) -> list[pa.Array]:
+    """128 bits that stand for each set."""
+    row = np.repeat(np.arange(len(counts)), counts)
+    d1, d2 = np.zeros(len(counts), np.uint64), np.zeros(len(counts), np.uint64)
+    np.add.at(d1, row, mix64(keys ^ np.uint64(0xA5A5A5A5A5A5A5A5)))
+    np.add.at(d2, row, mix64(keys + np.uint64(0x5BD1E995)))
+    return [pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64))]
+
+
 def sketches(docs: DataFrame, width: int, m: int, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """id, n (set size), a 128-bit digest of the set and its registers."""
     narrow = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"))
@@ -218,18 +253,14 @@ def sketches(docs: DataFrame, width: int, m: int, id_column: str = "doc_id", tex
             for part in slices(whole, "text"):
                 keys, counts = shingles(part.column("text"), width)
                 regs = registers(keys, counts, m)
-                row = np.repeat(np.arange(len(counts)), counts)
-                d1, d2 = np.zeros(len(counts), np.uint64), np.zeros(len(counts), np.uint64)
-                np.add.at(d1, row, mix64(keys ^ np.uint64(0xA5A5A5A5A5A5A5A5)))
-                np.add.at(d2, row, mix64(keys + np.uint64(0x5BD1E995)))
                 blob = pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * m), len(counts), [None, pa.py_buffer(regs.astype("<u2"))]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(counts), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), blob], ["id", "n", "d1", "d2", "regs"])
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(counts), *_digests(keys, counts), blob], ["id", "n", "d1", "d2", "regs"])
 
     return narrow.mapInArrow(work, "id long, n long, d1 long, d2 long, regs binary")
 
 
 def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
-    """``id`` and ``keys``, the sorted shingle hashes as little-endian 64-bit values."""
+    """``id``, ``n`` and digest of the set, and ``keys``, its sorted shingle hashes as little-endian 64-bit values."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -237,46 +268,61 @@ def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
                 keys, counts = shingles(part.column("text"), width)
                 at = starts_of(counts) * 8
                 blob = pa.BinaryArray.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(keys.astype("<u8"))])
-                yield pa.RecordBatch.from_arrays([part.column("id"), blob], ["id", "keys"])
-
-    return docs.mapInArrow(work, "id long, keys binary")
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(counts), *_digests(keys, counts), blob], ["id", "n", "d1", "d2", "keys"])
 
+    return docs.mapInArrow(work, "id long, n long, d1 long, d2 long, keys binary")
 
-def near_documents(docs: DataFrame, width: int = 5, threshold: float = 0.8, bands: int = BANDS, rows: int = ROWS, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """One row per input row: the id, ``n_shingles``, ``component_id`` and ``kept``.
 
-    Documents are linked at a Jaccard similarity of ``threshold`` or more of their
-    shingle sets of ``width`` words; ``component_id`` is the smallest id reachable
-    and ``kept`` marks the document that has it.  Null, empty and wordless texts
-    have no shingles and link with nothing; rows with a null id link with nothing
-    and have a null component, not kept.  Rows that share an id are one node.
-    Other columns are left aside; an empty table gives an empty one.
-    """
-    m = bands * rows
-    sketched = materialize(sketches(docs, width, m, id_column, text_column), "sketches")
-    # equal sets are one class, named by its smallest id
-    classes = materialize(sketched.where("n > 0 and id is not null").groupBy("n", "d1", "d2").agg(F.min("id").alias("rep"), F.first("regs").alias("regs")), "set-classes")
-    nodes = classes.select("rep", "n", "regs")
+def suspect_pairs(nodes: DataFrame, m: int, bands: int, rows: int, threshold: float) -> DataFrame:
+    """Pairs (``a``, ``b``) of nodes that share a band and a likely similarity; of each bucket a spanning part."""
     band = F.explode(F.sequence(F.lit(0), F.lit(bands - 1))).alias("band")
-    banded = nodes.select("rep", "regs", band).select("rep", "band", F.xxhash64(F.expr(f"substring(regs, band * {2 * rows} + 1, {2 * rows})")).alias("bucket"))
+    banded = nodes.select("node", "regs", band).select("node", "band", F.xxhash64(F.expr(f"substring(regs, band * {2 * rows} + 1, {2 * rows})")).alias("bucket"))
     shared = banded.groupBy(*_EXPLODED).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(*_EXPLODED)
-    suspects = banded.join(shared, _EXPLODED, "left_semi").join(nodes, "rep")
+    suspects = banded.join(shared, _EXPLODED, "left_semi").join(nodes, "node")
 
     def plausible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in groups(batches, [*_EXPLODED, "cell"]):
             cell = Sketched(group, m, threshold)
-            label = cell.spanning()
-            has = np.flatnonzero(label != np.arange(len(label)))
-            if len(has):
-                yield pa.RecordBatch.from_arrays([pa.array(cell.ids[has]), pa.array(cell.ids[label[has]])], ["a", "b"])
-
-    cells = gather(deal(suspects, _EXPLODED, "rep"), _EXPLODED)
-    regions = components(materialize(cells.mapInArrow(plausible, "a long, b long"), "near-pairs"))
-    regions = regions.select(F.col("node").alias("id"), F.col("component").alias("region"))
-    texts = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text")).join(regions.select("id"), "id", "left_semi")
-    sets = materialize(shingle_sets(texts, width).groupBy("id").agg(F.first("keys").alias("keys")), "shingle-sets")
-    members = regions.join(sets, "id").select(F.col("id").alias("rep"), "region", "keys").join(nodes, "rep")
+            a, b = cell.forest()
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(cell.ids[a]), pa.array(cell.ids[b])], ["a", "b"])
+
+    return gather(deal(suspects, _EXPLODED, "node"), _EXPLODED).mapInArrow(plausible, "a long, b long")
+
+
+def verify_pairs(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose full sets are similar enough."""
+    keyed = pairs.join(members.select(F.col("node").alias("a"), F.col("keys").alias("ka")), "a").join(members.select(F.col("node").alias("b"), F.col("keys").alias("kb")), "b")
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = [similar(np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8"), percent) for x, y in zip(batch.column("ka"), batch.column("kb"), strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
+
+    return keyed.select("a", "b", "ka", "kb").mapInArrow(check, "a long, b long")
+
+
+def near_links(nodes: DataFrame, members_of: Callable[[DataFrame], DataFrame], m: int, bands: int, rows: int, threshold: float, block: int = REGION_BLOCK) -> DataFrame:
+    """Verified links between nodes (``node``, ``n``, ``regs``), as many as connect what all links connect.
+
+    ``members_of`` adds ``keys``, ``n`` and ``regs`` to a table of nodes and regions.
+    """
+    regions, forest = spanning(materialize(suspect_pairs(nodes, m, bands, rows, threshold), "near-pairs"))
+    regions = regions.select("node", F.col("component").alias("region"))
+    members = materialize(members_of(regions), "region-members")
     percent = round(threshold * 10_000)
+    large = materialize(regions.groupBy("region").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > block).select("region"), "large-regions")
+    parted, links = members.withColumn("part", F.lit(-1).cast("long")), []
+    if not large.isEmpty():
+        tree = forest.join(regions.withColumnRenamed("node", "a").join(large, "region", "left_semi"), "a").select("a", "b")
+        sure = materialize(verify_pairs(tree, members, percent), "forest-links")
+        links.append(sure)
+        fragments = components(sure).withColumnRenamed("component", "part")
+        found = regions.join(large, "region", "left_semi").join(fragments, "node", "left").select("node", "region", F.coalesce("part", "node").alias("part"))
+        found = materialize(found, "fragments")
+        whole = found.groupBy("region").agg(F.min("part").alias("_a"), F.max("part").alias("_b")).where("_a = _b").select("region")
+        parts = found.select("node", "part")
+        parted = members.join(materialize(whole, "whole-regions"), "region", "left_anti").join(parts, "node", "left").withColumn("part", F.coalesce("part", F.lit(-1).cast("long")))
 
     def confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in groups(batches, ["region", "cell"]):
@@ -285,15 +331,55 @@ def near_documents(docs: DataFrame, width: int = 5, threshold: float = 0.8, band
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(cell.ids[a]), pa.array(cell.ids[b])], ["a", "b"])
 
-    dealt = gather(deal(members, ["region"], "rep", REGION_BLOCK), ["region"])
-    links = materialize(dealt.mapInArrow(confirmed, "a long, b long"), "near-links")
-    roots = components(links).withColumnRenamed("node", "rep")
+    dealt = gather(deal_apart(parted, "region", "part", "node", block), ["region"])
+    links.append(materialize(dealt.mapInArrow(confirmed, "a long, b long"), "near-links"))
+    return links[0] if len(links) == 1 else links[0].unionByName(links[1])
+
 
-    told = materialize(classes.select("n", "d1", "d2", "rep").join(roots, "rep", "left").select("n", "d1", "d2", F.coalesce("component", "rep").alias("component")), "near-told")
+def near_documents(docs: DataFrame, width: int = 5, threshold: float = 0.8, bands: int = BANDS, rows: int = ROWS, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """One row per input row: the id, ``n_shingles``, ``component_id`` and ``kept``.
+
+    Documents are linked at a Jaccard similarity of ``threshold`` or more of their
+    shingle sets of ``width`` words; ``component_id`` is the smallest id reachable
+    and ``kept`` marks the document that has it.  Null, empty and wordless texts
+    have no shingles and link with nothing; rows with a null id link with nothing
+    and have a null component, not kept.  Rows with shingles that share an id are
+    linked, whatever their texts.  Other columns are left aside; an empty table
+    gives an empty one.
+    """
+    m = bands * rows
+    sketched = materialize(sketches(docs, width, m, id_column, text_column), "sketches")
+    sound = sketched.where("n > 0 and id is not null")
+    # equal sets are one class and one node; its number is its place in the stored table
+    found = sound.groupBy("n", "d1", "d2").agg(F.min("id").alias("rep"), F.first("regs").alias("regs"))
+    classes = materialize(found.withColumn("node", F.monotonically_increasing_id()), "set-classes")
+
+    def members_of(regions: DataFrame) -> DataFrame:
+        wanted = materialize(regions.join(classes, "node"), "region-nodes")
+        texts = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text")).join(wanted.select(F.col("rep").alias("id")), "id", "left_semi")
+        sets = shingle_sets(texts, width).join(wanted, ["n", "d1", "d2"])
+        return sets.groupBy("node").agg(F.first("region").alias("region"), F.first("n").alias("n"), F.first("regs").alias("regs"), F.first("keys").alias("keys"))
+
+    links = near_links(classes.select("node", "n", "regs"), members_of, m, bands, rows, threshold)
+    linked = components(links.unionByName(_shared_ids(sound, classes)))
+    told = materialize(classes.select("n", "d1", "d2", "node", "rep").join(linked, "node", "left").select("n", "d1", "d2", "rep", F.coalesce("component", "node").alias("root")), "near-roots")
+    lowest = told.groupBy("root").agg(F.min("rep").alias("component"))
+    told = materialize(told.join(lowest, "root").select("n", "d1", "d2", "component"), "near-told")
     out = sketched.select("id", "n", "d1", "d2").join(told, ["n", "d1", "d2"], "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
     return out.select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(False)).alias("kept"))
 
 
+def _shared_ids(sound: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links between the classes of rows that share an id."""
+    digest = F.struct("n", "d1", "d2")
+    shared = materialize(sound.groupBy("id").agg(F.min(digest).alias("_a"), F.max(digest).alias("_b")).where("_a <> _b").select("id"), "shared-ids")
+    if shared.isEmpty():
+        return sound.sparkSession.createDataFrame([], "a long, b long")
+    of_id = sound.join(shared, "id", "left_semi").select("id", "n", "d1", "d2").distinct().join(classes, ["n", "d1", "d2"]).select("id", "node")
+    first = of_id.groupBy("id").agg(F.min("node").alias("b"))
+    return of_id.join(first, "id").select(F.col("node").alias("a"), "b")
+
+
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_documents(read_table(spark, sf_dir, "documents"), width=4)

@@ -23,7 +23,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, slices
+from .common import byte_letters, read_table, slices
 from .merges import PairTransducer
 
 #: Characters that one chunk map sums up.
@@ -193,19 +193,6 @@ class Counter:
         return out
 
 
-def byte_letters() -> list[str]:
-    """The printable letter that stands for each byte in byte-level vocabularies."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    out, extra = [""] * 256, 256
-    for b in range(256):
-        if b in plain:
-            out[b] = chr(b)
-        else:
-            out[b] = chr(extra)
-            extra += 1
-    return out
-
-
 @lru_cache(4)
 def counter(path: str) -> Counter:
     return Counter(path)
