@@ -2,14 +2,16 @@
 
 Vectors that are equal component by component form a class, compared once.  The
 signs of a class's products with random hyperplanes give its bucket in each of
-several tables; members of a bucket are compared by exact cosine in double
-precision, a pair in the first table only that brings it together.  Links are
-counted where they are found, and only a spanning part of each cell's links
-leaves it, for the distributed connected components.
+several tables; only the numbers of classes are dealt to buckets, buckets of one
+go, and the vectors join what is left.  Members of a bucket are compared by
+exact cosine in double precision, a pair in the first table only that brings it
+together.  Links are counted where they are found, and only a spanning part of
+each cell's links leaves it, for the distributed connected components.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -22,12 +24,25 @@ from .cells import deal, gather, groups
 from .common import materialize, read_table
 from .components import components
 
-#: A pair at cosine 0.95 shares a sign with probability 0.899, so a table of 12
-#: signs with 0.28 and one of 24 tables with 0.9996; at 0.98 it is 1 - 2e-8.
-BITS, TABLES = 12, 24
+#: Probability that a pair at the threshold meets in a table, and members of a bucket that unlike vectors may make.
+RECALL, FILL = 0.9996, 256
+#: Signs of a table at least and at most.
+LEAST_BITS, MOST_BITS = 12, 40
 SEED = 17
 
 
+def plan_tables(rows: int, threshold: float, recall: float = RECALL) -> tuple[int, int]:
+    """Signs of a table and number of tables for so many vectors.
+
+    Signs grow with the logarithm of the rows, so buckets stay as they are; the
+    tables make up for it.  A pair at cosine c shares a sign with probability
+    1 - arccos(c) / pi: 12 signs and 24 tables at 0.95 and up to a million rows.
+    """
+    bits = min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(max(1, rows) / FILL))))
+    together = (1 - math.acos(min(1.0, max(-1.0, threshold))) / math.pi) ** bits
+    return bits, max(1, math.ceil(math.log(1 - recall) / math.log(1 - min(together, 1 - 1e-12))))
+
+
 @lru_cache(64)
 def planes(dimensions: int, bits: int, tables: int) -> np.ndarray:
     return np.random.default_rng([SEED, dimensions]).standard_normal((dimensions, bits * tables))
@@ -47,6 +62,8 @@ def union_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         new = label.copy()
         np.minimum.at(new, a, low)
         np.minimum.at(new, b, low)
+        np.minimum.at(new, label[a], low)
+        np.minimum.at(new, label[b], low)
         new = new[new]
         if (new == label).all():
             break
@@ -54,19 +71,21 @@ def union_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
-def compare(group: pa.RecordBatch, threshold: float, bits: int, tables: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ids of a cell's members with links, the links that each has here and the smallest id reached."""
-    ids, side, copies = (group.column(c).to_numpy(zero_copy_only=False) for c in ("rep", "side", "copies"))
+def compare(group: pa.RecordBatch, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Nodes of a cell's members with links, the links that each has here and the smallest node reached."""
+    nodes, side, copies = (group.column(c).to_numpy(zero_copy_only=False) for c in ("node", "side", "copies"))
     table = group.column("slot")[0].as_py()
-    order = np.argsort(ids, kind="stable")
-    ids, side, copies = ids[order], side[order], copies[order]
-    x = np.frombuffer(b"".join(group.column("vector").take(pa.array(order)).to_pylist()), "<f8").reshape(len(ids), -1)
-    x = x / np.linalg.norm(x / np.abs(x).max(1, keepdims=True), axis=1, keepdims=True) / np.abs(x).max(1, keepdims=True)
-    buckets = signatures(x, bits, tables)[:, :table]
-    links, roots = np.zeros(len(ids), np.int64), np.arange(len(ids))
-    for at in range(0, len(ids), 64):
+    order = np.argsort(nodes, kind="stable")
+    nodes, side, copies = nodes[order], side[order], copies[order]
+    take = pa.array(order)
+    x = np.frombuffer(b"".join(group.column("vector").take(take).to_pylist()), "<f8").reshape(len(nodes), -1)
+    x = x / np.abs(x).max(1, keepdims=True)
+    x = x / np.linalg.norm(x, axis=1, keepdims=True)
+    buckets = np.frombuffer(b"".join(group.column("signs").take(take).to_pylist()), "<i8").reshape(len(nodes), -1)[:, :table]
+    links, roots = np.zeros(len(nodes), np.int64), np.arange(len(nodes))
+    for at in range(0, len(nodes), 64):
         near = x[at : at + 64] @ x.T >= threshold
-        near &= np.arange(len(ids))[None, :] > np.arange(at, at + len(near))[:, None]
+        near &= np.arange(len(nodes))[None, :] > np.arange(at, at + len(near))[:, None]
         if side[0] >= 0:
             near &= side[at : at + 64, None] != side[None, :]
         rows, others = np.nonzero(near)
@@ -78,26 +97,13 @@ def compare(group: pa.RecordBatch, threshold: float, bits: int, tables: int) ->
             np.add.at(links, a, copies[b])
             np.add.at(links, b, copies[a])
             if (roots[a] != roots[b]).any():
-                roots = union_roots(len(ids), np.concatenate([np.arange(len(ids)), a]), np.concatenate([roots, b]))
+                roots = union_roots(len(nodes), np.concatenate([np.arange(len(nodes)), a]), np.concatenate([roots, b]))
     has = np.flatnonzero(links)
-    return ids[has], links[has], ids[roots[has]]
+    return nodes[has], links[has], nodes[roots[has]]
 
 
-def near_vectors(vectors: DataFrame, threshold: float = 0.95, bits: int = BITS, tables: int = TABLES, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
-    """One row per input row: the id, ``n_links``, ``component_id`` and ``kept``.
-
-    ``n_links`` counts the other rows at cosine ``threshold`` or more, copies
-    included; ``component_id`` is the smallest id reachable by links.  Vectors
-    that are null, empty, zero or hold null or non-finite components link with
-    nothing, nor do rows with a null id (component null, not kept).  Vectors of
-    different lengths don't link.  Rows that share an id count as one node whose
-    links add up.  Other columns are left aside; an empty table gives an empty one.
-    """
-    v = F.col("v")
-    rows = vectors.select(F.col(id_column).cast("long").alias("id"), F.col(vector_column).cast("array<double>").alias("v"))
-    sound = F.col("id").isNotNull() & v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    rows = rows.withColumn("v", F.when(F.coalesce(sound, F.lit(False)), F.transform(v, lambda x: x + F.lit(0.0))))  # no -0.0
-    classes = materialize(rows.where("v is not null").groupBy("v").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")), "vector-classes")
+def hash_vectors(classes: DataFrame, bits: int, tables: int) -> DataFrame:
+    """node, copies, the vector as doubles and ``signs``: its bucket in each table, both as bytes."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -109,31 +115,79 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, bits: int = BITS,
                     by_size.setdefault(len(x), []).append(i)
                 for size, members in by_size.items():
                     x = np.stack([arrays[i] for i in members])
-                    x = x / np.abs(x).max(1, keepdims=True)
-                    found = signatures(x, bits, tables) * np.int64(1 << 20) + min(size, (1 << 20) - 1)
-                    pick = pa.array(np.repeat(np.array(members), tables))
-                    blobs = pa.array([arrays[i].tobytes() for i in members], pa.binary()).take(pa.array(np.repeat(np.arange(len(members)), tables)))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(tables, dtype=np.int32), len(members))), pa.array(found.reshape(-1)), part.column("rep").take(pick), part.column("copies").take(pick), blobs], ["slot", "bucket", "rep", "copies", "vector"])
+                    found = signatures(x / np.abs(x).max(1, keepdims=True), bits, tables).astype("<i8")
+                    pick = pa.array(members)
+                    blobs, signs = ([row.tobytes() for row in m] for m in (x, found))
+                    yield pa.RecordBatch.from_arrays([part.column("node").take(pick), part.column("copies").take(pick), pa.array([size] * len(members), pa.int32()), pa.array(blobs, pa.binary()), pa.array(signs, pa.binary())], ["node", "copies", "size", "vector", "signs"])
+
+    return classes.mapInArrow(hashed, "node long, copies long, size int, vector binary, signs binary")
 
-    buckets = classes.mapInArrow(hashed, "slot int, bucket long, rep long, copies long, vector binary")
+
+def near_vectors(vectors: DataFrame, threshold: float = 0.95, bits: int | None = None, tables: int | None = None, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
+    """One row per input row: the id, ``n_links``, ``component_id`` and ``kept``.
+
+    ``n_links`` counts the other rows at cosine ``threshold`` or more, copies
+    included; ``component_id`` is the smallest id reachable by links.  Vectors
+    that are null, empty, zero or hold null or non-finite components link with
+    nothing, nor do rows with a null id (component null, not kept).  Vectors of
+    different lengths don't link.  Rows with sound vectors that share an id are one
+    node of the components, whatever their vectors; each has its own ``n_links``.
+    Other columns are left aside; an empty table gives an empty one.  Signs and
+    tables follow the number of distinct vectors (``plan_tables``) unless given.
+    """
+    v = F.col("v")
+    rows = vectors.select(F.col(id_column).cast("long").alias("id"), F.col(vector_column).cast("array<double>").alias("v"))
+    sound = F.col("id").isNotNull() & v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
+    rows = rows.withColumn("v", F.when(F.coalesce(sound, F.lit(False)), F.transform(v, lambda x: x + F.lit(0.0))))  # no -0.0
+    found = rows.where("v is not null").groupBy("v").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
+    classes = materialize(found.withColumn("node", F.monotonically_increasing_id()), "vector-classes")
+    planned = plan_tables(classes.count(), threshold)
+    bits, tables = bits or planned[0], tables or planned[1]
+    hashed = materialize(hash_vectors(classes, bits, tables), "vector-signs")
     keys = ["slot", "bucket"]
 
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            signs = np.frombuffer(b"".join(batch.column("signs").to_pylist()), "<i8")
+            buckets = signs * np.int64(1 << 20) + np.repeat(np.minimum(batch.column("size").to_numpy(), (1 << 20) - 1), tables)
+            yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(tables, dtype=np.int32), n)), pa.array(buckets), batch.column("node").take(pa.array(np.repeat(np.arange(n), tables)))], ["slot", "bucket", "node"])
+
+    places = hashed.select("node", "size", "signs").mapInArrow(spread, "slot int, bucket long, node long")
+    several = places.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(*keys)
+    suspects = materialize(deal(materialize(places.join(several, keys, "left_semi"), "vector-buckets"), keys, "node"), "vector-cells")
+
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in groups(batches, [*keys, "cell"]):
-            ids, links, roots = compare(group, threshold, bits, tables)
-            if len(ids):
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(links), pa.array(roots)], ["rep", "links", "root"])
-
-    found = materialize(gather(deal(buckets, keys, "rep"), keys).mapInArrow(compared, "rep long, links long, root long"), "vector-links")
-    degrees = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    roots = components(found.select("rep", "root")).withColumnRenamed("node", "rep")
-    told = classes.join(degrees, "rep", "left").join(roots, "rep", "left").select("v", F.col("copies"), F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "rep").alias("component"))
-    told = materialize(told, "vector-told")  # a plain scan, so that a hot vector's join can be split
+            nodes, links, roots = compare(group, threshold)
+            if len(nodes):
+                yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(links), pa.array(roots)], ["node", "links", "root"])
+
+    cells = gather(suspects.join(hashed, "node"), keys)
+    linked = materialize(cells.mapInArrow(compared, "node long, links long, root long"), "vector-links")
+    degrees = linked.groupBy("node").agg(F.sum("links").alias("links"))
+    roots = components(linked.select("node", "root").unionByName(_shared_ids(rows, classes)))
+    told = classes.join(degrees, "node", "left").join(roots, "node", "left").select("v", "copies", "rep", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "node").alias("root"))
+    told = materialize(told, "vector-roots")
+    lowest = told.groupBy("root").agg(F.min("rep").alias("component"))
+    told = materialize(told.join(lowest, "root"), "vector-told")  # a plain scan, so that a hot vector's join can be split
     out = rows.join(told, "v", "left")
     component = F.coalesce("component", "id")
     return out.select(F.col("id").alias(id_column), F.coalesce(F.col("links") + F.col("copies") - 1, F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(False)).alias("kept"))
 
 
+def _shared_ids(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links between the classes of rows that share an id."""
+    sound = rows.where("v is not null")
+    digest = F.xxhash64("v")
+    shared = materialize(sound.groupBy("id").agg(F.min(digest).alias("_a"), F.max(digest).alias("_b")).where("_a <> _b").select("id"), "shared-ids")
+    if shared.isEmpty():
+        return rows.sparkSession.createDataFrame([], "node long, root long")
+    of_id = sound.join(shared, "id", "left_semi").join(classes.select("v", "node"), "v").select("id", "node").distinct()
+    first = of_id.groupBy("id").agg(F.min("node").alias("root"))
+    return of_id.join(first, "id").select("node", "root")
+
+
 def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(read_table(spark, sf_dir, "embeddings"))
 

@@ -30,6 +30,8 @@ from .common import encode_words, materialize, mix64, read_table, slices, split_
 
 #: Consecutive words that make a repeat, and words of the runs among which anchors are chosen.
 WINDOW, RUN = 50, 8
+#: Windows whose anchors are found at a time.
+STEP = 1 << 20
 _EMPTY = hashlib.sha256(b"").hexdigest()
 
 
@@ -91,6 +93,27 @@ class SuffixAutomaton:
         return out
 
 
+def leftmost_least(key: np.ndarray, width: int, step: int = STEP) -> np.ndarray:
+    """Of each run of ``width`` keys, the place of the one with the least upper bits, the leftmost of equals.
+
+    The lower 24 bits make room for the place, so the keys are taken in
+    overlapping parts of ``step`` runs, whatever their number.
+    """
+    low = np.uint64((1 << 24) - 1)
+    if step + width > 1 << 24:
+        raise ValueError("a part must hold fewer than 2**24 keys")
+    out = []
+    for at in range(0, max(0, len(key) - width + 1), step):
+        part = key[at : at + step + width - 1]
+        least, have = (part & ~low) | np.arange(len(part), dtype=np.uint64), 1
+        while have < width:
+            more = min(have, width - have)
+            least = np.minimum(least[: len(least) - more], least[more:])
+            have += more
+        out.append((least & low).astype(np.int64) + at)
+    return np.concatenate(out) if out else np.zeros(0, np.int64)
+
+
 class Words:
     """Words of a slice of texts with the anchors of their windows."""
 
@@ -114,13 +137,7 @@ class Words:
         key = np.full(n - run + 1, run, np.uint64)
         for i in range(run):
             key = mix64(key * np.uint64(0x9E3779B97F4A7C15) + h[i : n - run + 1 + i])
-        place = (key & ~np.uint64((1 << 24) - 1)) | np.arange(len(key), dtype=np.uint64)  # the leftmost of equals
-        least, have = place, 1
-        while have < width:
-            step = min(have, width - have)
-            least = np.minimum(least[: len(least) - step], least[step:])
-            have += step
-        pick = (least & np.uint64((1 << 24) - 1)).astype(np.int64)  # by first word of the window
+        pick = leftmost_least(key, width)  # by first word of the window
         row = np.repeat(np.arange(len(self.counts)), self.counts)
         at = np.flatnonzero(row[: n - window + 1] == row[window - 1 :])
         if not len(at):
