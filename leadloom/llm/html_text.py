@@ -1,7 +1,8 @@
 """Visible text of HTML pages, laid out as a browser without scripts would.
 
 A tree builder with implied tags makes elements of the markup, visibility rules
-leave out what isn't shown, and a renderer writes blocks on lines of their own,
+(of elements, style attributes and style sheets in the page) leave out what isn't
+shown, and a renderer writes blocks on lines of their own,
 blank lines between paragraphs, list markers with indents, and table cells in
 aligned columns.
 """
@@ -21,8 +22,9 @@ from pyspark.sql import functions as F
 from .common import read_table, slices
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
-_HIDDEN = frozenset("head script style template noscript iframe noembed noframes title datalist audio video canvas object map".split())
+_RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
+#: Never shown.  Browsers play audio and video and draw canvases, so what these hold for others isn't seen.
+_HIDDEN = frozenset("head script style template iframe noembed noframes title datalist audio video canvas rp".split())
 #: Blocks with a blank line around them, and blocks that only start and end a line.
 _SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl pre blockquote figure table menu hr xmp fieldset".split())
 _BLOCK = _SPACED | frozenset("address article aside body center dd details dialog dir div dt figcaption footer form header hgroup html legend li main nav optgroup option search section summary tr td th tbody thead tfoot caption".split())
@@ -51,14 +53,128 @@ _FRAMES = 6
 _TOKEN = re.compile(r"""<!--(?:>|->|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^\s/>]*)((?>[^>"']+|"[^"]*"|'[^']*'|["'])*+)>|<[!?/][^>]*>?|[^<]+|<""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _SPACES = re.compile(r"[ \t\n\r\f]+")
-_UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+_HEAD = frozenset("meta link title script style base template noscript".split())
+_TABLE_PARTS = frozenset("tr td th thead tbody tfoot".split())
+_NO_CSS = re.compile(r"""/\*.*?(?:\*/|\Z)|"(?:\\.|[^"\\])*"?|'(?:\\.|[^'\\])*'?|url\([^)]*\)?""", re.S)
+_COMPOUND = re.compile(r"(\*|[a-zA-Z][\w-]*)?((?:[.#][\w-]+)*)")
+#: Values of ``display`` that show an element, and of ``visibility``; others are no valid declarations.
+_SHOWS = frozenset("block inline inline-block flex inline-flex grid inline-grid table inline-table table-row table-cell table-caption table-row-group list-item contents flow-root run-in initial revert unset".split())
+_SEES = {"visible": True, "initial": True, "hidden": False, "collapse": False}
 
 
 class Element:
-    __slots__ = ("attributes", "children", "tag")
+    __slots__ = ("attributes", "children", "lit", "shown", "tag")
 
-    def __init__(self, tag: str, attributes: dict[str, str]):
+    def __init__(self, tag: str, attributes: dict[str, str], lit: bool = True):
         self.tag, self.attributes, self.children = tag, attributes, []
+        self.shown, self.lit = visible(self), lit
+
+
+def _holder(e: Element, children: list) -> Element:
+    """A block around some of the children of ``e``."""
+    out = Element("div", {}, e.lit)
+    out.children = children
+    return out
+
+
+def declarations(style: str) -> dict[str, tuple[bool, bool]]:
+    """Of ``display`` and ``visibility``: whether the declaration is important, and whether it shows; the last one counts."""
+    out: dict[str, tuple[bool, bool]] = {}
+    for part in _NO_CSS.sub('""', style).split(";"):
+        name, _, value = part.partition(":")
+        name = name.strip().lower()
+        if name not in ("display", "visibility"):
+            continue
+        value, _, mark = value.strip().lower().partition("!")
+        value, important = value.strip(), mark.strip() == "important"
+        shows = (False if value == "none" else True if value in _SHOWS else None) if name == "display" else _SEES.get(value)
+        if shows is not None and (important or not out.get(name, (False,))[0]):
+            out[name] = (important, shows)
+    return out
+
+
+class Rule:
+    """A rule of a style sheet that shows or hides: compound selectors in order, each with the combinator before it."""
+
+    def __init__(self, selector: list[tuple[str, str, frozenset[str], frozenset[str]]], order: int, says: dict[str, tuple[bool, bool]]):
+        self.selector, self.says = selector, says
+        self.weight = (sum(len(ids) for _, _, ids, _ in selector), sum(len(c) for _, _, _, c in selector), sum(t not in ("", "*") for _, t, _, _ in selector), order)
+
+    def step(self, e: Element, above: int, parent: int) -> int:
+        """Bits of the beginnings of the selector that end at ``e``, from those that end at an ancestor and at the parent."""
+        a, out = e.attributes, 0
+        for k, (combinator, tag, ids, classes) in enumerate(self.selector):
+            if k and not (parent if combinator == ">" else above) >> (k - 1) & 1:
+                continue
+            if tag in ("", "*", e.tag) and (not ids or ids == {a.get("id", "")}) and (not classes or classes <= set(a.get("class", "").split())):
+                out |= 1 << k
+        return out
+
+    def selects(self, ends: int) -> bool:
+        return bool(ends >> (len(self.selector) - 1) & 1)
+
+
+def sheet_rules(css: str, first: int = 0) -> list[Rule]:
+    """Rules that set ``display`` or ``visibility``, with selectors of tags, classes, ids, descendants and children.
+
+    Rules for other media than the screen, other selectors and other at-rules are left out.
+    """
+    out: list[Rule] = []
+    css = _NO_CSS.sub('""', css.replace("<!--", " ").replace("-->", " "))
+    at = 0
+    while (start := css.find("{", at)) >= 0:
+        prelude, depth, end = css[at:start].rpartition(";")[2].strip(), 1, start + 1
+        while end < len(css) and depth:
+            depth += {"{": 1, "}": -1}.get(css[end], 0)
+            end += 1
+        body, at = css[start + 1 : end - (not depth)], end
+        if prelude.startswith("@"):
+            if re.fullmatch(r"@media\s+(?:only\s+)?(?:screen|all)", prelude, re.I):
+                out += sheet_rules(body, first + len(out))
+            continue
+        says = declarations(body)
+        for selector in prelude.split(",") if says else []:
+            parts = re.split(r"\s*(>)\s*|\s+", selector.strip())
+            compounds, combinators = parts[::2], [p or " " for p in parts[1::2]]
+            found = [_COMPOUND.fullmatch(c) for c in compounds]
+            if not all(found) or not all(compounds):
+                continue
+            chain = []
+            for m, before in zip(found, [" ", *combinators], strict=True):
+                names = re.findall(r"[.#][\w-]+", m[2])
+                chain.append((before, (m[1] or "").lower(), frozenset(n[1:] for n in names if n[0] == "#"), frozenset(n[1:] for n in names if n[0] == ".")))
+            out.append(Rule(chain, first + len(out), says))
+    return out
+
+
+def cascade(root: Element, rules: list[Rule]) -> None:
+    """Set ``shown`` and ``lit`` of all elements: style sheets, own styles, and visibility handed down."""
+    stack: list[tuple[Element, list[int], list[int]]] = [(root, [0] * len(rules), [0] * len(rules))]
+    while stack:
+        e, above, parent = stack.pop()
+        best: dict[str, tuple[tuple, bool]] = {}
+
+        def say(says: dict[str, tuple[bool, bool]], weight: tuple, best: dict = best) -> None:
+            for name, (important, shows) in says.items():
+                rank = (important, *weight)
+                if name not in best or rank >= best[name][0]:
+                    best[name] = (rank, shows)
+
+        ends = [rule.step(e, *of) for rule, *of in zip(rules, above, parent, strict=True)]
+        for rule, end in zip(rules, ends, strict=True):
+            if rule.selects(end):
+                say(rule.says, (0, *rule.weight))
+        below = [x | y for x, y in zip(above, ends, strict=True)]
+        if "style" in e.attributes:
+            say(declarations(e.attributes["style"]), (1, 0, 0, 0, 0))
+        if "display" in best and e.tag not in _HIDDEN:
+            e.shown = best["display"][1]
+        if "visibility" in best:
+            e.lit = best["visibility"][1]
+        for c in e.children:
+            if isinstance(c, Element):
+                c.lit = e.lit
+                stack.append((c, below, ends))
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -77,10 +193,20 @@ def build(markup: str) -> tuple[Element, int]:
     stack = [root]
     known: Counter[str] = Counter()  # open elements by tag, so that deep stacks are searched for what is there only
     at, size, deepest = 0, len(markup), 1
+    styled, sheets = False, []
+    implied = 0  # place of a table that cells outside of any imply
 
     def cut(i: int) -> None:
+        nonlocal implied
         known.subtract([e.tag for e in stack[i:]])
         del stack[i:]
+        if implied >= i:
+            implied = 0
+
+    def leave_table() -> None:
+        """Content that isn't in a cell ends an implied table."""
+        if implied and not any(e.tag in _CELLS for e in stack[implied:]):
+            cut(implied)
 
     def close(kinds: frozenset[str], bound: frozenset[str]) -> None:
         if not any(known[k] for k in kinds):
@@ -103,8 +229,10 @@ def build(markup: str) -> tuple[Element, int]:
         if tag is None:
             text = m[0]
             if text[0] != "<" or text == "<":
-                if stack[-1].tag == "head" and not text.isspace():
-                    cut(len(stack) - 1)
+                if not text.isspace():
+                    if stack[-1].tag == "head":
+                        cut(len(stack) - 1)
+                    leave_table()
                 stack[-1].children.append(html.unescape(text) if "&" in text else text)
             continue
         tag = tag.lower()
@@ -127,8 +255,19 @@ def build(markup: str) -> tuple[Element, int]:
             for k, v in attributes.items():
                 root.attributes.setdefault(k, v)
             continue
-        if stack[-1].tag == "head" and tag not in ("meta", "link", "title", "script", "style", "base", "template", "noscript"):
+        if stack[-1].tag == "noscript" and stack[-2].tag == "head" and tag not in ("link", "meta", "style"):
+            cut(len(stack) - 1)
+        if stack[-1].tag == "head" and tag not in _HEAD:
             cut(len(stack) - 1)
+        if tag not in _TABLE_PARTS:
+            leave_table()
+        elif not known["table"]:
+            if tag not in _CELLS or stack[-1].tag != "p":
+                close(frozenset(["p"]), _P_BOUND)
+            implied = len(stack)
+            stack[-1].children.append(Element("table", {}))
+            stack.append(stack[-1].children[-1])
+            known["table"] += 1
         if tag == "body":
             if known["body"]:
                 continue
@@ -137,28 +276,35 @@ def build(markup: str) -> tuple[Element, int]:
         if tag in _CLOSES_P:
             close(frozenset(["p"]), _P_BOUND)
         element = Element(tag, attributes)
+        styled = styled or "style" in attributes
         stack[-1].children.append(element)
         if tag in _RAW:
             end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(markup, at)
             text = markup[at : end.start() if end else size]
+            if tag == "style" and attributes.get("media", "screen").strip().lower() in ("", "all", "screen"):
+                sheets.append(text)
             element.children.append(html.unescape(text) if tag in ("textarea", "title") else text)
             at = end.end() if end else size
         elif tag not in _VOID and not (m[3].endswith("/") and tag in ("svg", "path", "circle", "rect", "use")):
             stack.append(element)
             known[tag] += 1
             deepest = max(deepest, len(stack))
+    rules: list[Rule] = []
+    for css in sheets:
+        rules += sheet_rules(css, len(rules))
+    if rules or styled:
+        cascade(root, rules)
     return root, deepest
 
 
 def visible(e: Element) -> bool:
+    """Whether an element is displayed if no style says otherwise."""
     if e.tag in _HIDDEN:
         return False
     a = e.attributes
     if not a:
         return e.tag != "dialog"
-    if "hidden" in a or "style" in a and _UNSEEN.search(a["style"]):
-        return False
-    return not (e.tag == "dialog" and "open" not in a or e.tag == "input" and a.get("type", "").lower() == "hidden")
+    return not ("hidden" in a or e.tag == "dialog" and "open" not in a or e.tag == "input" and a.get("type", "").lower() == "hidden")
 
 
 class Flow:
@@ -240,7 +386,7 @@ def _inside(e: Element, pre: bool = False) -> list[str]:
 
 def _list(e: Element) -> list[str]:
     lines: list[str] = []
-    items = [c for c in e.children if isinstance(c, str) and not c.isspace() or isinstance(c, Element) and visible(c)]
+    items = [c for c in e.children if isinstance(c, str) and not c.isspace() or isinstance(c, Element) and c.shown]
     ordered = e.tag == "ol"
     n = _number(e.attributes.get("start"), 1)
     if ordered and "reversed" in e.attributes and "start" not in e.attributes:
@@ -248,14 +394,14 @@ def _list(e: Element) -> list[str]:
     step = -1 if ordered and "reversed" in e.attributes else 1
     for c in items:
         if isinstance(c, str) or c.tag != "li":
-            holder = Element("div", {})
-            holder.children = [c]
-            lines += ["  " + x if x else x for x in _inside(holder)]
+            lines += ["  " + x if x else x for x in _inside(_holder(e, [c]))]
             continue
         n = _number(c.attributes.get("value"), n) if ordered else n
         mark = f"{n}. " if ordered else "- "
         n += step
         inner = _inside(c) or [""]
+        if not c.lit:
+            mark = " " * len(mark)
         lines.append((mark + inner[0]).rstrip())
         lines += [" " * len(mark) + x if x else x for x in inner[1:]]
     return lines
@@ -272,10 +418,8 @@ def _table(e: Element) -> list[str]:
         for c in parent.children:
             if isinstance(c, str):
                 if not c.isspace():
-                    holder = Element("div", {})
-                    holder.children = [c]
-                    loose.append(_inside(holder))
-            elif not visible(c):
+                    loose.append(_inside(_holder(parent, [c])))
+            elif not c.shown:
                 continue
             elif c.tag == "tr":
                 into.append(c)
@@ -283,14 +427,12 @@ def _table(e: Element) -> list[str]:
                 gather(c, heads if c.tag == "thead" else feet if c.tag == "tfoot" else rows)
             elif c.tag in _CELLS:
                 if not (into and into[-1].tag == "implied"):
-                    into.append(Element("implied", {}))
+                    into.append(Element("implied", {}, parent.lit))
                 into[-1].children.append(c)
             elif c.tag == "caption":
                 captions.append(_inside(c))
             elif c.tag not in ("col", "colgroup"):
-                holder = Element("div", {})
-                holder.children = [c]
-                loose.append(_inside(holder))
+                loose.append(_inside(_holder(parent, [c])))
 
     gather(e, rows)
     grid: list[dict[int, tuple[list[str], int]]] = []
@@ -303,9 +445,8 @@ def _table(e: Element) -> list[str]:
             if isinstance(c, str):
                 if c.isspace():
                     continue
-                cell = Element("td", {})
-                cell.children = [c]
-            elif not visible(c):
+                cell = _holder(tr, [c])
+            elif not c.shown:
                 continue
             else:
                 cell = c
@@ -352,15 +493,16 @@ def render(e: Element, flow: Flow, pre: bool = False) -> None:
     """Write the visible children of ``e``."""
     for c in e.children:
         if isinstance(c, str):
-            flow.text(c, pre)
+            if e.lit:
+                flow.text(c, pre)
             continue
         tag = c.tag
-        if not visible(c):
+        if not c.shown:
             continue
         if tag == "br":
             flow.end_line(force=True)
         elif tag == "input":
-            if c.attributes.get("type", "").lower() in ("submit", "button", "reset"):
+            if c.lit and c.attributes.get("type", "").lower() in ("submit", "button", "reset"):
                 flow.text(" " + c.attributes.get("value", "") + " ", False)
         elif tag in ("ul", "ol", "menu", "dir"):
             nested = e.tag == "li"
@@ -377,7 +519,7 @@ def render(e: Element, flow: Flow, pre: bool = False) -> None:
         elif tag == "details" and "open" not in c.attributes:
             flow.block(False)
             for s in c.children:
-                if isinstance(s, Element) and s.tag == "summary" and visible(s):
+                if isinstance(s, Element) and s.tag == "summary" and s.shown:
                     flow.insert(_inside(s))
                     break
             flow.block(False)
