@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Bytes of text that one Python worker turns into arrays at a time.
@@ -21,9 +21,15 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares; one of our own only where none is named (tests)."""
+    """The folder that the cluster shares, as ``spark.checkpoint.dir`` names it.
+
+    Only a session whose executors are threads of the driver (master ``local``)
+    may go without: it gets a temporary folder of its own.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -44,30 +50,39 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def sequence_number(df: DataFrame, group: list[str], order: list[str], out: str, spread: int | None = None) -> DataFrame:
+#: Rows of a sub-group that are numbered in one task without a further split.
+HOT = 2_000_000
+
+
+def sequence_number(df: DataFrame, group: list[str], order: list[str], out: str, sub: Callable[[int], Column] | None = None, hot: int = HOT) -> DataFrame:
     """Add ``out``: a gapless number from 0 within ``group``, with no group in one task.
 
-    Rows of a group are spread over ``spread`` sub-groups by a hash of ``order``;
-    a small table of sub-group sizes gives each its first number, and a window
-    numbers the rows inside.  Rows that are equal in all of ``order`` get
-    different numbers, in any order.  The table has at most groups x 4,096 rows,
-    so it is broadcast; callers have few groups (shards, length buckets).
+    Rows of a group are spread over sub-groups by a hash of ``order``, or by
+    ``sub``, which gets their number (a power of two); a small table of sub-group
+    sizes gives each its first number, and a window numbers the rows inside.  The
+    table has at most groups x 4,096 rows, so it is broadcast; callers have few
+    groups (shards, length buckets).  A sub-group of more than ``hot`` rows (one
+    key may hold a third of all) is split further by a hash of all columns, so
+    only rows that are equal in every column stay together.  Rows that are equal
+    in all of ``order`` get different numbers, in any order.
     """
-    from pyspark.sql import Window
-
-    spread = spread or min(4096, max(8, 2 * partitions(df.sparkSession)))
-    keyed = df.withColumn("_sub", F.pmod(F.xxhash64(*order, F.lit(7)), F.lit(spread)).cast("int"))
-    sizes = keyed.groupBy(*group, "_sub").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*group).orderBy("_sub").rowsBetween(Window.unboundedPreceding, -1)
-    first = sizes.select(*group, "_sub", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
-    inside = Window.partitionBy(*group, "_sub").orderBy(*order)
-    numbered = keyed.withColumn("_rank", F.row_number().over(inside))
-    same = [numbered[c].eqNullSafe(first[c]) for c in (*group, "_sub")]
-    condition = same[0]
-    for c in same[1:]:
-        condition = condition & c
-    # at most groups x spread rows
-    joined = numbered.join(F.broadcast(first), condition)
+    spread = 1 << min(12, max(3, (2 * partitions(df.sparkSession) - 1).bit_length()))
+    chosen = F.pmod(F.xxhash64(*order, F.lit(7)), F.lit(spread)) if sub is None else sub(spread)
+    keyed = df.withColumns({"_sub": chosen.cast("int"), "_fine": F.lit(0)})
+    keys = [*group, "_sub", "_fine"]
+    sizes = materialize(keyed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")), "group-sizes")
+    crowded = sizes.where(F.col("_n") > hot)
+    if not crowded.isEmpty():
+        split = crowded.select(*group, "_sub", F.ceil(F.col("_n") / hot).cast("int").alias("_splits"))
+        joined = keyed.join(F.broadcast(split), and_all(keyed[c].eqNullSafe(split[c]) for c in (*group, "_sub")), "left")
+        fine = F.when(F.col("_splits").isNotNull(), F.pmod(F.xxhash64(*[keyed[c] for c in df.columns]), F.col("_splits"))).otherwise(0).cast("int")
+        keyed = joined.select(*[keyed[c] for c in (*df.columns, "_sub")], fine.alias("_fine"))
+        sizes = materialize(keyed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")), "group-sizes")
+    before = Window.partitionBy(*group).orderBy("_sub", "_fine").rowsBetween(Window.unboundedPreceding, -1)
+    first = sizes.select(*keys, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
+    numbered = keyed.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    # at most groups x spread rows and those of the splits
+    joined = numbered.join(F.broadcast(first), and_all(numbered[c].eqNullSafe(first[c]) for c in keys))
     return joined.select(*[numbered[c] for c in df.columns], (F.col("_first") + F.col("_rank") - 1).alias(out))
 
 

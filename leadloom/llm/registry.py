@@ -21,4 +21,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_rules": quality_rules.op9_quality_rules,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_line_dedup": line_dedup.ORACLE_SQL, "op2_embedding_dedup": embedding_dedup.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op1_line_dedup": line_dedup.ORACLE_SQL,
+    "op2_embedding_dedup": embedding_dedup.ORACLE_SQL,
+    "op10_near_dedup": near_dedup.ORACLE_SQL,
+    "op5_substring_dedup": substring_dedup.ORACLE_SQL,
+    "op8_sharding": sharding.ORACLE_SQL,
+}

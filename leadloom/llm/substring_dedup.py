@@ -307,3 +307,20 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, id_column: str = "do
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     verdicts, _ = repeats(read_table(spark, sf_dir, "documents"))
     return verdicts.select(F.col("id").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
+
+
+ORACLE_SQL = r"""
+WITH docs AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words FROM documents
+), windows AS (
+  SELECT doc_id, i, md5(array_to_string(words[i:i + 49], ' ')) AS k FROM docs, LATERAL (SELECT unnest(range(1, len(words) - 48)) AS i) r
+), firsts AS (SELECT k, min(doc_id) AS first FROM windows GROUP BY k
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS i FROM windows JOIN firsts USING (k) WHERE first < doc_id
+), single AS (
+  SELECT doc_id, generate_subscripts(words, 1) AS i, unnest(words) AS word FROM docs
+), remaining AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS kept, count(*) AS n FROM single ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id
+)
+SELECT doc_id, len(words)::BIGINT AS n_words, (len(words) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM docs LEFT JOIN remaining USING (doc_id)
+"""
