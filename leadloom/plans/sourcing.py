@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +14,7 @@ from leadloom.operators import directory as D
 from leadloom.operators import extract as X
 from leadloom.operators import frontier as N
 from leadloom.operators import report as O
+from leadloom.sources.shared import fresh_folder
 from leadloom.streaming.consolidate import merged_rows, merged_stream
 
 from .consolidation import HTML, LEAD_TYPE, RAW, d_digits, html_pages, raw_leads, read, tables
@@ -292,11 +291,7 @@ def q_first_per_key(spark, sf):
 
 def q_stream_consolidate(spark, sf):
     """The stream's result after all files: raw leads dealt evenly to part files, half of them per trigger."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        shared = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", shared)
-    base = f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    base = fresh_folder(spark, "stream")
     leads = raw_leads(spark, sf).drop("seq")
     files = max(4, read(spark, sf, "customer").rdd.getNumPartitions())
     leads.repartition(files).write.parquet(f"{base}/in")

@@ -71,12 +71,13 @@ def read_by_source(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("basePath", path).parquet(path)
 
 
-def read_source_reports(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """Progress documents; unreadable ones count as empty."""
-    return spark.read.schema(REPORT).option("multiLine", True).option("mode", "PERMISSIVE").json(paths)
+def read_source_reports(spark: SparkSession, paths: str | Sequence[str], lines: bool = False) -> DataFrame:
+    """Progress documents, one per file or (``lines``) one per line; unreadable ones count as empty."""
+    return spark.read.schema(REPORT).option("multiLine", not lines).option("mode", "PERMISSIVE").json(paths)
 
 
 def write_source_reports(df: DataFrame, path: str) -> None:
+    """Documents one per line."""
     df.write.mode("overwrite").json(path)
 
 
@@ -86,15 +87,16 @@ def with_request_defaults(requests: DataFrame) -> DataFrame:
     return requests.withColumns({c: F.coalesce(or_null(strip(F.col(c))), F.lit(d)) for c, d in defaults.items()})
 
 
-def read_requests(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    return with_request_defaults(spark.read.schema(REQUEST).option("multiLine", True).json(paths))
+def read_requests(spark: SparkSession, paths: str | Sequence[str], lines: bool = False) -> DataFrame:
+    """Request documents, one per file or (``lines``) one per line, with the defaults."""
+    return with_request_defaults(spark.read.schema(REQUEST).option("multiLine", not lines).json(paths))
 
 
 def read_pages(spark: SparkSession, path: str, form: str = "parquet") -> DataFrame:
     """Fetched pages as url and html: a Parquet table, or a folder of HTML files named by their path."""
     if form == "parquet":
         return spark.read.parquet(path)
-    return spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("url"), F.col("value").alias("html"))
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("url"), F.col("value").alias("html"))
 
 
 def latest_result(spark: SparkSession, path: str, run_id: str) -> DataFrame:

@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from leadloom.operators import consolidate as C
 
@@ -60,38 +56,30 @@ def merged_rows(state: DataFrame, by: list[str] | None = None) -> DataFrame:
     return grouped.select(*by, "merge_key", *scalars, *map(union, lists), "h.seq", "h.n")
 
 
-_STATE = "row string, first_rank int, first_row long, n long"
-_OUT = "run_id string, cache_key string, row string, first_rank int, first_row long, n long"
-
-
-def _first_verdict(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """The first batch that holds a key fixes its row (the last of the batch); later rows only count."""
-    held = state.get if state.exists else None
-    best, first, n = None, None, 0
-    for pdf in batches:
-        order = pdf.sort_values(["profile_rank", "row_no"])
-        last, head = order.iloc[-1], order.iloc[0]
-        mark, start = (int(last.profile_rank), int(last.row_no)), (int(head.profile_rank), int(head.row_no))
-        if best is None or mark > best[0]:
-            best = (mark, last.row)
-        first = start if first is None else min(first, start)
-        n += len(pdf)
-    row, rank, number, total = held or (best[1], *first, 0)
-    total += n
-    state.update((row, rank, number, total))
-    yield pd.DataFrame([(*key, row, rank, number, total)], columns=["run_id", "cache_key", "row", "first_rank", "first_row", "n"])
-
-
 def keyed_verdicts(leads: DataFrame, lead_type: Column | str, geography: Column | str) -> DataFrame:
-    """A stream of the row that stands for each (run_id, cache_key), as JSON, with the rows counted so far (update mode)."""
+    """A stream of the row that stands for each (run_id, cache_key), with its first place and the rows counted so far (update mode).
+
+    The first batch that holds a key fixes its row, the last one of that batch;
+    later rows only count.  A batch has one time, kept in the stream's log, so
+    this is a plain aggregation, which combines before the shuffle.
+    """
     passed = C.candidates(leads, lead_type, geography).where("skip_reason is null")
-    rows = passed.select("run_id", "cache_key", F.to_json(F.struct(*C.FIELDS)).alias("row"), F.col("seq.profile_rank").alias("profile_rank"), F.col("seq.row_no").alias("row_no"))
-    return rows.groupBy("run_id", "cache_key").applyInPandasWithState(_first_verdict, _OUT, _STATE, "update", GroupStateTimeout.NoTimeout)
+    timed = passed.withColumn("_at", F.current_timestamp())
+    rank, number = F.col("seq.profile_rank"), F.col("seq.row_no")
+    found = timed.groupBy("run_id", "cache_key").agg(F.min_by(F.struct(*C.FIELDS), F.struct("_at", -rank, -number)).alias("row"), F.min(F.struct(rank.alias("profile_rank"), number.alias("row_no"))).alias("seq"), F.count(F.lit(1)).alias("n"))
+    return found.select("run_id", "cache_key", "row.*", "seq", "n")
+
 
+def first_per_key_stream(rows: DataFrame, time_column: str | None = None, delay: str = "1 day") -> DataFrame:
+    """The first row of each (run_id, profile, key) that arrives.
 
-def first_per_key_stream(rows: DataFrame) -> DataFrame:
-    """The first row of each (run_id, profile, key) that arrives."""
-    return rows.dropDuplicates(["run_id", "profile", "key"])
+    With a time column, keys are forgotten when the watermark is ``delay`` past
+    them, so the state stays bounded; copies further apart both pass.
+    """
+    keys = ["run_id", "profile", "key"]
+    if time_column is None:
+        return rows.dropDuplicates(keys)
+    return rows.withWatermark(time_column, delay).dropDuplicatesWithinWatermark(keys)
 
 
 class Consolidator:
@@ -100,7 +88,8 @@ class Consolidator:
     Each batch adds its candidates as Parquet under ``path/candidates``; keys get
     their verdict (the last row that is known then) when a validation is due, and
     rows whose key has none are pending and left out of the result.  Batches are
-    written under their number, so one that is run again replaces itself.
+    written under their number, so one that is run again replaces itself.  A clock
+    stream gives batches when no file comes, so pending rows don't wait for one.
     """
 
     def __init__(self, spark: SparkSession, path: str, lead_type: str, geography: str, interval_s: float = 120.0, clock=None):
@@ -120,17 +109,27 @@ class Consolidator:
                 return None
             raise
 
+    def due(self) -> bool:
+        return self.last_validation is None or self.clock() - self.last_validation >= self.interval_s
+
+    def pending(self) -> bool:
+        """Whether rows wait for their verdict."""
+        known, judged = self._read("candidates"), self._read("verdicts")
+        if known is None:
+            return False
+        known = known.where("skip_reason is null")
+        return not (known if judged is None else known.join(judged.select("cache_key"), "cache_key", "left_anti")).isEmpty()
+
     def process(self, batch: DataFrame, batch_id: int, force: bool = False) -> None:
         """The body of foreachBatch."""
         gated = C.candidates(batch, self.lead_type, self.geography).select("seq", *C.FIELDS, "cleared", "skip_reason", "cache_key")
         gated.write.mode("overwrite").parquet(f"{self.path}/candidates/batch={batch_id}")
         known = self._read("candidates").where("skip_reason is null")
         judged = self._read("verdicts")
-        now = self.clock()
-        if force or self.last_validation is None or now - self.last_validation >= self.interval_s:
+        if force or self.due():
             todo = known if judged is None else known.join(judged.select("cache_key"), "cache_key", "left_anti")
             C.verdict_per_key(todo).drop("n").write.mode("overwrite").parquet(f"{self.path}/verdicts/batch={batch_id}")
-            self.last_validation = now
+            self.last_validation = self.clock()
             judged = self._read("verdicts")
         counts = known.groupBy("cache_key").agg(F.count(F.lit(1)).alias("n"), F.min("seq").alias("first"))
         rows = judged.join(counts, "cache_key").select("cache_key", *C.FIELDS, F.col("first").alias("seq"), "n")
@@ -141,7 +140,18 @@ class Consolidator:
         pending = known.join(judged.select("cache_key"), "cache_key", "left_anti")
         self.stats = pending.agg(F.count(F.lit(1)).alias("pendingValidation")).crossJoin(self.result.agg(F.count(F.lit(1)).alias("kept"), (F.coalesce(F.sum("n"), F.lit(0)) - F.count(F.lit(1))).alias("duplicates")))
 
-    def start(self, stream: DataFrame, checkpoint: str, once: bool = False):
-        """The running query: a tick each second, or all files there are with validation forced."""
-        writer = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda df, i: self.process(df, i, force=once))
-        return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="1 second")).start()
+    def start(self, stream: DataFrame, checkpoint: str, once: bool = False, tick: str = "1 second"):
+        """The running query: a batch each ``tick``, or all files there are with validation forced."""
+        if once:
+            writer = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda df, i: self.process(df, i, force=True))
+            return writer.trigger(availableNow=True).start()
+        clock = self.spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+        ticks = clock.select(F.lit(True).alias("_tick"), *[F.lit(None).cast(f.dataType).alias(f.name) for f in stream.schema.fields])
+        both = stream.withColumn("_tick", F.lit(False)).unionByName(ticks)
+        writer = both.writeStream.option("checkpointLocation", checkpoint).foreachBatch(self._tick)
+        return writer.trigger(processingTime=tick).start()
+
+    def _tick(self, batch: DataFrame, batch_id: int) -> None:
+        rows = batch.where("not _tick").drop("_tick")
+        if not rows.isEmpty() or self.due() and self.pending():
+            self.process(rows, batch_id)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from leadloom.operators import consolidate as C
 from leadloom.plans import consolidation as Q
 from leadloom.sources import io
-from leadloom.streaming.consolidate import Consolidator, keyed_verdicts
+from leadloom.streaming.consolidate import Consolidator, first_per_key_stream, keyed_verdicts
 
 SF_DIR = "/root/testdata/sf0.001"
 KEPT = ["merge_key", *C.FIELDS, "n"]
@@ -123,6 +123,10 @@ def test_reports_requests_and_layout(spark, tmp_path):
     df = spark.createDataFrame([("r", "web", "a"), ("r", "maps", "b")], "run_id string, profile string, name string")
     io.write_by_source(df, str(tmp_path / "runs"))
     assert io.read_by_source(spark, str(tmp_path / "runs")).where("profile = 'maps'").first().name == "b"
+    (tmp_path / "pages").mkdir()
+    (tmp_path / "pages" / "a.html").write_text("<p>x\n</p>")
+    page = io.read_pages(spark, str(tmp_path / "pages"), "html").first()
+    assert page.url.endswith("a.html") and page.html == "<p>x\n</p>"
     for version in (1, 2):
         df.write.parquet(f"{tmp_path}/out/run_id=r/version={version}") if version == 1 else df.limit(1).drop("run_id").write.parquet(f"{tmp_path}/out/run_id=r/version={version}")
 
@@ -156,6 +160,56 @@ def test_keyed_state(spark, tmp_path):
     stream = spark.readStream.schema(leads.schema).parquet(str(tmp_path / "in")).withColumn("seq", F.struct("profile_rank", "row_no"))
     query = keyed_verdicts(stream, "barbearia", "Portugal").writeStream.outputMode("update").format("memory").queryName("verdicts").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     query.awaitTermination()
-    got = {r.cache_key: (r.row, r.n) for r in spark.table("verdicts").collect()}
     want = C.verdict_per_key(C.candidates(Q.raw_leads(spark, SF_DIR), "barbearia", "Portugal").where("skip_reason is null"))
-    assert got == {r.cache_key: (r.row, r.n) for r in want.select("cache_key", F.to_json(F.struct(*C.FIELDS)).alias("row"), "n").collect()}
+    columns = ["cache_key", *C.FIELDS, "n"]
+    assert {tuple(r) for r in spark.table("verdicts").select(*columns).collect()} == {tuple(r) for r in want.select(*columns).collect()}
+
+
+def test_first_batch_fixes_the_row(spark, tmp_path):
+    """Later batches only count, and a batch without news changes nothing."""
+    rows = [lead(name="Barbearia X", email="a@b.pt", notes=n) for n in ("first", "last of the batch", "later", "later still")]
+    schema = ", ".join(f"{f} string" for f in C.FIELDS) + ", run_id string, profile_rank int, row_no long"
+    (tmp_path / "in").mkdir()
+    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in")).withColumn("seq", F.struct("profile_rank", "row_no"))
+    seen = []
+    for part in ([2, 1], [9, 8], []):
+        data = [(*rows[0][:8], rows[{1: 0, 2: 1, 8: 2, 9: 3}[k]][8], "r", 0, k) for k in part]
+        if data:
+            spark.createDataFrame(data, schema).write.mode("append").parquet(str(tmp_path / "in"))
+        keyed_verdicts(stream, "barbearia", "Portugal").writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "cp")).foreachBatch(lambda df, i: seen.extend((r.notes, r.seq.row_no, r.n) for r in df.collect())).trigger(availableNow=True).start().awaitTermination()
+    assert seen == [("last of the batch", 1, 2), ("last of the batch", 1, 4)]
+
+
+def test_rows_wait_for_the_clock_only(spark, tmp_path):
+    """With no new file, the ticks judge what waits once validation is due."""
+    import time
+
+    leads = Q.raw_leads(spark, SF_DIR).drop("seq")
+    now = [0.0]
+    c = Consolidator(spark, str(tmp_path / "work"), "barbearia", "Portugal", clock=lambda: now[0])
+    c.last_validation = 0.0
+    c.process(Q.raw_leads(spark, SF_DIR).where("row_no % 2 = 0"), 1000, force=True)
+    leads.where("row_no % 2 = 1").coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(leads.schema).parquet(str(tmp_path / "in")).withColumn("seq", F.struct("profile_rank", "row_no"))
+    query = c.start(stream, str(tmp_path / "cp"))
+    try:
+        until = time.time() + 90
+        while time.time() < until and (c.stats is None or not c.stats.first().pendingValidation):
+            time.sleep(0.5)
+        assert c.pending()
+        now[0] = 200.0
+        while time.time() < until and c.pending():
+            time.sleep(0.5)
+        assert not c.pending()
+    finally:
+        query.stop()
+
+
+def test_keys_are_forgotten(spark, tmp_path):
+    rows = [("r", "web", "k", 0), ("r", "web", "k", 1), ("r", "web", "l", 10 * 86400)]
+    df = spark.createDataFrame(rows, "run_id string, profile string, key string, at long").withColumn("at", F.timestamp_seconds("at"))
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+    out = []
+    first_per_key_stream(stream, "at").writeStream.outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).foreachBatch(lambda b, i: out.extend(r.key for r in b.collect())).trigger(availableNow=True).start().awaitTermination()
+    assert sorted(out) == ["k", "l"]
