@@ -140,6 +140,32 @@ def byte_letters() -> list[str]:
     return out
 
 
+def flat_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """UTF-8 bytes of strings without nulls, one after the other, and where each begins (and the last ends)."""
+    texts = pa.concat_arrays([texts])
+    offsets = np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1, texts.offset * 4).astype(np.int64) if len(texts) else np.zeros(1, np.int64)
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    return data, offsets - offsets[0]
+
+
+def code_points(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of UTF-8 bytes and the place of the first byte of each."""
+    lead = np.flatnonzero((data & 0xC0) != 0x80)
+    first = data[lead].astype(np.int32)
+    if len(lead) == len(data):
+        return first, lead
+    tail = np.concatenate([data, np.zeros(3, np.uint8)]).astype(np.int32) & 0x3F
+    two, three, four = (first >= 0xC0) & (first < 0xE0), (first >= 0xE0) & (first < 0xF0), first >= 0xF0
+    out = first.copy()
+    at = lead[two]
+    out[two] = (first[two] & 0x1F) << 6 | tail[at + 1]
+    at = lead[three]
+    out[three] = (first[three] & 0x0F) << 12 | tail[at + 1] << 6 | tail[at + 2]
+    at = lead[four]
+    out[four] = (first[four] & 0x07) << 18 | tail[at + 1] << 12 | tail[at + 2] << 6 | tail[at + 3]
+    return out, lead
+
+
 class Generation:
     """Integer sequences of strings, one after the other in one array."""
 

@@ -2,35 +2,122 @@
 
 In a merge vocabulary the last piece of an encoded prefix is unique, and a piece
 may follow another exactly when encoding the two together gives the two back.
-So the encoder is a deterministic machine: its state after a prefix is the last
-piece, a transition reads on to the next place where a piece can end, and it
-carries the number of pieces emitted.  Pair checks are compiled when first met
-and kept, so each distinct unit of text costs one walk.
+So the encoder is a weighted transducer whose arcs are pieces, of weight 0 after
+a piece that they fit and infinite otherwise, and the shortest path is the one of
+finite weight.  Composed with that context and made deterministic it reads one
+symbol at a time.  Its state is what is still open: the longest end of the text
+that more symbols could turn into a piece, and, for each place in it where such
+a piece could start, the last piece up to there and how many pieces there are
+more or fewer than at the end.  A transition carries the change of the number of
+pieces, and its state names the last piece, from which a path is read backwards.
+States and transitions are compiled when first met and kept in two generations.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-#: Compiled pair checks that a worker keeps.
-KEEP = 200_000
+import numpy as np
 
+from .common import starts_of
 
-class PairTransducer:
+#: Compiled transitions of a generation, and pair checks that a worker keeps.
+KEEP, CHECKS = 300_000, 100_000
+#: Symbols that one chunk map sums up, units that are still walked side by side, and chunk maps kept.
+CHUNK, FEW, MAPS = 64, 8, 10_000
+#: A transition is a number: the next state, and the change of the count plus an offset; its key is a state and a symbol.
+_BITS, _ZERO, _SYMBOL = 12, 2048, 21
+
+Key = tuple[str, tuple[tuple[str, int] | None, ...]]
+
+
+class Arcs:
+    """Transitions as two arrays, found by hashing (open addressing); keys are not negative."""
+
+    def __init__(self, size: int = 1 << 16):
+        self.used = 0
+        self.keys, self.values = np.full(size, -1, np.int64), np.zeros(size, np.int64)
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        bits = np.uint64(65 - len(self.keys).bit_length())
+        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> bits).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The value of each key, -1 where there is none."""
+        slot = self._slots(keys)
+        met = self.keys[slot]
+        out = np.where(met == keys, self.values[slot], -1)
+        rest = np.flatnonzero((met != keys) & (met >= 0))
+        while len(rest):
+            slot[rest] = (slot[rest] + 1) % len(self.keys)
+            met = self.keys[slot[rest]]
+            same = met == keys[rest]
+            out[rest[same]] = self.values[slot[rest[same]]]
+            rest = rest[~same & (met >= 0)]
+        return out
+
+    def add(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """New and distinct keys."""
+        self.used += len(keys)
+        if 2 * self.used > len(self.keys):
+            full = self.keys >= 0
+            keys, values = np.concatenate([self.keys[full], keys]), np.concatenate([self.values[full], values])
+            size = len(self.keys)
+            while 2 * self.used > size:
+                size *= 2
+            self.keys, self.values = np.full(size, -1, np.int64), np.zeros(size, np.int64)
+        slot, rest = self._slots(keys), np.arange(len(keys))
+        while len(rest):
+            free = rest[self.keys[slot[rest]] < 0]
+            self.keys[slot[free]] = keys[free]  # of several for one slot, the last stays
+            self.values[slot[free]] = values[free]
+            rest = rest[self.keys[slot[rest]] != keys[rest]]
+            slot[rest] = (slot[rest] + 1) % len(self.keys)
+
+
+class _Compiled:
+    """States and transitions of one generation.
+
+    Of each state: its key, the number of its last piece, that one's length, and
+    the state's number in the generation before (-1: none).
+    """
+
+    def __init__(self, before: _Compiled | None = None):
+        self.before = before.ids if before else {}
+        self.ids: dict[Key, int] = {}
+        self.keys: list[Key] = []
+        self.last = np.zeros((1 << 12, 3), np.int32)
+        self.arcs = Arcs()
+        self.state(("", (("", 0),)), 0, 0)  # 0: nothing read
+
+    def state(self, key: Key, piece: int, length: int) -> int:
+        found = self.ids.get(key)
+        if found is None:
+            found = self.ids[key] = len(self.keys)
+            self.keys.append(key)
+            if found == len(self.last):
+                self.last = np.concatenate([self.last, np.zeros_like(self.last)])
+            self.last[found] = piece, length, self.before.get(key, -1)
+        return found
+
+
+class MergeTransducer:
     """The machine of one vocabulary.
 
-    pieces: maps each piece to its id.  rank: of the merge of two pieces, None
-    if there is none; a lower rank merges first, the leftmost of equals first.
+    pieces: the number of each.  rank: of the merge of two pieces, None if there
+    is none; a lower rank merges first, the leftmost of equals first.
     """
 
-    def __init__(self, pieces: dict[str, int], rank: Callable[[str, str], float | None]):
-        self.pieces, self.rank = pieces, rank
-        self.reach: dict[str, int] = {}  # length of the longest piece by its first two symbols
-        for piece in pieces:
-            if len(piece) > 1:
-                self.reach[piece[:2]] = max(self.reach.get(piece[:2], 1), len(piece))
+    def __init__(self, pieces: dict[str, int], rank: Callable[[str, str], float | None], keep: int = KEEP):
+        self.pieces, self.rank, self.keep = pieces, rank, keep
+        self.openings = {piece[:i] for piece in pieces for i in range(len(piece))}
+        self.openings.add("")
+        if max(map(len, pieces), default=0) >= _ZERO:
+            raise ValueError("a piece is too long")
         self.fits: dict[tuple[str, str], bool] = {}
         self.trees: dict[str, tuple[str, str, float] | None] = {}
+        self.maps: dict[tuple[int, bytes], tuple[int, int]] = {}
+        self.young, self.old = _Compiled(), None
 
     def merge(self, unit: str) -> tuple[list[str], tuple[str, str, float] | None]:
         """Plain merging, as the definition has it, and the last merge made."""
@@ -53,7 +140,7 @@ class PairTransducer:
         """The two halves of the last merge that makes ``piece`` and its rank; None if merging doesn't make it."""
         found = self.trees.get(piece, 0)
         if found == 0:
-            if len(self.trees) > KEEP:
+            if len(self.trees) > CHECKS:
                 self.trees.clear()
             parts, last = self.merge(piece)
             found = self.trees[piece] = (last or ("", "", float("-inf"))) if len(parts) == 1 else None
@@ -68,7 +155,7 @@ class PairTransducer:
         """
         found = self.fits.get((left, right))
         if found is None:
-            if len(self.fits) > KEEP:
+            if len(self.fits) > CHECKS:
                 self.fits.clear()
             found = self.fits[left, right] = self._apart(left, right)
         return found
@@ -89,34 +176,125 @@ class PairTransducer:
             else:  # of equal ranks the left one merges first
                 b, used_b = right[0], right[2]
 
-    def path(self, unit: str) -> list[str]:
-        """The pieces of ``unit``: the one path of arcs, longest tried first, whose neighbours fit.
+    def advance(self, key: Key, symbol: str) -> tuple[Key, str, int]:
+        """The state after one more symbol, its last piece and the change of the number of pieces."""
+        pending, history = key
+        text, size = pending + symbol, len(pending)
+        for i, before in enumerate(history):  # the longest first; one only has a finite weight
+            if before is None:
+                continue
+            piece = text[i:]
+            if i == size and piece not in self.pieces or piece in self.pieces and self.tree(piece) is not None and (not before[0] or self.fit(before[0], piece)):
+                break
+        change = before[1] + 1
+        at = 0
+        while text[at:] not in self.openings:
+            at += 1
+        kept = [(h[0], h[1] - change) if h is not None and text[i:] in self.openings else None for i, h in enumerate(history[at:], at)]
+        return (text[at:], (*kept, (piece, 0))), piece, change
 
-        A symbol without a piece stands alone.
-        """
-        pieces, fits, reach, n = self.pieces, self.fits, self.reach, len(unit)
-        chosen: list[str] = []
-        dead: set[tuple[int, int]] = set()  # arcs from which the end can't be reached
-        at, length = 0, min(n, reach.get(unit[:2], 1))
-        while at < n:
-            while length:
-                piece = unit[at : at + length]
-                if (piece in pieces or length == 1) and (at, length) not in dead:
-                    if not chosen:
-                        if self.tree(piece) is not None:
-                            break
-                    else:
-                        fit = fits.get((chosen[-1], piece))
-                        if fit or fit is None and self.tree(piece) is not None and self.fit(chosen[-1], piece):
-                            break
-                length -= 1
-            if length:
-                chosen.append(piece)
-                at += length
-                length = min(n - at, reach.get(unit[at : at + 2], 1))
+    def _compile(self, keys: np.ndarray) -> np.ndarray:
+        """New transitions of the young generation, from the old one where it has them."""
+        young, old = self.young, self.old
+        states, symbols = keys >> _SYMBOL, keys & (1 << _SYMBOL) - 1
+        known = np.full(len(keys), -1)
+        if old is not None:
+            was = young.last[states, 2].astype(np.int64)
+            known = np.where(was >= 0, old.arcs.find(was << _SYMBOL | symbols), -1)
+        out = np.zeros(len(keys), np.int64)
+        for i, (state, symbol, arc) in enumerate(zip(states.tolist(), symbols.tolist(), known.tolist(), strict=True)):
+            if arc >= 0:
+                then, change = arc >> _BITS, (arc & (1 << _BITS) - 1) - _ZERO
+                piece, length, _ = old.last[then]
+                out[i] = young.state(old.keys[then], piece, length) << _BITS | change + _ZERO
             else:
-                length = len(chosen.pop())
-                at -= length
-                dead.add((at, length))
-                length -= 1
-        return chosen
+                key, piece, change = self.advance(young.keys[state], chr(symbol))
+                out[i] = young.state(key, self.pieces.get(piece, ~symbol), len(piece)) << _BITS | change + _ZERO
+        return out
+
+    def _step(self, states: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+        """The transitions of states on symbols."""
+        keys = states << _SYMBOL | symbols
+        found = self.young.arcs.find(keys)
+        missing = np.flatnonzero(found < 0)
+        if len(missing):
+            fresh, which = np.unique(keys[missing], return_inverse=True)
+            made = self._compile(fresh)
+            self.young.arcs.add(fresh, made)
+            found[missing] = made[which]
+        return found
+
+    def _chunk_map(self, entry: int, chunk: np.ndarray) -> tuple[int, int]:
+        """Exit state and number of pieces of a chunk that is entered in the state ``entry``."""
+        name = (entry, chunk.tobytes())
+        found = self.maps.get(name)
+        if found is None:
+            state, count = np.array([entry]), 0
+            for symbol in chunk:
+                arc = self._step(state, symbol)
+                state = arc >> _BITS
+                count += int(arc[0] & (1 << _BITS) - 1) - _ZERO
+            if len(self.maps) >= MAPS:
+                self.maps.clear()
+            found = self.maps[name] = (int(state[0]), count)
+        return found
+
+    def _walk(self, symbols: np.ndarray, lengths: np.ndarray, reached: np.ndarray | None) -> np.ndarray:
+        """Number of pieces of each unit; ``reached`` takes the state after each symbol.
+
+        Units of ``symbols`` lie one after the other and are walked side by side,
+        a symbol of each at a time; what is left of a few long ones goes by chunks.
+        """
+        if self.young.arcs.used > self.keep:
+            self.old, self.young = self.young, _Compiled(self.young)
+            self.old.before = {}
+            self.maps.clear()
+        order = np.argsort(-lengths, kind="stable")
+        start, length = starts_of(lengths)[:-1][order], lengths[order]
+        state, total = np.zeros(len(order), np.int64), np.zeros(len(order), np.int64)
+        k = 0
+        while (m := int(np.searchsorted(-length, -k))) > (FEW if k >= CHUNK else 0):  # units longer than k
+            at = start[:m] + k
+            arc = self._step(state[:m], symbols[at])
+            state[:m] = arc >> _BITS
+            total[:m] += (arc & (1 << _BITS) - 1) - _ZERO
+            if reached is not None:
+                reached[at] = state[:m]
+            k += 1
+        for i in range(m):
+            end = int(start[i] + length[i])
+            for at in range(int(start[i]) + k, end, CHUNK):
+                if reached is None:
+                    state[i], count = self._chunk_map(int(state[i]), symbols[at : min(end, at + CHUNK)])
+                    total[i] += count
+                    continue
+                for j in range(at, min(end, at + CHUNK)):
+                    arc = self._step(state[i : i + 1], symbols[j])
+                    state[i] = reached[j] = arc[0] >> _BITS
+                    total[i] += int(arc[0] & (1 << _BITS) - 1) - _ZERO
+        out = np.zeros(len(order), np.int64)
+        out[order] = total
+        return out
+
+    def counts(self, symbols: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """The number of pieces of each unit."""
+        return self._walk(symbols.astype(np.int64), lengths, None)
+
+    def paths(self, symbols: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The pieces of each unit, flat, and their number: the path of finite weight, read backwards.
+
+        A symbol without a piece stands alone, as the complement of the symbol.
+        """
+        reached = np.zeros(len(symbols), np.int32)
+        counts = self._walk(symbols.astype(np.int64), lengths, reached)
+        starts, ends = starts_of(lengths)[:-1], np.cumsum(counts)
+        out = np.zeros(int(counts.sum()), np.int32)
+        units, at, place = np.arange(len(counts)), lengths.astype(np.int64).copy(), ends - 1
+        units = units[at > 0]
+        while len(units):
+            piece, length, _ = self.young.last[reached[starts[units] + at[units] - 1]].T
+            out[place[units]] = piece
+            place[units] -= 1
+            at[units] -= length
+            units = units[at[units] > 0]
+        return out, counts

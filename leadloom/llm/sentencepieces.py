@@ -1,14 +1,18 @@
 """SentencePiece encoding and decoding by a weighted finite-state transducer.
 
-The model file is compiled to three parts: a normaliser (dummy prefix, white
-space to U+2581), the arcs of the pieces and the arcs of byte fallback.  A text
-is composed with them and the shortest path in the tropical semiring (min, +)
-is its encoding.  In a unigram model an arc weighs minus its score.  In a merge
-model an arc weighs 0 after a piece that it fits and infinity otherwise, which
-leaves one path: that of the merges.
+The model file is compiled to three parts.  The normaliser rewrites the longest
+strings of its character map, drops or keeps extra white space, adds the dummy
+prefix and writes white space as U+2581.  The pieces are arcs of a trie.  Byte
+fallback gives a symbol without a piece a path of byte arcs.  A text is composed
+with them, and the shortest path in the tropical semiring (min, +) is its
+encoding.  In a unigram model an arc weighs minus its score; the path is found by
+relaxing the arcs in the order of their starts.  In a merge model an arc weighs 0
+after a piece that it fits and infinity otherwise; ``merges`` composes the arcs
+with that context and makes them deterministic, so the one path of finite weight
+is read off the states.
 
 No piece holds white space after another character, so paths of different words
-are independent: each distinct word is composed once.
+are independent: each distinct word of a slice is composed once.
 """
 
 from __future__ import annotations
@@ -16,6 +20,7 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -24,15 +29,17 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ranges, read_table, slices, starts_of
-from .merges import PairTransducer
+from .common import Remembered, code_points, flat_bytes, ranges, read_table, slices, starts_of
+from .merges import MergeTransducer
 
 SPACE = "▁"
 #: Kinds of pieces in the model file.
 NORMAL, UNKNOWN, CONTROL, USER, BYTE, UNUSED = 1, 2, 3, 4, 6, 5
 UNIGRAM, MERGES = 1, 2
-#: Distinct words whose ids a worker keeps.
-KEEP = 300_000
+#: Words of a generation whose paths a worker keeps, for unigram models.
+KEEP = 100_000
+#: What an unknown symbol costs more than the worst piece, and what a user's piece lacks to the best.
+UNKNOWN_COST, USER_COST = 10.0, 0.1
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -63,8 +70,69 @@ def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
         at += size
 
 
+class Normaliser:
+    """The rewriting of texts before pieces are sought."""
+
+    def __init__(self, charsmap: bytes = b"", prefix: bool = True, collapse: bool = False):
+        self.prefix, self.collapse = prefix, collapse
+        self.map = character_map(charsmap) if charsmap else {}
+        self.longest: dict[str, int] = {}  # by the first character
+        for key in self.map:
+            self.longest[key[0]] = max(self.longest.get(key[0], 0), len(key))
+
+    def rewrite(self, text: str) -> str:
+        """The character map applied from left to right, the longest string first."""
+        out, at = [], 0
+        while at < len(text):
+            for size in range(min(self.longest.get(text[at], 0), len(text) - at), 0, -1):
+                found = self.map.get(text[at : at + size])
+                if found is not None:
+                    out.append(found)
+                    at += size
+                    break
+            else:
+                out.append(text[at])
+                at += 1
+        return "".join(out)
+
+    def __call__(self, texts: pa.Array) -> pa.Array:
+        if self.map:
+            texts = pa.array([t if self.longest.keys().isdisjoint(t) else self.rewrite(t) for t in texts.to_pylist()], pa.string())
+        if self.collapse:
+            texts = pc.replace_substring_regex(pc.ascii_trim(texts, " "), " +", " ")
+        full = pc.greater(pc.binary_length(texts), 0)
+        texts = pc.replace_substring(texts, " ", SPACE)
+        return pc.if_else(full, pc.binary_join_element_wise(SPACE, texts, ""), texts) if self.prefix else texts
+
+
+def character_map(blob: bytes) -> dict[str, str]:
+    """The strings of a compiled character map and what they become.
+
+    The map is a double-array trie over bytes, with the size of its units in
+    front and the zero-ended results behind; a unit holds a label in its low
+    byte, a bit that it has a value and an offset to its children.
+    """
+    (size,) = struct.unpack_from("<I", blob)
+    units = np.frombuffer(blob, "<u4", size // 4, 4).tolist()
+    results = blob[4 + size :]
+    out: dict[str, str] = {}
+    stack = [(0, b"")]
+    while stack:
+        node, key = stack.pop()
+        unit = units[node]
+        children = node ^ ((unit >> 10) << ((unit & 0x200) >> 6))
+        if unit >> 8 & 1:
+            at = units[children] & 0x7FFFFFFF
+            out[key.decode()] = results[at : results.index(b"\0", at)].decode()
+        for label in range(1, 256):
+            child = children ^ label
+            if child < len(units) and units[child] & 0x800000FF == label:
+                stack.append((child, key + bytes([label])))
+    return out
+
+
 class Model:
-    """A compiled model file; unigram and merge models, with identity normalisation of characters."""
+    """A compiled model file of the unigram or the merge kind."""
 
     def __init__(self, path: str):
         with open(path, "rb") as f:
@@ -72,7 +140,7 @@ class Model:
         self.pieces: list[str] = []
         self.scores: list[float] = []
         self.kinds: list[int] = []
-        self.type, self.prefix, charsmap = UNIGRAM, True, b""
+        self.type, self.normalise = UNIGRAM, Normaliser(collapse=True)
         for number, value in message:
             if number == 1:
                 fields = dict(_fields(value))
@@ -80,15 +148,22 @@ class Model:
                 self.scores.append(struct.unpack("<f", fields[2])[0] if 2 in fields else 0.0)
                 self.kinds.append(fields.get(3, NORMAL))
             elif number == 2:
-                self.type = dict(_fields(value)).get(3, UNIGRAM)
+                fields = dict(_fields(value))
+                self.type = fields.get(3, UNIGRAM)
+                if fields.get(24):
+                    raise ValueError("models that take white space as a suffix are not supported")
             elif number == 3:
                 fields = dict(_fields(value))
-                charsmap, self.prefix = fields.get(2, b""), bool(fields.get(3, 1))
-                if fields.get(4, 1):
-                    raise ValueError("models that remove extra white space are not supported")
-        if charsmap:
-            raise ValueError("models with a character map are not supported")
-        self.ids = {p: i for i, (p, k) in enumerate(zip(self.pieces, self.kinds, strict=True)) if k in (NORMAL, USER, UNUSED)}
+                if not fields.get(5, 1):
+                    raise ValueError("models that don't escape white space are not supported")
+                self.normalise = Normaliser(fields.get(2, b""), bool(fields.get(3, 1)), bool(fields.get(4, 1)))
+        if self.type not in (UNIGRAM, MERGES):
+            raise ValueError("only unigram and merge models are supported")
+        if USER in self.kinds and (self.type == MERGES or self.normalise.map):
+            raise ValueError("user-defined pieces in merge models, or with a character map, are not supported")
+        if UNUSED in self.kinds and self.type == MERGES:
+            raise ValueError("unused pieces in merge models are not supported")
+        self.ids = {p: i for i, (p, k) in enumerate(zip(self.pieces, self.kinds, strict=True)) if k in (NORMAL, USER)}
         self.bytes = {int(p[3:5], 16): i for i, (p, k) in enumerate(zip(self.pieces, self.kinds, strict=True)) if k == BYTE}
         self.unknown = next(i for i, k in enumerate(self.kinds) if k == UNKNOWN)
         self.by_word = not any(SPACE in p.lstrip(SPACE) for p in self.ids)
@@ -98,55 +173,63 @@ class Model:
                 i = self.ids.get(a + b)
                 return None if i is None else -self.scores[i]
 
-            self.machine = PairTransducer(self.ids, rank)
-        self.known: dict[str, int] = {}
-        self.flat, self.starts = np.zeros(0, np.int32), np.zeros(1, np.int64)
+            self.machine = MergeTransducer(self.ids, rank)
+        else:
+            real = [s for s, k in zip(self.scores, self.kinds, strict=True) if k == NORMAL] or [0.0]
+            self.floor = UNKNOWN_COST - min(real)
+            self.weights = {p: USER_COST - len(p) * max(real) if self.kinds[i] == USER else -self.scores[i] for p, i in self.ids.items()}
+            self.openings = {p[:i] for p in self.ids for i in range(1, len(p) + 1)}
+            self.known = Remembered(KEEP, np.int32, self._paths)
         text = [b"" if k == CONTROL else " ⁇ ".encode() if k == UNKNOWN else bytes([int(p[3:5], 16)]) if k == BYTE else p.replace(SPACE, " ").encode() for p, k in zip(self.pieces, self.kinds, strict=True)]
         self.text, self.text_starts = np.frombuffer(b"".join(text), np.uint8), starts_of(np.array([len(t) for t in text]))
 
-    def shortest_path(self, unit: str) -> list[str]:
-        """The arcs of the best path through ``unit``."""
-        if self.type == MERGES:
-            return self.machine.path(unit)
-        most = max(map(len, self.ids))
-        best = [0.0, *[float("inf")] * len(unit)]
-        arc = [""] * (len(unit) + 1)
-        floor = max(0.0, -min(self.scores)) + 10
-        for at in range(len(unit)):
-            for end in range(at + 1, min(len(unit), at + most) + 1):
+    def shortest_path(self, unit: str) -> list[int]:
+        """Arcs of the best path of a unigram model: piece ids, or the complement of a symbol without a piece.
+
+        Of equal paths to a place, the one whose last arc starts first stays.
+        """
+        n = len(unit)
+        best, arc = [0.0, *[float("inf")] * n], [(0, 0)] * (n + 1)
+        for at in range(n):
+            single = False
+            for end in range(at + 1, n + 1):
                 piece = unit[at:end]
-                i = self.ids.get(piece)
-                weight = -self.scores[i] if i is not None else floor if end == at + 1 else None
-                if weight is not None and best[at] + weight < best[end]:
-                    best[end], arc[end] = best[at] + weight, piece
-        out, at = [], len(unit)
+                if piece not in self.openings:
+                    break
+                weight = self.weights.get(piece)
+                if weight is not None:
+                    single |= end == at + 1
+                    if best[at] + weight < best[end]:
+                        best[end], arc[end] = best[at] + weight, (at, self.ids[piece])
+            if not single and best[at] + self.floor < best[at + 1]:
+                best[at + 1], arc[at + 1] = best[at] + self.floor, (at, ~ord(unit[at]))
+        out, at = [], n
         while at:
-            out.append(arc[at])
-            at -= len(arc[at])
+            at, i = arc[at]
+            out.append(i)
         return out[::-1]
 
-    def encode_unit(self, unit: str) -> list[int]:
-        out: list[int] = []
-        for piece in self.shortest_path(unit):
-            i = self.ids.get(piece)
-            if i is not None:
-                out.append(i)
-            elif self.bytes:
-                out += [self.bytes[b] for b in piece.encode()]
-            else:
-                out.append(self.unknown)
-        return out
+    def _paths(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = list(map(self.shortest_path, units))
+        return np.fromiter(chain.from_iterable(found), np.int32), np.array([len(f) for f in found], np.int64)
+
+    def fall_back(self, ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Symbols without a piece as their bytes, or as the unknown piece in models without byte pieces."""
+        at = np.flatnonzero(ids < 0)
+        if not len(at):
+            return ids, lengths
+        if not self.bytes:
+            return np.where(ids < 0, self.unknown, ids).astype(np.int32), lengths
+        spelt = [[self.bytes[b] for b in chr(~i).encode()] for i in ids[at].tolist()]
+        size = np.ones(len(ids), np.int64)
+        size[at] = [len(x) for x in spelt]
+        out = np.repeat(ids, size)
+        out[ranges(starts_of(size)[at], size[at])] = np.fromiter(chain.from_iterable(spelt), np.int32)
+        return out, np.diff(starts_of(size)[starts_of(lengths)])
 
     def units(self, texts: pa.Array) -> tuple[pa.StringArray, np.ndarray]:
         """Independent units of the normalised texts, flat, and the number of each text's."""
-        full = pc.greater(pc.binary_length(texts), 0)
-        texts = pc.replace_substring(texts, " ", SPACE)
-        if self.prefix:
-            texts = pc.if_else(full, pc.binary_join_element_wise(SPACE, texts, ""), texts)
-        texts = pa.concat_arrays([texts])
-        offsets = np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1, texts.offset * 4).astype(np.int64)
-        data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
-        offsets = offsets - offsets[0]
+        data, offsets = flat_bytes(self.normalise(texts))
         start = np.zeros(len(data) + 1, bool)
         if self.by_word and len(data) > 2:
             white = np.zeros(len(data), bool)
@@ -166,20 +249,26 @@ class Model:
         """Ids of all texts, flat, and the number of each text's (null: none)."""
         flat, units = self.units(pc.fill_null(texts.cast(pa.string()), ""))
         coded = flat.dictionary_encode()
-        if len(self.known) > KEEP:
-            self.known, self.flat, self.starts = {}, np.zeros(0, np.int32), np.zeros(1, np.int64)
-        distinct = coded.dictionary.to_pylist()
-        if new := [u for u in distinct if u not in self.known]:
-            found = [self.encode_unit(u) for u in new]
-            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
-            self.flat = np.concatenate([self.flat, *[np.array(f, np.int32) for f in found]])
-            self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum([len(f) for f in found])])
-        at = np.array([self.known[u] for u in distinct], np.int64)[coded.indices.to_numpy(zero_copy_only=False)] if distinct else np.zeros(0, np.int64)
-        lengths = self.starts[at + 1] - self.starts[at]
-        return self.flat[ranges(self.starts[at], lengths)], np.diff(starts_of(lengths)[starts_of(units)])
+        distinct, of = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
+        if self.type == MERGES:
+            data, offsets = flat_bytes(distinct)
+            symbols, lead = code_points(data)
+            ids, lengths = self.machine.paths(symbols, np.diff(np.searchsorted(lead, offsets)))
+        else:
+            ids, lengths = self.known.take(distinct.to_pylist(), np.arange(len(distinct)))
+        ids, lengths = self.fall_back(ids, lengths)
+        ids, lengths = ids[ranges(starts_of(lengths)[of], lengths[of])], lengths[of]
+        ends = starts_of(lengths)[starts_of(units)]
+        if not self.bytes:  # unknown pieces side by side are one
+            again = np.zeros(len(ids), bool)
+            again[1:] = (ids[1:] == self.unknown) & (ids[:-1] == self.unknown)
+            again[ends[:-1][ends[:-1] < len(ids)]] = False
+            ids, ends = ids[~again], ends - np.append(0, np.cumsum(again))[ends]
+        return ids, np.diff(ends)
 
     def decode(self, ids: np.ndarray, counts: np.ndarray) -> list[str]:
-        """Texts of ids: white space restored, the dummy prefix dropped, bytes joined to characters."""
+        """Texts of ids: white space restored, that of the dummy prefix dropped, bytes joined to characters."""
+        dropped = self.normalise.prefix or self.normalise.collapse
         ids = np.where((ids >= 0) & (ids < len(self.pieces)), ids, self.unknown)
         lengths = self.text_starts[ids + 1] - self.text_starts[ids]
         data = self.text[ranges(self.text_starts[ids], lengths)].tobytes()
@@ -189,7 +278,7 @@ class Model:
         at = starts_of(counts)
         out = []
         for k, (a, b) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)):
-            if self.prefix and b > a:
+            if dropped and b > a:
                 first = at[k] + int(np.argmax(spoken[at[k] : at[k + 1]])) if not spoken[at[k]] else at[k]
                 if self.kinds[ids[first]] in (NORMAL, USER, UNUSED) and data[a] == 32:
                     a += 1

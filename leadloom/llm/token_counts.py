@@ -1,12 +1,14 @@
 """Token counts by a compiled finite-state tokenizer.
 
-Two transducers make the count.  The first reads character classes and marks
-where a pre-token starts; it is small, so a chunk of text is summed up by its
-map from entry state to exit state, and the maps of all chunks compose by a
-parallel prefix scan before one vectorized pass emits the marks.  The second
-(``merges.PairTransducer``) finds the pieces of a pre-token; its transitions hold
-no counts and the scan doesn't reach it: a token count is the length of the path
-found, and each distinct pre-token is walked once.
+Two deterministic transducers make the count.  The first reads character classes
+and marks where a pre-token starts; it is small, so a chunk of text is summed up
+by its map from entry state to exit state, and the maps of all chunks compose by
+a parallel prefix scan before one vectorized pass emits the marks.  The second
+(``merges.MergeTransducer``) reads the bytes of a pre-token; its transitions are
+annotated with the change of the number of tokens, and a chunk's map from entry
+state to (exit state, count) composes with the next.  The scan of the first gives
+the second its entries: every pre-token starts in the start state, so all of them
+are counted apart, and each distinct one of a slice once.
 """
 
 from __future__ import annotations
@@ -23,13 +25,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_letters, read_table, slices
-from .merges import PairTransducer
+from .common import byte_letters, code_points, flat_bytes, read_table, slices
+from .merges import MergeTransducer
 
 #: Characters that one chunk map sums up.
 CHUNK = 64
-#: Distinct pre-tokens whose counts a worker keeps.
-KEEP = 400_000
 
 # Classes of characters.
 END, SPACE, WHITE, QUOTE, SINGLE, R, V, L, E, LETTER, NUMBER, OTHER = range(12)
@@ -126,31 +126,9 @@ def run_machine(symbols: np.ndarray, step: np.ndarray, mark: np.ndarray, states:
     return out.T.reshape(-1)[: len(symbols)]
 
 
-def code_points(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Code points of UTF-8 bytes and the place of the first byte of each."""
-    lead = np.flatnonzero((data & 0xC0) != 0x80)
-    first = data[lead].astype(np.int32)
-    if len(lead) == len(data):
-        return first, lead
-    tail = np.concatenate([data, np.zeros(3, np.uint8)]).astype(np.int32) & 0x3F
-    two, three, four = (first >= 0xC0) & (first < 0xE0), (first >= 0xE0) & (first < 0xF0), first >= 0xF0
-    out = first.copy()
-    at = lead[two]
-    out[two] = (first[two] & 0x1F) << 6 | tail[at + 1]
-    at = lead[three]
-    out[three] = (first[three] & 0x0F) << 12 | tail[at + 1] << 6 | tail[at + 2]
-    at = lead[four]
-    out[four] = (first[four] & 0x07) << 18 | tail[at + 1] << 12 | tail[at + 2] << 6 | tail[at + 3]
-    return out, lead
-
-
 def pretokens(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """Pre-tokens of all texts, flat, and the index of the text of each."""
-    texts = pa.concat_arrays([texts])  # offsets from 0
-    offsets = np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1, texts.offset * 4)
-    buffer = texts.buffers()[2]
-    data = np.frombuffer(buffer, np.uint8)[offsets[0] : offsets[-1]] if buffer else np.zeros(0, np.uint8)
-    offsets = (offsets - offsets[0]).astype(np.int64)
+    data, offsets = flat_bytes(texts)
     cps, lead = code_points(data)
     ends = np.searchsorted(lead, offsets[1:])  # characters up to the end of each text
     symbols = np.insert(_classes()[cps], ends, END)
@@ -167,30 +145,20 @@ def pretokens(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
 
 
 class Counter:
-    """Tokens of a pre-token by the vocabulary file of a byte-level byte-pair tokenizer."""
+    """Tokens of a pre-token by the vocabulary file of a byte-level byte-pair tokenizer; bytes stand as Latin-1 letters."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.special = [t["content"] for t in spec["added_tokens"] if t["special"]]
-        letters = byte_letters()
-        ranks = {(a, b): i for i, (a, b) in enumerate(spec["model"]["merges"])}
-        vocabulary = spec["model"]["vocab"]
-        self.table = {b: letters[b] for b in range(256)}
-        self.machine = PairTransducer(vocabulary, lambda a, b: ranks.get((a, b)))
-        self.known: dict[str, int] = {}
-
-    def counts(self, distinct: list[str]) -> np.ndarray:
-        known = self.known
-        if len(known) > KEEP:
-            known.clear()
-        out = np.zeros(len(distinct), np.int64)
-        for i, unit in enumerate(distinct):
-            n = known.get(unit)
-            if n is None:
-                n = known[unit] = len(self.machine.path(unit.encode().decode("latin-1").translate(self.table)))
-            out[i] = n
-        return out
+        to_byte = {ord(letter): b for b, letter in enumerate(byte_letters())}
+        ranks = {(a.translate(to_byte), b.translate(to_byte)): i for i, (a, b) in enumerate(spec["model"]["merges"])}
+        vocabulary = {piece.translate(to_byte): i for piece, i in spec["model"]["vocab"].items() if piece not in self.special}
+        self.machine = MergeTransducer(vocabulary, lambda a, b: ranks.get((a, b)))
+
+    def counts(self, distinct: pa.Array) -> np.ndarray:
+        data, offsets = flat_bytes(distinct)
+        return self.machine.counts(data, np.diff(offsets))
 
 
 @lru_cache(4)
@@ -212,7 +180,7 @@ def count_texts(texts: pa.Array, path: str) -> np.ndarray:
     flat, of = pretokens(texts)
     if len(flat):
         coded = flat.dictionary_encode()
-        each = machine.counts(coded.dictionary.to_pylist())[coded.indices.to_numpy(zero_copy_only=False)]
+        each = machine.counts(coded.dictionary)[coded.indices.to_numpy(zero_copy_only=False)]
         total += np.bincount(row[of], each, len(total)).astype(np.int64)
     return total
 
