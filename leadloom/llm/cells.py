@@ -15,10 +15,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, partitions
 
 #: Members of a bucket that are compared in one cell.
 BLOCK = 512
+#: Rows that one task compares, about.
+TASK_ROWS = 10_000
 
 
 def deal(rows: DataFrame, keys: list[str], member: str, block: int = BLOCK) -> DataFrame:
@@ -66,9 +68,14 @@ def deal_apart(rows: DataFrame, key: str, part: str, member: str, block: int = B
     return pairs.withColumns({"cell": cell.cast("long"), "side": sided}).select(*rows.columns, "cell", "side")
 
 
-def gather(cells: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of a cell side by side in one partition."""
-    return cells.repartition(*keys, "cell").sortWithinPartitions(*keys, "cell")
+def gather(cells: DataFrame, keys: list[str], rows: int | None = None) -> DataFrame:
+    """Rows of a cell side by side in one partition.
+
+    Comparing takes longer than rows of that size would let one think, so with
+    ``rows``, about how many there are, the number of tasks follows it.
+    """
+    tasks = [max(partitions(cells.sparkSession), rows // TASK_ROWS)] if rows is not None else []
+    return cells.repartition(*tasks, *keys, "cell").sortWithinPartitions(*keys, "cell")
 
 
 def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:

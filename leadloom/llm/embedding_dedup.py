@@ -163,7 +163,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, bits: int | None =
             if len(nodes):
                 yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(links), pa.array(roots)], ["node", "links", "root"])
 
-    cells = gather(suspects.join(hashed, "node"), keys)
+    cells = gather(suspects.join(hashed, "node"), keys, suspects.count())
     linked = materialize(cells.mapInArrow(compared, "node long, links long, root long"), "vector-links")
     degrees = linked.groupBy("node").agg(F.sum("links").alias("links"))
     roots = components(linked.select("node", "root").unionByName(_shared_ids(rows, classes)))

@@ -107,11 +107,13 @@ def registers(keys: np.ndarray, counts: np.ndarray, m: int) -> np.ndarray:
     return out
 
 
-def likelihood_similarity(higher: np.ndarray, lower: np.ndarray, m: int, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
-    """The similarity that makes the counts of higher, lower and equal registers likeliest, given the set sizes."""
+def likelihood_rises(j: np.ndarray | float, higher: np.ndarray, lower: np.ndarray, m: int, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
+    """Whether the likelihood of the counts of higher, lower and equal registers grows at the similarity ``j``.
+
+    Its derivative falls in the similarity, so the likeliest one lies above ``j`` exactly if it does.
+    """
     share_a, share_b = n_a / (n_a + n_b), n_b / (n_a + n_b)
     equal = m - higher - lower
-    lo, hi = np.zeros(len(equal)), np.minimum(share_a / share_b, share_b / share_a)
     c = (BASE - 1) / BASE
     scale = np.log(BASE)
 
@@ -121,11 +123,17 @@ def likelihood_similarity(higher: np.ndarray, lower: np.ndarray, m: int, n_a: np
     def slope(x: np.ndarray, by: np.ndarray) -> np.ndarray:
         return -by * c / (1 - np.maximum(x, 1e-12) * c) / scale
 
-    for _ in range(24):  # the derivative falls in the similarity
+    up, down = p(share_a - share_b * j), p(share_b - share_a * j)
+    d_up, d_down = slope(share_a - share_b * j, share_b), slope(share_b - share_a * j, share_a)
+    return higher * d_up / up + lower * d_down / down - equal * (d_up + d_down) / np.maximum(1 - up - down, 1e-12) > 0
+
+
+def likelihood_similarity(higher: np.ndarray, lower: np.ndarray, m: int, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
+    """The similarity that makes the counts of higher, lower and equal registers likeliest, given the set sizes."""
+    lo, hi = np.zeros(len(higher)), np.minimum(n_a / n_b, n_b / n_a)
+    for _ in range(24):
         j = (lo + hi) / 2
-        up, down = p(share_a - share_b * j), p(share_b - share_a * j)
-        d_up, d_down = slope(share_a - share_b * j, share_b), slope(share_b - share_a * j, share_a)
-        rising = higher * d_up / up + lower * d_down / down - equal * (d_up + d_down) / np.maximum(1 - up - down, 1e-12) > 0
+        rising = likelihood_rises(j, higher, lower, m, n_a, n_b)
         lo, hi = np.where(rising, j, lo), np.where(rising, hi, j)
     return (lo + hi) / 2
 
@@ -153,15 +161,16 @@ class Sketched:
         self.two = bool(self.side[0] >= 0)
         self.least = threshold - MARGIN * np.sqrt(threshold * (1 - threshold) / m)
 
-    def near(self, label: np.ndarray, step: int = 128) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Pairs with different labels whose estimate reaches the threshold less the margin, likeliest first, by blocks.
+    def near(self, label: np.ndarray, step: int = 128) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs with different labels whose estimate reaches the threshold less the margin, by blocks.
 
-        Labels may change between blocks.
+        Those with the most equal registers come first.  Labels may change between blocks.
         """
         n = len(self.ids)
         for at in range(0, n, step):
             part = slice(at, min(n, at + step))
-            near = equal_registers(self.regs, part) >= 0.9 * self.least * self.m
+            equal = equal_registers(self.regs, part)
+            near = equal >= 0.9 * self.least * self.m
             near &= np.arange(n)[None, :] > np.arange(part.start, part.stop)[:, None]
             near &= np.minimum(self.size[part, None], self.size[None, :]) >= self.threshold * np.maximum(self.size[part, None], self.size[None, :])
             near &= label[part, None] != label[None, :]
@@ -170,22 +179,22 @@ class Sketched:
             a, b = np.nonzero(near)
             if not len(a):
                 continue
-            a += at
-            e = np.concatenate([self.estimate(a[k : k + 20_000], b[k : k + 20_000]) for k in range(0, len(a), 20_000)])
-            order = np.argsort(-e, kind="stable")
-            order = order[e[order] >= self.least]
-            if len(order):
-                yield a[order], b[order], e[order]
-
-    def estimate(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            order = np.argsort(-equal[a, b], kind="stable")
+            a, b = a[order] + at, b[order]
+            likely = np.concatenate([self.likely(a[k : k + 20_000], b[k : k + 20_000]) for k in range(0, len(a), 20_000)])
+            if likely.any():
+                yield a[likely], b[likely]
+
+    def likely(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether the likeliest similarity of pairs reaches the least one that is verified."""
         x, y = self.regs[a], self.regs[b]
-        return likelihood_similarity((x > y).sum(1), (x < y).sum(1), self.m, self.size[a], self.size[b])
+        return likelihood_rises(self.least, (x > y).sum(1), (x < y).sum(1), self.m, self.size[a], self.size[b])
 
     def forest(self) -> tuple[np.ndarray, np.ndarray]:
         """Pairs that the registers leave, as few as connect what all of them connect, likely ones first."""
         label = np.arange(len(self.ids))
         out_a, out_b = [label[:0]], [label[:0]]
-        for a, b, _ in self.near(label):
+        for a, b in self.near(label):
             while len(a):
                 first = np.full(len(label), len(a))  # of each tree, the likeliest pair that leads out of it
                 place = np.arange(len(a))
@@ -203,7 +212,7 @@ class Sketched:
         """Links that full sets confirm, but for pairs that such links connect already."""
         label = self.fragments()
         out_a, out_b = [], []
-        for a, b, _ in self.near(label):
+        for a, b in self.near(label):
             for i, j in zip(a.tolist(), b.tolist(), strict=True):
                 if label[i] != label[j] and similar(keys[i], keys[j], percent):
                     low, high = sorted((label[i], label[j]))
@@ -277,8 +286,9 @@ def suspect_pairs(nodes: DataFrame, m: int, bands: int, rows: int, threshold: fl
     """Pairs (``a``, ``b``) of nodes that share a band and a likely similarity; of each bucket a spanning part."""
     band = F.explode(F.sequence(F.lit(0), F.lit(bands - 1))).alias("band")
     banded = nodes.select("node", "regs", band).select("node", "band", F.xxhash64(F.expr(f"substring(regs, band * {2 * rows} + 1, {2 * rows})")).alias("bucket"))
-    shared = banded.groupBy(*_EXPLODED).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(*_EXPLODED)
-    suspects = banded.join(shared, _EXPLODED, "left_semi").join(nodes, "node")
+    shared = materialize(banded.groupBy(*_EXPLODED).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"), "shared-buckets")
+    total = shared.agg(F.sum("_n")).first()[0] or 0
+    suspects = banded.join(shared.select(*_EXPLODED), _EXPLODED, "left_semi").join(nodes, "node")
 
     def plausible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in groups(batches, [*_EXPLODED, "cell"]):
@@ -287,7 +297,7 @@ def suspect_pairs(nodes: DataFrame, m: int, bands: int, rows: int, threshold: fl
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(cell.ids[a]), pa.array(cell.ids[b])], ["a", "b"])
 
-    return gather(deal(suspects, _EXPLODED, "node"), _EXPLODED).mapInArrow(plausible, "a long, b long")
+    return gather(deal(suspects, _EXPLODED, "node"), _EXPLODED, total).mapInArrow(plausible, "a long, b long")
 
 
 def verify_pairs(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
@@ -331,7 +341,7 @@ def near_links(nodes: DataFrame, members_of: Callable[[DataFrame], DataFrame], m
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(cell.ids[a]), pa.array(cell.ids[b])], ["a", "b"])
 
-    dealt = gather(deal_apart(parted, "region", "part", "node", block), ["region"])
+    dealt = gather(deal_apart(parted, "region", "part", "node", block), ["region"], members.count())
     links.append(materialize(dealt.mapInArrow(confirmed, "a long, b long"), "near-links"))
     return links[0] if len(links) == 1 else links[0].unionByName(links[1])
 
@@ -356,7 +366,9 @@ def near_documents(docs: DataFrame, width: int = 5, threshold: float = 0.8, band
 
     def members_of(regions: DataFrame) -> DataFrame:
         wanted = materialize(regions.join(classes, "node"), "region-nodes")
-        texts = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text")).join(wanted.select(F.col("rep").alias("id")), "id", "left_semi")
+        # a narrow table, so that it is broadcast if it is small; texts then don't cross a shuffle
+        reps = materialize(wanted.select(F.col("rep").alias("id")).distinct(), "region-reps")
+        texts = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text")).join(reps, "id", "left_semi")
         sets = shingle_sets(texts, width).join(wanted, ["n", "d1", "d2"])
         return sets.groupBy("node").agg(F.first("region").alias("region"), F.first("n").alias("n"), F.first("regs").alias("regs"), F.first("keys").alias("keys"))
 
