@@ -242,31 +242,42 @@ def verdict(rules: list[Rule], counts: Column) -> Column:
     return F.lit(True) if out is None else out.otherwise(F.lit(True))
 
 
-def learn_rules(counted: DataFrame, labels: DataFrame, out: str = "quality", max_labelled: int = MAX_LABELLED) -> list[Rule]:
-    """Rules from the labelled rows of a table with counts.
+def chosen_labels(labels: DataFrame, max_labelled: int = MAX_LABELLED) -> DataFrame:
+    """``doc_id`` and ``_good`` of the labelled documents to learn from, about ``max_labelled`` at most, chosen by a hash of the id.
 
-    At most about ``max_labelled`` rows, chosen by a hash of doc_id, come to the
-    driver.  Rows without a label or counts don't count, and a document with
-    labels of both kinds counts as good; without labelled rows there are no rules.
+    Rows without a label or an id don't count, and a document with labels of both
+    kinds counts as good.
     """
     known = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("_good"))
     share = min(1.0, max_labelled / max(1, known.count()))
-    chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
+    return known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
+
+
+def learn_rules(counted: DataFrame, chosen: DataFrame, out: str = "quality") -> list[Rule]:
+    """Rules from the rows with counts whose ids are among ``chosen_labels``; without any there are none.
+
+    Of several rows with one id the one with the smallest shares counts, so the
+    rules don't depend on the order of the rows.
+    """
     shares = features(F.col(out))
-    rows = counted.select(F.col("doc_id"), *[c.alias(f"_{n}") for n, c in shares.items()]).join(chosen, "doc_id").select("doc_id", "_good", *[f"_{n}" for n in FEATURES]).limit(2 * max_labelled).toPandas()
+    rows = counted.select(F.col("doc_id"), F.struct(*[c.alias(n) for n, c in shares.items()]).alias("_x")).join(F.broadcast(chosen), "doc_id")  # a bounded number of ids
+    rows = rows.groupBy("doc_id").agg(F.min("_x").alias("_x"), F.max("_good").alias("_good")).select("doc_id", "_good", "_x.*").toPandas()
     if not len(rows):
         return []
-    rows = rows.sort_values(["doc_id", *[f"_{n}" for n in FEATURES]])
-    return learn(rows[[f"_{n}" for n in FEATURES]].to_numpy(float), (rows["_good"] == 0).to_numpy(), FEATURES)
+    rows = rows.sort_values("doc_id")
+    return learn(rows[FEATURES].to_numpy(float), (rows["_good"] == 0).to_numpy(), FEATURES)
 
 
 def judge(docs: DataFrame, labels: DataFrame, out: str = "quality", max_labelled: int = MAX_LABELLED) -> DataFrame:
     """``docs`` with the counts struct ``out`` and booleans ``base_failed`` and ``kept``; nothing is dropped.
 
-    Input columns with these names are replaced.  See ``add_counts`` for nulls,
-    empty and repeated rows.
+    The rules are learned from the labelled rows among ``docs``, whose counts are
+    taken first.  Input columns with these names are replaced.  See ``add_counts``
+    for nulls, empty and repeated rows.
     """
-    rules = learn_rules(add_counts(docs.select("doc_id", "text"), out=out), labels, out, max_labelled)
+    chosen = materialize(chosen_labels(labels, max_labelled), "chosen-labels")
+    labelled = docs.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi")
+    rules = learn_rules(add_counts(labelled, out=out), chosen, out)
     counted = add_counts(docs.drop("base_failed", "kept"), out=out)
     failed = base_failed(F.col(out))
     return counted.withColumns({"base_failed": failed, "kept": ~failed & verdict(rules, F.col(out))})
@@ -274,6 +285,6 @@ def judge(docs: DataFrame, labels: DataFrame, out: str = "quality", max_labelled
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = materialize(add_counts(read_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "quality"), "quality-counts")
-    rules = learn_rules(counted, read_table(spark, sf_dir, "labels"))
+    rules = learn_rules(counted, chosen_labels(read_table(spark, sf_dir, "labels")))
     failed = base_failed(F.col("quality"))
     return counted.select("doc_id", *[F.col("quality")[c].alias(c) for c in COUNTS[:5]], failed.alias("base_failed"), (~failed & verdict(rules, F.col("quality"))).alias("kept"))

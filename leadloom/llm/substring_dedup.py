@@ -11,6 +11,11 @@ The stretch of windows with one anchor is a segment, and a segment can only
 match segments of its own anchor.  So a shard holds the distinct segments of
 some anchors, and its automata meet just those: anchors that only one document
 has, and segments that are equal word for word, never reach an automaton.
+
+A passage that a great many documents quote makes its anchor hot, with as many
+segments as there are texts around it.  Those are first cut down to the windows
+that several documents hold, which leaves the passage itself; what it is cut to
+is then equal nearly always.
 """
 
 from __future__ import annotations
@@ -32,6 +37,8 @@ from .common import encode_words, materialize, mix64, read_table, slices, split_
 WINDOW, RUN = 50, 8
 #: Windows whose anchors are found at a time.
 STEP = 1 << 20
+#: Different segments from which on an anchor is hot.
+HOT = 128
 _EMPTY = hashlib.sha256(b"").hexdigest()
 
 
@@ -194,6 +201,59 @@ def _segments(rows: DataFrame, window: int) -> DataFrame:
     return rows.mapInArrow(work, "id long, tk long, anchor long, start int, length int, digest binary, words string")
 
 
+def _window_keys(words: list[str], window: int) -> np.ndarray:
+    """A 64-bit key of each window."""
+    h = pd.util.hash_array(np.array(words, object), categorize=False)
+    key = np.full(len(h) - window + 1, window, np.uint64)
+    for i in range(window):
+        key = mix64(key * np.uint64(0x9E3779B97F4A7C15) + h[i : len(h) - window + 1 + i])
+    return key.view(np.int64)
+
+
+def _windows(distinct: DataFrame, window: int) -> DataFrame:
+    """Key and place of every window of distinct segments."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "words", 1 << 19):
+                keys = [_window_keys(t.split(" "), window) for t in batch.column("words").to_pylist()]
+                counts = np.array([len(k) for k in keys], np.int64)
+                pick = pa.array(np.repeat(np.arange(len(keys)), counts))
+                columns = [batch.column(c).take(pick) for c in ("anchor", "digest", "first", "last")]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(np.concatenate(keys)), pa.array((np.arange(int(counts.sum())) - np.repeat(starts_of(counts)[:-1], counts)).astype(np.int32))], ["anchor", "digest", "first", "last", "key", "at"])
+
+    return distinct.select("anchor", "digest", "first", "last", "words").mapInArrow(work, "anchor long, digest binary, first long, last long, key long, at int")
+
+
+def _cut_down(distinct: DataFrame, window: int) -> DataFrame:
+    """Of each distinct segment the stretches of windows that several documents hold: anchor, digest, ``at``, ``run``, ``part`` (digest) and ``words``.
+
+    Equal keys of unlike windows keep a window too many, which does no harm.
+    """
+    windows = materialize(_windows(distinct, window), "hot-windows")
+    held = windows.groupBy("key").agg(F.min("first").alias("_a"), F.max("last").alias("_b")).where("_a < _b").select("key")
+    places = windows.join(materialize(held, "shared-windows"), "key", "left_semi").groupBy("anchor", "digest").agg(F.sort_array(F.collect_list("at")).alias("places"))
+    cut = distinct.select("anchor", "digest", "words").join(places, ["anchor", "digest"])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "words"):
+                rows, ats, runs, texts = [], [], [], []
+                for i, (text, at) in enumerate(zip(batch.column("words").to_pylist(), batch.column("places").to_pylist(), strict=True)):
+                    words, at = text.split(" "), np.array(at)
+                    edges = np.flatnonzero(np.diff(at) > 1)
+                    for low, high in zip(at[np.append(0, edges + 1)].tolist(), at[np.append(edges, len(at) - 1)].tolist(), strict=True):
+                        rows.append(i)
+                        ats.append(low)
+                        runs.append(high - low + window)
+                        texts.append(" ".join(words[low : high + window]))
+                pick = pa.array(rows, pa.int64())
+                digests = [hashlib.blake2b(t.encode(), digest_size=16).digest() for t in texts]
+                yield pa.RecordBatch.from_arrays([batch.column("anchor").take(pick), batch.column("digest").take(pick), pa.array(ats, pa.int32()), pa.array(runs, pa.int32()), pa.array(digests, pa.binary()), pa.array(texts, pa.string())], ["anchor", "digest", "at", "run", "part", "words"])
+
+    return cut.select("anchor", "digest", "words", "places").mapInArrow(work, "anchor long, digest binary, at int, run int, part binary, words string")
+
+
 def _matches(distinct: DataFrame, window: int) -> DataFrame:
     """Of each distinct segment: the spans of words in windows that a segment of a smaller id holds too."""
     keys = ["anchor"]
@@ -251,7 +311,12 @@ def _clean(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(work, "id long, tk long, n_removed long, kept_sha256 string, kept string")
 
 
-def repeats(docs: DataFrame, window: int = WINDOW, id_column: str = "doc_id", text_column: str = "text") -> tuple[DataFrame, DataFrame]:
+def _distinct(segments: DataFrame) -> DataFrame:
+    """Segments that differ, with the smallest and the largest id that has each."""
+    return segments.groupBy("anchor", "digest").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.first("words").alias("words"))
+
+
+def repeats(docs: DataFrame, window: int = WINDOW, id_column: str = "doc_id", text_column: str = "text", hot_from: int = HOT) -> tuple[DataFrame, DataFrame]:
     """Two tables: the verdict on every input row, and the texts of the rows that lose a part.
 
     The first has ``id``, ``tk`` (hash of the text), ``n_words``, ``n_removed``
@@ -271,10 +336,20 @@ def repeats(docs: DataFrame, window: int = WINDOW, id_column: str = "doc_id", te
     per_doc = anchored.join(shared, "anchor").groupBy("id", "tk").agg(F.collect_set("anchor").alias("shared"))
     touched = materialize(rows.join(per_doc, ["id", "tk"]).dropDuplicates(["id", "tk"]), "touched-texts")
     segments = materialize(_segments(touched, window), "segments")
-    distinct = materialize(segments.groupBy("anchor", "digest").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.first("words").alias("words")), "distinct-segments")
-    several = distinct.join(distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("anchor"), "anchor", "left_semi")
-    matched = materialize(_matches(several.select("anchor", "digest", "first", "words"), window), "matches")
     places = segments.select("id", "tk", "anchor", "digest", "start", "length")
+    distinct = materialize(_distinct(segments), "distinct-segments")
+    # a narrow table: broadcast if small, so that a hot anchor's segments stay where they are
+    counts = materialize(distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"), "anchor-counts")
+    hot = materialize(counts.where(F.col("_n") > hot_from).select("anchor"), "hot-anchors")
+    if not hot.isEmpty():
+        cut = materialize(_cut_down(distinct.join(hot, "anchor", "left_semi"), window), "hot-parts")
+        smaller = places.join(hot, "anchor", "left_semi").join(cut, ["anchor", "digest"])
+        smaller = materialize(smaller.select("id", "tk", "anchor", F.col("part").alias("digest"), (F.col("start") + F.col("at")).alias("start"), F.col("run").alias("length"), "words"), "hot-segments")
+        places = places.join(hot, "anchor", "left_anti").unionByName(smaller.drop("words"))
+        distinct = distinct.join(hot, "anchor", "left_anti").unionByName(materialize(_distinct(smaller), "hot-distinct"))
+        counts = materialize(distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"), "anchor-counts")
+    several = distinct.join(counts.select("anchor"), "anchor", "left_semi")
+    matched = materialize(_matches(several.select("anchor", "digest", "first", "words"), window), "matches")
     later = places.join(distinct.where("first < last").select("anchor", "digest", "first"), ["anchor", "digest"]).where("id > first").select("id", "tk", "start", "length")
     inside = places.join(matched, ["anchor", "digest"]).select("id", "tk", (F.col("start") + F.col("at")).alias("start"), F.col("run").alias("length"))
     spans = later.unionByName(inside).distinct().groupBy("id", "tk").agg(F.collect_list(F.struct("start", "length")).alias("spans"))

@@ -125,3 +125,20 @@ def test_equal_ends_of_unlike_length_share_anchors():
         substring_dedup.leftmost_least.__defaults__ = old
     alone = set(words.anchor[words.row == 1].tolist())
     assert alone <= set(words.anchor[words.row == 0].tolist())
+
+
+@pytest.mark.parametrize("hot_from", [3, 128])
+def test_hot_passage(spark, hot_from):
+    """A passage in many texts, whole and in parts, with other words around it each time."""
+    from test_dedup import window_dedup
+
+    rng = random.Random(4)
+    passage = sentence(rng, 75)
+    rows = []
+    for i in range(40):
+        low, high = rng.choice([(0, 75), (0, 75), (5, 75), (0, 60), (30, 75)])
+        rows.append((100 - i, " ".join([*sentence(rng, 20), *passage[low:high], *sentence(rng, 15), *(passage[:52] if i % 4 == 0 else [])])))
+    rows += [(3, " ".join(passage)), (None, " ".join(passage)), (5, None)]
+    verdicts, _ = substring_dedup.repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), hot_from=hot_from)
+    got = sorted((tuple(r) for r in verdicts.select("id", "n_words", "n_removed", "kept_sha256").collect()), key=str)
+    assert got == sorted((w[:4] for w in window_dedup(rows, 50)), key=str)
