@@ -56,13 +56,16 @@ def dedup_lines(docs: DataFrame, min_sites: int = 10, id_column: str = "doc_id",
     kept = docs.drop("n_lines", "n_removed")
     names = kept.columns
     line = F.explode(F.split(F.col(text_column), "\n", -1)).alias("line")
-    exploded = kept.select(F.col(site_column).cast("string").alias("site"), F.col(id_column).alias("id"), line)
-    keyed = exploded.select("site", "id", trimmed(F.col("line")).alias("line")).where("line <> ''").select("site", "id", line_key(F.col("line")).alias("k")).select("site", "id", "k.h", "k.g")
+    # id and text hash name a row, so that rows without an id don't come together
+    mark = F.xxhash64(F.col(text_column)).alias("tk")
+    exploded = kept.select(F.col(site_column).cast("string").alias("site"), F.col(id_column).alias("id"), mark, line)
+    keyed = exploded.select("site", "id", "tk", trimmed(F.col("line")).alias("line")).where("line <> ''").select("site", "id", "tk", line_key(F.col("line")).alias("k")).select("site", "id", "tk", "k.h", "k.g")
     bad = boilerplate(keyed.select("h", "g", "site"), min_sites)
-    # the keys to remove from a document, at most its distinct lines; null ids are a document key of their own
-    per_doc = keyed.select("id", "h", "g").join(bad, ["h", "g"]).groupBy("id").agg(F.collect_set(F.struct("h", "g")).alias("_keys"))
+    # the keys to remove from a document, at most its distinct lines
+    per_doc = keyed.select("id", "tk", "h", "g").join(bad, ["h", "g"]).groupBy("id", "tk").agg(F.collect_set(F.struct("h", "g")).alias("_keys"))
     row = F.struct(*[F.col(c) for c in names]).alias("row")
-    joined = kept.select(F.col(id_column).alias("_id"), row).join(per_doc, F.col("_id").eqNullSafe(F.col("id")), "left")
+    rows = kept.select(F.col(id_column).alias("_id"), F.xxhash64(F.col(text_column)).alias("_tk"), row)
+    joined = rows.join(per_doc, F.col("_id").eqNullSafe(F.col("id")) & (F.col("_tk") == F.col("tk")), "left")
     lines = F.split(F.col("row")[text_column], "\n", -1)
 
     def stays(x: Column) -> Column:
