@@ -85,6 +85,12 @@ HAIR_WORDS_SOURCE = ["cabeleireir", "cabeleireiro", "cabeleireira", "estetica",
 MEAT_WORDS = ["talho", "talhos", "butcher", "butcher shop", "carne", "carnes"]
 
 
+def asks_for_barber(lead_type: Column) -> Column:
+    """Whether ``matches_type`` looks for barbers; all other requests take every type."""
+    requested = normalize_text(lead_type)
+    return ~requested.isin("", "leads") & requested.rlike(BARBER_REQUEST)
+
+
 def matches_type(lead_type: Column, field: Field = F.col) -> Column:
     """The rule for consolidated rows."""
     requested = normalize_text(lead_type)
@@ -115,8 +121,16 @@ def _in_place(geography: Column, names: list[str], field: Field) -> Column:
     return requested.isin("", "portugal") | F.contains(fold_text(_haystack(field, names)), requested)
 
 
+_PLACE_FIELDS = ["locality", "district", "name", "website", "socials"]
+
+
+def place_haystack(field: Field = F.col) -> Column:
+    """The text in which ``matches_geography`` looks for a place."""
+    return fold_text(_haystack(field, _PLACE_FIELDS))
+
+
 def matches_geography(geography: Column, field: Field = F.col) -> Column:
-    return _in_place(geography, ["locality", "district", "name", "website", "socials"], field)
+    return _in_place(geography, _PLACE_FIELDS, field)
 
 
 def matches_geography_in_directory(geography: Column, field: Field = F.col) -> Column:

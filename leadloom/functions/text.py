@@ -54,7 +54,8 @@ def fold_table() -> tuple[str, str]:
 
 
 def fold(c: Column) -> Column:
-    return F.translate(c, *fold_table())
+    """Letters without accents; ASCII texts have none and are left as they are."""
+    return F.when(F.octet_length(c) == F.char_length(c), c).otherwise(F.translate(c, *fold_table()))
 
 
 def fold_text(c: Column) -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadloom.functions.predicates import (
+    asks_for_barber,
     is_category_page,
     is_generic_listing_url,
     is_plausible_phone,
@@ -19,6 +20,7 @@ from leadloom.functions.predicates import (
     looks_like_search_portal,
     matches_geography,
     matches_type,
+    place_haystack,
 )
 from leadloom.functions.text import blank, clean_spaces, fold_text, join_full, normalize_phone, normalize_text, or_null, split_tokens, strip
 from leadloom.functions.urls import normalize_domain
@@ -138,7 +140,8 @@ def candidates(leads: DataFrame, lead_type: Column | str, geography: Column | st
     """Conformed rows with ``skip_reason`` and, for those that pass, ``cache_key``."""
     lead_type, geography = as_column(lead_type), as_column(geography)
     gated = computed_once(gate(computed_once(conform(leads)), lead_type, geography))
-    key = F.concat_ws("|", merge_key(), normalize_text(lead_type), fold_text(geography))
+    # conform has blanked listing websites
+    key = F.concat_ws("|", merge_key(check_listing=False), normalize_text(lead_type), fold_text(geography))
     return gated.withColumn("cache_key", F.when(F.col("skip_reason").isNull(), key))
 
 
@@ -193,37 +196,59 @@ def pending_keys(keyed: DataFrame, verdicts: DataFrame) -> DataFrame:
     return keyed.join(verdicts.select("cache_key").distinct(), "cache_key", "left_anti")
 
 
-def merge_leads(df: DataFrame, by: Sequence[str] = (), key: str = "merge_key", seq: str = "seq", weight: str = "n") -> DataFrame:
-    """One row per key: of each field the first value by ``seq``, of sources and notes the ordered union of their parts.
+LISTS = ("sources", "notes")
+
+
+def merge_state(df: DataFrame, by: Sequence[str] = (), key: str = "merge_key", seq: str = "seq", weight: str = "n") -> DataFrame:
+    """What a merge has to know, as one aggregation over one pass; also the state of the streaming merge.
 
-    If all values of a field are equal the text stays as it is.  Parts are first
-    reduced to one row per (key, part), so a hot key brings together only its
-    distinct parts.
+    A row for each key with the first value of each field, and one for each
+    distinct (key, field, part) of sources and notes with its first place, so a
+    hot key takes as many rows as it has distinct parts.
     """
-    scalars = [f for f in FIELDS if f not in ("sources", "notes")]
-    firsts = [F.min_by(F.col(f), F.when(F.col(f) != "", F.col(seq))).alias(f) for f in scalars]
-    raw = [F.min_by(F.col(f), F.when(F.col(f) != "", F.col(seq))).alias(f"_raw_{f}") for f in ("sources", "notes")]
-    same = [(F.min(or_null(F.col(f))) == F.max(or_null(F.col(f)))).alias(f"_same_{f}") for f in ("sources", "notes")]
-    heads = df.groupBy(*by, key).agg(*firsts, *raw, *same, F.min(seq).alias("seq"), F.sum(weight).alias("n"))
-    many = F.stack(F.lit(2), F.lit("sources"), F.col("sources"), F.lit("notes"), F.col("notes")).alias("_field", "_value")
-    parts = df.select(*by, key, F.col(seq).alias("seq"), many).select(*by, key, "seq", "_field", F.posexplode(split_tokens(F.col("_value"))).alias("_pos", "_part"))
-    distinct = parts.groupBy(*by, key, "_field", "_part").agg(F.min(F.struct("seq", "_pos")).alias("_ord"))
+    head = F.array(F.struct(F.lit("").alias("field"), F.lit("").alias("part"), F.lit(0).alias("pos")))
+
+    def parts(f: str) -> Column:
+        found = F.transform(split_tokens(F.col(f)), lambda x, i: F.struct(F.lit(f).alias("field"), x.alias("part"), i.alias("pos")))
+        return F.coalesce(found, F.slice(head, 1, 0))
+
+    spread = df.select(*by, key, *FIELDS, seq, weight, F.explode(F.concat(head, *map(parts, LISTS))).alias("_p"))
+    of_key = F.col("_p.field") == ""
+    value = {f: F.when(of_key & (F.col(f) != ""), F.col(f)) for f in FIELDS}
+    firsts = [F.min_by(value[f], F.when(value[f].isNotNull(), F.col(seq))).alias(f) for f in FIELDS]
+    same = [(F.min(value[f]) == F.max(value[f])).alias(f"_same_{f}") for f in LISTS]
+    place = F.min(F.struct(F.col(seq).alias("seq"), F.col("_p.pos").alias("pos"))).alias("_ord")
+    return spread.groupBy(*by, key, F.col("_p.field").alias("_field"), F.col("_p.part").alias("_part")).agg(*firsts, *same, place, F.sum(weight).alias("n"))
+
 
-    def in_order(field: str) -> Column:
-        found = F.array_sort(F.collect_list(F.when(F.col("_field") == field, F.struct("_ord", "_part"))))
-        return F.array_join(F.transform(found, lambda x: x["_part"]), " | ")
+def merged_rows(state: DataFrame, by: Sequence[str] = (), key: str = "merge_key") -> DataFrame:
+    """One row per key of the state of ``merge_state``, which is read once."""
+    of_key = F.struct(*FIELDS, *[f"_same_{f}" for f in LISTS], F.col("_ord.seq").alias("seq"), "n")
+    found = [F.collect_list(F.when(F.col("_field") == f, F.struct("_ord", "_part"))).alias(f"_list_{f}") for f in LISTS]
+    grouped = state.groupBy(*by, key).agg(F.first(F.when(F.col("_field") == "", of_key), ignorenulls=True).alias("h"), *found)
 
-    lists = distinct.groupBy(*by, key).agg(*[in_order(f).alias(f"_list_{f}") for f in ("sources", "notes")])
-    joined = heads.join(lists, [*by, key], "left")
-    union = {f: F.when(F.coalesce(F.col(f"_same_{f}"), F.lit(True)), blank(F.col(f"_raw_{f}"))).otherwise(blank(F.col(f"_list_{f}"))) for f in ("sources", "notes")}
-    return joined.select(*by, key, *[blank(F.col(f)).alias(f) for f in scalars], union["sources"].alias("sources"), union["notes"].alias("notes"), "seq", "n")
+    def union(f: str) -> Column:
+        joined = F.array_join(F.transform(F.array_sort(f"_list_{f}"), lambda x: x["_part"]), " | ")
+        return F.when(F.coalesce(F.col(f"h._same_{f}"), F.lit(True)), blank(F.col(f"h.{f}"))).otherwise(joined).alias(f)
+
+    scalars = [blank(F.col(f"h.{f}")).alias(f) for f in FIELDS if f not in LISTS]
+    return grouped.select(*by, key, *scalars, *map(union, LISTS), "h.seq", "h.n")
+
+
+def merge_leads(df: DataFrame, by: Sequence[str] = (), key: str = "merge_key", seq: str = "seq", weight: str = "n") -> DataFrame:
+    """One row per key: of each field the first value by ``seq``, of sources and notes the ordered union of their parts.
+
+    If all values of a field are equal the text stays as it is.
+    """
+    return merged_rows(merge_state(df, by, key, seq, weight), by, key)
 
 
 def approved_rows(found: DataFrame, verdicts: DataFrame | None = None, pending: bool = False) -> DataFrame:
     """Validated rows with verdicts, the reason in the notes of the approved, and ``merge_key``."""
     judged = apply_verdicts(computed_once(validate(found)), verdicts, pending)
     noted = judged.withColumn("notes", F.when(F.col("approved"), join_full(" | ", F.col("notes"), F.col("reason"))).otherwise(F.col("notes")))
-    return computed_once(noted.withColumn("merge_key", F.when(F.col("approved") & ~F.col("pending"), merge_key())))
+    # only a verdict can bring a listing website back
+    return computed_once(noted.withColumn("merge_key", F.when(F.col("approved") & ~F.col("pending"), merge_key(check_listing=verdicts is not None))))
 
 
 def judged_rows(leads: DataFrame, lead_type: Column | str, geography: Column | str, by: Sequence[str] = (), verdicts: DataFrame | None = None, verdict_scope: str = "key", pending: bool = False) -> DataFrame:
@@ -260,41 +285,72 @@ def union_sources(*sources: DataFrame) -> DataFrame:
 
 
 def funnel_stats(leads: DataFrame, lead_type: Column | str, geography: Column | str, by: Sequence[str] = (), verdicts: DataFrame | None = None, verdict_scope: str = "key", pending: bool = False, limit: int | None = None) -> DataFrame:
-    """The funnel's counters; they add up to the input: skipped, pending, rejected, errors, duplicates and valid."""
-    gated = candidates(leads, lead_type, geography).groupBy(*by).agg(
-        F.count_if("cleared").alias("clearedGenericWebsite"),
-        F.count_if(F.col("skip_reason") == "no_contact").alias("skippedNoContact"),
-        F.count_if(F.col("skip_reason") == "no_name").alias("skippedNoName"),
-        F.count_if(F.col("skip_reason") == "wrong_type").alias("skippedWrongType"),
-    )
-    judged = judged_rows(leads, lead_type, geography, by, verdicts, verdict_scope, pending)
-    per_key = judged.groupBy(*by, "merge_key").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("pending"), F.col("n")).otherwise(0)).alias("waiting"))
+    """The funnel's counters; they add up to the input: skipped, pending, rejected, errors, duplicates and valid.
+
+    One pass: skipped rows ride along as one group for each reason.
+    """
+    gated = candidates(leads, lead_type, geography)
+    if verdict_scope == "key":
+        row = F.struct(*FIELDS)
+        found = gated.groupBy(*by, "skip_reason", "cache_key").agg(F.max_by(row, "seq").alias("r"), F.count(F.lit(1)).alias("n"), F.count_if("cleared").alias("_cleared"))
+        found = found.select(*by, "skip_reason", "cache_key", "r.*", "n", "_cleared")
+    elif verdict_scope == "row":
+        found = gated.select(*by, "skip_reason", "cache_key", *FIELDS, F.lit(1).cast("long").alias("n"), F.col("cleared").cast("long").alias("_cleared"))
+    else:
+        raise ValueError("verdict_scope is 'key' or 'row'")
+    judged = approved_rows(found, verdicts, pending)
+    passed = F.col("skip_reason").isNull()
+    key = F.when(passed, F.col("merge_key"))
+    waiting = F.when(passed & F.col("pending"), F.col("n")).otherwise(0)
+    per_key = judged.groupBy(*by, "skip_reason", key.alias("merge_key")).agg(F.sum("n").alias("n"), F.sum(waiting).alias("waiting"), F.sum("_cleared").alias("cleared"))
     good = F.col("merge_key").isNotNull()
-    valid = per_key.groupBy(*by).agg(
-        F.coalesce(F.sum("waiting"), F.lit(0)).alias("pendingValidation"),
-        F.coalesce(F.sum(F.when(~good, F.col("n") - F.col("waiting"))), F.lit(0)).alias("rejectedByValidation"),
+
+    def total(c: Column) -> Column:
+        return F.coalesce(F.sum(c), F.lit(0).cast("long"))
+
+    def skipped(reason: str) -> Column:
+        return total(F.when(F.col("skip_reason") == reason, F.col("n")))
+
+    counts = per_key.groupBy(*by).agg(
+        total(F.col("cleared")).alias("clearedGenericWebsite"),
+        skipped("no_contact").alias("skippedNoContact"),
+        skipped("no_name").alias("skippedNoName"),
+        skipped("wrong_type").alias("skippedWrongType"),
+        total(F.col("waiting")).alias("pendingValidation"),
+        total(F.when(passed & ~good, F.col("n") - F.col("waiting"))).alias("rejectedByValidation"),
         F.lit(0).cast("long").alias("validationErrors"),
-        F.coalesce(F.sum(F.when(good, F.col("n") - 1)), F.lit(0)).alias("duplicates"),
+        total(F.when(good, F.col("n") - 1)).alias("duplicates"),
         F.count_if(good).alias("totalValid"),
     )
     kept = F.col("totalValid") if limit is None else F.least(F.col("totalValid"), F.lit(max(0, limit)).cast("long"))
-    if by:
-        out = gated.join(valid, list(by), "left")
-    else:
-        out = gated.crossJoin(valid)  # one row each
-    zero = ["pendingValidation", "rejectedByValidation", "validationErrors", "duplicates", "totalValid"]
-    return out.fillna(0, zero).withColumn("kept", F.coalesce(kept, F.lit(0)))
+    return counts.withColumn("kept", kept)
 
 
 def match_requests(leads: DataFrame, requests: DataFrame, most: int = 10_000) -> DataFrame:
     """Rows of ``leads`` for each request (run_id, lead_type, geography) that they satisfy.
 
-    Requests are broadcast after a check of their number; beyond ``most`` the
-    distinct (type, place) pairs are matched and joined back by key.
+    A request asks for any type or for barbers, and for any place or for one that
+    a row must name.  The types that a row fits and the places that it names are
+    found once per row and joined to the requests as keys.  Distinct places are
+    looked for in every row if there are ``most`` or fewer, which is counted;
+    beyond that rows meet the places whose first letters they hold.
     """
-    r = requests.select("run_id", F.col("lead_type").alias("_type"), F.col("geography").alias("_place"))
-    condition = matches_type(F.col("_type")) & matches_geography(F.col("_place"))
-    if r.limit(most + 1).count() <= most:
-        return leads.join(F.broadcast(r), condition).drop("_type", "_place")
-    pairs = r.select("_type", "_place").distinct()
-    return leads.join(pairs, condition).join(r, ["_type", "_place"]).drop("_type", "_place")
+    barber = F.lit("barber")
+    place = fold_text(F.col("geography"))
+    wanted = requests.select("run_id", F.when(asks_for_barber(F.col("lead_type")), barber).otherwise("any").alias("_type"), F.when(place.isin("", "portugal"), "").otherwise(place).alias("_place"))
+    fits = F.when(matches_type(barber), F.array(F.lit("any"), barber)).otherwise(F.array(F.lit("any")))
+    rows = computed_once(leads.select("*", fits.alias("_fits"), place_haystack().alias("_hay")))
+    places = wanted.where("_place <> ''").select("_place").distinct()
+    if places.limit(most + 1).count() <= most:
+        all_places = places.agg(F.collect_list("_place").alias("_all"))  # one row of checked size
+        named = F.filter("_all", lambda p: F.contains(F.col("_hay"), p))
+        met = rows.crossJoin(F.broadcast(all_places)).withColumn("_place", F.explode(F.concat(F.array(F.lit("")), named))).drop("_all")
+    else:
+        head = F.substring("_place", 1, 3)
+        starts = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("_hay"), F.lit(1))), lambda i: F.substring(F.col("_hay"), i, F.lit(3))))
+        short = F.flatten(F.transform(starts, lambda s: F.array(s, F.substring(s, 1, 2), F.substring(s, 1, 1))))
+        keyed = rows.withColumn("_head", F.explode(F.array_distinct(short)))
+        named = keyed.join(places.withColumn("_head", head), "_head").where(F.contains("_hay", "_place")).drop("_head")
+        met = named.unionByName(rows.withColumn("_place", F.lit("")))
+    typed = met.withColumn("_type", F.explode("_fits"))
+    return typed.join(wanted, ["_type", "_place"]).drop("_type", "_place", "_fits", "_hay")

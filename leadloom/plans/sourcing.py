@@ -15,7 +15,7 @@ from leadloom.operators import extract as X
 from leadloom.operators import frontier as N
 from leadloom.operators import report as O
 from leadloom.sources.shared import fresh_folder
-from leadloom.streaming.consolidate import merged_rows, merged_stream
+from leadloom.streaming.consolidate import merged_stream
 
 from .consolidation import HTML, LEAD_TYPE, RAW, d_digits, html_pages, raw_leads, read, tables
 
@@ -299,7 +299,7 @@ def q_stream_consolidate(spark, sf):
     merged = merged_stream(stream.withColumn("seq", F.struct("profile_rank", "row_no")), LEAD_TYPE, "Portugal")
 
     def save(df: DataFrame, batch: int) -> None:
-        merged_rows(df).select("merge_key", *C.FIELDS, "n").write.mode("overwrite").parquet(f"{base}/out")
+        C.merged_rows(df).select("merge_key", *C.FIELDS, "n").write.mode("overwrite").parquet(f"{base}/out")
 
     query = merged.writeStream.outputMode("complete").option("checkpointLocation", f"{base}/checkpoint").foreachBatch(save).trigger(availableNow=True).start()
     query.awaitTermination()

@@ -17,43 +17,9 @@ def read_stream(spark: SparkSession, path: str, schema: str, files_per_trigger:
 
 
 def merged_stream(leads: DataFrame, lead_type: Column | str, geography: Column | str, by: list[str] | None = None) -> DataFrame:
-    """Row scope as one stateful aggregation (complete mode), to be made whole by ``merged_rows`` in foreachBatch.
-
-    The state has a row for each key with the first value of each field, and one
-    for each distinct (key, field, part) of sources and notes with its first
-    place, so a hot key takes as many rows as it has distinct parts.
-    """
-    by = by or []
-    judged = C.judged_rows(leads, lead_type, geography, by, verdict_scope="row").where("merge_key is not null")
-    head = F.array(F.struct(F.lit("").alias("field"), F.lit("").alias("part"), F.lit(0).alias("pos")))
-
-    def parts(f: str) -> Column:
-        found = F.transform(C.split_tokens(F.col(f)), lambda x, i: F.struct(F.lit(f).alias("field"), x.alias("part"), i.alias("pos")))
-        return F.coalesce(found, F.slice(head, 1, 0))
-
-    spread = judged.select(*by, "merge_key", *C.FIELDS, "seq", "n", F.explode(F.concat(head, parts("sources"), parts("notes"))).alias("_p"))
-    of_key = F.col("_p.field") == ""
-    value = {f: F.when(of_key & (F.col(f) != ""), F.col(f)) for f in C.FIELDS}
-    firsts = [F.min_by(value[f], F.when(value[f].isNotNull(), F.col("seq"))).alias(f) for f in C.FIELDS]
-    same = [(F.min(value[f]) == F.max(value[f])).alias(f"_same_{f}") for f in ("sources", "notes")]
-    place = F.min(F.struct("seq", F.col("_p.pos").alias("pos"))).alias("_ord")
-    return spread.groupBy(*by, "merge_key", F.col("_p.field").alias("_field"), F.col("_p.part").alias("_part")).agg(*firsts, *same, place, F.sum("n").alias("n"))
-
-
-def merged_rows(state: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """One row per key of the state of ``merged_stream``, as ``merge_leads`` gives; the state is read once."""
-    by = by or []
-    lists = ("sources", "notes")
-    of_key = F.struct(*C.FIELDS, *[f"_same_{f}" for f in lists], F.col("_ord.seq").alias("seq"), "n")
-    found = [F.collect_list(F.when(F.col("_field") == f, F.struct("_ord", "_part"))).alias(f"_list_{f}") for f in lists]
-    grouped = state.groupBy(*by, "merge_key").agg(F.first(F.when(F.col("_field") == "", of_key), ignorenulls=True).alias("h"), *found)
-
-    def union(f: str) -> Column:
-        joined = F.array_join(F.transform(F.array_sort(f"_list_{f}"), lambda x: x["_part"]), " | ")
-        return F.when(F.coalesce(F.col(f"h._same_{f}"), F.lit(True)), F.coalesce(F.col(f"h.{f}"), F.lit(""))).otherwise(joined).alias(f)
-
-    scalars = [F.coalesce(F.col(f"h.{f}"), F.lit("")).alias(f) for f in C.FIELDS if f not in lists]
-    return grouped.select(*by, "merge_key", *scalars, *map(union, lists), "h.seq", "h.n")
+    """Row scope as one stateful aggregation (complete mode), to be made whole by ``merged_rows`` in foreachBatch."""
+    judged = C.judged_rows(leads, lead_type, geography, by or [], verdict_scope="row")
+    return C.merge_state(judged.where("merge_key is not null"), by or [])
 
 
 def keyed_verdicts(leads: DataFrame, lead_type: Column | str, geography: Column | str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from leadloom.operators import consolidate as C
@@ -213,3 +215,30 @@ def test_keys_are_forgotten(spark, tmp_path):
     out = []
     first_per_key_stream(stream, "at").writeStream.outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).foreachBatch(lambda b, i: out.extend(r.key for r in b.collect())).trigger(availableNow=True).start().awaitTermination()
     assert sorted(out) == ["k", "l"]
+
+
+@pytest.mark.parametrize("most", [10_000, 1])
+def test_requests_by_key(spark, most):
+    """Every lead with every request, row by row, against the joins by key; few places and many."""
+    leads = C.conform(Q.raw_leads(spark, SF_DIR).limit(400)).cache()
+    asked = [("a", "barbearia", "EUROPE"), ("b", "leads", "Portugal"), ("c", "Barber", ""), ("d", "talhos", "são joão"), ("e", "", "ASIA"), ("f", "barbeiro", "zz"), ("g", None, None), ("h", "x", "e"), ("i", "x", "ur"), ("a2", "barbearia", "europe")]
+    requests = spark.createDataFrame(asked, "run_id string, lead_type string, geography string")
+    from leadloom.functions.predicates import matches_geography, matches_type
+
+    want = []
+    for run, kind, place in asked:
+        hit = leads.where(matches_type(F.lit(kind).cast("string")) & matches_geography(F.lit(place).cast("string")))
+        want += [(run, r.row_no) for r in hit.select("row_no").collect()]
+    got = C.match_requests(leads, requests, most)
+    assert sorted((r.run_id, r.row_no) for r in got.collect()) == sorted(want) and got.columns == [*leads.columns, "run_id"]
+    assert C.match_requests(leads, requests.limit(0), most).count() == 0 == C.match_requests(leads.limit(0), requests, most).count()
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastNestedLoopJoin" not in plan or most > 1
+
+
+def test_one_scan(spark, tmp_path):
+    """Merge and funnel read their input once."""
+    Q.raw_leads(spark, SF_DIR).write.parquet(str(tmp_path / "leads"))
+    leads = spark.read.parquet(str(tmp_path / "leads"))
+    for df in (C.consolidate(leads, "barbearia", "Portugal"), C.funnel_stats(leads, "barbearia", "Portugal")):
+        assert df._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1

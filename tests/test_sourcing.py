@@ -8,7 +8,8 @@ import __spark_entry__
 from leadloom.operators import consolidate as C
 from leadloom.operators import frontier as N
 from leadloom.operators import report as O
-from leadloom.streaming.consolidate import merged_rows, merged_stream
+from leadloom.operators.consolidate import merged_rows
+from leadloom.streaming.consolidate import merged_stream
 
 SF_DIR = "/root/testdata/sf0.001"
 
