@@ -22,7 +22,7 @@ import numpy as np
 from .common import starts_of
 
 #: Compiled transitions of a generation, and pair checks that a worker keeps.
-KEEP, CHECKS = 300_000, 100_000
+KEEP, CHECKS = 200_000, 100_000
 #: Symbols that one chunk map sums up, units that are still walked side by side, and chunk maps kept.
 CHUNK, FEW, MAPS = 64, 8, 10_000
 #: A transition is a number: the next state, and the change of the count plus an offset; its key is a state and a symbol.
@@ -110,8 +110,10 @@ class MergeTransducer:
 
     def __init__(self, pieces: dict[str, int], rank: Callable[[str, str], float | None], keep: int = KEEP):
         self.pieces, self.rank, self.keep = pieces, rank, keep
-        self.openings = {piece[:i] for piece in pieces for i in range(len(piece))}
-        self.openings.add("")
+        openings = {piece[:i] for piece in pieces for i in range(len(piece))} | {""}
+        # states share the strings and pairs that they are made of
+        self.openings = dict(zip(openings, openings, strict=True))
+        self.pairs: dict[tuple[str, int], tuple[str, int]] = {}
         if max(map(len, pieces), default=0) >= _ZERO:
             raise ValueError("a piece is too long")
         self.fits: dict[tuple[str, str], bool] = {}
@@ -188,10 +190,16 @@ class MergeTransducer:
                 break
         change = before[1] + 1
         at = 0
-        while text[at:] not in self.openings:
+        while (still := self.openings.get(text[at:])) is None:
             at += 1
-        kept = [(h[0], h[1] - change) if h is not None and text[i:] in self.openings else None for i, h in enumerate(history[at:], at)]
-        return (text[at:], (*kept, (piece, 0))), piece, change
+        kept = [self._pair(h[0], h[1] - change) if h is not None and text[i:] in self.openings else None for i, h in enumerate(history[at:], at)]
+        return (still, (*kept, self._pair(piece, 0))), piece, change
+
+    def _pair(self, piece: str, count: int) -> tuple[str, int]:
+        pair = (piece, count)
+        if len(self.pairs) > CHECKS:
+            self.pairs.clear()
+        return self.pairs.setdefault(pair, pair)
 
     def _compile(self, keys: np.ndarray) -> np.ndarray:
         """New transitions of the young generation, from the old one where it has them."""

@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from itertools import chain
 
 import numpy as np
@@ -168,13 +168,7 @@ class Model:
         self.unknown = next(i for i, k in enumerate(self.kinds) if k == UNKNOWN)
         self.by_word = not any(SPACE in p.lstrip(SPACE) for p in self.ids)
         self.by_line = not any("\n" in p for p in self.ids)
-        if self.type == MERGES:
-            def rank(a: str, b: str) -> float | None:
-                i = self.ids.get(a + b)
-                return None if i is None else -self.scores[i]
-
-            self.machine = MergeTransducer(self.ids, rank)
-        else:
+        if self.type == UNIGRAM:
             real = [s for s, k in zip(self.scores, self.kinds, strict=True) if k == NORMAL] or [0.0]
             self.floor = UNKNOWN_COST - min(real)
             self.weights = {p: USER_COST - len(p) * max(real) if self.kinds[i] == USER else -self.scores[i] for p, i in self.ids.items()}
@@ -183,6 +177,16 @@ class Model:
         text = [b"" if k == CONTROL else " ⁇ ".encode() if k == UNKNOWN else bytes([int(p[3:5], 16)]) if k == BYTE else p.replace(SPACE, " ").encode() for p, k in zip(self.pieces, self.kinds, strict=True)]
         self.text, self.text_starts = np.frombuffer(b"".join(text), np.uint8), starts_of(np.array([len(t) for t in text]))
 
+    @cached_property
+    def machine(self) -> MergeTransducer:
+        """Of a merge model; decoding does without it."""
+
+        def rank(a: str, b: str) -> float | None:
+            i = self.ids.get(a + b)
+            return None if i is None else -self.scores[i]
+
+        return MergeTransducer(self.ids, rank)
+
     def shortest_path(self, unit: str) -> list[int]:
         """Arcs of the best path of a unigram model: piece ids, or the complement of a symbol without a piece.
 
