@@ -57,6 +57,21 @@ def normalize_platform_name(name: Column, url: Column) -> Column:
     return F.when(current.rlike(platform) & is_parsable(url) & candidate.rlike(business), candidate).otherwise(current)
 
 
+def _resolved(path: str) -> str:
+    """A path without dot segments."""
+    out: list[str] = []
+    segments = path.split("/")[1:]
+    for segment in segments:
+        dots = segment.lower().replace("%2e", ".")
+        if dots == "..":
+            del out[-1:]
+        elif dots != ".":
+            out.append(segment)
+    if segments and segments[-1].lower().replace("%2e", ".") in (".", ".."):
+        out.append("")
+    return "/" + "/".join(out)
+
+
 def _clean(text: str | None, depth: int = 5) -> str:
     """A result link without the search engine's redirect around it."""
     text = (text or "").strip()
@@ -65,7 +80,7 @@ def _clean(text: str | None, depth: int = 5) -> str:
     try:
         full = urljoin("https://example.com", text)
         parts = urlsplit(full)
-        host, path = (parts.hostname or ""), parts.path or "/"
+        host, path = (parts.hostname or ""), _resolved(parts.path or "/")
         if parts.scheme in ("http", "https") and (not host or any(ch in host for ch in " <>[]^|%")):
             return text
     except ValueError:
@@ -98,9 +113,23 @@ def _clean(text: str | None, depth: int = 5) -> str:
 
 
 @F.pandas_udf(StringType())
-def clean_url(urls: pd.Series) -> pd.Series:
-    """Canonical address of a search result; empty for the engines' own pages."""
-    return urls.map(_clean)
+def _clean_odd(urls: pd.Series) -> pd.Series:
+    """Addresses that need decoding or encoding; null stays null."""
+    return urls.map(_clean, na_action="ignore")
+
+
+#: Addresses that are canonical as they stand: plain characters, no dot segments, no port, no engine that redirects.
+_CANONICAL = r"^https?://(?:(?!google\.|bing\.com|duckduckgo\.com|yahoo\.|search\.brave\.com|mojeek\.com|qwant\.com)[a-z0-9.-])+/(?:(?!/\.)[A-Za-z0-9/_.~-])*(?:\?[A-Za-z0-9/_.~=&-]+)?$"
+
+
+def clean_url(c: Column) -> Column:
+    """Canonical address of a search result; empty for the engines' own pages.
+
+    Most links are canonical and stay as they are; Python sees the others only.
+    """
+    text = blank(c)
+    plain = text.rlike(_CANONICAL) & ~text.contains("/./") & ~text.contains("/../") & ~text.rlike(r"/\.{1,2}$|^https?:///|^https?://\.")
+    return F.when(plain, text).otherwise(_clean_odd(F.when(~plain, text)))
 
 
 def is_blocked_url(c: Column) -> Column:

@@ -165,7 +165,7 @@ def result_urls(results: DataFrame) -> DataFrame:
     """
     keep = ["run_id", "profile", "query", "query_ord", "provider_ord"]
     links = results.select(*keep, F.posexplode(extract_search_urls(F.col("provider"), F.col("html"))).alias("place", "raw"))
-    cleaned = links.select("raw").distinct().select("raw", clean_url("raw").alias("url"))
+    cleaned = links.select("raw").distinct().select("raw", clean_url(F.col("raw")).alias("url"))
     joined = links.join(cleaned, "raw").where((F.col("url") != "") & ~is_blocked_url(F.col("url")))
     return joined.select(*keep[:4], F.struct("provider_ord", "place").alias("position"), "url")
 

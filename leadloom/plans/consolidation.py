@@ -232,16 +232,22 @@ def q_split_words(spark, sf):
 
 def q_url_codec(spark, sf):
     names = raw_leads(spark, sf)
-    encoded = T.encode_uri_component(F.col("name"))
-    return names.select("row_no", encoded.alias("encoded"), T.decode_url(encoded).alias("decoded"))
+    cell = F.concat(F.lit("a%20b+"), "name", F.when(F.col("row_no") % 3 == 0, "%zz").otherwise("%C3%A9"))  # a third is malformed
+    return names.select("row_no", T.encode_uri_component(F.col("name")).alias("encoded"), T.decode_url(cell).alias("decoded"))
 
 
 def q_normalize_domain(spark, sf):
     return raw_leads(spark, sf).select("row_no", normalize_domain(F.col("website")).alias("website"), normalize_domain(F.col("socials")).alias("socials"))
 
 
+#: Addresses of pages, engines' own pages and other schemes, for both engines.
+_LINKS = """CASE page_id % 8 WHEN 1 THEN concat('https://www.google.pt/search?q=', CAST(page_id AS STRING)) WHEN 2 THEN concat('mailto:p', CAST(page_id AS STRING), '@x.pt') WHEN 3 THEN 'https://th.bing.com/th/id/1'
+  WHEN 4 THEN 'https://www.qwant.com/?q=a' WHEN 5 THEN 'https://www.qwant.com/about' ELSE url END"""
+
+
 def q_page_domains(spark, sf):
-    return read(spark, sf, "pages").select("page_id", normalize_domain(F.col("url")).alias("domain"), is_blocked_url(F.col("url")).alias("blocked"))
+    links = read(spark, sf, "pages").select("page_id", F.expr(_LINKS).alias("url"))
+    return links.select("page_id", normalize_domain(F.col("url")).alias("domain"), is_blocked_url(F.col("url")).alias("blocked"))
 
 
 def q_listing_url_flags(spark, sf):
@@ -392,9 +398,9 @@ ORACLE_SQL: dict[str, str] = {
     "slugify": f"WITH {RAW}, s AS (SELECT row_no, {_SLUG.format(x='name')} AS slug FROM raw_leads) SELECT row_no, slug, {_title('slug')} AS title FROM s",
     "strip_tags": f"SELECT page_id, {d_strip_tags('html')} AS text FROM pages",
     "split_words": r"SELECT doc_id, len(list_filter(regexp_split_to_array(text, '[^\p{L}\p{N}]+'), lambda y: y <> ''))::BIGINT AS n_words FROM documents",
-    "url_codec": f"WITH {RAW} SELECT row_no, replace(replace(replace(replace(replace(url_encode(name), '%21', '!'), '%27', ''''), '%28', '('), '%29', ')'), '+', '%20') AS encoded, name AS decoded FROM raw_leads",
+    "url_codec": f"WITH {RAW} SELECT row_no, replace(replace(replace(replace(replace(url_encode(name), '%21', '!'), '%27', ''''), '%28', '('), '%29', ')'), '+', '%20') AS encoded, CASE WHEN row_no % 3 = 0 THEN 'a%20b+' || name || '%zz' ELSE 'a b ' || name || 'é' END AS decoded FROM raw_leads",
     "normalize_domain": f"WITH {RAW} SELECT row_no, {d_domain('website')} AS website, {d_domain('socials')} AS socials FROM raw_leads",
-    "page_domains": f"SELECT page_id, {d_domain('url')} AS domain, false AS blocked FROM pages",
+    "page_domains": f"WITH links AS (SELECT page_id, {_LINKS.replace('STRING', 'VARCHAR')} AS url FROM pages) SELECT page_id, {d_domain('url')} AS domain, page_id % 8 BETWEEN 1 AND 4 AS blocked FROM links",
     "listing_url_flags": f"WITH {RAW} SELECT row_no, {d_listing('website')} AS listing, {d_rules('website', P.LEAD_WEBSITE_RULES, P.LEAD_WEBSITE_ROUGH)} AS lead_website FROM raw_leads",
     "public_email_flags": f"WITH {RAW} SELECT row_no, {d_email_ok('email')} AS public_email FROM raw_leads",
     "phone_flags": rf"WITH {RAW}, d AS (SELECT row_no, {d_digits('phone')} AS digits FROM raw_leads) SELECT row_no, digits, length(digits) BETWEEN 9 AND 15 AS plausible, CASE WHEN starts_with(digits, '351') THEN length(digits) = 12 AND regexp_matches(digits, '^351[23569]') ELSE length(digits) = 9 AND regexp_matches(digits, '^[23569]') END AS portuguese, CASE WHEN starts_with(digits, '55') THEN length(digits) BETWEEN 12 AND 13 ELSE length(digits) BETWEEN 10 AND 11 END AS brazilian FROM d",

@@ -252,9 +252,14 @@ def q_review_prompts(spark, sf):
     return raw_leads(spark, sf).select("row_no", prompt.alias("prompt"))
 
 
+#: Error texts of fetches, from the event, for both engines.
+ERRORS = """CASE event_id % 6 WHEN 0 THEN concat('http 429: ', event_type) WHEN 1 THEN 'HTTP 403' WHEN 2 THEN concat('HTTP 500 after HTTP 403 of ', event_type) WHEN 3 THEN concat('timeout ', CAST(user_id AS STRING))
+  WHEN 4 THEN '' ELSE CAST(NULL AS STRING) END"""
+
+
 def q_error_classes(spark, sf):
-    error = F.concat(F.lit("HTTP "), F.element_at(F.array(F.lit(429), F.lit(403), F.lit(500)), (F.col("event_id") % 3 + 1).cast("int")).cast("string"))
-    return read(spark, sf, "events").select("event_id", P.classify_error(error).alias("message"), P.is_temporary_block(error).alias("temporary"))
+    errors = read(spark, sf, "events").select("event_id", F.expr(ERRORS).alias("error"))
+    return errors.select("event_id", P.classify_error(F.col("error")).alias("message"), P.is_temporary_block(F.col("error")).alias("temporary"))
 
 
 def q_last_events(spark, sf):
@@ -424,7 +429,7 @@ SELECT run_id, key, name, website, socials, email, phone, locality, district, 'h
   '' AS issues, CASE WHEN c_custkey % 6 = 2 THEN 'N' || c_custkey ELSE '' END AS name FROM customer""",
     "log_messages": "SELECT event_id, CASE event_id % 7 WHEN 0 THEN 'Codex a pensar' WHEN 1 THEN 'Pesquisa concluída: q' || user_id WHEN 3 THEN 'A receber o briefing' WHEN 4 THEN 'falhou' WHEN 5 THEN 'olá mundo ' || user_id WHEN 6 THEN '{broken ' || user_id END AS message FROM events",
     "review_prompts": f"""WITH {RAW} SELECT row_no, concat_ws(chr(10), '{R.PROMPT_HEAD}', '{R.PROMPT_SHAPE}', 'Requested business type: barbearia', 'Requested geography: ' || district, 'Source context: ' || profile, '{R.PROMPT_RULE.replace("'", "''")}', 'Lead JSON:', '{{', '  "name" : "' || name || '"', '}}') AS prompt FROM raw_leads""",
-    "error_classes": "SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'motor bloqueou temporariamente (429)' WHEN 1 THEN 'motor sem acesso publico (403)' ELSE 'HTTP 500' END AS message, event_id % 3 = 0 AS temporary FROM events",
+    "error_classes": "SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'motor bloqueou temporariamente (429)' WHEN 1 THEN 'motor sem acesso publico (403)' WHEN 2 THEN 'motor sem acesso publico (403)' WHEN 3 THEN 'timeout ' || user_id ELSE '' END AS message, event_id % 6 = 0 AS temporary FROM events",
     "last_events": "SELECT user_id AS run_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC)::INT AS rank FROM events QUALIFY rank <= 30",
     "progress_changes": "SELECT user_id AS run_id, event_id AS tick, event_type FROM events QUALIFY lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) IS DISTINCT FROM event_type",
     "run_status": f"""WITH {RAW}, s AS (SELECT district AS run_id, profile, count(*) % 3 AS code, max(row_no) % 7 > 0 AS o FROM raw_leads GROUP BY ALL), k AS (SELECT district AS run_id, count(*) % 4 AS kept FROM raw_leads GROUP BY ALL),

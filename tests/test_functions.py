@@ -17,7 +17,31 @@ def apply(spark, function, values, kind="string"):
     return [r[0] for r in df.select(function(F.col("v")).alias("o"), "i").orderBy("i").select("o").collect()]
 
 
+#: Listing pages and lead websites, written by hand from the rules' description: a host part, and a part of the path if one is asked for.
+LISTINGS = {
+    "https://www.barberhead.com/x": True, "barberhead.com": True, "https://google.com/maps/place/1": True, "https://www.google.pt/search": False, "https://maps.google.com/x": True,
+    "https://maps.app.goo.gl/abc": True, "https://www.hotfrog.pt/search/lisboa": True, "https://www.hotfrog.pt/company/1": False, "https://www.fresha.com/a/b": True, "https://booksy.com/pt": True,
+    "https://noona.app/x": True, "https://agendoor.com.br/x": True, "https://ondecortar.pt/cidades/porto": True, "https://ondecortar.pt/salao/1": False, "https://www.cylex.pt/barbearia/": True,
+    "https://www.cylex.pt/barbearia": True, "https://www.cylex.pt/barbearia/x": False, "https://www.pai.pt/pesquisa/x": True, "https://www.pai.pt/ms/x": False, "https://empresite.jornaldenegocios.pt/actividade/x": True,
+    "https://www.racius.com/pesquisa/x": True, "https://loja.pt/": False, "": False, "not a url /search/": True, "loja nova": False,
+}
+LEAD_WEBSITES = {
+    "https://www.pai.pt/searches?x": True, "https://www.pai.pt/pesquisa/x": False, "https://google.com/maps": True, "https://booksy.com/search": True, "https://www.cylex.pt/search/x": True, "https://www.cylex.pt/barbearia": False,
+    "https://www.infobel.com/search": True, "https://www.tuugo.pt/search": True, "https://www.tuugo.pt/c/1": False, "https://loja.pt/search": False, "x y/maps": True,
+}
+BLOCKED = {
+    "javascript:void(0)": True, "mailto:a@b.pt": True, "tel:1": True, "https://www.google.com/search?q=1": True, "https://google.de/search": False, "https://www.bing.com/search?q=1": True, "https://search.yahoo.com/search?p=1": True,
+    "https://search.brave.com/search?q=1": True, "https://www.mojeek.com/search?q": True, "https://www.qwant.com/?q=1": True, "https://th.bing.com/th": True, "https://www.microsoft.com/pt": True, "https://x.pt/fd/ls/1": True, "https://duckduckgo.com/html/?q": True, "https://loja.pt/google": False,
+}
+CLEAN = {
+    "https://loja.pt/a/b.html?x=1": "https://loja.pt/a/b.html?x=1", "http://loja.pt/a/../b": "http://loja.pt/b", "http://loja.pt/./a": "http://loja.pt/a", "https://loja.pt": "https://loja.pt/", "https://Loja.pt/A": "https://loja.pt/A",
+    "https://loja.pt:443/a": "https://loja.pt/a", "https://loja.pt/a b": "https://loja.pt/a%20b", "https://www.qwant.com/about": "https://www.qwant.com/about", "/a": "https://example.com/a", "https://loja.pt/a#b": "https://loja.pt/a#b", "https://loja.pt/..": "https://loja.pt/", "https://www.google.com/url?url=https://a.pt/x": "https://a.pt/x",
+}
 CASES = [
+    (P.is_generic_listing_url, list(LISTINGS), list(LISTINGS.values())),
+    (P.is_generic_lead_website, list(LEAD_WEBSITES), list(LEAD_WEBSITES.values())),
+    (U.is_blocked_url, list(BLOCKED), list(BLOCKED.values())),
+    (U.clean_url, list(CLEAN), list(CLEAN.values())),
     (T.strip, [" x ", None, "﻿ a\t"], ["x", "", "a"]),
     (T.normalize_text, ["  São  João ", None, ""], ["são joão", "", ""]),
     (T.fold_text, ["Bragança AÇORES", "Ünï", "é"], ["braganca acores", "uni", "e"]),
