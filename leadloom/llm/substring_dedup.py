@@ -38,7 +38,7 @@ WINDOW, RUN = 50, 8
 #: Windows whose anchors are found at a time.
 STEP = 1 << 20
 #: Different segments from which on an anchor is hot.
-HOT = 128
+HOT = 1024
 _EMPTY = hashlib.sha256(b"").hexdigest()
 
 
@@ -226,14 +226,14 @@ def _windows(distinct: DataFrame, window: int) -> DataFrame:
 
 
 def _cut_down(distinct: DataFrame, window: int) -> DataFrame:
-    """Of each distinct segment the stretches of windows that several documents hold: anchor, digest, ``at``, ``run``, ``part`` (digest) and ``words``.
+    """Of each distinct segment the stretches of windows that several documents hold: anchor, digest, first, ``at``, ``run``, ``part`` (digest) and ``words``.
 
     Equal keys of unlike windows keep a window too many, which does no harm.
     """
     windows = materialize(_windows(distinct, window), "hot-windows")
     held = windows.groupBy("key").agg(F.min("first").alias("_a"), F.max("last").alias("_b")).where("_a < _b").select("key")
     places = windows.join(materialize(held, "shared-windows"), "key", "left_semi").groupBy("anchor", "digest").agg(F.sort_array(F.collect_list("at")).alias("places"))
-    cut = distinct.select("anchor", "digest", "words").join(places, ["anchor", "digest"])
+    cut = distinct.select("anchor", "digest", "first", "words").join(places, ["anchor", "digest"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -249,9 +249,9 @@ def _cut_down(distinct: DataFrame, window: int) -> DataFrame:
                         texts.append(" ".join(words[low : high + window]))
                 pick = pa.array(rows, pa.int64())
                 digests = [hashlib.blake2b(t.encode(), digest_size=16).digest() for t in texts]
-                yield pa.RecordBatch.from_arrays([batch.column("anchor").take(pick), batch.column("digest").take(pick), pa.array(ats, pa.int32()), pa.array(runs, pa.int32()), pa.array(digests, pa.binary()), pa.array(texts, pa.string())], ["anchor", "digest", "at", "run", "part", "words"])
+                yield pa.RecordBatch.from_arrays([*[batch.column(c).take(pick) for c in ("anchor", "digest", "first")], pa.array(ats, pa.int32()), pa.array(runs, pa.int32()), pa.array(digests, pa.binary()), pa.array(texts, pa.string())], ["anchor", "digest", "first", "at", "run", "part", "words"])
 
-    return cut.select("anchor", "digest", "words", "places").mapInArrow(work, "anchor long, digest binary, at int, run int, part binary, words string")
+    return cut.select("anchor", "digest", "first", "words", "places").mapInArrow(work, "anchor long, digest binary, first long, at int, run int, part binary, words string")
 
 
 def _matches(distinct: DataFrame, window: int) -> DataFrame:
@@ -338,18 +338,19 @@ def repeats(docs: DataFrame, window: int = WINDOW, id_column: str = "doc_id", te
     segments = materialize(_segments(touched, window), "segments")
     places = segments.select("id", "tk", "anchor", "digest", "start", "length")
     distinct = materialize(_distinct(segments), "distinct-segments")
-    # a narrow table: broadcast if small, so that a hot anchor's segments stay where they are
+    # narrow tables: broadcast if small, so that a hot anchor's segments stay where they are
     counts = materialize(distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"), "anchor-counts")
+    several = distinct.join(counts.where(F.col("_n") <= hot_from).select("anchor"), "anchor", "left_semi")
+    matched = materialize(_matches(several.select("anchor", "digest", "first", "words"), window), "matches")
     hot = materialize(counts.where(F.col("_n") > hot_from).select("anchor"), "hot-anchors")
     if not hot.isEmpty():
         cut = materialize(_cut_down(distinct.join(hot, "anchor", "left_semi"), window), "hot-parts")
-        smaller = places.join(hot, "anchor", "left_semi").join(cut, ["anchor", "digest"])
-        smaller = materialize(smaller.select("id", "tk", "anchor", F.col("part").alias("digest"), (F.col("start") + F.col("at")).alias("start"), F.col("run").alias("length"), "words"), "hot-segments")
-        places = places.join(hot, "anchor", "left_anti").unionByName(smaller.drop("words"))
-        distinct = distinct.join(hot, "anchor", "left_anti").unionByName(materialize(_distinct(smaller), "hot-distinct"))
-        counts = materialize(distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"), "anchor-counts")
-    several = distinct.join(counts.select("anchor"), "anchor", "left_semi")
-    matched = materialize(_matches(several.select("anchor", "digest", "first", "words"), window), "matches")
+        parts = materialize(cut.groupBy("anchor", "part").agg(F.min("first").alias("first"), F.first("words").alias("words")), "distinct-parts")
+        within = materialize(_matches(parts.select("anchor", F.col("part").alias("digest"), "first", "words"), window), "part-matches")
+        whole = cut.drop("words").join(parts.select("anchor", "part", F.col("first").alias("_first")), ["anchor", "part"]).where("_first < first")
+        some = cut.select("anchor", "digest", "part", F.col("at").alias("_at")).join(within.withColumnRenamed("digest", "part"), ["anchor", "part"])
+        found = whole.select("anchor", "digest", "at", "run").unionByName(some.select("anchor", "digest", (F.col("_at") + F.col("at")).alias("at"), "run"))
+        matched = matched.unionByName(materialize(found, "hot-matches"))
     later = places.join(distinct.where("first < last").select("anchor", "digest", "first"), ["anchor", "digest"]).where("id > first").select("id", "tk", "start", "length")
     inside = places.join(matched, ["anchor", "digest"]).select("id", "tk", (F.col("start") + F.col("at")).alias("start"), F.col("run").alias("length"))
     spans = later.unionByName(inside).distinct().groupBy("id", "tk").agg(F.collect_list(F.struct("start", "length")).alias("spans"))
