@@ -49,13 +49,16 @@ def first_per_key_stream(rows: DataFrame, time_column: str | None = None, delay:
 
 
 class Consolidator:
-    """Micro-batches into a table of candidates, validated at intervals, merged after every batch.
-
-    Each batch adds its candidates as Parquet under ``path/candidates``; keys get
-    their verdict (the last row that is known then) when a validation is due, and
-    rows whose key has none are pending and left out of the result.  Batches are
-    written under their number, so one that is run again replaces itself.  A clock
-    stream gives batches when no file comes, so pending rows don't wait for one.
+    """Micro-batches merged as they come, with verdicts at intervals.
+
+    Each batch adds one row per key of its candidates under ``path/keys``.  Keys
+    get their verdict (the last row that is known then) when a validation is due,
+    under ``path/verdicts``; rows whose key has none are pending and left out of
+    the result.  A batch merges again only what shares a merge key with the keys
+    that it brings or judges, and adds that under ``path/result``; of each merge
+    key the newest version counts.  Batches are written under their number, so
+    one that is run again replaces itself.  A clock stream gives batches when no
+    file comes, so pending rows don't wait for one.
     """
 
     def __init__(self, spark: SparkSession, path: str, lead_type: str, geography: str, interval_s: float = 120.0, clock=None):
@@ -64,8 +67,6 @@ class Consolidator:
         self.spark, self.path, self.lead_type, self.geography = spark, path.rstrip("/"), lead_type, geography
         self.interval_s, self.clock = interval_s, clock or time.time
         self.last_validation: float | None = None
-        self.result: DataFrame | None = None
-        self.stats: DataFrame | None = None
 
     def _read(self, name: str) -> DataFrame | None:
         try:
@@ -78,33 +79,51 @@ class Consolidator:
     def due(self) -> bool:
         return self.last_validation is None or self.clock() - self.last_validation >= self.interval_s
 
+    def _waiting(self) -> DataFrame | None:
+        """Keys without a verdict, as often as batches brought them."""
+        known, judged = self._read("keys"), self._read("verdicts")
+        return known if known is None or judged is None else known.join(judged.select("cache_key"), "cache_key", "left_anti")
+
     def pending(self) -> bool:
         """Whether rows wait for their verdict."""
-        known, judged = self._read("candidates"), self._read("verdicts")
-        if known is None:
-            return False
-        known = known.where("skip_reason is null")
-        return not (known if judged is None else known.join(judged.select("cache_key"), "cache_key", "left_anti")).isEmpty()
+        waiting = self._waiting()
+        return waiting is not None and not waiting.isEmpty()
+
+    @property
+    def result(self) -> DataFrame:
+        """The merged rows, one per merge key."""
+        row = F.struct(*C.FIELDS, "seq", "n")
+        found = self._read("result").groupBy("merge_key").agg(F.max_by(row, "version").alias("r"))
+        return found.select("merge_key", "r.*")
+
+    @property
+    def stats(self) -> DataFrame:
+        """One row: rows that wait, merged rows, and rows merged into others."""
+        pending = self._waiting().agg(F.coalesce(F.sum("n"), F.lit(0)).alias("pendingValidation"))
+        kept = self.result.agg(F.count(F.lit(1)).alias("kept"), (F.coalesce(F.sum("n"), F.lit(0)) - F.count(F.lit(1))).alias("duplicates"))
+        return pending.crossJoin(kept)  # one row each
 
     def process(self, batch: DataFrame, batch_id: int, force: bool = False) -> None:
         """The body of foreachBatch."""
-        gated = C.candidates(batch, self.lead_type, self.geography).select("seq", *C.FIELDS, "cleared", "skip_reason", "cache_key")
-        gated.write.mode("overwrite").parquet(f"{self.path}/candidates/batch={batch_id}")
-        known = self._read("candidates").where("skip_reason is null")
-        judged = self._read("verdicts")
+        passed = C.candidates(batch, self.lead_type, self.geography).where("skip_reason is null")
+        keys = passed.groupBy("cache_key").agg(F.max_by(F.struct(*C.FIELDS), "seq").alias("row"), F.max("seq").alias("last"), F.min("seq").alias("first"), F.count(F.lit(1)).alias("n"))
+        keys.write.mode("overwrite").parquet(f"{self.path}/keys/batch={batch_id}")
+        known, judged = self._read("keys"), self._read("verdicts")
+        touched = known.where(F.col("batch") == batch_id).select("cache_key")
         if force or self.due():
+            if judged is not None:  # what this batch judged when it was run before is judged anew
+                judged = judged.where(F.col("batch") != batch_id)
             todo = known if judged is None else known.join(judged.select("cache_key"), "cache_key", "left_anti")
-            C.verdict_per_key(todo).drop("n").write.mode("overwrite").parquet(f"{self.path}/verdicts/batch={batch_id}")
+            rows = todo.groupBy("cache_key").agg(F.max_by("row", "last").alias("row")).select("cache_key", "row.*")
+            C.approved_rows(rows).select("cache_key", *C.FIELDS, "merge_key").write.mode("overwrite").parquet(f"{self.path}/verdicts/batch={batch_id}")
             self.last_validation = self.clock()
             judged = self._read("verdicts")
-        counts = known.groupBy("cache_key").agg(F.count(F.lit(1)).alias("n"), F.min("seq").alias("first"))
-        rows = judged.join(counts, "cache_key").select("cache_key", *C.FIELDS, F.col("first").alias("seq"), "n")
-        approved = C.approved_rows(rows)
-        merged = C.merge_leads(approved.where("merge_key is not null"))
-        merged.write.mode("overwrite").parquet(f"{self.path}/result/version={batch_id}")
-        self.result = self.spark.read.parquet(f"{self.path}/result/version={batch_id}")
-        pending = known.join(judged.select("cache_key"), "cache_key", "left_anti")
-        self.stats = pending.agg(F.count(F.lit(1)).alias("pendingValidation")).crossJoin(self.result.agg(F.count(F.lit(1)).alias("kept"), (F.coalesce(F.sum("n"), F.lit(0)) - F.count(F.lit(1))).alias("duplicates")))
+            touched = touched.unionByName(judged.where(F.col("batch") == batch_id).select("cache_key"))
+        good = judged.where("merge_key is not null")
+        again = good.join(touched.distinct(), "cache_key", "left_semi").select("merge_key").distinct()
+        rows = good.join(again, "merge_key", "left_semi").select("cache_key", *C.FIELDS, "merge_key")
+        counts = known.join(rows.select("cache_key"), "cache_key", "left_semi").groupBy("cache_key").agg(F.sum("n").alias("n"), F.min("first").alias("seq"))
+        C.merge_leads(rows.join(counts, "cache_key")).write.mode("overwrite").parquet(f"{self.path}/result/version={batch_id}")
 
     def start(self, stream: DataFrame, checkpoint: str, once: bool = False, tick: str = "1 second"):
         """The running query: a batch each ``tick``, or all files there are with validation forced."""

@@ -167,6 +167,36 @@ def test_keyed_state(spark, tmp_path):
     assert {tuple(r) for r in spark.table("verdicts").select(*columns).collect()} == {tuple(r) for r in want.select(*columns).collect()}
 
 
+def test_batches_merge_what_they_touch(spark, tmp_path):
+    """After every batch the result is that of a merge of all keys judged so far; a batch run again changes nothing."""
+    leads = Q.raw_leads(spark, SF_DIR)
+    c = Consolidator(spark, str(tmp_path), "barbearia", "Portugal")
+    parts = [leads.where(f"row_no % 5 = {k}") for k in range(5)]
+    for k, part in enumerate(parts):
+        for _ in range(2):
+            c.process(part, k, force=True)
+        judged = spark.read.parquet(f"{tmp_path}/verdicts").where("merge_key is not null").drop("batch")
+        counts = spark.read.parquet(f"{tmp_path}/keys").groupBy("cache_key").agg(F.sum("n").alias("n"), F.min("first").alias("seq"))
+        want = C.merge_leads(judged.join(counts, "cache_key"))
+        columns = ["merge_key", *C.FIELDS, "n"]
+        assert sorted(map(tuple, c.result.select(*columns).collect())) == sorted(map(tuple, want.select(*columns).collect()))
+    sizes = [r["count"] for r in spark.read.parquet(f"{tmp_path}/result").groupBy("version").count().orderBy("version").collect()]
+    assert sizes[-1] < c.result.count()
+
+
+def test_run_folder(spark):
+    from pathlib import Path
+
+    from leadloom.sources import shared
+
+    spark2 = spark.newSession()
+    path = shared.fresh_folder(spark2, "x")
+    spark2.range(3).write.parquet(path)
+    assert spark2.read.parquet(path).count() == 3
+    shared.drop_run(spark2)
+    assert not Path(path.removeprefix("file://")).exists() and shared.fresh_folder(spark2, "x").rsplit("/", 1)[0] != path.rsplit("/", 1)[0]
+
+
 def test_first_batch_fixes_the_row(spark, tmp_path):
     """Later batches only count, and a batch without news changes nothing."""
     rows = [lead(name="Barbearia X", email="a@b.pt", notes=n) for n in ("first", "last of the batch", "later", "later still")]
@@ -196,7 +226,7 @@ def test_rows_wait_for_the_clock_only(spark, tmp_path):
     query = c.start(stream, str(tmp_path / "cp"))
     try:
         until = time.time() + 90
-        while time.time() < until and (c.stats is None or not c.stats.first().pendingValidation):
+        while time.time() < until and not c.pending():
             time.sleep(0.5)
         assert c.pending()
         now[0] = 200.0
