@@ -2,10 +2,11 @@
 
 Vectors that are equal component by component form a class, compared once.  The
 signs of a class's products with random hyperplanes give its bucket in each of
-several tables; only the numbers of classes are dealt to buckets, buckets of one
-go, and the vectors join what is left.  Members of a bucket are compared by
-exact cosine in double precision, a pair in the first table only that brings it
-together.  Links are counted where they are found, and only a spanning part of
+several tables.  Only the classes' numbers and signs are dealt to buckets; buckets
+of one go, and so do members that differ from all others of their bucket in more
+signs than a pair at the threshold ever does (five standard errors).  The vectors
+join what is left, where members are compared by exact cosine in double
+precision, a pair in the first table only that brings it together.  Links are counted where they are found, and only a spanning part of
 each cell's links leaves it, for the distributed connected components.
 """
 
@@ -26,6 +27,8 @@ from .components import components
 
 #: Probability that a pair at the threshold meets in a table, and members of a bucket that unlike vectors may make.
 RECALL, FILL = 0.9996, 256
+#: Standard errors of the number of unlike signs by which a pair may exceed that of a pair at the threshold.
+MARGIN = 5.0
 #: Signs of a table at least and at most.
 LEAST_BITS, MOST_BITS = 12, 40
 SEED = 17
@@ -43,15 +46,44 @@ def plan_tables(rows: int, threshold: float, recall: float = RECALL) -> tuple[in
     return bits, max(1, math.ceil(math.log(1 - recall) / math.log(1 - min(together, 1 - 1e-12))))
 
 
+def most_unlike(threshold: float, signs: int) -> float:
+    """Unlike signs of a pair at the threshold, with the margin; by the normal tail 3e-7 of such pairs have more."""
+    p = math.acos(min(1.0, max(-1.0, threshold))) / math.pi
+    return signs * p + MARGIN * math.sqrt(signs * p * (1 - p))
+
+
 @lru_cache(64)
 def planes(dimensions: int, bits: int, tables: int) -> np.ndarray:
     return np.random.default_rng([SEED, dimensions]).standard_normal((dimensions, bits * tables))
 
 
-def signatures(x: np.ndarray, bits: int, tables: int) -> np.ndarray:
-    """The bucket of each row in each table."""
-    signs = (x @ planes(x.shape[1], bits, tables) >= 0).reshape(len(x), tables, bits)
-    return signs @ (1 << np.arange(bits, dtype=np.int64))
+def sign_bits(x: np.ndarray, bits: int, tables: int) -> np.ndarray:
+    return x @ planes(x.shape[1], bits, tables) >= 0
+
+
+def signatures(signs: np.ndarray, bits: int, tables: int) -> np.ndarray:
+    """The bucket of each row of signs in each table."""
+    return signs.reshape(len(signs), tables, bits) @ (1 << np.arange(bits, dtype=np.int64))
+
+
+def packed(signs: np.ndarray) -> np.ndarray:
+    """Rows of signs as 64-bit words."""
+    bytes_ = np.packbits(signs, axis=1)
+    return np.ascontiguousarray(np.pad(bytes_, ((0, 0), (0, -bytes_.shape[1] % 8)))).view(np.uint64)
+
+
+def with_partner(codes: np.ndarray, side: np.ndarray, most: float) -> np.ndarray:
+    """Members of a cell that differ from another in ``most`` signs or fewer."""
+    found = np.zeros(len(codes), bool)
+    for at in range(0, len(codes), 64):
+        unlike = np.bitwise_count(codes[at : at + 64, None, :] ^ codes[None, :, :]).sum(2, dtype=np.int64)
+        near = unlike <= most
+        near[np.arange(len(near)), np.arange(at, at + len(near))] = False
+        if side[0] >= 0:
+            near &= side[at : at + 64, None] != side[None, :]
+        found[at : at + 64] |= near.any(1)
+        found |= near.any(0)
+    return found
 
 
 def union_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -103,7 +135,7 @@ def compare(group: pa.RecordBatch, threshold: float) -> tuple[np.ndarray, np.nda
 
 
 def hash_vectors(classes: DataFrame, bits: int, tables: int) -> DataFrame:
-    """node, copies, the vector as doubles and ``signs``: its bucket in each table, both as bytes."""
+    """node, copies, the vector as doubles, ``signs``: its bucket in each table, and ``code``: all signs, the three as bytes."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -115,12 +147,12 @@ def hash_vectors(classes: DataFrame, bits: int, tables: int) -> DataFrame:
                     by_size.setdefault(len(x), []).append(i)
                 for size, members in by_size.items():
                     x = np.stack([arrays[i] for i in members])
-                    found = signatures(x / np.abs(x).max(1, keepdims=True), bits, tables).astype("<i8")
+                    own = sign_bits(x / np.abs(x).max(1, keepdims=True), bits, tables)
                     pick = pa.array(members)
-                    blobs, signs = ([row.tobytes() for row in m] for m in (x, found))
-                    yield pa.RecordBatch.from_arrays([part.column("node").take(pick), part.column("copies").take(pick), pa.array([size] * len(members), pa.int32()), pa.array(blobs, pa.binary()), pa.array(signs, pa.binary())], ["node", "copies", "size", "vector", "signs"])
+                    blobs, signs, codes = ([row.tobytes() for row in m] for m in (x, signatures(own, bits, tables).astype("<i8"), packed(own).astype("<u8")))
+                    yield pa.RecordBatch.from_arrays([part.column("node").take(pick), part.column("copies").take(pick), pa.array([size] * len(members), pa.int32()), *[pa.array(c, pa.binary()) for c in (blobs, signs, codes)]], ["node", "copies", "size", "vector", "signs", "code"])
 
-    return classes.mapInArrow(hashed, "node long, copies long, size int, vector binary, signs binary")
+    return classes.mapInArrow(hashed, "node long, copies long, size int, vector binary, signs binary, code binary")
 
 
 def near_vectors(vectors: DataFrame, threshold: float = 0.95, bits: int | None = None, tables: int | None = None, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
@@ -151,11 +183,23 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, bits: int | None =
             n = batch.num_rows
             signs = np.frombuffer(b"".join(batch.column("signs").to_pylist()), "<i8")
             buckets = signs * np.int64(1 << 20) + np.repeat(np.minimum(batch.column("size").to_numpy(), (1 << 20) - 1), tables)
-            yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(tables, dtype=np.int32), n)), pa.array(buckets), batch.column("node").take(pa.array(np.repeat(np.arange(n), tables)))], ["slot", "bucket", "node"])
+            pick = pa.array(np.repeat(np.arange(n), tables))
+            yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(tables, dtype=np.int32), n)), pa.array(buckets), batch.column("node").take(pick), batch.column("code").take(pick)], ["slot", "bucket", "node", "code"])
+
+    places = hashed.select("node", "size", "signs", "code").mapInArrow(spread, "slot int, bucket long, node long, code binary")
+    several = places.select(*keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(*keys)
+    dealt = deal(materialize(places.join(several, keys, "left_semi"), "vector-buckets"), keys, "node")
+    most = most_unlike(threshold, bits * tables)
+
+    def partnered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in groups(batches, [*keys, "cell"]):
+            codes = np.frombuffer(b"".join(group.column("code").to_pylist()), "<u8").reshape(group.num_rows, -1)
+            has = with_partner(codes, group.column("side").to_numpy(zero_copy_only=False), most)
+            if has.any():
+                yield group.select(["slot", "bucket", "node", "cell", "side"]).filter(pa.array(has))
 
-    places = hashed.select("node", "size", "signs").mapInArrow(spread, "slot int, bucket long, node long")
-    several = places.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(*keys)
-    suspects = materialize(deal(materialize(places.join(several, keys, "left_semi"), "vector-buckets"), keys, "node"), "vector-cells")
+    near = gather(dealt, keys).mapInArrow(partnered, "slot int, bucket long, node long, cell long, side int")
+    suspects = materialize(near, "vector-cells")
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in groups(batches, [*keys, "cell"]):

@@ -82,6 +82,32 @@ def test_packing_fills_sequences(spark):
     assert ((rows["length"] & (rows["length"] - 1)) == 0).all() and rows["sequence_id"].is_unique and (rows["offset"] == 0).all()
 
 
+def test_tokens_as_the_libraries(spark):
+    """The token queries over the given documents, row by row against the libraries."""
+    import zlib
+
+    import public_tokenizers
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    from leadloom.llm.common import read_table
+
+    texts = {r.doc_id: r.text or "" for r in read_table(spark, SF_DIR, "documents").select("doc_id", "text").collect()}
+    ids, strings = list(texts), list(texts.values())
+    byte_bpe, word_bpe = (Tokenizer.from_file(public_tokenizers.path(n)) for n in ("byte_bpe_50k.json", "word_bpe_49k.json"))
+    counts = dict(zip(ids, (len(e.ids) for e in byte_bpe.encode_batch(strings, add_special_tokens=False)), strict=True))
+    rows = registry.QUERIES["op7_token_counts"](spark, SF_DIR).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_tokens, r.over_limit) for r in rows} == {i: (len(texts[i].encode()), n, n > 512) for i, n in counts.items()}
+    library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    found = {r.doc_id: r for r in registry.QUERIES["op4_sentencepieces"](spark, SF_DIR).collect()}
+    for i, want in zip(ids, library.encode(strings), strict=True):
+        back = library.decode(want).encode()
+        assert (found[i].ids, found[i].n_ids, found[i].decoded_bytes, found[i].decoded_crc32) == (want, len(want), len(back), zlib.crc32(back))
+    tokens = {i: np.array([*e.ids, 1], "<u4") for i, e in zip(ids, word_bpe.encode_batch(strings, add_special_tokens=False), strict=True)}
+    for r in registry.QUERIES["op6_packing"](spark, SF_DIR).collect():
+        assert r.doc_tokens == len(tokens[r.doc_id]) and r.ids_crc32 == zlib.crc32(tokens[r.doc_id][r.start : r.start + r.length].tobytes())
+
+
 def test_hot_key_is_split(spark, monkeypatch):
     from pyspark.sql import functions as F
 
