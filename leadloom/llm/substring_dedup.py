@@ -13,9 +13,9 @@ some anchors, and its automata meet just those: anchors that only one document
 has, and segments that are equal word for word, never reach an automaton.
 
 A passage that a great many documents quote makes its anchor hot, with as many
-segments as there are texts around it.  Those are first cut down to the windows
-that several documents hold, which leaves the passage itself; what it is cut to
-is then equal nearly always.
+segments as there are texts around it.  Those are cut up by second anchors, the
+smallest runs but for the anchor: parts that reach into the text around have
+second anchors of their own and go, parts within the passage are mostly equal.
 """
 
 from __future__ import annotations
@@ -100,6 +100,14 @@ class SuffixAutomaton:
         return out
 
 
+def run_keys(hashes: np.ndarray, run: int) -> np.ndarray:
+    """A key of each run of words from the words' hashes."""
+    key = np.full(max(0, len(hashes) - run + 1), run, np.uint64)
+    for i in range(run):
+        key = mix64(key * np.uint64(0x9E3779B97F4A7C15) + hashes[i : len(key) + i])
+    return key
+
+
 def leftmost_least(key: np.ndarray, width: int, step: int = STEP) -> np.ndarray:
     """Of each run of ``width`` keys, the place of the one with the least upper bits, the leftmost of equals.
 
@@ -141,9 +149,7 @@ class Words:
         self.anchor = np.zeros(0, np.int64)
         if n < window:
             return
-        key = np.full(n - run + 1, run, np.uint64)
-        for i in range(run):
-            key = mix64(key * np.uint64(0x9E3779B97F4A7C15) + h[i : n - run + 1 + i])
+        key = run_keys(h, run)
         pick = leftmost_least(key, width)  # by first word of the window
         row = np.repeat(np.arange(len(self.counts)), self.counts)
         at = np.flatnonzero(row[: n - window + 1] == row[window - 1 :])
@@ -201,57 +207,47 @@ def _segments(rows: DataFrame, window: int) -> DataFrame:
     return rows.mapInArrow(work, "id long, tk long, anchor long, start int, length int, digest binary, words string")
 
 
-def _window_keys(words: list[str], window: int) -> np.ndarray:
-    """A 64-bit key of each window."""
-    h = pd.util.hash_array(np.array(words, object), categorize=False)
-    key = np.full(len(h) - window + 1, window, np.uint64)
-    for i in range(window):
-        key = mix64(key * np.uint64(0x9E3779B97F4A7C15) + h[i : len(h) - window + 1 + i])
-    return key.view(np.int64)
-
-
-def _windows(distinct: DataFrame, window: int) -> DataFrame:
-    """Key and place of every window of distinct segments."""
+def _second_anchors(words: list[str], anchor: int, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Stretches of windows of a segment by their smallest run that isn't the anchor: first window, last window and that run's key.
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in slices(whole, "words", 1 << 19):
-                keys = [_window_keys(t.split(" "), window) for t in batch.column("words").to_pylist()]
-                counts = np.array([len(k) for k in keys], np.int64)
-                pick = pa.array(np.repeat(np.arange(len(keys)), counts))
-                columns = [batch.column(c).take(pick) for c in ("anchor", "digest", "first", "last")]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(np.concatenate(keys)), pa.array((np.arange(int(counts.sum())) - np.repeat(starts_of(counts)[:-1], counts)).astype(np.int32))], ["anchor", "digest", "first", "last", "key", "at"])
-
-    return distinct.select("anchor", "digest", "first", "last", "words").mapInArrow(work, "anchor long, digest binary, first long, last long, key long, at int")
+    Windows without another run than the anchor have the key of the anchor.
+    """
+    h = pd.util.hash_array(np.array(words, object), categorize=False)
+    run = min(RUN, window)
+    key = run_keys(h, run)
+    ranked = np.where(key == np.array([anchor]).view(np.uint64)[0], np.uint64(0xFFFFFFFFFFFFFFFF), key)
+    pick = leftmost_least(ranked, window - run + 1)
+    first = np.flatnonzero(np.append(True, pick[1:] != pick[:-1]))
+    return first, np.append(first[1:], len(pick)) - 1, key[pick[first]].view(np.int64)
 
 
-def _cut_down(distinct: DataFrame, window: int) -> DataFrame:
-    """Of each distinct segment the stretches of windows that several documents hold: anchor, digest, first, ``at``, ``run``, ``part`` (digest) and ``words``.
+def _cut_up(distinct: DataFrame, window: int) -> DataFrame:
+    """Parts of distinct segments by their windows' second anchors, as far as several documents have them.
 
-    Equal keys of unlike windows keep a window too many, which does no harm.
+    anchor, digest, first and last are the segment's; ``key`` stands for the two
+    anchors, ``at`` and ``run`` tell the words of the part, ``part`` is its digest.
     """
-    windows = materialize(_windows(distinct, window), "hot-windows")
-    held = windows.groupBy("key").agg(F.min("first").alias("_a"), F.max("last").alias("_b")).where("_a < _b").select("key")
-    places = windows.join(materialize(held, "shared-windows"), "key", "left_semi").groupBy("anchor", "digest").agg(F.sort_array(F.collect_list("at")).alias("places"))
-    cut = distinct.select("anchor", "digest", "first", "words").join(places, ["anchor", "digest"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, "words"):
-                rows, ats, runs, texts = [], [], [], []
-                for i, (text, at) in enumerate(zip(batch.column("words").to_pylist(), batch.column("places").to_pylist(), strict=True)):
-                    words, at = text.split(" "), np.array(at)
-                    edges = np.flatnonzero(np.diff(at) > 1)
-                    for low, high in zip(at[np.append(0, edges + 1)].tolist(), at[np.append(edges, len(at) - 1)].tolist(), strict=True):
+            for batch in slices(whole, "words", 1 << 20):
+                rows, ats, runs, keys, texts = [], [], [], [], []
+                for i, (text, anchor) in enumerate(zip(batch.column("words").to_pylist(), batch.column("anchor").to_pylist(), strict=True)):
+                    words = text.split(" ")
+                    for low, high, key in zip(*(x.tolist() for x in _second_anchors(words, anchor, window)), strict=True):
                         rows.append(i)
                         ats.append(low)
                         runs.append(high - low + window)
+                        keys.append(key)
                         texts.append(" ".join(words[low : high + window]))
                 pick = pa.array(rows, pa.int64())
                 digests = [hashlib.blake2b(t.encode(), digest_size=16).digest() for t in texts]
-                yield pa.RecordBatch.from_arrays([*[batch.column(c).take(pick) for c in ("anchor", "digest", "first")], pa.array(ats, pa.int32()), pa.array(runs, pa.int32()), pa.array(digests, pa.binary()), pa.array(texts, pa.string())], ["anchor", "digest", "first", "at", "run", "part", "words"])
+                yield pa.RecordBatch.from_arrays([*[batch.column(c).take(pick) for c in ("anchor", "digest", "first", "last")], pa.array(keys, pa.int64()), pa.array(ats, pa.int32()), pa.array(runs, pa.int32()), pa.array(digests, pa.binary()), pa.array(texts, pa.string())], ["anchor", "digest", "first", "last", "key", "at", "run", "part", "words"])
 
-    return cut.select("anchor", "digest", "first", "words", "places").mapInArrow(work, "anchor long, digest binary, first long, at int, run int, part binary, words string")
+    cut = distinct.select("anchor", "digest", "first", "last", "words").mapInArrow(work, "anchor long, digest binary, first long, last long, key long, at int, run int, part binary, words string")
+    cut = materialize(cut.withColumn("key", F.xxhash64("anchor", "key")), "second-anchors")  # equal keys of unlike pairs do no harm
+    held = materialize(cut.groupBy("key").agg(F.min("first").alias("_a"), F.max("last").alias("_b")).where("_a < _b").select("key"), "shared-second-anchors")
+    return cut.join(held, "key", "left_semi")
 
 
 def _matches(distinct: DataFrame, window: int) -> DataFrame:
@@ -344,11 +340,12 @@ def repeats(docs: DataFrame, window: int = WINDOW, id_column: str = "doc_id", te
     matched = materialize(_matches(several.select("anchor", "digest", "first", "words"), window), "matches")
     hot = materialize(counts.where(F.col("_n") > hot_from).select("anchor"), "hot-anchors")
     if not hot.isEmpty():
-        cut = materialize(_cut_down(distinct.join(hot, "anchor", "left_semi"), window), "hot-parts")
-        parts = materialize(cut.groupBy("anchor", "part").agg(F.min("first").alias("first"), F.first("words").alias("words")), "distinct-parts")
-        within = materialize(_matches(parts.select("anchor", F.col("part").alias("digest"), "first", "words"), window), "part-matches")
-        whole = cut.drop("words").join(parts.select("anchor", "part", F.col("first").alias("_first")), ["anchor", "part"]).where("_first < first")
-        some = cut.select("anchor", "digest", "part", F.col("at").alias("_at")).join(within.withColumnRenamed("digest", "part"), ["anchor", "part"])
+        cut = materialize(_cut_up(distinct.join(hot, "anchor", "left_semi"), window), "hot-parts")
+        parts = materialize(cut.groupBy("key", "part").agg(F.min("first").alias("first"), F.first("words").alias("words")), "distinct-parts")
+        # parts of one key have the same second anchor, so they stand for segments of one anchor
+        within = materialize(_matches(parts.select(F.col("key").alias("anchor"), F.col("part").alias("digest"), "first", "words"), window), "part-matches")
+        whole = cut.drop("words", "last").join(parts.select("key", "part", F.col("first").alias("_first")), ["key", "part"]).where("_first < first")
+        some = cut.select("anchor", "digest", "key", "part", F.col("at").alias("_at")).join(within.select(F.col("anchor").alias("key"), F.col("digest").alias("part"), "at", "run"), ["key", "part"])
         found = whole.select("anchor", "digest", "at", "run").unionByName(some.select("anchor", "digest", (F.col("_at") + F.col("at")).alias("at"), "run"))
         matched = matched.unionByName(materialize(found, "hot-matches"))
     later = places.join(distinct.where("first < last").select("anchor", "digest", "first"), ["anchor", "digest"]).where("id > first").select("id", "tk", "start", "length")
