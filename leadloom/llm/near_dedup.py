@@ -41,7 +41,7 @@ BANDS, ROWS = 25, 5
 #: Standard errors of the estimate by which a pair may lie below the threshold and still be verified: by the normal tail a pair at the threshold falls lower with probability 3e-7.
 MARGIN = 5.0
 #: Documents of a region that meet in one block.
-REGION_BLOCK = 256
+REGION_BLOCK = 128
 
 
 def shingles(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:

@@ -39,6 +39,8 @@ WINDOW, RUN = 50, 8
 STEP = 1 << 20
 #: Different segments from which on an anchor is hot.
 HOT = 1024
+#: Segments of an anchor that meet in one block.
+SEGMENT_BLOCK = 256
 _EMPTY = hashlib.sha256(b"").hexdigest()
 
 
@@ -280,7 +282,7 @@ def _matches(distinct: DataFrame, window: int) -> DataFrame:
             if starts:
                 yield pa.RecordBatch.from_arrays([pa.array([group.column("anchor")[0].as_py()] * len(starts), pa.int64()), pa.array(digests, pa.binary()), pa.array(starts, pa.int32()), pa.array(lengths, pa.int32())], ["anchor", "digest", "at", "run"])
 
-    return gather(deal(distinct, keys, "digest"), keys).mapInArrow(work, "anchor long, digest binary, at int, run int")
+    return gather(deal(distinct, keys, "digest", SEGMENT_BLOCK), keys).mapInArrow(work, "anchor long, digest binary, at int, run int")
 
 
 def _clean(rows: DataFrame) -> DataFrame:

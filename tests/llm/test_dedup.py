@@ -125,8 +125,7 @@ def test_substrings(docs, no_docs, small_docs, window):
 
 
 def test_repeated_ids_and_large_groups(spark, monkeypatch):
-    deal = substring_dedup.deal
-    monkeypatch.setattr(substring_dedup, "deal", lambda df, keys, member: deal(df, keys, member, 2))
+    monkeypatch.setattr(substring_dedup, "SEGMENT_BLOCK", 2)
     base = [f"w{i}" for i in range(80)]
     rows = [(i, " ".join([*base[:40], f"x{i % 9}", *base[40:], f"y{i}"] if i % 2 else [f"z{i}", *base])) for i in range(24)]
     rows += [(5, " ".join(base)), (5, " ".join(base)), (7, None)]

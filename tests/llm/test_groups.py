@@ -61,7 +61,6 @@ def test_tables_follow_the_rows():
 
 @pytest.mark.parametrize("block", [4, 16])
 def test_large_regions(spark, monkeypatch, block):
-    monkeypatch.setattr(near_dedup, "REGION_BLOCK", block)
     monkeypatch.setattr(near_dedup.near_links, "__defaults__", (block,))
     rng = random.Random(5)
     rows = []

@@ -1,4 +1,4 @@
-"""Queries with SQL over the small tables, and those without against a second computation."""
+"""Queries without SQL over the small tables, against a second computation (those with SQL: tests/test_oracle.py)."""
 
 import os
 
@@ -19,15 +19,6 @@ def duck():
     return connection
 
 
-@pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
-def test_same_rows_as_sql(name, spark, duck):
-    df = registry.QUERIES[name](spark, SF_DIR)
-    result = duck.execute(registry.ORACLE_SQL[name])
-    columns = [d[0] for d in result.description]
-    assert sorted(columns) == sorted(df.columns)
-    assert sorted(map(tuple, df.select(*columns).collect()), key=str) == sorted(map(tuple, result.fetchall()), key=str)
-
-
 BASE = r"""
 WITH docs AS (
   SELECT doc_id, coalesce(text, '') AS text, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words FROM documents
