@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: White space, as a Java character class body: all Unicode spaces and the byte-order mark.
 WS = r"\s\x0B\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF"
+#: The same, each character.
+WS_CHARACTERS = "".join(map(chr, [*range(0x09, 0x0E), 0x20, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF]))
 #: ASCII word borders (Java's \b also counts accented letters as parts of words).
 START, END = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
 
@@ -19,7 +21,7 @@ def blank(c: Column) -> Column:
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(blank(c), f"^[{WS}]+|[{WS}]+$", "")
+    return F.btrim(blank(c), F.lit(WS_CHARACTERS))
 
 
 def or_null(c: Column) -> Column:

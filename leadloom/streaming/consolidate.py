@@ -92,14 +92,19 @@ class Consolidator:
     @property
     def result(self) -> DataFrame:
         """The merged rows, one per merge key."""
-        row = F.struct(*C.FIELDS, "seq", "n")
-        found = self._read("result").groupBy("merge_key").agg(F.max_by(row, "version").alias("r"))
+        written = self._read("result")
+        if written is None:  # no batch yet
+            fields = ", ".join(f"{f} string" for f in C.FIELDS)
+            return self.spark.createDataFrame([], f"merge_key string, {fields}, seq struct<profile_rank:int,row_no:bigint>, n long")
+        found = written.groupBy("merge_key").agg(F.max_by(F.struct(*C.FIELDS, "seq", "n"), "version").alias("r"))
         return found.select("merge_key", "r.*")
 
     @property
     def stats(self) -> DataFrame:
         """One row: rows that wait, merged rows, and rows merged into others."""
-        pending = self._waiting().agg(F.coalesce(F.sum("n"), F.lit(0)).alias("pendingValidation"))
+        waiting = self._waiting()
+        waiting = self.spark.createDataFrame([], "n long") if waiting is None else waiting
+        pending = waiting.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("pendingValidation"))
         kept = self.result.agg(F.count(F.lit(1)).alias("kept"), (F.coalesce(F.sum("n"), F.lit(0)) - F.count(F.lit(1))).alias("duplicates"))
         return pending.crossJoin(kept)  # one row each
 

@@ -171,6 +171,7 @@ def test_batches_merge_what_they_touch(spark, tmp_path):
     """After every batch the result is that of a merge of all keys judged so far; a batch run again changes nothing."""
     leads = Q.raw_leads(spark, SF_DIR)
     c = Consolidator(spark, str(tmp_path), "barbearia", "Portugal")
+    assert c.result.count() == 0 and not c.pending() and tuple(c.stats.first()) == (0, 0, 0)
     parts = [leads.where(f"row_no % 5 = {k}") for k in range(5)]
     for k, part in enumerate(parts):
         for _ in range(2):
