@@ -14,6 +14,8 @@ from leadloom.sources.shared import fresh_folder
 
 #: Bytes of text that one Python worker turns into arrays at a time.
 SLICE_BYTES = 2_500_000
+#: The same where each word takes several wide arrays.
+SHORT_SLICE_BYTES = 1_000_000
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

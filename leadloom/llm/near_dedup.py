@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .cells import deal, deal_apart, gather, groups
-from .common import encode_words, materialize, mix64, read_table, slices, split_words, starts_of
+from .common import SHORT_SLICE_BYTES, encode_words, materialize, mix64, read_table, slices, split_words, starts_of
 from .components import components, spanning
 from .embedding_dedup import union_roots
 
@@ -259,7 +259,7 @@ def sketches(docs: DataFrame, width: int, m: int, id_column: str = "doc_id", tex
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for part in slices(whole, "text"):
+            for part in slices(whole, "text", SHORT_SLICE_BYTES):
                 keys, counts = shingles(part.column("text"), width)
                 regs = registers(keys, counts, m)
                 blob = pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * m), len(counts), [None, pa.py_buffer(regs.astype("<u2"))]).cast(pa.binary())
@@ -273,7 +273,7 @@ def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for part in slices(whole, "text"):
+            for part in slices(whole, "text", SHORT_SLICE_BYTES):
                 keys, counts = shingles(part.column("text"), width)
                 at = starts_of(counts) * 8
                 blob = pa.BinaryArray.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(keys.astype("<u8"))])

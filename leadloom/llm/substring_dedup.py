@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .cells import deal, gather, groups
-from .common import encode_words, materialize, mix64, read_table, slices, split_words, starts_of
+from .common import SHORT_SLICE_BYTES, encode_words, materialize, mix64, read_table, slices, split_words, starts_of
 
 #: Consecutive words that make a repeat, and words of the runs among which anchors are chosen.
 WINDOW, RUN = 50, 8
@@ -180,7 +180,7 @@ def _profile(rows: DataFrame, window: int) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for part in slices(whole, "text"):
+            for part in slices(whole, "text", SHORT_SLICE_BYTES):
                 w = Words(part.column("text"), window)
                 sha = [hashlib.sha256(w.joined(a, b)).hexdigest() for a, b in zip(w.starts[:-1].tolist(), w.starts[1:].tolist(), strict=True)]
                 ends = np.searchsorted(w.row, np.arange(len(w.counts) + 1))
@@ -195,7 +195,7 @@ def _segments(rows: DataFrame, window: int) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for part in slices(whole, "text"):
+            for part in slices(whole, "text", SHORT_SLICE_BYTES):
                 w = Words(part.column("text"), window)
                 lists = part.column("shared")
                 row = np.repeat(np.arange(part.num_rows), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
@@ -290,7 +290,7 @@ def _clean(rows: DataFrame) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for part in slices(whole, "text"):
+            for part in slices(whole, "text", SHORT_SLICE_BYTES):
                 w = Words(part.column("text"), 1, anchored=False)
                 removed, sha, texts = [], [], []
                 for i, (spans, a, b) in enumerate(zip(part.column("spans").to_pylist(), w.starts[:-1].tolist(), w.starts[1:].tolist(), strict=True)):
