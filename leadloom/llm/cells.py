@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .common import materialize, partitions
 
 #: Members of a bucket that are compared in one cell.
-BLOCK = 512
+BLOCK = 256
 #: Rows that one task compares, about.
 TASK_ROWS = 10_000
 
