@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embedding_dedup, html_text, line_dedup, near_dedup, packing, quality_rules, sentencepieces, sharding, substring_dedup, token_counts
+from . import embedding_dedup, filter_audit, html_text, line_dedup, near_dedup, packing, quality_rules, sentencepieces, sharding, substring_dedup, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_token_counts": token_counts.op7_token_counts,
     "op8_sharding": sharding.op8_sharding,
     "op9_quality_rules": quality_rules.op9_quality_rules,
+    "op11_filter_audit": filter_audit.op11_filter_audit,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -27,4 +28,5 @@ ORACLE_SQL: dict[str, str] = {
     "op10_near_dedup": near_dedup.ORACLE_SQL,
     "op5_substring_dedup": substring_dedup.ORACLE_SQL,
     "op8_sharding": sharding.ORACLE_SQL,
+    "op11_filter_audit": filter_audit.ORACLE_SQL,
 }
