@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embedding_dedup, filter_audit, fingerprints, html_text, line_dedup, near_dedup, packing, quality_rules, sentencepieces, sharding, substring_dedup, token_counts
+from . import collocations, embedding_dedup, filter_audit, fingerprints, html_text, line_dedup, near_dedup, packing, quality_rules, sentencepieces, sharding, substring_dedup, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -20,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sharding": sharding.op8_sharding,
     "op9_quality_rules": quality_rules.op9_quality_rules,
     "op11_filter_audit": filter_audit.op11_filter_audit,
+    "op12_collocations": collocations.op12_collocations,
     "op13_fingerprints": fingerprints.op13_fingerprints,
 }
 
@@ -30,4 +31,5 @@ ORACLE_SQL: dict[str, str] = {
     "op5_substring_dedup": substring_dedup.ORACLE_SQL,
     "op8_sharding": sharding.ORACLE_SQL,
     "op11_filter_audit": filter_audit.ORACLE_SQL,
+    "op12_collocations": collocations.ORACLE_SQL,
 }
