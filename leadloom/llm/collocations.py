@@ -22,14 +22,16 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, encode_words, flat_bytes, materialize, mix64, partitions, read_table, slices
+from .common import SLICE_BYTES, encode_words, flat_bytes, materialize, mix64, partitions, ranges, read_table, slices
 
 #: Words of the longest phrase.
 LONGEST = 4
 #: Bounds of the counters of a sketch, as powers of two; between them one counter stands for BYTES bytes of text.
 LEAST_BITS, MOST_BITS, BYTES = 16, 27, 48
 #: Candidates that one minimal perfect hash holds; more are counted in further passes.
-WAVE = 1 << 22
+WAVE = 1 << 21
+#: Keys that a task remembers, so that it gives few candidates twice.
+TOLD = 1 << 20
 #: Counters of a sketch and slots that cross a shuffle as one row.
 SKETCH_BLOCK, SLOT_BLOCK = 4096, 1024
 #: Rows of a block that one task of the first level of a tree sums.
@@ -42,6 +44,9 @@ _FACTORS = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _WHITE, _BREAK = np.zeros(256, bool), np.zeros(256, bool)
 _WHITE[[32, 9]] = True
 _BREAK[[*b".,;:!?", *range(10, 14)]] = True
+_INSIDE, _GAP = ~(_WHITE | _BREAK), np.array([32], np.uint8)
+#: The first bytes of 16, by their number, as two words of bits.
+_HEADS = np.array([[255] * n + [0] * (16 - n) for n in range(17)], np.uint8).view("<u8").astype(np.uint64)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -50,28 +55,42 @@ class Words:
     """The words of texts: two hashes of each, whether the next one follows in the same piece, and its row."""
 
     def __init__(self, langs: pa.Array, texts: pa.Array):
-        data, offsets = flat_bytes(pc.fill_null(texts.cast(pa.string()), ""))
-        inside = ~(_WHITE | _BREAK)[data]
-        begins = inside.copy()
-        begins[1:] &= ~inside[:-1]
-        firsts = offsets[:-1][offsets[:-1] < offsets[1:]]
-        begins[firsts] = inside[firsts]
-        at = np.flatnonzero(begins)
-        bounds = np.append((np.cumsum(inside, dtype=np.int32) - 1)[at], inside.sum()).astype(np.int32)
-        letters = _LOWER[data[inside]]
-        strings = pa.StringArray.from_buffers(len(at), pa.py_buffer(bounds), pa.py_buffer(letters))
-        self.codes, self.distinct = encode_words(strings)
-        self.rows = np.searchsorted(offsets, at, "right") - 1
-        piece = np.cumsum(_BREAK[data], dtype=np.int32)[at]
-        self.joined = (piece[1:] == piece[:-1]) & (self.rows[1:] == self.rows[:-1])
+        # a line feed ends a piece, so it may stand between texts as well
+        one = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(texts)], pa.int32()), pc.fill_null(texts.cast(pa.string()), "")), "\n")
+        self.data = _LOWER.take(flat_bytes(one)[0])
+        inside = _INSIDE.take(np.concatenate([_GAP, self.data, _GAP]))
+        turns = np.flatnonzero(inside[1:] != inside[:-1])
+        self.at, self.ends = turns[::2], turns[1::2]
+        self.rows = np.searchsorted(np.cumsum(pc.binary_length(pc.fill_null(texts, "")).to_numpy(zero_copy_only=False).astype(np.int64) + 1), self.at, "right")
+        self.joined = np.ones(max(0, len(self.at) - 1), bool)
+        after = np.searchsorted(self.at, np.flatnonzero(_BREAK.take(self.data)))
+        self.joined[after[(after > 0) & (after < len(self.at))] - 1] = False
         self.langs = langs
+        self.hashes = hash_words(self.data, self.at, self.ends)
         lang_codes, known = encode_words(langs)
-        words = hash_strings(self.distinct.to_pylist())
-        self.hashes = tuple(h[self.codes] for h in words)
         self.start = tuple(h[lang_codes[self.rows]] for h in hash_strings(known.to_pylist()))
 
+    def texts(self, places: np.ndarray, k: int) -> pa.Array:
+        """Phrases of ``k`` words that begin at ``places``, joined by single spaces."""
+        flat = ranges(places, np.full(len(places), k))
+        lengths = self.ends[flat] - self.at[flat]
+        words = pa.StringArray.from_buffers(len(flat), pa.py_buffer(np.append(0, np.cumsum(lengths)).astype(np.int32)), pa.py_buffer(self.data[ranges(self.at[flat], lengths)]))
+        return pc.binary_join(pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, k, dtype=np.int32)), words), " ")
 
-def hash_strings(strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
+
+def hash_words(data: np.ndarray, at: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each word: of up to 16 bytes by its bytes and its length, of a longer one by the hash of all."""
+    windows = np.lib.stride_tricks.sliding_window_view(np.concatenate([data, np.zeros(16, np.uint8)]), 16)[at]
+    lengths = ends - at
+    low, high = (windows.view("<u8").astype(np.uint64) & _HEADS[np.minimum(lengths, 16)]).T if len(at) else np.zeros((2, 0), np.uint64)
+    sizes = lengths.astype(np.uint64)
+    a, b = mix64(low ^ mix64(high + sizes)), mix64(high * _FACTORS[0] + mix64(low * _FACTORS[1] + sizes))
+    if len(long := np.flatnonzero(lengths > 16)):
+        a[long], b[long] = hash_strings([data[at[i] : ends[i]].tobytes() for i in long.tolist()])
+    return a, b
+
+
+def hash_strings(strings: list[str] | list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     both = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s) for s in strings), ">u8").reshape(-1, 2).astype(np.uint64)
     return both[:, 0], both[:, 1]
 
@@ -104,7 +123,7 @@ def _set(bits: np.ndarray, width: int, keys: np.ndarray) -> np.ndarray:
 
 def phrases(words: Words, width: int, bits: list[np.ndarray], longest: int = LONGEST) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """For each length the places and keys of the phrases both of whose parts may be frequent, by ``bits`` of the shorter ones."""
-    n = len(words.codes)
+    n = len(words.at)
     halves = [extended(words.start[h], words.hashes[h], h) for h in (0, 1)]
     at = np.arange(n)
     for k in range(1, longest + 1):
@@ -161,7 +180,8 @@ def sketch_bits(docs: DataFrame, width: int, known: list[np.ndarray], least: int
         filled = np.zeros(width, np.uint8)
         for words in parts_of(batches):
             *_, (_, _, keys, _) = phrases(words, width, shared.value, k)
-            at, n = np.unique((keys & np.uint64(width - 1)).astype(np.int64), return_counts=True)
+            at = (keys & np.uint64(width - 1)).astype(np.int64)
+            at, n = np.unique(at[filled[at] < most], return_counts=True)  # most phrases are common ones, whose buckets are full already
             filled[at] = np.minimum(filled[at] + np.minimum(n, most), most)
         yield _blocks(filled, min(width, SKETCH_BLOCK))
 
@@ -224,24 +244,16 @@ def find_candidates(docs: DataFrame, width: int, bits: list[np.ndarray]) -> Data
     shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        told = np.zeros(0, np.uint64)  # keys that this task has given lately
+        told = np.zeros(TOLD, np.uint64)  # keys that this task has given lately, each in its place
         for words in parts_of(batches):
-            fresh = []
             for k, at, a, b in phrases(words, width, shared.value):
-                stays = _set(shared.value[k - 1], width, a)
+                stays = _set(shared.value[k - 1], width, a) & (told[(a >> np.uint64(32)) & np.uint64(TOLD - 1)] != a)
                 a, first = np.unique(a[stays], return_index=True)
-                new = ~np.isin(a, told, assume_unique=True)
-                a, places, b = a[new], at[stays][first[new]], b[stays][first[new]]
-                fresh.append(a)
-                text = words.distinct.take(pa.array(words.codes[places]))
-                for step in range(1, k):
-                    text = pc.binary_join_element_wise(text, words.distinct.take(pa.array(words.codes[places + step])), " ")
-                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(np.full(len(a), k, np.int32)), words.langs.take(pa.array(words.rows[places])), text], ["a", "b", "k", "lang", "phrase"])
-            told = np.union1d(told if len(told) < WAVE // 4 else told[:0], np.concatenate(fresh))
+                places, b = at[stays][first], b[stays][first]
+                told[(a >> np.uint64(32)) & np.uint64(TOLD - 1)] = a
+                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(np.full(len(a), k, np.int32)), words.langs.take(pa.array(words.rows[places])), words.texts(places, k)], ["a", "b", "k", "lang", "phrase"])
 
-    found = docs.mapInArrow(emit, "a long, b long, k int, lang string, phrase string")
-    once = found.groupBy("a", "b").agg(F.min(F.struct("k", "lang", "phrase")).alias("s"))
-    return materialize(once.select("a", "b", "s.*"), "phrase-candidates")
+    return materialize(docs.mapInArrow(emit, "a long, b long, k int, lang string, phrase string").distinct(), "phrase-candidates")
 
 
 def count_slots(docs: DataFrame, width: int, bits: Broadcast, hashed: Broadcast) -> tuple[np.ndarray, DataFrame]:
@@ -279,7 +291,8 @@ def read_parts(rows: DataFrame, hashed: Broadcast, counts: Broadcast) -> DataFra
             lists = pc.split_pattern(batch.column("phrase"), " ")
             sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
             firsts = np.concatenate([[0], np.cumsum(sizes)])[:-1].astype(np.int64)
-            words, langs = hash_strings(lists.flatten().to_pylist()), hash_strings(batch.column("lang").to_pylist())
+            data, offsets = flat_bytes(lists.flatten())
+            words, langs = hash_words(data, offsets[:-1], offsets[1:]), hash_strings(batch.column("lang").to_pylist())
             total = np.array(batch.column("f").to_pylist(), np.int64).reshape(-1, len(PARTS))
             for p, (o, m) in enumerate(PARTS):
                 there = np.flatnonzero(o + m <= sizes)
@@ -310,8 +323,8 @@ def count_phrases(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame] |
     shared, waves = spark.sparkContext.broadcast(bits), -(-n // WAVE)
     rows, totals = found.where("k > 1").select("lang", "phrase", "k", F.array_repeat(F.lit(0).cast("long"), len(PARTS)).alias("f")), None
     for wave in range(waves):
-        keys = found.where(F.pmod(F.xxhash64("a", "b"), F.lit(waves)) == wave).select("a", "b").toPandas()  # about WAVE rows at most
-        hashed = spark.sparkContext.broadcast(PerfectHash(keys["a"].to_numpy(np.int64).view(np.uint64), keys["b"].to_numpy(np.int64).view(np.uint64)))
+        keys = found.where(F.pmod(F.xxhash64("a", "b"), F.lit(waves)) == wave).select("a", "b").toArrow()  # about WAVE rows at most
+        hashed = spark.sparkContext.broadcast(PerfectHash(keys["a"].to_numpy().view(np.uint64), keys["b"].to_numpy().view(np.uint64)))
         counts, of_langs = count_slots(docs, width, shared, hashed)
         totals = of_langs if totals is None else totals
         rows = read_parts(rows, hashed, spark.sparkContext.broadcast(counts))

@@ -59,7 +59,7 @@ def test_long_texts_are_cut_between_pieces(spark, monkeypatch):
     monkeypatch.setattr(M, "SLICE_BYTES", 500)
     parts = list(M.parts_of(iter([pa.RecordBatch.from_arrays([pa.array(["en"]), pa.array([text])], ["lang", "text"])])))
     whole = M.Words(pa.array(["en"]), pa.array([text]))
-    assert len(parts) > 10 and sum(len(p.codes) for p in parts) == len(whole.codes) and sum(p.joined.sum() for p in parts) == whole.joined.sum()
+    assert len(parts) > 10 and sum(len(p.at) for p in parts) == len(whole.at) and sum(p.joined.sum() for p in parts) == whole.joined.sum()
     assert np.concatenate([p.hashes[0] for p in parts]).tolist() == whole.hashes[0].tolist()
     assert len(list(M.parts_of(iter([pa.RecordBatch.from_arrays([pa.array(["en"]), pa.array(["x" * 2000])], ["lang", "text"])])))) == 1
 
