@@ -32,8 +32,8 @@ LEAST_BITS, MOST_BITS, BYTES = 16, 27, 48
 WAVE = 1 << 21
 #: Keys that a task remembers, so that it gives few candidates twice.
 TOLD = 1 << 20
-#: Counters of a sketch and slots that cross a shuffle as one row.
-SKETCH_BLOCK, SLOT_BLOCK = 4096, 1024
+#: Blocks that an array of counts crosses a shuffle in.
+BLOCKS = 512
 #: Rows of a block that one task of the first level of a tree sums.
 FAN = 64
 #: Parts of a phrase as (first word, number of words); all with their last word inside it count.
@@ -139,31 +139,46 @@ def phrases(words: Words, width: int, bits: list[np.ndarray], longest: int = LON
         yield k, at, halves[0][at], halves[1][at]
 
 
-def _blocks(array: np.ndarray, size: int) -> pa.RecordBatch:
-    """The blocks of an array that aren't all 0."""
-    cut = array.reshape(-1, size)
-    full = np.flatnonzero(cut.any(axis=1))
-    return pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array([cut[b].tobytes() for b in full], pa.binary())], ["block", "data"])
+def pack(array: np.ndarray, size: int, first: int = 0) -> pa.RecordBatch:
+    """The blocks, from the ``first`` on, of an array that aren't all 0: the number, the places and the values of what isn't."""
+    at = np.flatnonzero(array)
+    cuts = np.searchsorted(at, np.arange(0, len(array) + 1, size))
+    full = np.flatnonzero(np.diff(cuts))
+    parts = [at[cuts[b] : cuts[b + 1]] for b in full]
+    data = [np.uint32(len(p)).tobytes() + (p - b * size).astype(_place(size)).tobytes() + array[p].tobytes() for b, p in zip(full, parts, strict=True)]
+    full = full + first
+    return pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(data, pa.binary())], ["block", "data"])
 
 
-def tree_sum(blocks: DataFrame, dtype: type, most: int | None = None) -> DataFrame:
-    """``blocks`` (block, data) with one row per block: the sum of its arrays, up to ``most``; two levels."""
+def _place(size: int) -> type:
+    return np.uint16 if size <= 1 << 16 else np.uint32
+
+
+def unpack(data: bytes, size: int, dtype: type) -> tuple[np.ndarray, np.ndarray]:
+    n, wide = int(np.frombuffer(data, np.uint32, 1)[0]), np.dtype(_place(size)).itemsize
+    return np.frombuffer(data, _place(size), n, 4).astype(np.int64), np.frombuffer(data[4 + n * wide :], dtype, n)
+
+
+def tree_sum(blocks: DataFrame, length: int, dtype: type, most: int | None = None) -> DataFrame:
+    """Packed ``blocks`` (block, data) of arrays of that length with one row per block, their sum, up to ``most``; two levels."""
+    size = length // BLOCKS
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, total = -1, np.zeros(0, np.int64)
+        block, total = -1, np.zeros(size, np.int64)
 
         def out() -> Iterator[pa.RecordBatch]:
             if block >= 0:
-                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([total.astype(dtype).tobytes()], pa.binary())], ["block", "data"])
+                yield pack(total.astype(dtype), size, block)
 
         for batch in batches:
             for b, data in zip(batch.column("block").to_pylist(), batch.column("data").to_pylist(), strict=True):
-                array = np.frombuffer(data, dtype).astype(np.int64)
                 if b != block:
                     yield from out()
-                    block, total = b, array
-                else:
-                    total = total + array if most is None else np.minimum(total + array, most)
+                    block, total = b, np.zeros(size, np.int64)
+                at, n = unpack(data, size, dtype)
+                total[at] += n
+                if most is not None:
+                    np.minimum(total, most, out=total)
         yield from out()
 
     lots = F.spark_partition_id() % F.lit(max(1, -(-partitions(blocks.sparkSession) // FAN)))
@@ -171,6 +186,15 @@ def tree_sum(blocks: DataFrame, dtype: type, most: int | None = None) -> DataFra
     return first.mapInArrow(add, "block int, data binary").repartition("block").sortWithinPartitions("block").mapInArrow(add, "block int, data binary")
 
 
+def collected(summed: DataFrame, length: int, dtype: type) -> np.ndarray:
+    """The summed blocks as one array; callers bound its length."""
+    out, size = np.zeros(length, dtype), length // BLOCKS
+    for r in summed.toLocalIterator():
+        at, n = unpack(bytes(r.data), size, dtype)
+        out[r.block * size + at] = n
+    return out
+
+
 def sketch_bits(docs: DataFrame, width: int, known: list[np.ndarray], least: int) -> np.ndarray:
     """Bits of the buckets that phrases one word longer than ``known`` reaches fill ``least`` times or more; at most 2 ** MOST_BITS of them."""
     k, most = len(known) + 1, min(least, 255)
@@ -183,19 +207,18 @@ def sketch_bits(docs: DataFrame, width: int, known: list[np.ndarray], least: int
             at = (keys & np.uint64(width - 1)).astype(np.int64)
             at, n = np.unique(at[filled[at] < most], return_counts=True)  # most phrases are common ones, whose buckets are full already
             filled[at] = np.minimum(filled[at] + np.minimum(n, most), most)
-        yield _blocks(filled, min(width, SKETCH_BLOCK))
+        yield pack(filled, width // BLOCKS)
 
     def to_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            packed = [np.packbits(np.frombuffer(d, np.uint8) >= most).tobytes() for d in batch.column("data").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("block"), pa.array(packed, pa.binary())], ["block", "data"])
-
-    summed = tree_sum(docs.mapInArrow(count, "block int, data binary"), np.uint8, most)
-    out = np.zeros(width // 8, np.uint8)
-    size = min(width, SKETCH_BLOCK) // 8
-    for r in summed.mapInArrow(to_bits, "block int, data binary").toLocalIterator():  # width / 8 bytes in all
-        out[r.block * size : (r.block + 1) * size] = np.frombuffer(r.data, np.uint8)
-    return out
+            for block, data in zip(batch.column("block").to_pylist(), batch.column("data").to_pylist(), strict=True):
+                at, n = unpack(data, width // BLOCKS, np.uint8)
+                full = np.zeros(width // BLOCKS, bool)
+                full[at[n >= most]] = True
+                yield pack(np.packbits(full), width // BLOCKS // 8, block)
+
+    summed = tree_sum(docs.mapInArrow(count, "block int, data binary"), width, np.uint8, most)
+    return collected(summed.mapInArrow(to_bits, "block int, data binary"), width // 8, np.uint8)
 
 
 class PerfectHash:
@@ -240,26 +263,51 @@ class PerfectHash:
 
 
 def find_candidates(docs: DataFrame, width: int, bits: list[np.ndarray]) -> DataFrame:
-    """``a`` and ``b`` (the key), ``k``, ``lang`` and ``phrase`` of all phrases that may be frequent, once each, as a table."""
+    """``lang``, ``phrase``, its number of words ``k`` and its key, ``a`` and ``b``, of all phrases that may be frequent, once each, as a table."""
     shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         told = np.zeros(TOLD, np.uint64)  # keys that this task has given lately, each in its place
         for words in parts_of(batches):
-            for k, at, a, b in phrases(words, width, shared.value):
+            for k, at, a, _ in phrases(words, width, shared.value):
                 stays = _set(shared.value[k - 1], width, a) & (told[(a >> np.uint64(32)) & np.uint64(TOLD - 1)] != a)
                 a, first = np.unique(a[stays], return_index=True)
-                places, b = at[stays][first], b[stays][first]
+                places = at[stays][first]
                 told[(a >> np.uint64(32)) & np.uint64(TOLD - 1)] = a
-                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(np.full(len(a), k, np.int32)), words.langs.take(pa.array(words.rows[places])), words.texts(places, k)], ["a", "b", "k", "lang", "phrase"])
+                yield pa.RecordBatch.from_arrays([words.langs.take(pa.array(words.rows[places])), words.texts(places, k)], ["lang", "phrase"])
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = Parts(batch)
+            a, b = np.zeros(batch.num_rows, np.uint64), np.zeros(batch.num_rows, np.uint64)
+            for k in range(1, LONGEST + 1):
+                there = np.flatnonzero(parts.sizes == k)
+                a[there], b[there] = parts.keys(there, 0, k)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(parts.sizes.astype(np.int32)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["lang", "phrase", "k", "a", "b"])
+
+    once = docs.mapInArrow(emit, "lang string, phrase string").distinct()
+    return materialize(once.mapInArrow(keyed, "lang string, phrase string, k int, a long, b long"), "phrase-candidates")
+
+
+class Parts:
+    """The words of phrases (lang, phrase), for the keys of their parts."""
+
+    def __init__(self, batch: pa.RecordBatch):
+        lists = pc.split_pattern(batch.column("phrase"), " ")
+        self.sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+        self.firsts = np.concatenate([[0], np.cumsum(self.sizes)])[:-1].astype(np.int64)
+        data, offsets = flat_bytes(lists.flatten())
+        self.words, self.langs = hash_words(data, offsets[:-1], offsets[1:]), hash_strings(batch.column("lang").to_pylist())
 
-    return materialize(docs.mapInArrow(emit, "a long, b long, k int, lang string, phrase string").distinct(), "phrase-candidates")
+    def keys(self, rows: np.ndarray, first: int, n: int) -> list[np.ndarray]:
+        """Both halves of the keys of ``n`` words of these rows, from their word ``first`` on."""
+        return [reduce(lambda x, s, h=h: extended(x, self.words[h][self.firsts[rows] + first + s], h), range(n), self.langs[h][rows]) for h in (0, 1)]
 
 
 def count_slots(docs: DataFrame, width: int, bits: Broadcast, hashed: Broadcast) -> tuple[np.ndarray, DataFrame]:
     """How often each phrase of a perfect hash occurs, by slot, and the words of each language."""
     n = len(hashed.value.a)
-    room = -(-n // SLOT_BLOCK) * SLOT_BLOCK
+    room = -(-n // BLOCKS) * BLOCKS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, of_lang = np.zeros(room, np.int64), {}
@@ -271,16 +319,14 @@ def count_slots(docs: DataFrame, width: int, bits: Broadcast, hashed: Broadcast)
                 stays = _set(bits.value[k - 1], width, a)
                 slots = hashed.value.slots(a[stays], b[stays])
                 counts += np.bincount(slots[slots >= 0], minlength=room)
-        blocks = _blocks(counts, SLOT_BLOCK)
+        blocks = pack(counts, room // BLOCKS)
         yield pa.RecordBatch.from_arrays([*blocks.columns, pa.nulls(blocks.num_rows, pa.string()), pa.nulls(blocks.num_rows, pa.int64())], ["block", "data", "lang", "n"])
         m = len(of_lang)
         yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary()), pa.array(list(of_lang), pa.string()), pa.array(list(of_lang.values()), pa.int64())], ["block", "data", "lang", "n"])
 
     counted = materialize(docs.mapInArrow(count, "block int, data binary, lang string, n long"), "phrase-counts")
-    out = np.zeros(room, np.int64)
-    for r in tree_sum(counted.where("block is not null").select("block", "data"), np.int64).toLocalIterator():  # WAVE counts at most
-        out[r.block * SLOT_BLOCK : (r.block + 1) * SLOT_BLOCK] = np.frombuffer(r.data, np.int64)
-    return out[:n], counted.where("block is null").groupBy("lang").agg(F.sum("n").alias("n"))
+    summed = tree_sum(counted.where("block is not null").select("block", "data"), room, np.int64)
+    return collected(summed, room, np.int64)[:n], counted.where("block is null").groupBy("lang").agg(F.sum("n").alias("n"))
 
 
 def read_parts(rows: DataFrame, hashed: Broadcast, counts: Broadcast) -> DataFrame:
@@ -288,16 +334,11 @@ def read_parts(rows: DataFrame, hashed: Broadcast, counts: Broadcast) -> DataFra
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = pc.split_pattern(batch.column("phrase"), " ")
-            sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
-            firsts = np.concatenate([[0], np.cumsum(sizes)])[:-1].astype(np.int64)
-            data, offsets = flat_bytes(lists.flatten())
-            words, langs = hash_words(data, offsets[:-1], offsets[1:]), hash_strings(batch.column("lang").to_pylist())
+            parts = Parts(batch)
             total = np.array(batch.column("f").to_pylist(), np.int64).reshape(-1, len(PARTS))
             for p, (o, m) in enumerate(PARTS):
-                there = np.flatnonzero(o + m <= sizes)
-                halves = [reduce(lambda x, s, h=h: extended(x, words[h][firsts[there] + o + s], h), range(m), langs[h][there]) for h in (0, 1)]
-                slots = hashed.value.slots(*halves)
+                there = np.flatnonzero(o + m <= parts.sizes)
+                slots = hashed.value.slots(*parts.keys(there, o, m))
                 total[there, p] += np.where(slots >= 0, counts.value[slots], 0)
             f = pa.FixedSizeListArray.from_arrays(pa.array(total.ravel()), len(PARTS)).cast(pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("lang", "phrase", "k")), f], ["lang", "phrase", "k", "f"])

@@ -75,14 +75,16 @@ def test_perfect_hash():
         assert (made.slots(a, b + np.uint64(100)) == -1).all() and (made.slots(a + np.uint64(1), b) == -1).all()
 
 
-def test_saturating_sums(spark):
+@pytest.mark.parametrize("most", [None, 20])
+@pytest.mark.parametrize("size", [8, 1 << 17])
+def test_saturating_sums(spark, most, size):
     """A bucket filled in many tasks, each below the threshold, counts."""
-    blocks = [(i % 3, bytes([i % 7, 1] * 8)) for i in range(90)]
-    for most in (None, 20):
-        got = {r.block: np.frombuffer(r.data, np.uint8 if most else np.int64).tolist() for r in M.tree_sum(spark.createDataFrame(blocks if most else [(b, np.frombuffer(d, np.uint8).astype(np.int64).tobytes()) for b, d in blocks], "block int, data binary").repartition(9), np.uint8 if most else np.int64, most).collect()}
-        for b in range(3):
-            want = np.sum([np.frombuffer(d, np.uint8).astype(int) for c, d in blocks if c == b], axis=0)
-            assert got[b] == (np.minimum(want, most) if most else want).tolist()
+    rng, dtype = np.random.default_rng(1), np.uint8 if most else np.int64
+    arrays = [np.where(rng.random(3 * size) < 16 / size, rng.integers(0, 7, 3 * size), 0).astype(dtype) for _ in range(30)]
+    rows = [(b, d) for x in arrays for b, d in zip(*M.pack(x, size, 5).to_pydict().values(), strict=True)]
+    summed = M.tree_sum(spark.createDataFrame(rows, "block int, data binary").repartition(9), M.BLOCKS * size, dtype, most)
+    got, want = M.collected(summed, M.BLOCKS * size, dtype), sum(x.astype(np.int64) for x in arrays)
+    assert (got[5 * size : 8 * size] == (np.minimum(want, most) if most else want)).all() and got.sum(dtype=np.int64) == got[5 * size : 8 * size].sum(dtype=np.int64)
 
 
 def test_exact_scores_beyond_64_bits(spark):
