@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .text import END, START, blank, fold_text, normalize_phone, normalize_text, strip
-from .urls import _BARE_HOST, url_path, with_scheme
+from .urls import bare_host, url_path, with_scheme
 
 Field = Callable[[str], Column]
 
@@ -22,7 +22,7 @@ def _listing(value: Column, rules: list[tuple[str, str]], rough: str) -> Column:
     """One pattern over ``host, space, path``; texts that are no URL are matched roughly."""
     places = "|".join(rf"^[^ ]*{h.replace('.', chr(92) + '.')}[^ ]* .*(?:{p})" for h, p in rules)
     u = with_scheme(value)
-    host = F.regexp_extract(u, _BARE_HOST, 1)
+    host = bare_host(u)
     return F.when(host != "", F.concat_ws(" ", host, url_path(u)).rlike(places)).otherwise(u.rlike(rough))
 
 

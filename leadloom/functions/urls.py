@@ -9,11 +9,18 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from .hosts import ascii_host
 from .text import END, START, blank, decode_url, or_null, strip, title_from_slug
 
-#: Host of a URL; characters that no host holds make the URL unparsable.
-_HOST = r"^https?:[/\\]*(?:[^/?#\\@]*@)?([^/?#\\:@\s%<>\[\]^|]*)(?::\d*)?(?=[/?#\\]|$)"
-_BARE_HOST = _HOST.replace(r"@)?(", r"@)?(?:www\.)?(")
+#: What stands before a host, and the host as it is written.
+_BEFORE, _RAW = r"^https?:[/\\]*(?:[^/?#\\]*@)?", r"([^/?#\\:@]*)(?::\d*)?(?=[/?#\\]|$)"
+_ENDS_IN_NUMBER = r"(?:[^/?#\\:@]*\.)?(?:[0-9]+|0x[0-9a-f]*)\.?(?:[:/?#\\]|$)"
+#: A host as it is written, without characters that none holds.
+_WRITTEN = _BEFORE + r"([^/?#\\:@\x00-\x20%<>\[\]^|\x7F]*)(?::\d*)?(?=[/?#\\]|$)"
+_WRITTEN_BARE = _WRITTEN.replace("*@)?(", r"*@)?(?:www\.)?(")
+#: A host of plain characters that is no number; and hosts that have to be spelled otherwise.
+_HOST = _BEFORE + f"(?!{_ENDS_IN_NUMBER})" + r"([^/?#\\:@\x00-\x20%<>\[\]^|\x7F-\x{10FFFF}]*)(?::\d*)?(?=[/?#\\]|$)"
+_ODD = _BEFORE + r"(?=[^/?#\\:@]*[%\x80-\x{10FFFF}]|" + _ENDS_IN_NUMBER + ")"
 _PATH = r"^https?:[/\\]*[^/?#\\]*([^?#]*)"
 
 
@@ -21,9 +28,33 @@ def with_scheme(c: Column) -> Column:
     return F.regexp_replace(F.lower(strip(c)), "^(?!http)", "https://")
 
 
+@F.pandas_udf(StringType())
+def _odd_host(hosts: pd.Series) -> pd.Series:
+    """Hosts that are spelled otherwise; null stays null."""
+    return hosts.map(ascii_host, na_action="ignore")
+
+
 def url_host(u: Column) -> Column:
-    """Host of a lower-case URL; empty if the URL can't be parsed."""
-    return F.regexp_extract(u, _HOST, 1)
+    """Host of a lower-case URL as it is written; empty if the URL can't be parsed.
+
+    Hosts of other scripts and numbers aren't spelled anew: the rules that look
+    at this know ASCII names only.
+    """
+    return F.regexp_extract(u, _WRITTEN, 1)
+
+
+def bare_host(u: Column) -> Column:
+    """The host without ``www.``."""
+    return F.regexp_extract(u, _WRITTEN_BARE, 1)
+
+
+def ascii_url_host(u: Column) -> Column:
+    """``url_host`` as a URL parser spells it: in ASCII, numbers as dotted addresses.
+
+    Nearly all hosts are spelled so; Python sees the others only.
+    """
+    odd = _odd_host(F.when(u.rlike(_ODD), F.regexp_extract(u, _BEFORE + _RAW, 1)))
+    return F.coalesce(or_null(F.regexp_extract(u, _HOST, 1)), odd, F.lit(""))
 
 
 def url_path(u: Column) -> Column:
@@ -33,7 +64,7 @@ def url_path(u: Column) -> Column:
 def normalize_domain(c: Column) -> Column:
     """Host without ``www.``; of several links in a cell, that of the first."""
     rough = F.regexp_extract(F.lower(strip(c)), r"^(?:https?://)?(?:www\.)?([^/?#]*)", 1)
-    return F.coalesce(or_null(F.regexp_extract(with_scheme(c), _BARE_HOST, 1)), rough)
+    return F.coalesce(or_null(F.regexp_replace(ascii_url_host(with_scheme(c)), r"^www\.", "")), rough)
 
 
 def is_google_maps(c: Column) -> Column:
@@ -72,37 +103,41 @@ def _resolved(path: str) -> str:
     return "/" + "/".join(out)
 
 
-def _clean(text: str | None, depth: int = 5) -> str:
-    """A result link without the search engine's redirect around it."""
-    text = (text or "").strip()
-    if not text:
-        return ""
-    try:
-        full = urljoin("https://example.com", text)
-        parts = urlsplit(full)
-        host, path = (parts.hostname or ""), _resolved(parts.path or "/")
-        if parts.scheme in ("http", "https") and (not host or any(ch in host for ch in " <>[]^|%")):
+#: Redirects and the parameters that hold their targets (fixed values).
+_REDIRECTS = {("www.google.com", "/url"): ("q", "url", "uddg"), ("duckduckgo.com", "/l/"): ("uddg",), ("bing.com", "/aclick"): ("u",)}
+
+
+def _clean(text: str | None) -> str:
+    """A result link without the search engines' redirects around it, however many."""
+    while True:
+        text = (text or "").strip()
+        if not text:
+            return ""
+        try:
+            full = urljoin("https://example.com", text)
+            parts = urlsplit(full)
+            path = _resolved(parts.path or "/")
+            web = parts.scheme in ("http", "https")
+            host = ascii_host(parts.hostname or "") if web else parts.hostname or ""
+            if host is None or web and any(ch in parts.hostname for ch in " <>[]^|"):
+                return text
+            port = "" if parts.port in (None, {"http": 80, "https": 443}.get(parts.scheme)) else f":{parts.port}"
+        except ValueError:
             return text
-    except ValueError:
-        return text
-    # fixed values: redirects and the parameters that hold their targets
-    redirects = {("www.google.com", "/url"): ("q", "url", "uddg"), ("duckduckgo.com", "/l/"): ("uddg",), ("bing.com", "/aclick"): ("u",)}
-    names = redirects.get((host, path))
-    target = None
-    if names:
-        query = parse_qs(parts.query, keep_blank_values=True)
-        target = next((query[n][0] for n in names if query.get(n, [""])[0]), "")
-    elif "yahoo." in host and "/RU=" in path:
-        target = unquote(path.split("/RU=", 1)[1].split("/", 1)[0].replace("+", " "))
-    if target is not None:
-        return _clean(target, depth - 1) if target and depth else ""
+        names = _REDIRECTS.get((host, path))
+        if names:
+            query = parse_qs(parts.query, keep_blank_values=True)
+            text = next((query[n][0] for n in names if query.get(n, [""])[0]), "")
+        elif "yahoo." in host and "/RU=" in path:
+            text = unquote(path.split("/RU=", 1)[1].split("/", 1)[0].replace("+", " "))
+        else:
+            break  # each target is shorter than the link around it
     # fixed values: pages of results
     pages = (("google.", "/search"), ("bing.com", "/search"), ("duckduckgo.com", "/html/"), ("search.brave.com", "/search"), ("mojeek.com", "/search"), ("qwant.com", "/"))
     if any(h in host and path == p for h, p in pages):
         return ""
-    if parts.scheme not in ("http", "https"):
+    if not web:
         return full
-    port = "" if parts.port in (None, {"http": 80, "https": 443}[parts.scheme]) else f":{parts.port}"
     safe = "%/:@!$&'()*+,;=~-._"
     out = f"{parts.scheme}://{host}{port}{quote(path, safe=safe + '[]|')}"
     if parts.query:
