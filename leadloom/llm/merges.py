@@ -11,20 +11,24 @@ a piece could start, the last piece up to there and how many pieces there are
 more or fewer than at the end.  A transition carries the change of the number of
 pieces, and its state names the last piece, from which a path is read backwards.
 States and transitions are compiled when first met and kept in two generations.
+Units that are too long to be met again are read by their last pieces instead, in
+time and memory that follow their length.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from array import array
+from collections.abc import Callable, Iterator
 
+import ahocorasick
 import numpy as np
 
-from .common import starts_of
+from .common import ranges, starts_of
 
 #: Compiled transitions of a generation, and pair checks that a worker keeps.
 KEEP, CHECKS = 200_000, 100_000
-#: Symbols that one chunk map sums up, units that are still walked side by side, and chunk maps kept.
-CHUNK, FEW, MAPS = 64, 8, 10_000
+#: Symbols of the longest unit that the machine reads; longer ones hardly share states with others.
+LONG = 32
 #: A transition is a number: the next state, and the change of the count plus an offset; its key is a state and a symbol.
 _BITS, _ZERO, _SYMBOL = 12, 2048, 21
 
@@ -118,7 +122,7 @@ class MergeTransducer:
             raise ValueError("a piece is too long")
         self.fits: dict[tuple[str, str], bool] = {}
         self.trees: dict[str, tuple[str, str, float] | None] = {}
-        self.maps: dict[tuple[int, bytes], tuple[int, int]] = {}
+        self.matcher: ahocorasick.Automaton | None = None
         self.young, self.old = _Compiled(), None
 
     def merge(self, unit: str) -> tuple[list[str], tuple[str, str, float] | None]:
@@ -232,36 +236,20 @@ class MergeTransducer:
             found[missing] = made[which]
         return found
 
-    def _chunk_map(self, entry: int, chunk: np.ndarray) -> tuple[int, int]:
-        """Exit state and number of pieces of a chunk that is entered in the state ``entry``."""
-        name = (entry, chunk.tobytes())
-        found = self.maps.get(name)
-        if found is None:
-            state, count = np.array([entry]), 0
-            for symbol in chunk:
-                arc = self._step(state, symbol)
-                state = arc >> _BITS
-                count += int(arc[0] & (1 << _BITS) - 1) - _ZERO
-            if len(self.maps) >= MAPS:
-                self.maps.clear()
-            found = self.maps[name] = (int(state[0]), count)
-        return found
-
     def _walk(self, symbols: np.ndarray, lengths: np.ndarray, reached: np.ndarray | None) -> np.ndarray:
         """Number of pieces of each unit; ``reached`` takes the state after each symbol.
 
         Units of ``symbols`` lie one after the other and are walked side by side,
-        a symbol of each at a time; what is left of a few long ones goes by chunks.
+        a symbol of each at a time.
         """
         if self.young.arcs.used > self.keep:
             self.old, self.young = self.young, _Compiled(self.young)
             self.old.before = {}
-            self.maps.clear()
         order = np.argsort(-lengths, kind="stable")
         start, length = starts_of(lengths)[:-1][order], lengths[order]
         state, total = np.zeros(len(order), np.int64), np.zeros(len(order), np.int64)
         k = 0
-        while (m := int(np.searchsorted(-length, -k))) > (FEW if k >= CHUNK else 0):  # units longer than k
+        while m := int(np.searchsorted(-length, -k)):  # units longer than k
             at = start[:m] + k
             arc = self._step(state[:m], symbols[at])
             state[:m] = arc >> _BITS
@@ -269,40 +257,103 @@ class MergeTransducer:
             if reached is not None:
                 reached[at] = state[:m]
             k += 1
-        for i in range(m):
-            end = int(start[i] + length[i])
-            for at in range(int(start[i]) + k, end, CHUNK):
-                if reached is None:
-                    state[i], count = self._chunk_map(int(state[i]), symbols[at : min(end, at + CHUNK)])
-                    total[i] += count
-                    continue
-                for j in range(at, min(end, at + CHUNK)):
-                    arc = self._step(state[i : i + 1], symbols[j])
-                    state[i] = reached[j] = arc[0] >> _BITS
-                    total[i] += int(arc[0] & (1 << _BITS) - 1) - _ZERO
         out = np.zeros(len(order), np.int64)
         out[order] = total
         return out
 
+    def _long(self, unit: str, pieces: array | None = None, sizes: array | None = None) -> int:
+        """Number of pieces of a long unit, which would only make states that nothing else meets.
+
+        The last piece of each prefix is the longest of the pieces ending there
+        that the last piece before it leaves apart, so one pass over the matches
+        gives them; only those that a piece can reach back to are kept.
+        ``pieces`` and ``sizes`` take the number and the length of each.
+        """
+        if self.matcher is None:
+            self.matcher = ahocorasick.Automaton()
+            for piece in self.pieces:
+                self.matcher.add_word(piece, piece)
+            self.matcher.make_automaton()
+        get, fits, trees, widest = self.pieces.get, self.fits, self.trees, max(map(len, self.pieces), default=1)
+        last, counts, first = [""], [0], 0  # of the prefixes from the length ``first`` on
+        done = 0  # length of the prefix that is settled
+
+        def settle(piece: str, size: int) -> None:
+            nonlocal done, first
+            done += 1
+            last.append(piece)
+            counts.append(counts[done - size - first] + 1)
+            if pieces is not None:
+                pieces.append(get(piece, ~ord(piece[-1])))
+                sizes.append(size)
+            if len(last) > 2 * widest + 4096:
+                first += len(last) - widest
+                del last[:-widest], counts[:-widest]
+
+        for end, piece in self.matcher.iter(unit):  # the longest of each end first
+            if end < done:
+                continue
+            while done < end:  # no piece ends there: the symbol stands alone
+                settle(unit[done], 1)
+            before = last[end + 1 - len(piece) - first]
+            if (trees[piece] if piece in trees else self.tree(piece)) is None:
+                continue
+            if not before or (fits[before, piece] if (before, piece) in fits else self.fit(before, piece)):
+                settle(piece, len(piece))
+        while done < len(unit):
+            settle(unit[done], 1)
+        return counts[-1]
+
+    def _groups(self, lengths: np.ndarray) -> Iterator[np.ndarray]:
+        """Units that the machine reads, as many at a time as keep its memory bounded."""
+        short = np.flatnonzero(lengths <= LONG)
+        group = np.cumsum(lengths[short]) // self.keep
+        yield from np.split(short, np.flatnonzero(np.diff(group)) + 1)
+
     def counts(self, symbols: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """The number of pieces of each unit."""
-        return self._walk(symbols.astype(np.int64), lengths, None)
+        starts, out = starts_of(lengths), np.zeros(len(lengths), np.int64)
+        for group in self._groups(lengths):
+            out[group] = self._walk(symbols[ranges(starts[group], lengths[group])].astype(np.int64), lengths[group], None)
+        for i in np.flatnonzero(lengths > LONG).tolist():
+            out[i] = self._long(_text(symbols[starts[i] : starts[i + 1]]))
+        return out
 
     def paths(self, symbols: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The pieces of each unit, flat, and their number: the path of finite weight, read backwards.
 
         A symbol without a piece stands alone, as the complement of the symbol.
         """
-        reached = np.zeros(len(symbols), np.int32)
-        counts = self._walk(symbols.astype(np.int64), lengths, reached)
-        starts, ends = starts_of(lengths)[:-1], np.cumsum(counts)
+        starts, counts = starts_of(lengths), np.zeros(len(lengths), np.int64)
+        found: list[tuple[np.ndarray, np.ndarray]] = []  # units and their paths
+        for group in self._groups(lengths):
+            mine = lengths[group]
+            reached = np.zeros(int(mine.sum()), np.int32)
+            counts[group] = self._walk(symbols[ranges(starts[group], mine)].astype(np.int64), mine, reached)
+            first, out = starts_of(mine), np.zeros(int(counts[group].sum()), np.int32)
+            units, at, place = np.arange(len(group)), mine.astype(np.int64).copy(), np.cumsum(counts[group]) - 1
+            units = units[at > 0]
+            while len(units):
+                piece, length, _ = self.young.last[reached[first[units] + at[units] - 1]].T
+                out[place[units]] = piece
+                place[units] -= 1
+                at[units] -= length
+                units = units[at[units] > 0]
+            found.append((group, out))
+        for i in np.flatnonzero(lengths > LONG).tolist():
+            pieces, sizes = array("i"), array("I")
+            counts[i] = self._long(_text(symbols[starts[i] : starts[i + 1]]), pieces, sizes)
+            back, at = [], len(sizes)
+            while at:
+                back.append(pieces[at - 1])
+                at -= sizes[at - 1]
+            found.append((np.array([i]), np.array(back[::-1], np.int32)))
+        ends = starts_of(counts)
         out = np.zeros(int(counts.sum()), np.int32)
-        units, at, place = np.arange(len(counts)), lengths.astype(np.int64).copy(), ends - 1
-        units = units[at > 0]
-        while len(units):
-            piece, length, _ = self.young.last[reached[starts[units] + at[units] - 1]].T
-            out[place[units]] = piece
-            place[units] -= 1
-            at[units] -= length
-            units = units[at[units] > 0]
+        for units, path in found:
+            out[ranges(ends[units], counts[units])] = path
         return out, counts
+
+
+def _text(symbols: np.ndarray) -> str:
+    return symbols.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")

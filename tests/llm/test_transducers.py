@@ -44,20 +44,41 @@ def test_paths_and_counts(seed, units, keep):
         assert m.counts(*flat(units)).tolist() == counts.tolist()
 
 
-def test_chunk_maps_compose():
-    """A unit far longer than a chunk: its count is the sum over its chunks, entered where the one before ended."""
+def test_long_units():
+    """Units far longer than those that the machine reads, alone and among short ones, against plain merging."""
     m = machine(7)
     rng = random.Random(1)
-    for unit in ("ab" * 2000, "".join(rng.choice(LETTERS) for _ in range(3000)), "a" * 1999):
-        symbols, lengths = flat([unit])
-        state = total = 0
-        for at in range(0, len(unit), merges.CHUNK):
-            state, count = m._chunk_map(state, symbols[at : at + merges.CHUNK])
-            total += count
-        assert m.counts(symbols, lengths).tolist() == [total] == [len(m.merge(unit)[0])]
-        ids, _ = m.paths(symbols, lengths)
-        assert ids.tolist() == [m.pieces[p] for p in m.merge(unit)[0]]
-    assert len(m.maps) < 200  # repeated chunks in repeated states are looked up
+    units = ["ab" * 2000, "ab", "".join(rng.choice(LETTERS) for _ in range(3000)), "a" * 1999, "abcdé" * 9, "é" * 40, "d" * merges.LONG, "d" * (merges.LONG + 1), *["".join(rng.choice(LETTERS + "e") for _ in range(rng.randrange(20, 90))) for _ in range(200)]]
+    want = [[m.pieces[p] if p in m.pieces else ~ord(p) for p in m.merge(u)[0]] for u in units]
+    ids, counts = m.paths(*flat(units))
+    assert ids.tolist() == [i for w in want for i in w] and counts.tolist() == [len(w) for w in want] == m.counts(*flat(units)).tolist()
+
+
+def test_unbroken_runs_make_few_states():
+    """Runs of letters, of one letter and of CJK, as the library encodes them; states and time don't follow them."""
+    import time
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from leadloom.llm import token_counts
+
+    rng = random.Random(5)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    texts = ["".join(rng.choice(letters) for _ in range(60_000)), "a" * 50_000, "".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(20_000)), "0123456789abcdef" * 2000, " ".join("".join(rng.choice("0123456789abcdef") for _ in range(40)) for _ in range(300)), "the of and " * 50]
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    machine = token_counts.counter(path).machine
+    token_counts.count_texts(pa.array(texts[-1:]), path)
+    states = len(machine.young.keys)
+    began = time.process_time()
+    got = token_counts.count_texts(pa.array(texts), path).tolist()
+    assert got == [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert time.process_time() - began < 10 and len(machine.young.keys) < states + 12_000  # the words of hexadecimal digits are short
+    model = sentencepieces.Model(public_tokenizers.path("piece_bpe_32k.model"))
+    spm = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    flat_ids, sizes = model.encode(pa.array(texts))
+    assert flat_ids.tolist() == [i for ids in spm.encode(texts) for i in ids] and sizes.tolist() == [len(ids) for ids in spm.encode(texts)]
 
 
 def test_arcs():
