@@ -31,7 +31,7 @@ LEAST_BITS, MOST_BITS, BYTES = 16, 27, 48
 #: Candidates that one minimal perfect hash holds; more are counted in further passes.
 WAVE = 1 << 21
 #: Keys that a task remembers, so that it gives few candidates twice.
-TOLD = 1 << 20
+TOLD = 1 << 22
 #: Blocks that an array of counts crosses a shuffle in.
 BLOCKS = 512
 #: Rows of a block that one task of the first level of a tree sums.
