@@ -14,6 +14,7 @@ from leadloom.operators.report import source_counters
 from leadloom.sources import io
 from leadloom.sources.shared import fresh_folder
 from leadloom.streaming.consolidate import Consolidator, first_per_key_stream, keyed_verdicts
+from leadloom.streaming.state import STORE, MergeLog, judged_stream, start
 
 from .consolidation import D_OUT, LEAD_TYPE, ORD, OUT, RAW, d_candidates, d_conformed, d_key, d_merged, d_strip, raw_leads, read, tables
 from .sourcing import REQUESTS
@@ -173,6 +174,18 @@ def q_stream_unchanged(spark, sf):
     return spark.read.parquet(f"{path}/work/result").select("version", *OUT, "n").withColumn("version", F.col("version").cast("long"))
 
 
+def q_stateful_validation(spark, sf):
+    """Contacts by keyed state and the log that is merged when read; keys are judged when they come."""
+    path, stream = _streamed(spark, sf, "stateful")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
+    try:
+        log = MergeLog(spark, f"{path}/log")
+        start(judged_stream(stream.withColumn("run_id", F.lit("all")), LEAD_TYPE, "Portugal", interval_s=0), log, f"{path}/checkpoint", once=True).awaitTermination()
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    return log.result().select(*OUT, "n")
+
+
 QUERIES: dict[str, Query] = {name[2:]: f for name, f in list(globals().items()) if name.startswith("q_")}
 
 # --- SQL ---------------------------------------------------------------------
@@ -216,5 +229,6 @@ SELECT (SELECT count(*) FROM epochs JOIN fixed USING (cache_key) WHERE e = 1 AND
     "forced_validation": f"WITH {_by_epoch('true')} SELECT {D_OUT}, n FROM merged",
     "keyed_verdicts": f"WITH {d_candidates()}, runs AS (SELECT c.*, r.district AS run_id FROM cand c JOIN (SELECT {ORD} AS seq, district FROM raw_leads) r USING (seq)) SELECT run_id, cache_key, {', '.join(f'arg_max({f}, seq) AS {f}' for f in C.FIELDS)}, min(seq) % 1000000000000 AS row_no, count(*) AS n FROM runs GROUP BY run_id, cache_key",
     "stream_first_per_key": f"WITH {d_conformed()} SELECT DISTINCT run_id, profile, {d_key(False)} AS key FROM conformed JOIN (SELECT {ORD} AS seq, district AS run_id FROM raw_leads) r USING (seq)",
+    "stateful_validation": f"WITH {d_merged()} SELECT {D_OUT}, n FROM merged",
     "stream_unchanged": f"WITH {d_merged()} SELECT 0::BIGINT AS version, {D_OUT}, n FROM merged",
 }
