@@ -326,6 +326,29 @@ def funnel_stats(leads: DataFrame, lead_type: Column | str, geography: Column |
     return counts.withColumn("kept", kept)
 
 
+def _grams(text: Column, n: Column | int) -> Column:
+    """The distinct runs of ``n`` letters of a text of at least so many."""
+    n = F.lit(n) if isinstance(n, int) else n
+    last = F.length(text) - n + 1
+    found = F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substring(text, i, n))
+    return F.when(last > 0, F.array_distinct(found)).otherwise(F.array().cast("array<string>"))
+
+
+def places_met(hays: DataFrame, places: DataFrame) -> DataFrame:
+    """Distinct texts (``_hay``) with the places (``_place``) that they may name.
+
+    An inverted index: a place is looked up by the one of its runs of three
+    letters (of its own, if it is shorter) that the fewest texts hold, which is
+    counted.  A place with a run that no text holds meets none.
+    """
+    of_place = places.select("_place", F.explode(_grams(F.col("_place"), F.least(F.lit(3), F.length("_place")))).alias("_gram"))
+    of_text = hays.select("_hay", F.explode(F.concat(*[_grams(F.col("_hay"), n) for n in (1, 2, 3)])).alias("_gram"))
+    held = of_text.join(of_place.select("_gram").distinct(), "_gram", "left_semi")
+    counted = of_place.join(held.groupBy("_gram").agg(F.count(F.lit(1)).alias("_n")), "_gram", "left")
+    rarest = counted.groupBy("_place").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_gram").alias("gram"))).alias("_r"))
+    return held.join(rarest.where("_r.n > 0").select("_place", F.col("_r.gram").alias("_gram")), "_gram").select("_hay", "_place")
+
+
 def match_requests(leads: DataFrame, requests: DataFrame, most: int = 10_000) -> DataFrame:
     """Rows of ``leads`` for each request (run_id, lead_type, geography) that they satisfy.
 
@@ -333,7 +356,7 @@ def match_requests(leads: DataFrame, requests: DataFrame, most: int = 10_000) ->
     a row must name.  The types that a row fits and the places that it names are
     found once per row and joined to the requests as keys.  Distinct places are
     looked for in every row if there are ``most`` or fewer, which is counted;
-    beyond that rows meet the places whose first letters they hold.
+    beyond that each text meets the places whose rarest letters it holds.
     """
     barber = F.lit("barber")
     place = fold_text(F.col("geography"))
@@ -346,11 +369,8 @@ def match_requests(leads: DataFrame, requests: DataFrame, most: int = 10_000) ->
         named = F.filter("_all", lambda p: F.contains(F.col("_hay"), p))
         met = rows.crossJoin(F.broadcast(all_places)).withColumn("_place", F.explode(F.concat(F.array(F.lit("")), named))).drop("_all")
     else:
-        head = F.substring("_place", 1, 3)
-        starts = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("_hay"), F.lit(1))), lambda i: F.substring(F.col("_hay"), i, F.lit(3))))
-        short = F.flatten(F.transform(starts, lambda s: F.array(s, F.substring(s, 1, 2), F.substring(s, 1, 1))))
-        keyed = rows.withColumn("_head", F.explode(F.array_distinct(short)))
-        named = keyed.join(places.withColumn("_head", head), "_head").where(F.contains("_hay", "_place")).drop("_head")
+        pairs = places_met(rows.select("_hay").distinct(), places).where(F.contains("_hay", "_place"))
+        named = rows.join(pairs.select("_hay", "_place"), "_hay").select(*rows.columns, "_place")
         met = named.unionByName(rows.withColumn("_place", F.lit("")))
     typed = met.withColumn("_type", F.explode("_fits"))
     return typed.join(wanted, ["_type", "_place"]).drop("_type", "_place", "_fits", "_hay")

@@ -267,6 +267,17 @@ def test_requests_by_key(spark, most):
     assert "BroadcastNestedLoopJoin" not in plan or most > 1
 
 
+def test_texts_meet_the_places_that_they_name(spark):
+    """Where every text holds a common run of letters, a text meets few places that it doesn't name, and all that it does."""
+    hays = spark.createDataFrame([(f"vila nova de {chr(97 + i % 26)}{chr(97 + i // 26 % 26)}x{i % 7} porto",) for i in range(2000)], "_hay string").distinct()
+    places = spark.createDataFrame([(f"vila nova de {chr(97 + i % 26)}{chr(97 + i // 26)}x",) for i in range(600)] + [("porto",), ("zz nowhere",), ("x",), ("de",)], "_place string")
+    met = C.places_met(hays, places).cache()
+    named = sorted((r._hay, r._place) for r in met.where(F.contains("_hay", "_place")).collect())
+    all_hays, all_places = ([r[0] for r in df.collect()] for df in (hays, places))
+    assert named == sorted((h, p) for h in all_hays for p in all_places if p in h)
+    assert met.count() <= 2 * len(named)
+
+
 def test_one_scan(spark, tmp_path):
     """Merge and funnel read their input once."""
     Q.raw_leads(spark, SF_DIR).write.parquet(str(tmp_path / "leads"))
