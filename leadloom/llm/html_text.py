@@ -12,6 +12,7 @@ from __future__ import annotations
 import html
 import re
 import sys
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -100,15 +101,12 @@ class Rule:
         self.selector, self.says = selector, says
         self.weight = (sum(len(ids) for _, _, ids, _ in selector), sum(len(c) for _, _, _, c in selector), sum(t not in ("", "*") for _, t, _, _ in selector), order)
 
-    def step(self, e: Element, above: int, parent: int) -> int:
-        """Bits of the beginnings of the selector that end at ``e``, from those that end at an ancestor and at the parent."""
-        a, out = e.attributes, 0
-        for k, (combinator, tag, ids, classes) in enumerate(self.selector):
-            if k and not (parent if combinator == ">" else above) >> (k - 1) & 1:
-                continue
-            if tag in ("", "*", e.tag) and (not ids or ids == {a.get("id", "")}) and (not classes or classes <= set(a.get("class", "").split())):
-                out |= 1 << k
-        return out
+    def fits(self, k: int, e: Element, above: int, parent: int) -> bool:
+        """Whether the selector up to its compound ``k`` ends at ``e``, by the bits of the beginnings that end at an ancestor and at the parent."""
+        combinator, tag, ids, classes = self.selector[k]
+        if k and not (parent if combinator == ">" else above) >> (k - 1) & 1:
+            return False
+        return tag in ("", "*", e.tag) and (not ids or ids == {e.attributes.get("id", "")}) and classes <= set(e.attributes.get("class", "").split())
 
     def selects(self, ends: int) -> bool:
         return bool(ends >> (len(self.selector) - 1) & 1)
@@ -147,9 +145,31 @@ def sheet_rules(css: str, first: int = 0) -> list[Rule]:
     return out
 
 
+class Index:
+    """Compounds of rules by the id, class or tag without which they fit nothing."""
+
+    def __init__(self, rules: list[Rule]):
+        self.ids: dict[str, list[tuple[int, int]]] = {}
+        self.classes: dict[str, list[tuple[int, int]]] = {}
+        self.tags: dict[str, list[tuple[int, int]]] = {}
+        for i, rule in enumerate(rules):
+            for k, (_, tag, ids, classes) in enumerate(rule.selector):
+                table, name = (self.ids, min(ids)) if ids else (self.classes, min(classes)) if classes else (self.tags, tag or "*")
+                table.setdefault(name, []).append((i, k))
+
+    def of(self, e: Element) -> Iterator[tuple[int, int]]:
+        """Numbers of rules and compounds that may fit the element."""
+        yield from self.tags.get("*", ())
+        yield from self.tags.get(e.tag, ())
+        yield from self.ids.get(e.attributes.get("id", ""), ())
+        for name in set(e.attributes.get("class", "").split()):
+            yield from self.classes.get(name, ())
+
+
 def cascade(root: Element, rules: list[Rule]) -> None:
     """Set ``shown`` and ``lit`` of all elements: style sheets, own styles, and visibility handed down."""
-    stack: list[tuple[Element, list[int], list[int]]] = [(root, [0] * len(rules), [0] * len(rules))]
+    index = Index(rules)
+    stack: list[tuple[Element, dict[int, int], dict[int, int]]] = [(root, {}, {})]  # with the beginnings of rules that end above and at the parent
     while stack:
         e, above, parent = stack.pop()
         best: dict[str, tuple[tuple, bool]] = {}
@@ -160,11 +180,15 @@ def cascade(root: Element, rules: list[Rule]) -> None:
                 if name not in best or rank >= best[name][0]:
                     best[name] = (rank, shows)
 
-        ends = [rule.step(e, *of) for rule, *of in zip(rules, above, parent, strict=True)]
-        for rule, end in zip(rules, ends, strict=True):
-            if rule.selects(end):
-                say(rule.says, (0, *rule.weight))
-        below = [x | y for x, y in zip(above, ends, strict=True)]
+        ends: dict[int, int] = {}
+        for i, k in index.of(e):
+            if rules[i].fits(k, e, above.get(i, 0), parent.get(i, 0)):
+                ends[i] = ends.get(i, 0) | 1 << k
+        for i in sorted(ends):
+            if rules[i].selects(ends[i]):
+                say(rules[i].says, (0, *rules[i].weight))
+        begun = {i: above.get(i, 0) | bits for i, bits in ends.items() if len(rules[i].selector) > 1 and bits & ~above.get(i, 0)}
+        below = {**above, **begun} if begun else above
         if "style" in e.attributes:
             say(declarations(e.attributes["style"]), (1, 0, 0, 0, 0))
         if "display" in best and e.tag not in _HIDDEN:
@@ -461,30 +485,49 @@ def _table(e: Element) -> list[str]:
             column += wide
         if cells:
             grid.append(cells)
+    out = [line for block in captions + loose for line in block]
+    most = PADDING * sum(len(x) + 2 for cells in grid for lines, _ in cells.values() for x in lines) + 10_000
+    return out + next(rows for wide in _WIDTHS if (rows := _aligned(grid, _columns(grid, wide), most)) is not None)
+
+
+#: Times the text of a table that its lines may hold, and how far a line may widen its column where they would hold more.
+PADDING, _WIDTHS = 4, (1 << 30, 1000, 300, 100, 30, 10, 0)
+
+
+def _columns(grid: list[dict[int, tuple[list[str], int]]], most: int) -> dict[int, int]:
+    """Where each column begins; a longer line than ``most`` doesn't widen its column further."""
     widths: dict[int, int] = {}
     for cells in grid:
         for k, (lines, wide) in cells.items():
             if wide == 1:
-                widths[k] = max(widths.get(k, 0), *map(len, lines), 0)
+                widths[k] = max(widths.get(k, 0), min(most, max(map(len, lines), default=0)))
     for cells in grid:
         for k, (lines, wide) in cells.items():
             if wide > 1:
                 have = sum(widths.get(j, 0) + 2 for j in range(k, k + wide)) - 2
-                need = max(map(len, lines), default=0)
+                need = min(most, max(map(len, lines), default=0))
                 if need > have:
                     widths[k + wide - 1] = widths.get(k + wide - 1, 0) + need - have
     places, x = {}, 0
     for k in sorted(widths):
         places[k] = x
         x += widths[k] + (2 if widths[k] else 0)
-    out = [line for block in captions + loose for line in block]
+    return places
+
+
+def _aligned(grid: list[dict[int, tuple[list[str], int]]], places: dict[int, int], most: int) -> list[str] | None:
+    """The lines of a table; None if they would hold more than ``most`` characters."""
+    out, size, known = [], 0, sorted(places)
     for cells in grid:
         for i in range(max(len(lines) for lines, _ in cells.values())):
             row = ""
             for k, (lines, _) in cells.items():
                 if i < len(lines) and lines[i]:
-                    at = places.get(k, places[max((j for j in places if j <= k), default=min(places))] if places else 0)
+                    at = places[known[max(0, bisect_right(known, k) - 1)]] if known else 0
+                    if size + max(at, len(row)) > most:
+                        return None
                     row = row.ljust(at) + ("  " if len(row) > at else "") + lines[i]
+            size += len(row)
             out.append(row)
     return out
 

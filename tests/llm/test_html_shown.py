@@ -98,3 +98,22 @@ def test_given_pages():
         got = Counter(c for c in visible_text(markup) if c.isalpha())
         want = Counter(c for w in Seen.words(markup) for c in w if c.isalpha())
         assert got == want
+
+
+def test_wide_cells_and_many_rules_stay_small():
+    """A very long cell doesn't pad all rows, and each element meets only the rules that may select it."""
+    import time
+
+    long = "x " * 10_000
+    page = "<table>" + f"<tr><td>{long}<td>b" + "<tr><td>a<td>b" * 20_000 + "</table>"
+    text = visible_text(page)
+    assert len(text) < 5 * len(page) and text.count("b") == 20_001 and long.strip() in text and "\na  b" not in text
+    sparse = "<table><tr>" + "<td>abcdefgh" * 900 + "<tr><td colspan=899>x<td>y" * 5000 + "</table>"
+    assert len(visible_text(sparse)) < 6 * len(sparse)
+    assert visible_text("<table><tr><td>aaaa<td>b<tr><td>c<td>d</table>") == "aaaa  b\nc     d"
+    rules = "".join(f".r{i} {{display:none}} div.q{i} > p.s{i} {{display:none}} #t{i} {{visibility:hidden}}" for i in range(700))
+    styled = f"<style>{rules}</style>" + "".join(f'<div class="q{i % 9}"><p class="s{i % 9} x">gone<p class="r{i}">also<p id="t{i}">too<p>kept{i}</div>' for i in range(700))
+    began = time.process_time()
+    text = visible_text(styled)
+    assert time.process_time() - began < 3
+    assert [w for w in text.split()] == [f"kept{i}" for i in range(700)]
