@@ -13,7 +13,7 @@ from leadloom.operators.frontier import PROFILES
 from leadloom.operators.report import source_counters
 from leadloom.sources import io
 from leadloom.sources.shared import fresh_folder
-from leadloom.streaming.consolidate import Consolidator, first_per_key_stream, keyed_verdicts
+from leadloom.streaming.consolidate import Consolidator, first_in_order_stream, first_per_key_stream, keyed_verdicts
 from leadloom.streaming.state import STORE, MergeLog, judged_stream, start
 
 from .consolidation import D_OUT, LEAD_TYPE, ORD, OUT, RAW, d_candidates, d_conformed, d_key, d_merged, d_strip, raw_leads, read, tables
@@ -165,6 +165,18 @@ def q_stream_first_per_key(spark, sf):
     return _drain(first_per_key_stream(keyed.select("run_id", "profile", "key", "row_no")), path, "append").select("run_id", "profile", "key")
 
 
+def q_stream_first_in_order(spark, sf):
+    """The first contact of each key by its place, though later ones arrive first; a late row moves the watermark past all."""
+    path = fresh_folder(spark, "ordered")
+    keyed = C.conform(raw_leads(spark, sf)).withColumn("key", C.merge_key(check_listing=False))
+    rows = keyed.select(F.col("district").alias("run_id"), "profile", "key", "seq", F.timestamp_seconds(F.col("seq.row_no")).alias("at"))
+    last = spark.createDataFrame([("", "", "", (9, 0), 100 * 86400)], "run_id string, profile string, key string, seq struct<profile_rank:int,row_no:bigint>, at long").withColumn("at", F.timestamp_seconds("at"))
+    for part in (rows.where("seq.row_no % 3 = 2"), rows.where("seq.row_no % 3 = 1"), rows.where("seq.row_no % 3 = 0"), last):
+        part.coalesce(1).write.mode("append").parquet(f"{path}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    return _drain(first_in_order_stream(stream, "at"), path, "append").select("run_id", "profile", "key", F.col("seq.row_no").alias("row_no"))
+
+
 def q_stream_unchanged(spark, sf):
     """A stream started again over the same files does nothing: one output, the same rows as the batch job."""
     path, stream = _streamed(spark, sf, "unchanged")
@@ -229,6 +241,7 @@ SELECT (SELECT count(*) FROM epochs JOIN fixed USING (cache_key) WHERE e = 1 AND
     "forced_validation": f"WITH {_by_epoch('true')} SELECT {D_OUT}, n FROM merged",
     "keyed_verdicts": f"WITH {d_candidates()}, runs AS (SELECT c.*, r.district AS run_id FROM cand c JOIN (SELECT {ORD} AS seq, district FROM raw_leads) r USING (seq)) SELECT run_id, cache_key, {', '.join(f'arg_max({f}, seq) AS {f}' for f in C.FIELDS)}, min(seq) % 1000000000000 AS row_no, count(*) AS n FROM runs GROUP BY run_id, cache_key",
     "stream_first_per_key": f"WITH {d_conformed()} SELECT DISTINCT run_id, profile, {d_key(False)} AS key FROM conformed JOIN (SELECT {ORD} AS seq, district AS run_id FROM raw_leads) r USING (seq)",
+    "stream_first_in_order": f"WITH {d_conformed()} SELECT run_id, profile, {d_key(False)} AS key, min(seq % 1000000000000) AS row_no FROM conformed JOIN (SELECT {ORD} AS seq, district AS run_id FROM raw_leads) r USING (seq) GROUP BY ALL",
     "stateful_validation": f"WITH {d_merged()} SELECT {D_OUT}, n FROM merged",
     "stream_unchanged": f"WITH {d_merged()} SELECT 0::BIGINT AS version, {D_OUT}, n FROM merged",
 }

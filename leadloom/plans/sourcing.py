@@ -14,6 +14,7 @@ from leadloom.operators import directory as D
 from leadloom.operators import extract as X
 from leadloom.operators import frontier as N
 from leadloom.operators import report as O
+from leadloom.sources import io
 from leadloom.sources.shared import fresh_folder
 from leadloom.streaming.consolidate import merged_stream
 
@@ -199,6 +200,16 @@ def q_fetch_blockers(spark, sf):
     return missing.select("run_id", "blocker")
 
 
+def q_fetch_bucketed(spark, sf):
+    """Fetched pages of the frontier from a table in buckets by address."""
+    pages = html_pages(spark, sf).select(F.regexp_replace(F.regexp_replace("url", "www[.]", ""), "/$", "/a").alias("url"), "html")
+    path = fresh_folder(spark, "pages")
+    table = "pages_" + path.rsplit("-", 1)[1]
+    io.write_pages(pages, table, path, buckets=8)
+    found, _ = N.fetch(N.frontier_first_seen(N.frontier_topk(N.result_urls(results_table(spark, sf)))), spark.table(table))
+    return found.select("run_id", "url", F.octet_length("html").cast("long").alias("n_bytes"))
+
+
 def q_directory_urls(spark, sf):
     asked = requests_table(spark, sf).select("run_id", F.col("lead_type").alias("query"), F.col("geography").alias("place"))
     return D.directory_search_urls(asked).select("run_id", "page", "search_url")
@@ -417,6 +428,7 @@ SELECT run_id, unnest(l) AS url, (generate_subscripts(l, 1) - 1)::INT AS positio
     "queries_without_results": "WITH r AS (SELECT DISTINCT concat('run', s_nationkey) AS run_id FROM supplier) SELECT run_id, 'q9' AS query, 'Sem resultados para \"q9\"' AS blocker FROM r",
     "unvisited_urls": f"WITH {_LINKS} SELECT run_id, url FROM seen WHERE s // 1000 <> 0",
     "fetch_blockers": f"WITH {_LINKS}, have AS (SELECT 'https://loja' || s_suppkey || '.example.pt/a' AS url FROM supplier) SELECT run_id, url || ' -> Failed to fetch' AS blocker FROM seen ANTI JOIN have USING (url)",
+    "fetch_bucketed": f"WITH {_LINKS}, {HTML} SELECT run_id, seen.url, octet_length(encode(html))::BIGINT AS n_bytes FROM seen JOIN html_pages p ON seen.url = regexp_replace(replace(p.url, 'www.', ''), '/$', '/a')",
     "directory_urls": f"WITH {_REQ}, a AS (SELECT run_id, lead_type AS query, geography AS place, unnest([1, 2, 3, 4, 5])::INT AS page FROM requests) SELECT run_id, page, 'https://www.pai.pt/searches?' || {_FORM_SQL} || CASE WHEN page <> 1 THEN '&page=' || page ELSE '' END AS search_url FROM a",
     "page_stop": "SELECT 'run' || s_suppkey AS run_id, page::INT AS page, page < 3 AS has_next, CASE WHEN s_suppkey % 4 = 1 AND page = 2 THEN 0 ELSE 1 END::BIGINT AS n_cards, ('1' || s_suppkey)::BIGINT AS total_results FROM supplier CROSS JOIN (SELECT unnest([1, 2, 3]) AS page) p WHERE NOT (s_suppkey % 4 = 1 AND page = 3)",
     "first_total": "SELECT 'run' || s_suppkey AS run_id, ('1' || s_suppkey)::BIGINT AS total_results, CASE WHEN s_suppkey % 4 = 1 THEN 1 ELSE 3 END::BIGINT AS n_cards FROM supplier",

@@ -219,6 +219,16 @@ def read_pages(spark: SparkSession, path: str, form: str = "parquet") -> DataFra
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("url"), F.col("value").alias("html"))
 
 
+def write_pages(pages: DataFrame, table: str, path: str, buckets: int = 64) -> None:
+    """Fetched pages as a table at ``path``, in buckets by address, sorted in each.
+
+    A join by address with a table read from it shuffles the other side only, so
+    markup stays where it lies.  Choose as many buckets as leave each below a few
+    hundred MB.
+    """
+    pages.write.mode("overwrite").option("path", path).bucketBy(buckets, "url").sortBy("url").saveAsTable(table)
+
+
 def write_result(df: DataFrame, path: str, run_id: str, version: int) -> None:
     """An output of a run, committed by an entry in the manifest once all its files are there."""
     marked = df.sparkSession.createDataFrame([(run_id, version)], "run_id string, version int")

@@ -48,6 +48,19 @@ def first_per_key_stream(rows: DataFrame, time_column: str | None = None, delay:
     return rows.withWatermark(time_column, delay).dropDuplicatesWithinWatermark(keys)
 
 
+def first_in_order_stream(rows: DataFrame, time_column: str, delay: str = "1 day", seq: str = "seq") -> DataFrame:
+    """The first row by ``seq`` of each (run_id, profile, key), whatever the order of arrival (append mode).
+
+    Rows of a key whose times lie within ``delay`` of one another are one group;
+    only its least row is kept, which combines before the shuffle, and it comes
+    out when the watermark is ``delay`` past the group.
+    """
+    keys = ["run_id", "profile", "key"]
+    rest = [c for c in rows.columns if c not in keys]
+    grouped = rows.withWatermark(time_column, delay).groupBy(*keys, F.session_window(time_column, delay))
+    return grouped.agg(F.min_by(F.struct(*rest), F.col(seq)).alias("_row")).select(*keys, "_row.*")
+
+
 class Consolidator:
     """Micro-batches merged as they come, with verdicts at intervals.
 

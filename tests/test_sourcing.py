@@ -84,3 +84,25 @@ def test_part_files_are_even(spark):
     for path in glob.glob(f"{shared}/stream-*/in"):
         counts = [r["count"] for r in spark.read.parquet(path).groupBy(F.input_file_name()).count().collect()]
         assert len(counts) >= 4 and max(counts) <= min(counts) + 4
+
+
+def test_pages_in_buckets_are_not_shuffled(spark, tmp_path):
+    """Joining the frontier to pages in buckets moves the frontier only."""
+    from leadloom.operators import frontier as N
+    from leadloom.sources import io
+
+    pages = spark.createDataFrame([(f"https://a.pt/{i}", f"<p>{i}") for i in range(100)], "url string, html string")
+    io.write_pages(pages, "pages_in_buckets", str(tmp_path / "pages"), buckets=4)
+    frontier = spark.createDataFrame([("r", "web", f"https://a.pt/{i}") for i in range(50, 150)], "run_id string, profile string, url string")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found, missing = N.fetch(frontier, spark.table("pages_in_buckets"))
+        assert sorted(r.html for r in found.collect()) == sorted(f"<p>{i}" for i in range(50, 100)) and missing.count() == 50
+        lines = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].split("\n")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        spark.sql("drop table pages_in_buckets")
+    scan = next(i for i, x in enumerate(lines) if "pages_in_buckets" in x)
+    branch = [x for x in lines[:scan] if not x.lstrip().startswith(":") and ": " not in x[:12]]
+    assert any("Join" in x for x in branch) and not any("Exchange" in x or "ShuffleQueryStage" in x for x in branch)
