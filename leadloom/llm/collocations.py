@@ -263,13 +263,15 @@ class PerfectHash:
 
 
 def find_candidates(docs: DataFrame, width: int, bits: list[np.ndarray]) -> DataFrame:
-    """``lang``, ``phrase``, its number of words ``k`` and its key, ``a`` and ``b``, of all phrases that may be frequent, once each, as a table."""
+    """``lang``, ``phrase``, its number of words ``k`` and its key, ``a`` and ``b``, of all phrases that may be frequent and of their words, once each, as a table."""
     shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         told = np.zeros(TOLD, np.uint64)  # keys that this task has given lately, each in its place
         for words in parts_of(batches):
             for k, at, a, _ in phrases(words, width, shared.value):
+                if k == 1:  # read off the phrases below
+                    continue
                 stays = _set(shared.value[k - 1], width, a) & (told[(a >> np.uint64(32)) & np.uint64(TOLD - 1)] != a)
                 a, first = np.unique(a[stays], return_index=True)
                 places = at[stays][first]
@@ -285,7 +287,9 @@ def find_candidates(docs: DataFrame, width: int, bits: list[np.ndarray]) -> Data
                 a[there], b[there] = parts.keys(there, 0, k)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(parts.sizes.astype(np.int32)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["lang", "phrase", "k", "a", "b"])
 
-    once = docs.mapInArrow(emit, "lang string, phrase string").distinct()
+    several = materialize(docs.mapInArrow(emit, "lang string, phrase string").distinct(), "phrases-met")
+    single = several.select("lang", F.explode(F.split("phrase", " ")).alias("phrase")).distinct()
+    once = several.unionByName(single)
     return materialize(once.mapInArrow(keyed, "lang string, phrase string, k int, a long, b long"), "phrase-candidates")
 
 
