@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import encode_words, mix64, partitions, read_table, slices, split_words, starts_of
+from .common import encode_words, mix64, partitions, ranges, read_table, slices, split_words, starts_of
 
 #: Words of a shingle.
 WORDS = 5
@@ -41,6 +41,10 @@ class Sketches:
     flat: np.ndarray
     starts: np.ndarray
 
+    def take(self, at: np.ndarray) -> Sketches:
+        lengths = np.diff(self.starts)[at]
+        return Sketches(self.shifts[at], self.flat[ranges(self.starts[at], lengths)], starts_of(lengths))
+
     def text(self, i: int) -> str:
         """The shift and the hashes, sorted, little-endian, in Base64."""
         return f"{self.shifts[i]}:{base64.b64encode(self.flat[self.starts[i] : self.starts[i + 1]].astype('<u4').tobytes()).decode()}"
@@ -103,10 +107,13 @@ _FIELDS = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerpr
 _SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, jaccard_edited double, jaccard_next double, n_hashes long"
 
 
-def _rows(ids: pa.Array, texts: pa.Array, following: pa.Array) -> pa.RecordBatch:
-    """Result rows of texts and the texts that follow them."""
+def _rows(rows: pa.RecordBatch, at: np.ndarray) -> pa.RecordBatch:
+    """Result rows of the rows ``at``, each of which is followed by the next one."""
+    every = sketch(rows.column("text"))
+    own, of_next = every.take(at), every.take(at + 1)
+    ids, texts, following = rows.column("doc_id").take(pa.array(at)), rows.column("text").take(pa.array(at)), rows.column("text").take(pa.array(at + 1))
     changed = pa.array([edited(t, f) for t, f in zip(texts.to_pylist(), following.to_pylist(), strict=True)], pa.string())
-    own, of_changed, of_next = sketch(texts), sketch(changed), sketch(following)
+    of_changed = sketch(changed)
     near_edited, jaccard_edited = likeness(own, of_changed)
     near_next, jaccard_next = likeness(own, of_next)
     digests = [hashlib.sha256(t.encode()).hexdigest() for t in changed.to_pylist()]
@@ -122,8 +129,7 @@ def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(whole, "text"):
             rows = part if waiting is None else pa.concat_batches([waiting, part])
             if rows.num_rows > 1:
-                texts, own = rows.column("text"), pc.invert(rows.column("guest"))[:-1]
-                yield _rows(rows.column("doc_id")[:-1].filter(own), texts[:-1].filter(own), texts[1:].filter(own))
+                yield _rows(rows, np.flatnonzero(~rows.column("guest").to_numpy(zero_copy_only=False)[:-1]))
             waiting = rows.slice(rows.num_rows - 1)
 
 
