@@ -439,16 +439,17 @@ WITH docs AS (
   SELECT lang, list_filter(regexp_split_to_array(piece, '[ \t]+'), lambda w: w <> '') AS w FROM pieces
 ), totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM worded GROUP BY lang
 ), grams AS (
-  SELECT lang, k::INT AS k, array_to_string(w[i:i + k - 1], ' ') AS phrase
-  FROM worded, range(1, 5) s(k), LATERAL (SELECT unnest(range(1, len(w) - k + 2)) AS i) t
-), f AS (
+  SELECT lang, k::INT AS k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase
+  FROM worded, range(1, 5) s(k)
+), f AS MATERIALIZED (
   SELECT lang, k, phrase, count(*)::BIGINT AS a FROM grams GROUP BY ALL HAVING count(*) >= 30
 ), candidates AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE k > 1
+), halves AS (
+  SELECT c.*, cut, array_to_string(w[:cut], ' ') AS first_words, array_to_string(w[cut + 1:], ' ') AS rest FROM candidates c, range(1, 4) s(cut) WHERE cut < k
 ), cuts AS (
-  SELECT c.lang, c.k, c.phrase, c.a, cut, x.a AS l, y.a AS r, (2000000::HUGEINT * c.a // (x.a + y.a))::BIGINT AS score
-  FROM candidates c, range(1, 4) s(cut), f x, f y
-  WHERE cut < c.k AND x.lang = c.lang AND y.lang = c.lang AND x.phrase = array_to_string(c.w[:cut], ' ') AND y.phrase = array_to_string(c.w[cut + 1:], ' ')
-), best AS (
+  SELECT h.lang, h.k, h.phrase, h.a, cut, x.a AS l, y.a AS r, (2000000::HUGEINT * h.a // (x.a + y.a))::BIGINT AS score
+  FROM halves h JOIN f x ON x.lang = h.lang AND x.phrase = h.first_words JOIN f y ON y.lang = h.lang AND y.phrase = h.rest
+), best AS MATERIALIZED (
   SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1
 ), inner_parts AS (
   SELECT DISTINCT lang, a, array_to_string(w[i:i + m - 1], ' ') AS phrase
