@@ -3,10 +3,12 @@
 A phrase can only be frequent if all parts of it are.  For each length, from one
 word up, tasks count hashed phrases whose parts may be frequent into a sketch of
 saturating counters; a phrase whose bucket stays below the threshold is no
-candidate, and one that reaches it always is.  Candidates get slots by a minimal
-perfect hash with their keys stored, tasks count the slots in arrays, arrays are
-summed as a tree, and the counts of a phrase and of both sides of its cuts are
-read by slot.
+candidate, and one that reaches it always is.  A bucket belongs to the task that
+filled it most, and that task alone names its phrases.  These get slots by a
+minimal perfect hash with their keys stored, tasks count the slots in arrays,
+arrays are summed as a tree, and the counts of a phrase and of both sides of its
+cuts are read by slot.  Candidates that aren't stored (nearly all rare ones that
+share a bucket) are counted by their texts in the same pass, so none is lost.
 """
 
 from __future__ import annotations
@@ -18,11 +20,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark import Broadcast
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, encode_words, flat_bytes, materialize, mix64, partitions, ranges, read_table, slices
+from .common import SHORT_SLICE_BYTES as SLICE_BYTES
+from .common import encode_words, flat_bytes, materialize, mix64, partitions, ranges, read_table, slices
 
 #: Words of the longest phrase.
 LONGEST = 4
@@ -31,7 +34,9 @@ LEAST_BITS, MOST_BITS, BYTES = 16, 27, 48
 #: Candidates that one minimal perfect hash holds; more are counted in further passes.
 WAVE = 1 << 21
 #: Keys that a task remembers, so that it gives few candidates twice.
-TOLD = 1 << 22
+TOLD = 1 << 20
+#: Bytes of bits that are unpacked at a time.
+UNPACKED = 1 << 16
 #: Blocks that an array of counts crosses a shuffle in.
 BLOCKS = 512
 #: Rows of a block that one task of the first level of a tree sums.
@@ -101,9 +106,9 @@ def extended(keys: np.ndarray, words: np.ndarray, half: int) -> np.ndarray:
 
 
 def parts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[Words]:
-    """Words of a few MB of text at a time; a longer text is cut where pieces end."""
+    """Words of a MB of text at a time; a longer text is cut where pieces end."""
     for batch in batches:
-        for part in slices(batch, "text"):
+        for part in slices(batch, "text", SLICE_BYTES):
             langs, texts = part.column("lang"), part.column("text")
             if part.num_rows == 1 and texts[0].is_valid and pc.binary_length(texts)[0].as_py() > 2 * SLICE_BYTES:
                 data, _ = flat_bytes(texts)
@@ -189,15 +194,21 @@ def tree_sum(blocks: DataFrame, length: int, dtype: type, most: int | None = Non
 def collected(summed: DataFrame, length: int, dtype: type) -> np.ndarray:
     """The summed blocks as one array; callers bound its length."""
     out, size = np.zeros(length, dtype), length // BLOCKS
-    for r in summed.toLocalIterator():
-        at, n = unpack(bytes(r.data), size, dtype)
-        out[r.block * size + at] = n
+    table = summed.toArrow()  # all partitions at once
+    for block, data in zip(table["block"].to_pylist(), table["data"].to_pylist(), strict=True):
+        at, n = unpack(data, size, dtype)
+        out[block * size + at] = n
     return out
 
 
-def sketch_bits(docs: DataFrame, width: int, known: list[np.ndarray], least: int) -> np.ndarray:
-    """Bits of the buckets that phrases one word longer than ``known`` reaches fill ``least`` times or more; at most 2 ** MOST_BITS of them."""
-    k, most = len(known) + 1, min(least, 255)
+def this_task() -> int:
+    """The number of the running task in 16 bits; beyond 65,536 tasks some share theirs, and what is owned by it."""
+    return TaskContext.get().partitionId() & 0xFFFF
+
+
+def sketch_bits(docs: DataFrame, width: int, known: list[np.ndarray], least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bits of the buckets that phrases one word longer than ``known`` reaches fill ``least`` times or more, at most 2 ** MOST_BITS of them, and the tasks that own those, in their order."""
+    k, most, size = len(known) + 1, min(least, 255), width // BLOCKS
     shared = docs.sparkSession.sparkContext.broadcast(known)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,18 +218,49 @@ def sketch_bits(docs: DataFrame, width: int, known: list[np.ndarray], least: int
             at = (keys & np.uint64(width - 1)).astype(np.int64)
             at, n = np.unique(at[filled[at] < most], return_counts=True)  # most phrases are common ones, whose buckets are full already
             filled[at] = np.minimum(filled[at] + np.minimum(n, most), most)
-        yield pack(filled, width // BLOCKS)
+        blocks = pack(filled, size)
+        yield pa.RecordBatch.from_arrays([*blocks.columns, pa.array(np.full(blocks.num_rows, this_task(), np.int32))], ["block", "data", "task"])
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, total = -1, np.zeros(size, np.uint16)
+        best, owner = np.zeros(size, np.uint16), np.zeros(size, np.uint16)
+
+        def out() -> Iterator[pa.RecordBatch]:
+            if len(full := np.flatnonzero(total >= most)):
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([np.packbits(total >= most).tobytes()]), pa.array([owner[full].tobytes()])], ["block", "bits", "owners"])
 
-    def to_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block, data in zip(batch.column("block").to_pylist(), batch.column("data").to_pylist(), strict=True):
-                at, n = unpack(data, width // BLOCKS, np.uint8)
-                full = np.zeros(width // BLOCKS, bool)
-                full[at[n >= most]] = True
-                yield pack(np.packbits(full), width // BLOCKS // 8, block)
+            for b, data, task in zip(*(batch.column(c).to_pylist() for c in ("block", "data", "task")), strict=True):
+                if b != block:
+                    yield from out()
+                    block = b
+                    for x in (total, best, owner):
+                        x[:] = 0
+                at, n = unpack(data, size, np.uint8)
+                total[at] = np.minimum(total[at] + n, most)
+                rank = n.astype(np.uint16) << 8 | (at * 151 + task * 37).astype(np.uint16) & 255  # of tasks that filled it as much, any
+                better = rank > best[at]
+                best[at[better]], owner[at[better]] = rank[better], task
+        yield from out()
 
-    summed = tree_sum(docs.mapInArrow(count, "block int, data binary"), width, np.uint8, most)
-    return collected(summed.mapInArrow(to_bits, "block int, data binary"), width // 8, np.uint8)
+    counted = docs.mapInArrow(count, "block int, data binary, task int").repartition("block").sortWithinPartitions("block")
+    table = counted.mapInArrow(judge, "block int, bits binary, owners binary").toArrow().sort_by("block")
+    bits = np.zeros(width // 8, np.uint8)
+    for block, data in zip(table["block"].to_pylist(), table["bits"].to_pylist(), strict=True):
+        bits[block * size // 8 : (block + 1) * size // 8] = np.frombuffer(data, np.uint8)
+    return bits, np.frombuffer(b"".join(table["owners"].to_pylist()), np.uint16)
+
+
+def owned(bits: np.ndarray, owners: np.ndarray, task: int) -> np.ndarray:
+    """Of the ``bits`` that are set those whose owner is ``task``."""
+    out, first = np.zeros_like(bits), 0
+    for c in range(0, len(bits), UNPACKED):
+        part = np.unpackbits(bits[c : c + UNPACKED])
+        at = np.flatnonzero(part)
+        part[at] = owners[first : first + len(at)] == task
+        first += len(at)
+        out[c : c + UNPACKED] = np.packbits(part)
+    return out
 
 
 class PerfectHash:
@@ -262,22 +304,32 @@ class PerfectHash:
         return np.where(found, out, -1)
 
 
-def find_candidates(docs: DataFrame, width: int, bits: list[np.ndarray]) -> DataFrame:
-    """``lang``, ``phrase``, its number of words ``k`` and its key, ``a`` and ``b``, of all phrases that may be frequent and of their words, once each, as a table."""
-    shared = docs.sparkSession.sparkContext.broadcast(bits)
+def find_candidates(docs: DataFrame, width: int, bits: list[np.ndarray], owners: list[np.ndarray]) -> DataFrame:
+    """``lang``, ``phrase``, its number of words ``k`` and its key, ``a`` and ``b``, of what the owner of each bucket has in it, once each, as a table.
+
+    That is nearly all that is frequent; where it isn't (two frequent phrases in a
+    bucket, or rows that another task gets in another pass), ``count_slots`` finds the rest.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast((bits, owners))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         told = np.zeros(TOLD, np.uint64)  # keys that this task has given lately, each in its place
+        own = [owned(b, o, this_task()) for b, o in zip(*shared.value, strict=True)]
         for words in parts_of(batches):
-            for k, at, a, _ in phrases(words, width, shared.value):
-                if k == 1:  # read off the phrases below
-                    continue
-                stays = _set(shared.value[k - 1], width, a) & (told[(a >> np.uint64(32)) & np.uint64(TOLD - 1)] != a)
+            for k, at, a, _ in phrases(words, width, shared.value[0]):
+                stays = np.flatnonzero(_set(own[k - 1], width, a))
+                stays = stays[told[(a[stays] >> np.uint64(32)) & np.uint64(TOLD - 1)] != a[stays]]
                 a, first = np.unique(a[stays], return_index=True)
                 places = at[stays][first]
                 told[(a >> np.uint64(32)) & np.uint64(TOLD - 1)] = a
                 yield pa.RecordBatch.from_arrays([words.langs.take(pa.array(words.rows[places])), words.texts(places, k)], ["lang", "phrase"])
 
+    return materialize(with_keys(docs.mapInArrow(emit, "lang string, phrase string").distinct()), "phrase-candidates")
+
+
+def with_keys(rows: DataFrame) -> DataFrame:
+    """``rows`` (lang, phrase and others) with the number of words ``k`` and the halves of the key, ``a`` and ``b``."""
+
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parts = Parts(batch)
@@ -285,12 +337,9 @@ def find_candidates(docs: DataFrame, width: int, bits: list[np.ndarray]) -> Data
             for k in range(1, LONGEST + 1):
                 there = np.flatnonzero(parts.sizes == k)
                 a[there], b[there] = parts.keys(there, 0, k)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(parts.sizes.astype(np.int32)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["lang", "phrase", "k", "a", "b"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(parts.sizes.astype(np.int32)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], [*batch.schema.names, "k", "a", "b"])
 
-    several = materialize(docs.mapInArrow(emit, "lang string, phrase string").distinct(), "phrases-met")
-    single = several.select("lang", F.explode(F.split("phrase", " ")).alias("phrase")).distinct()
-    once = several.unionByName(single)
-    return materialize(once.mapInArrow(keyed, "lang string, phrase string, k int, a long, b long"), "phrase-candidates")
+    return rows.mapInArrow(keyed, ", ".join([*(f"{c} {t}" for c, t in rows.dtypes), "k int", "a long", "b long"]))
 
 
 class Parts:
@@ -308,10 +357,15 @@ class Parts:
         return [reduce(lambda x, s, h=h: extended(x, self.words[h][self.firsts[rows] + first + s], h), range(n), self.langs[h][rows]) for h in (0, 1)]
 
 
-def count_slots(docs: DataFrame, width: int, bits: Broadcast, hashed: Broadcast) -> tuple[np.ndarray, DataFrame]:
-    """How often each phrase of a perfect hash occurs, by slot, and the words of each language."""
+def count_slots(docs: DataFrame, width: int, bits: Broadcast, hashed: Broadcast, wave: int, waves: int) -> tuple[np.ndarray, DataFrame, DataFrame]:
+    """How often each phrase of a perfect hash occurs, by slot; the candidates of that wave that it doesn't hold (lang, phrase, n), any number of rows each; and the words of each language."""
     n = len(hashed.value.a)
-    room = -(-n // BLOCKS) * BLOCKS
+    room = max(1, -(-n // BLOCKS)) * BLOCKS
+    columns = {"block": pa.int32(), "data": pa.binary(), "lang": pa.string(), "phrase": pa.string(), "n": pa.int64()}
+
+    def row(**of: pa.Array) -> pa.RecordBatch:
+        size = len(next(iter(of.values())))
+        return pa.RecordBatch.from_arrays([of[c].cast(t) if c in of else pa.nulls(size, t) for c, t in columns.items()], list(columns))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, of_lang = np.zeros(room, np.int64), {}
@@ -319,31 +373,44 @@ def count_slots(docs: DataFrame, width: int, bits: Broadcast, hashed: Broadcast)
             codes, langs = encode_words(words.langs)
             for lang, m in zip(langs.to_pylist(), np.bincount(codes[words.rows], minlength=len(langs)).tolist(), strict=True):
                 of_lang[lang] = of_lang.get(lang, 0) + m
-            for k, _, a, b in phrases(words, width, bits.value):
-                stays = _set(bits.value[k - 1], width, a)
-                slots = hashed.value.slots(a[stays], b[stays])
+            for k, at, a, b in phrases(words, width, bits.value):
+                stays = _set(bits.value[k - 1], width, a) & (wave_of(b, waves) == wave)
+                at, a, b = at[stays], a[stays], b[stays]
+                slots = hashed.value.slots(a, b)
                 counts += np.bincount(slots[slots >= 0], minlength=room)
+                if len(other := np.flatnonzero(slots < 0)):
+                    _, first, m = np.unique(np.column_stack([a[other], b[other]]), axis=0, return_index=True, return_counts=True)
+                    places = at[other[first]]
+                    yield row(lang=words.langs.take(pa.array(words.rows[places])), phrase=words.texts(places, k), n=pa.array(m))
         blocks = pack(counts, room // BLOCKS)
-        yield pa.RecordBatch.from_arrays([*blocks.columns, pa.nulls(blocks.num_rows, pa.string()), pa.nulls(blocks.num_rows, pa.int64())], ["block", "data", "lang", "n"])
-        m = len(of_lang)
-        yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary()), pa.array(list(of_lang), pa.string()), pa.array(list(of_lang.values()), pa.int64())], ["block", "data", "lang", "n"])
+        yield row(block=blocks.column("block"), data=blocks.column("data"))
+        yield row(lang=pa.array(list(of_lang), pa.string()), n=pa.array(list(of_lang.values()), pa.int64()))
 
-    counted = materialize(docs.mapInArrow(count, "block int, data binary, lang string, n long"), "phrase-counts")
+    counted = materialize(docs.mapInArrow(count, "block int, data binary, lang string, phrase string, n long"), "phrase-counts")
     summed = tree_sum(counted.where("block is not null").select("block", "data"), room, np.int64)
-    return collected(summed, room, np.int64)[:n], counted.where("block is null").groupBy("lang").agg(F.sum("n").alias("n"))
+    of_langs = counted.where("block is null and phrase is null").groupBy("lang").agg(F.sum("n").alias("n"))
+    return collected(summed, room, np.int64)[:n], counted.where("phrase is not null").select("lang", "phrase", "n"), of_langs
 
 
-def read_parts(rows: DataFrame, hashed: Broadcast, counts: Broadcast) -> DataFrame:
-    """``rows`` (lang, phrase, k, f) with the counts of those parts that the perfect hash holds added to ``f``, in the order of PARTS."""
+def wave_of(b: np.ndarray, waves: int) -> np.ndarray:
+    """The pass that a key is counted in."""
+    return (b >> np.uint64(1)) % np.uint64(waves) if waves > 1 else np.zeros(len(b), np.uint64)
+
+
+def read_parts(rows: DataFrame, counted: list[tuple[Broadcast, Broadcast]]) -> DataFrame:
+    """``rows`` (lang, phrase, k) with the counts ``f`` of their parts, in the order of PARTS, by the perfect hashes and their counts by slot."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parts = Parts(batch)
-            total = np.array(batch.column("f").to_pylist(), np.int64).reshape(-1, len(PARTS))
+            total = np.zeros((batch.num_rows, len(PARTS)), np.int64)
             for p, (o, m) in enumerate(PARTS):
                 there = np.flatnonzero(o + m <= parts.sizes)
-                slots = hashed.value.slots(*parts.keys(there, o, m))
-                total[there, p] += np.where(slots >= 0, counts.value[slots], 0)
+                keys = parts.keys(there, o, m)
+                for hashed, counts in counted:
+                    slots = hashed.value.slots(*keys)
+                    stored = slots >= 0
+                    total[there[stored], p] = counts.value[slots[stored]]
             f = pa.FixedSizeListArray.from_arrays(pa.array(total.ravel()), len(PARTS)).cast(pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("lang", "phrase", "k")), f], ["lang", "phrase", "k", "f"])
 
@@ -359,24 +426,44 @@ def count_phrases(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame] |
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     width = 1 << min(MOST_BITS, max(LEAST_BITS, (size // BYTES).bit_length()))
     bits: list[np.ndarray] = []
+    owners: list[np.ndarray] = []
     for _ in range(LONGEST):
-        bits.append(sketch_bits(docs, width, bits, least))
-    found = find_candidates(docs, width, bits)
-    n = found.count()
-    if not n:
+        b, o = sketch_bits(docs, width, bits, least)
+        bits.append(b)
+        owners.append(o)
+    if not bits[1].any():
         return None
-    shared, waves = spark.sparkContext.broadcast(bits), -(-n // WAVE)
-    rows, totals = found.where("k > 1").select("lang", "phrase", "k", F.array_repeat(F.lit(0).cast("long"), len(PARTS)).alias("f")), None
+    found = find_candidates(docs, width, bits, owners)
+    share = spark.sparkContext.broadcast
+    shared, waves = share(bits), max(1, -(-found.count() // WAVE))
+    counted, others, totals = [], [], None
     for wave in range(waves):
-        keys = found.where(F.pmod(F.xxhash64("a", "b"), F.lit(waves)) == wave).select("a", "b").toArrow()  # about WAVE rows at most
-        hashed = spark.sparkContext.broadcast(PerfectHash(keys["a"].to_numpy().view(np.uint64), keys["b"].to_numpy().view(np.uint64)))
-        counts, of_langs = count_slots(docs, width, shared, hashed)
+        keys = _wave(found, wave, waves)
+        hashed = share(PerfectHash(keys["a"], keys["b"]))
+        counts, other, of_langs = count_slots(docs, width, shared, hashed, wave, waves)
         totals = of_langs if totals is None else totals
-        rows = read_parts(rows, hashed, spark.sparkContext.broadcast(counts))
+        counted.append((hashed, share(counts)))
+        others.append(other)
+    other = reduce(DataFrame.unionByName, others).groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    late = materialize(with_keys(other), "phrases-late")
+    more = -(-late.count() // WAVE)
+    for wave in range(more):
+        keys = _wave(late, wave, more)
+        made = PerfectHash(keys["a"], keys["b"])
+        counts = np.zeros(len(made.a), np.int64)
+        counts[made.slots(keys["a"], keys["b"])] = keys["n"]
+        counted.append((share(made), share(counts)))
+    rows = read_parts(found.unionByName(late.drop("n")).where("k > 1").select("lang", "phrase", "k"), counted)
     own = F.element_at(F.array(*[F.col("f")[PARTS.index((0, k))] for k in range(1, LONGEST + 1)]), F.col("k"))
     return materialize(rows.where(own >= least), "phrases"), totals
 
 
+def _wave(rows: DataFrame, wave: int, waves: int) -> dict[str, np.ndarray]:
+    """The keys, and the counts if there are any, of the ``rows`` of a wave; about WAVE at most."""
+    table = rows.where(F.shiftrightunsigned("b", 1) % waves == wave).drop("lang", "phrase", "k").toArrow()
+    return {c: table[c].to_numpy().view(np.int64 if c == "n" else np.uint64) for c in table.column_names}
+
+
 def _best_cut(k: int, a: Column) -> Column:
     """The cut of a phrase of ``k`` words with the lowest score, of equal ones the first, as a struct of score, cut, l and r."""
     cuts = []

@@ -97,3 +97,45 @@ def test_exact_scores_beyond_64_bits(spark):
 def test_empty_and_rare(spark):
     docs = spark.createDataFrame([("en", "a b c"), (None, None)], "lang string, text string")
     assert M.collocations(docs).count() == 0 and M.collocations(docs.limit(0)).count() == 0
+
+
+def test_a_phrase_is_named_by_one_task(spark, monkeypatch):
+    """Not by each that meets it; and no array is read with a job for each of its parts."""
+    rng = random.Random(5)
+    docs = spark.createDataFrame([("en", " ".join(rng.choice("abcdefgh") for _ in range(200))) for _ in range(64)], "lang string, text string").repartition(8)
+    kind, given = type(docs), []
+    made = kind.mapInArrow
+
+    def spied(self, func, schema, *args, **options):
+        out = made(self, func, schema, *args, **options)
+        if schema == "lang string, phrase string":
+            given.append(out)
+        return out
+
+    def one_by_one(*_):
+        raise AssertionError("a job for each partition")
+
+    monkeypatch.setattr(kind, "mapInArrow", spied)
+    monkeypatch.setattr(kind, "toLocalIterator", one_by_one)
+    assert M.collocations(docs, least=20).count() > 0
+    assert given[0].count() < 1.5 * given[0].distinct().count()
+
+
+@pytest.mark.parametrize(("named", "wave"), [("false", M.WAVE), ("phrase < 'b'", 40)])
+def test_phrases_that_no_task_names(spark, monkeypatch, named, wave):
+    """They are counted by their texts."""
+    given = rows(3)
+    docs = spark.createDataFrame(given, "lang string, text string").repartition(5)
+    find = M.find_candidates
+    monkeypatch.setattr(M, "WAVE", wave)
+    monkeypatch.setattr(M, "find_candidates", lambda *args: find(*args).where(named))
+    assert collected(M.collocations(docs, least=12)) == brute(given, 12)
+
+
+def test_each_bucket_has_one_owner():
+    rng = np.random.default_rng(2)
+    bits = rng.integers(0, 256, 3 * M.UNPACKED + 5).astype(np.uint8)
+    owners = rng.integers(0, 3, int(np.unpackbits(bits).sum())).astype(np.uint16)
+    own = [M.owned(bits, owners, task) for task in range(4)]
+    assert (sum(np.unpackbits(x) for x in own) == np.unpackbits(bits)).all() and not own[3].any()
+    assert [int(np.unpackbits(x).sum()) for x in own] == np.bincount(owners, minlength=4).tolist()
